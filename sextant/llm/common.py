@@ -67,19 +67,32 @@ def text_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return _LOWER[joined], borders
 
 
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+class SpanHash:
+    """64-bit hashes of spans of a byte array, from prefix sums of a polynomial in an odd base."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power(len(data))
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)])
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[last] - self.total[first]) * self.down[first] + (last - first).astype(np.uint64))
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and where each text's words start (one more entry than texts)."""
     data, borders = text_bytes(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    inside = ~_SPACE[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-    first, last = edges[::2], edges[1::2]
-    up, down = _power(len(data))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)])
-        hashes = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-    return hashes, np.searchsorted(first, borders)
+    first, last = runs(~_SPACE[data])
+    return SpanHash(data)(first, last), np.searchsorted(first, borders)
 
 
 def chunks(texts: list[str | None], most: int = 4_000_000):

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, pieces, spotsigs
+from . import chat, langid, licenses, mixing, pieces, spotsigs, toxicity
+from .common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.digest(docs, crc_mod(docs["doc_id"], langid.FOLDS))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.predict(docs.select("doc_id", "text"), toxicity.train(docs, labels)).drop("text")
+
+
 #: The hot source is thinned to a tenth of the mix, the others share the rest evenly.
 MIX_WEIGHTS, MIX_DEFAULT, MIX_SEED = {"src0": 2.0}, 1.0, 11
 
@@ -83,8 +94,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op4_mixing": op4_mixing,
     "op3_pieces": op3_pieces,
+    "op7_toxicity": op7_toxicity,
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_spotsigs": op10_spotsigs,
