@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licenses, mixing, pieces, spotsigs, toxicity
+from . import chat, jaccard, langid, licenses, mixing, pieces, spotsigs, toxicity
 from .common import crc_mod
 
 
@@ -17,6 +17,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(docs, crc_mod(docs["doc_id"], langid.FOLDS))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=3, t=0.9)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.predict(docs.select("doc_id", "text"), toxicity.train(docs, labels)).drop("text")
@@ -97,6 +101,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op4_mixing": op4_mixing,
     "op3_pieces": op3_pieces,
+    "op5_jaccard": op5_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
