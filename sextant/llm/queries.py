@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, langid, licenses, mixing, pieces, spotsigs, toxicity
+from . import chat, jaccard, langid, licenses, mixing, pieces, spotsigs, toxicity, vectors
 from .common import crc_mod
 
 
@@ -17,6 +17,24 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(docs, crc_mod(docs["doc_id"], langid.FOLDS))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+OP2_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[64] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE array_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.u = e.vec_id) AS n_links, min(r.v) AS component_id, e.vec_id = min(r.v) AS kept
+FROM embeddings e JOIN reach r ON r.u = e.vec_id GROUP BY e.vec_id
+"""
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, t=0.9)
 
@@ -100,6 +118,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op4_mixing": op4_mixing,
+    "op2_vectors": op2_vectors,
     "op3_pieces": op3_pieces,
     "op5_jaccard": op5_jaccard,
     "op7_toxicity": op7_toxicity,
@@ -107,4 +126,4 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_spotsigs": op10_spotsigs,
 }
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op8_chat": OP8_SQL}
+ORACLE_SQL = {"op2_vectors": OP2_SQL, "op4_mixing": OP4_SQL, "op8_chat": OP8_SQL}
