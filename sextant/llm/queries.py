@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, langid, licenses, mixing, pieces, spotsigs, toxicity, vectors
+from . import chat, jaccard, langid, language_model, licenses, mixing, pieces, spotsigs, toxicity, vectors
 from .common import crc_mod
 
 
@@ -39,6 +39,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, t=0.9)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.digest(docs, crc_mod(docs["doc_id"], language_model.FOLDS))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.predict(docs.select("doc_id", "text"), toxicity.train(docs, labels)).drop("text")
@@ -121,6 +126,7 @@ QUERIES = {
     "op2_vectors": op2_vectors,
     "op3_pieces": op3_pieces,
     "op5_jaccard": op5_jaccard,
+    "op6_language_model": op6_language_model,
     "op7_toxicity": op7_toxicity,
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
