@@ -17,8 +17,8 @@ from sextant.llm.common import written
 from sextant.llm.queries import MIX_DEFAULT, MIX_SEED, MIX_WEIGHTS, piece_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A language is believed at this score; below, or without a letter, a document is rejected.
-LANGUAGE_SCORE = 0.5
+#: Below this score (hardly above a guess among four), or without a letter, a document is rejected.
+LANGUAGE_SCORE = 0.3
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
