@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from .plans import queries_features, queries_joins, queries_models, queries_stats, queries_trading
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (queries_features, queries_joins, queries_trading, queries_stats, queries_models):
+    QUERIES |= _module.Q.queries
+    ORACLE_SQL |= _module.Q.sql
+
+FLAGSHIP = "flagship_sma_signal"
