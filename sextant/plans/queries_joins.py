@@ -141,11 +141,12 @@ def topk_ranked(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.coalesce(rank, F.lit(2)), F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@Q.query("""SELECT u.user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' OR event_type = 'click') u WHERE u.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')""")
+@Q.query("""SELECT u.user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts::DATE <= DATE '2024-01-10') u WHERE u.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND ts::DATE <= DATE '2024-01-10')""")
 def open_findings(spark, sf_dir):
     """Raised minus resolved: an anti join."""
     e = table(spark, sf_dir, "events")
-    return e.where(F.col("event_type").isin("purchase", "click")).select("user_id").distinct().join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_anti")
+    e = e.where(F.to_date("ts") <= F.lit("2024-01-10"))
+    return e.where("event_type = 'purchase'").select("user_id").distinct().join(e.where("event_type = 'error'").select("user_id"), "user_id", "left_anti")
 
 
 @Q.query(f"WITH {PANEL_SQL} SELECT a.symbol AS sym_a, b.symbol AS sym_b, round(corr(a.ret, b.ret), 6) + 0.0 AS rho, count(*) AS n FROM panel a JOIN panel b ON a.session = b.session AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2")
