@@ -182,7 +182,10 @@ def label(net: Network, texts: list[bytes]) -> np.ndarray:
 def sample(docs: DataFrame, learn: Column, size: int = SAMPLE) -> DataFrame:
     """Pieces of labelled texts at hashed places, a bounded number of documents in hash order: lang, piece."""
     place = F.floor(F.abs(F.xxhash64("doc_id", F.lit(1))) % F.greatest(F.length("text") - PIECE_CHARS, F.lit(1)))
-    rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = docs.where(learn & F.col("lang").isNotNull())
+    # About twice the sample passes a bound on the hash, so that no task sends more than its share to the final sort.
+    share = min(1.0, 2.0 * size / max(rows.count(), 1))
+    rows = rows.where((F.length("text") > 0) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) <= int(share * (1 << 20))))
     return rows.select("lang", F.substring(F.col("text"), (place + 1).cast("int"), F.lit(PIECE_CHARS)).alias("piece"), F.xxhash64("doc_id", F.lit(2)).alias("h")).orderBy("h", "lang", "piece").limit(size)
 
 
