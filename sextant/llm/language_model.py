@@ -184,12 +184,23 @@ def restored(q: np.ndarray) -> np.ndarray:
     return np.where(q == 0, 0.0, np.where(q == 1, 1.0, LOG_BASE ** (q - 1) * (1 + LOG_BASE) / 2 - 0.5))
 
 
+def hot_from(words: DataFrame) -> int:
+    """The smallest count that at most HOT words reach, from how many words have each count (a short table: counts add up to N)."""
+    left, least = HOT, None
+    for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).toLocalIterator():
+        left -= r["k"]
+        if left < 0:
+            break
+        least = r["c"]
+    return least if least is not None else 1 << 62
+
+
 def fit(docs: DataFrame) -> dict:
     """The model of training texts: filter, N, V, and the written exact counts of tokens."""
     words = written(counted_words(docs), "lm-words")
     total = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    hot = words.orderBy(F.desc("c"), "gram").limit(HOT).toPandas()
+    hot = words.where(F.col("c") >= hot_from(words)).toPandas()
     grams, c = hot["gram"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)
     order = np.argsort(grams)
     # pairs are at most tokens; about half of them are new, and most are seen once
