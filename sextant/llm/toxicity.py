@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import SpanHash, chunks, mix, runs, text_bytes
 
 SAMPLE, KEPT, FOLDS, THRESHOLD = 2000, 1000, 3, 0.5
+#: A feature of fewer texts, or of a smaller chi-squared (p above 0.0016), tells nothing.
+RARE, CHI = 3, 10.0
 CATEGORIES = ("junk", "toxic")
 _BITS = 22
 _INSIDE = np.zeros(256, bool)
@@ -88,15 +90,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150
 
 
 def best_features(texts: np.ndarray, buckets: np.ndarray, y: np.ndarray, kept: int = KEPT) -> np.ndarray:
-    """The buckets with the highest chi-squared with y, among those of at least two texts; sorted."""
+    """The buckets with the highest chi-squared with y, among those of at least RARE texts and above CHI; sorted."""
     n, pos = len(y), y.sum()
     both = np.bincount(buckets, y[texts], 1 << _BITS)
     all_ = np.bincount(buckets, minlength=1 << _BITS)
-    seen = np.flatnonzero((all_ >= 2) & (all_ < n))
+    seen = np.flatnonzero((all_ >= RARE) & (all_ < n))
     a, c = both[seen], all_[seen].astype(float)
     chi = n * (a * n - c * pos) ** 2 / np.maximum(c * (n - c) * pos * (n - pos), 1)
     order = np.lexsort((seen, -chi))[:kept]
-    return np.sort(seen[order[chi[order] > 3.84]])
+    return np.sort(seen[order[chi[order] > CHI]])
 
 
 def presence(texts: np.ndarray, buckets: np.ndarray, n: int, kept: np.ndarray) -> np.ndarray:
