@@ -32,10 +32,10 @@ def kelly_empirical(rows: DataFrame, by: list[str], x: str, most: float = 10.0,
     s = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("worst"))
     s = s.withColumn("hi", F.when(F.col("worst") < 0, F.least(F.lit(most), 0.999 / -F.col("worst"))).otherwise(most)).withColumn("lo", F.lit(0.0))
     for _ in range(2):
-        near = clean.join(s, by).select(*by, x, "n", "mean", "worst", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("k"))
-        near = near.withColumn("f", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / grid)
-        g = near.groupBy(*by, "n", "mean", "worst", "lo", "hi", "f").agg(F.avg(F.log1p(F.greatest(F.col("f") * F.col(x), F.lit(-0.999999)))).alias("g"))
-        best = g.groupBy(*by, "n", "mean", "worst", "lo", "hi").agg(F.max_by("f", F.struct("g", -F.col("f"))).alias("best"))
+        near = clean.join(s, by).select(*by, x, "n", "mean", "worst", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("_k"))
+        near = near.withColumn("_f", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_k") / grid)
+        g = near.groupBy(*by, "n", "mean", "worst", "lo", "hi", "_f").agg(F.avg(F.log1p(F.greatest(F.col("_f") * F.col(x), F.lit(-0.999999)))).alias("_g"))
+        best = g.groupBy(*by, "n", "mean", "worst", "lo", "hi").agg(F.max_by("_f", F.struct("_g", -F.col("_f"))).alias("best"))
         wide = (F.col("hi") - F.col("lo")) / grid
         s = best.select(*by, "n", "mean", "worst", F.greatest(F.col("best") - wide, F.lit(0.0)).alias("lo2"), F.least(F.col("best") + wide, F.col("hi")).alias("hi2"), "best").withColumnsRenamed({"lo2": "lo", "hi2": "hi"})
     return s.select(*by, F.when((F.col("n") < 10) | (F.col("mean") <= 0), 0.0).otherwise(F.col("best")).alias("kelly"))

@@ -21,14 +21,14 @@ def hac_test(rows: DataFrame, by: list[str], order: str, x: str, lags: int | Non
     """
     clean = rows.where(F.col(x).isNotNull())
     w = Window.partitionBy(*by)
-    u = clean.select(*by, F.row_number().over(w.orderBy(order)).alias("i"), (F.col(x) - F.avg(x).over(w)).alias("u"), F.count(x).over(w).alias("n"), F.avg(x).over(w).alias("mean"))
+    u = clean.select(*by, F.row_number().over(w.orderBy(order)).alias("_i"), (F.col(x) - F.avg(x).over(w)).alias("_u"), F.count(x).over(w).alias("n"), F.avg(x).over(w).alias("mean"))
     most = F.lit(lags) if lags is not None else F.floor(4 * F.pow(F.col("n") / 100.0, 2 / 9)).cast("int")
-    u = u.withColumn("L", F.least(most, (F.col("n") - 1).cast("int")))
-    lagged = u.select(*by, "n", "mean", "L", "u", F.explode(F.sequence(F.lit(0), F.col("L"))).alias("k"), F.col("i")).withColumn("j", F.col("i") - F.col("k"))
-    other = u.select(*by, F.col("i").alias("j"), F.col("u").alias("v"))
-    g = lagged.join(other, [*by, "j"]).groupBy(*by, "n", "mean", "L", "k").agg(F.sum(F.col("u") * F.col("v")).alias("g"))
-    weight = F.when(F.col("k") == 0, 1.0).otherwise(2 * (1 - F.col("k") / (F.col("L") + 1)))
-    s = g.groupBy(*by, "n", "mean").agg((F.sqrt(F.greatest(F.sum(weight * F.col("g") / F.col("n")), F.lit(0.0)) / F.col("n"))).alias("se"))
+    u = u.withColumn("_L", F.least(most, (F.col("n") - 1).cast("int")))
+    lagged = u.select(*by, "n", "mean", "_L", "_u", F.explode(F.sequence(F.lit(0), F.col("_L"))).alias("_k"), F.col("_i")).withColumn("_j", F.col("_i") - F.col("_k"))
+    other = u.select(*by, F.col("_i").alias("_j"), F.col("_u").alias("_v"))
+    g = lagged.join(other, [*by, "_j"]).groupBy(*by, "n", "mean", "_L", "_k").agg(F.sum(F.col("_u") * F.col("_v")).alias("_g"))
+    weight = F.when(F.col("_k") == 0, 1.0).otherwise(2 * (1 - F.col("_k") / (F.col("_L") + 1)))
+    s = g.groupBy(*by, "n", "mean").agg((F.sqrt(F.greatest(F.sum(weight * F.col("_g") / F.col("n")), F.lit(0.0)) / F.col("n"))).alias("se"))
     s = s.withColumn("t", F.when(F.col("n") >= 3, ratio(F.col("mean"), F.col("se"))))
     return s.withColumn("p", t_pvalue(F.col("t"), F.col("n") - 1, alternative))
 
