@@ -95,8 +95,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return SpanHash(data)(first, last), np.searchsorted(first, borders)
 
 
-def chunks(texts: list[str | None], most: int = 4_000_000):
-    """Ranges of texts of about `most` characters each (a longer text stands alone), to bound memory."""
+def chunks(texts: list[str | None], most: int = 3_500_000):
+    """Ranges of texts of about `most` characters each (a longer text stands alone), to bound memory: some 50 bytes a character."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t or "")

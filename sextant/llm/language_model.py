@@ -63,7 +63,7 @@ def counted_words(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = list(batch["text"])
-            for lo, hi in chunks(texts, 8_000_000):
+            for lo, hi in chunks(texts):
                 found, _ = tokens(texts[lo:hi])
                 g, c = np.unique(found, return_counts=True)
                 yield pd.DataFrame({"gram": g.view(np.int64), "c": c})
@@ -109,7 +109,7 @@ def build(docs: DataFrame, entries: int) -> np.ndarray:
     def send(batches):
         for batch in batches:
             texts = list(batch["text"])
-            for lo, hi in chunks(texts, 8_000_000):
+            for lo, hi in chunks(texts):
                 found, at = tokens(texts[lo:hi])
                 k, c = np.unique(key(np.concatenate([found, pairs(found, at)])), return_counts=True)
                 if groups > 1:
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         logs = np.log10(counts + 1.0)
         for batch in batches:
             texts = list(batch["text"])
-            for lo, hi in chunks(texts, 2_000_000):
+            for lo, hi in chunks(texts, 1_000_000):
                 found, at = tokens(texts[lo:hi])
                 k, owner = hi - lo, np.repeat(np.arange(hi - lo), np.diff(at))
                 # smoothed probabilities from the filter; each distinct n-gram is probed once
