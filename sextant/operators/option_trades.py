@@ -1,0 +1,60 @@
+"""Multi-leg option trades on quoted chains: one fold for each signal."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+RESULT = "signal_id bigint, status string, entry_session date, exit_session date, entry_value double, exit_value double, pnl double, note string"
+
+
+def _fill(bid: float, ask: float, buy: bool, capture: float) -> float | None:
+    if pd.isna(bid) or pd.isna(ask) or ask <= 0 or ask < bid or (not buy and bid <= 0):
+        return None
+    return (bid + ask) / 2 + (1 if buy else -1) * (ask - bid) / 2 * (1 - capture)
+
+
+def simulate(quotes: DataFrame, signals: DataFrame, legs: list[dict], hold: int = 5, capture: float = 0.0, per_contract: float = 0.65, least_interest: float = 0.0) -> DataFrame:
+    """RESULT for each signal (signal_id, underlying, signal_session).
+
+    quotes: underlying, session, expiration, strike, right, bid, ask, open_interest, spot. legs: qty, right, min_days,
+    moneyness. Entry is the first quoted session after the signal; a leg's contract is the first expiry with min_days,
+    then the strike nearest moneyness times spot. Exit comes `hold` quoted sessions later, later still while a leg has no
+    quote, and at the latest by settlement at expiry. A signal only meets its own underlying's later quotes.
+    """
+    rows = signals.join(quotes, "underlying").where("session > signal_session")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        sid = pdf["signal_id"].iloc[0]
+        result = lambda status, *rest: pd.DataFrame([(sid, status, *rest, *([None] * (6 - len(rest))))], columns=[c.strip().split()[0] for c in RESULT.split(",")])
+        days = sorted(pdf["session"].unique())
+        first = pdf[pdf["session"] == days[0]]
+        chosen, entry = [], 0.0
+        for leg in legs:
+            c = first[(first["right"] == leg["right"]) & ((pd.to_datetime(first["expiration"]) - pd.to_datetime(first["session"])).dt.days >= leg["min_days"])]
+            if c.empty:
+                return result("NO_CONTRACT", days[0])
+            c = c[c["expiration"] == c["expiration"].min()]
+            q = c.iloc[(c["strike"] - leg["moneyness"] * c["spot"]).abs().argsort(kind="stable").iloc[0]]
+            price = _fill(q["bid"], q["ask"], leg["qty"] > 0, capture)
+            if price is None or q["open_interest"] < least_interest:
+                return result("NO_FILL", days[0])
+            chosen.append((leg, q["expiration"], q["strike"]))
+            entry += leg["qty"] * price
+        fees = per_contract * sum(abs(leg["qty"]) for leg in legs) / 100
+        last = min(e for _, e, _ in chosen)
+        for i, day in enumerate(days[1:], 1):
+            now = pdf[pdf["session"] == day]
+            if day >= last:
+                spot = now["spot"].iloc[0]
+                worth = sum(leg["qty"] * max(spot - k if leg["right"] == "C" else k - spot, 0.0) for leg, _, k in chosen)
+                return result("EXPIRED", days[0], day, entry, worth, worth - entry - fees, None)
+            if i >= hold:
+                found = [now[(now["right"] == leg["right"]) & (now["expiration"] == e) & (now["strike"] == k)] for leg, e, k in chosen]
+                prices = [_fill(f["bid"].iloc[0], f["ask"].iloc[0], leg["qty"] < 0, capture) if len(f) else None for f, (leg, _, _) in zip(found, chosen)]
+                if all(p is not None for p in prices):
+                    worth = sum(leg["qty"] * p for p, (leg, _, _) in zip(prices, chosen))
+                    return result("CLOSED", days[0], day, entry, worth, worth - entry - 2 * fees, "delayed" if i > hold else None)
+        return result("OPEN", days[0], None, entry)
+
+    return rows.groupBy("signal_id").applyInPandas(one, RESULT)

@@ -322,3 +322,24 @@ def test_walk_forward_folds(spark):
     s = spark.createDataFrame([(day(i),) for i in range(1300)], "session date")
     f = resample.walk_forward_folds(s, 756, 252, 21).orderBy("fold").collect()
     assert len(f) == 2 and all((r["test_from"] - r["train_to"]).days == 22 and (r["test_to"] - r["test_from"]).days == 251 for r in f)
+
+
+def test_unit_root(spark):
+    rng = np.random.default_rng(0)
+    walk = np.cumsum(rng.normal(size=400))
+    still = np.zeros(400)
+    for i in range(1, 400):
+        still[i] = 0.5 * still[i - 1] + rng.normal()
+    assert relative.adf(walk)[2] > 0.05 and relative.adf(still)[2] <= 0.01
+
+
+def test_option_trade_outcomes(spark):
+    from sextant.operators import option_trades
+
+    d = dt.date
+    rows = [("X", d(2024, 1, 2 + i), d(2024, 1, 20), 100.0, "C", 2.0 - 0.1 * i, 2.2 - 0.1 * i, 50.0, 100.0) for i in range(1, 8)]
+    q = spark.createDataFrame(rows, "underlying string, session date, expiration date, strike double, right string, bid double, ask double, open_interest double, spot double")
+    s = spark.createDataFrame([(1, "X", d(2024, 1, 2))], "signal_id bigint, underlying string, signal_session date")
+    r = option_trades.simulate(q, s, [{"qty": 1, "right": "C", "min_days": 5, "moneyness": 1.0}], hold=3, per_contract=0.0).first()
+    assert r["status"] == "CLOSED" and math.isclose(r["entry_value"], 2.1) and math.isclose(r["pnl"], 1.6 - 2.1) and r["exit_session"] == d(2024, 1, 6)
+    assert option_trades.simulate(q, s, [{"qty": 1, "right": "P", "min_days": 5, "moneyness": 1.0}]).first()["status"] == "NO_CONTRACT"
