@@ -39,6 +39,22 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, t=0.9)
 
 
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS g
+  FROM words, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= greatest(len(w) - 2, 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+links AS (SELECT a AS u, b AS v FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.v) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.u = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_model.digest(docs, crc_mod(docs["doc_id"], language_model.FOLDS))
@@ -116,6 +132,32 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+_LONGEST = max(len(text.split()) for _, text in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_BASE = ", ".join(f"CASE WHEN contains(norm, ' {p} ') THEN '{label}' END" for p, label in licenses.PHRASES.items())
+OP9_SQL = rf"""
+WITH spaced AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS words FROM documents),
+n AS (SELECT doc_id, CASE WHEN words = '' THEN ' ' ELSE ' ' || words || ' ' END AS norm, CASE WHEN words = '' THEN []::VARCHAR[] ELSE string_split(words, ' ') END AS w FROM spaced),
+places AS (
+  SELECT doc_id, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM n)
+  WHERE array_to_string(w[i:i + 3], ' ') IN ('under the mit license', 'apache license version 2') OR array_to_string(w[i:i + 2], ' ') = 'cc by nc'),
+found AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, list_distinct(w[(k * {_LONGEST} + 1):((k + 2) * {_LONGEST})]) AS b
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - {_LONGEST}) / {_LONGEST}.0)::BIGINT) + 1)) AS k FROM n)),
+templates AS (SELECT label, list_distinct(string_split(t, ' ')) AS t FROM (VALUES {_TEMPLATES}) v(tid, label, t)),
+matched AS (
+  SELECT doc_id, label, len(list_intersect(b, t))::DOUBLE / len(t) AS containment FROM blocks, templates
+  WHERE len(list_intersect(b, t)) >= ceil(round({licenses.THRESHOLD} * len(t), 9))),
+best AS (SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS best FROM matched GROUP BY doc_id),
+based AS (SELECT *, list_sort(list_distinct(list_filter([{_BASE}], lambda x: x IS NOT NULL))) AS base FROM n)
+SELECT b.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, []::VARCHAR[])))), ',') AS labels,
+  greatest(CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score
+FROM based b LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(table(spark, sf_dir, "documents"))
 
@@ -132,4 +174,4 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_spotsigs": op10_spotsigs,
 }
-ORACLE_SQL = {"op2_vectors": OP2_SQL, "op4_mixing": OP4_SQL, "op8_chat": OP8_SQL}
+ORACLE_SQL = {"op2_vectors": OP2_SQL, "op4_mixing": OP4_SQL, "op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL, "op9_licenses": OP9_SQL}
