@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import queries_features, queries_joins, queries_measures, queries_models, queries_stats, queries_trading
+from .plans import queries_features, queries_joins, queries_measures, queries_models, queries_records, queries_stats, queries_trading
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (queries_features, queries_joins, queries_trading, queries_stats, queries_models, queries_measures):
+for _module in (queries_features, queries_joins, queries_trading, queries_stats, queries_models, queries_measures, queries_records):
     QUERIES |= _module.Q.queries
     ORACLE_SQL |= _module.Q.sql
 
