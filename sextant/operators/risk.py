@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import normal_cdf
 from ..functions.windows import ratio
+from .stats import shrinkage_posterior
 
 
 def kelly_gaussian(mu: Column, sigma: Column) -> Column:
@@ -87,38 +88,46 @@ def exposures(positions: DataFrame, by: list[str]) -> DataFrame:
     return positions.groupBy(*by).agg(F.sum(F.abs(v)).alias("gross"), F.sum(v).alias("net"), F.sum(v * F.coalesce("beta", F.lit(1.0))).alias("beta_exposure"), F.max(F.abs(v)).alias("largest"))
 
 
-#: Default limits as shares of equity.
-LIMITS = {"position": 0.2, "gross": 1.0, "sector": 0.4, "beta": 1.0, "liquidity": 0.01}
+#: Default limits as shares of equity, of daily dollar volume, or of drawdown.
+LIMITS = {"position": 0.20, "gross_leverage": 1.0, "sector": 0.40, "beta": 1.2, "drawdown_halt": 0.20, "event_risk": 0.10, "liquidity": 0.01, "option_premium": 0.05, "var95": 0.03, "vega": 0.002, "cash_buffer": 0.02}
 
 
 def gate(trades: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
-    """Adds allowed, verdict and binding: the notional that every limit leaves, and the tightest limit.
+    """Adds allowed, verdict and binding: the notional that all limits leave a purchase, and the tightest limit.
 
-    trades: notional, equity, cash, held, gross, sector_value, beta, beta_exposure, adv, halted. Hard rejects come first.
+    trades: notional (negative: a sale), equity, cash, held, gross, sector_value, beta, beta_exposure, adv, drawdown,
+    var95, event_risk (boolean), event_value, loss_share (largest loss over notional of an option trade, else NULL) and
+    vega_share (dollar vega over notional, else NULL). No equity, a drawdown or a VaR beyond its limit stops purchases
+    whatever their size; sales are always allowed.
     """
-    e = F.col("equity")
+    e, none = F.col("equity"), F.lit(float("inf"))
+    buys = F.col("notional") > 0
     caps = {
-        "position": limits["position"] * e - F.col("held"), "gross": limits["gross"] * e - F.col("gross"), "sector": limits["sector"] * e - F.col("sector_value"),
-        "beta": ratio(limits["beta"] * e - F.col("beta_exposure"), F.abs(F.col("beta"))), "cash": F.col("cash"), "liquidity": limits["liquidity"] * F.col("adv")}
-    entries = F.array(*[F.struct(F.greatest(F.coalesce(c, F.lit(1e18)), F.lit(0.0)).alias("cap"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, c) in enumerate(caps.items())])
-    tight = F.array_min(entries)
-    bad = F.col("halted") | (F.col("notional") <= 0) | (e <= 0)
-    t = trades.withColumn("_t", tight)
-    allowed = F.when(bad, 0.0).otherwise(F.least("notional", "_t.cap"))
-    t = t.withColumn("allowed", allowed)
-    verdict = F.when(bad | (F.col("allowed") <= 0), "REJECT").when(F.col("allowed") < F.col("notional"), "REDUCE").otherwise("APPROVE")
-    return t.withColumns({"verdict": verdict, "binding": F.when(bad, "hard").when(F.col("allowed") < F.col("notional"), F.col("_t.name"))}).drop("_t")
+        "position": limits["position"] * e - F.abs("held"), "gross_leverage": limits["gross_leverage"] * e - F.col("gross"), "sector": limits["sector"] * e - F.abs("sector_value"),
+        "beta": (limits["beta"] * e - F.col("beta_exposure")) / F.greatest(F.abs("beta"), F.lit(1e-12)), "cash": F.col("cash") - limits["cash_buffer"] * e, "liquidity": limits["liquidity"] * F.col("adv"),
+        "event_risk": F.when(F.col("event_risk"), limits["event_risk"] * e - F.col("event_value")), "option_premium_at_risk": limits["option_premium"] * e / F.abs("loss_share"), "vega": limits["vega"] * e * 100 / F.abs("vega_share")}
+    entries = F.array(*[F.struct(F.coalesce(c, none).alias("cap"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, c) in enumerate(caps.items())])
+    hard = (e <= 0) | (buys & (F.col("drawdown") <= -limits["drawdown_halt"])) | (buys & F.coalesce(F.col("var95") > limits["var95"], F.lit(False)))
+    t = trades.withColumn("_t", F.array_min(entries))
+    free = F.when(buys, F.greatest(F.lit(0.0), F.least(F.abs("notional"), "_t.cap"))).otherwise(F.abs("notional"))
+    t = t.withColumn("allowed", F.when(hard, 0.0).otherwise(free))
+    less = F.col("allowed") + 1e-9 < F.abs("notional")
+    verdict = F.when(hard | (F.col("allowed") <= 0), "REJECT").when(less, "REDUCE").otherwise("APPROVE")
+    return t.withColumns({"verdict": verdict, "binding": F.when(hard, "hard").when(less, F.col("_t.name"))}).drop("_t")
 
 
-#: How much of an edge counts by its stability and in its regime.
-DECAY = {"STRENGTHENED": 1.0, "STABLE": 1.0, "WEAKENED": 0.5, "DISAPPEARED": 0.0, "NO_EDGE": 0.0, "INSUFFICIENT": 0.0}
+#: How much of an edge counts by its stability; anything else counts half.
+DECAY = {"STRENGTHENED": 1.0, "STABLE": 1.0, "WEAKENED": 0.5, "DISAPPEARED": 0.0, "NO_EDGE_IN_EITHER_HALF": 0.0, "INSUFFICIENT_DATA": 0.5}
 
 
 def adjusted_edges(signals: DataFrame) -> DataFrame:
-    """Adds edge: mean shrunk by its own error (half), times decay and regime factor; 0 if inactive."""
-    decay = F.create_map(*[F.lit(x) for kv in DECAY.items() for x in kv])
-    shrunk = F.col("mean") * F.col("prior_sd") ** 2 / (F.col("prior_sd") ** 2 + F.col("se") ** 2)
-    return signals.withColumn("edge", F.when(F.col("active"), shrunk * F.coalesce(decay[F.col("stability")], F.lit(0.0)) * F.coalesce("regime_factor", F.lit(1.0))).otherwise(0.0))
+    """Adds shrunk and edge: the mean's posterior under a zero prior with its own error as sd (half the mean), times decay and regime factor; 0 if inactive.
+
+    signals: mean, se, stability, regime_factor, active.
+    """
+    decay = F.coalesce(F.create_map(*[F.lit(x) for kv in DECAY.items() for x in kv])[F.col("stability")], F.lit(0.5))
+    s = signals.withColumn("shrunk", shrinkage_posterior(F.col("mean"), F.col("se"))[0])
+    return s.withColumn("edge", F.when(F.col("active"), F.coalesce("shrunk", F.lit(0.0)) * decay * F.coalesce("regime_factor", F.lit(1.0))).otherwise(0.0))
 
 
 def combine(mu: np.ndarray, cov: np.ndarray, long_only: bool = True) -> np.ndarray:

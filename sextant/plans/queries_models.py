@@ -156,16 +156,20 @@ def kelly_empirical(spark, sf_dir):
 
 
 #: Trades to check by rule: an order is a proposed trade of its customer.
-@Q.query("""WITH t AS (SELECT o_orderkey, o_totalprice * 0.05 AS notional, 100000.0 + o_custkey AS e, o_totalprice * 0.02 AS cash, (o_orderkey % 30) * 1000.0 AS held, (o_orderkey % 110) * 1000.0 AS gross, (o_orderkey % 50) * 1000.0 AS sect, 0.5 + (o_orderkey % 4) * 0.5 AS beta, (o_orderkey % 120) * 1000.0 AS bexp, o_totalprice * 10 AS adv, o_orderkey % 97 = 0 AS halted FROM orders),
-c AS (SELECT *, list_sort([row(greatest(0.2 * e - held, 0), 0, 'position'), row(greatest(e - gross, 0), 1, 'gross'), row(greatest(0.4 * e - sect, 0), 2, 'sector'), row(greatest((e - bexp) / abs(beta), 0), 3, 'beta'), row(greatest(cash, 0), 4, 'cash'), row(greatest(0.01 * adv, 0), 5, 'liquidity')])[1] AS m FROM t),
-d AS (SELECT *, CASE WHEN halted OR notional <= 0 THEN 0.0 ELSE least(notional, m[1]) END AS allowed FROM c)
-SELECT o_orderkey, round(allowed, 4) AS allowed, CASE WHEN halted OR allowed <= 0 THEN 'REJECT' WHEN allowed < notional THEN 'REDUCE' ELSE 'APPROVE' END AS verdict, CASE WHEN halted OR notional <= 0 THEN 'hard' WHEN allowed < notional THEN m[3] END AS binding FROM d""")
+@Q.query("""WITH t AS (SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey % 19 = 0 THEN -0.05 ELSE 0.05 END AS notional, 100000.0 + o_custkey AS e, o_totalprice * 0.02 + 2500 AS cash, (o_orderkey % 30) * 1000.0 AS held, (o_orderkey % 110) * 1000.0 AS gross,
+  (o_orderkey % 50) * 1000.0 AS sect, 0.5 + (o_orderkey % 4) * 0.5 AS beta, (o_orderkey % 120) * 1000.0 AS bexp, o_totalprice * 10 AS adv, CASE WHEN o_orderkey % 97 = 0 THEN -0.25 ELSE -0.05 END AS dd, o_orderkey % 9 = 0 AS ev, (o_orderkey % 12) * 1000.0 AS evv FROM orders),
+c AS (SELECT *, list_sort([row(0.2 * e - held, 0, 'position'), row(e - gross, 1, 'gross_leverage'), row(0.4 * e - sect, 2, 'sector'), row((1.2 * e - bexp) / abs(beta), 3, 'beta'), row(cash - 0.02 * e, 4, 'cash'), row(0.01 * adv, 5, 'liquidity'),
+  row(CASE WHEN ev THEN 0.1 * e - evv ELSE 1e300 END, 6, 'event_risk')])[1] AS m, notional > 0 AND dd <= -0.2 AS hard FROM t),
+d AS (SELECT *, CASE WHEN hard THEN 0.0 WHEN notional > 0 THEN greatest(0.0, least(notional, m[1])) ELSE -notional END AS allowed FROM c)
+SELECT o_orderkey, round(allowed, 4) + 0.0 AS allowed, CASE WHEN hard OR allowed <= 0 THEN 'REJECT' WHEN allowed + 1e-9 < abs(notional) THEN 'REDUCE' ELSE 'APPROVE' END AS verdict, CASE WHEN hard THEN 'hard' WHEN allowed + 1e-9 < abs(notional) THEN m[3] END AS binding FROM d""")
 def risk_gate(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    k, p = F.col("o_orderkey"), F.col("o_totalprice")
-    t = o.select("o_orderkey", (p * 0.05).alias("notional"), (F.lit(100000.0) + F.col("o_custkey")).alias("equity"), (p * 0.02).alias("cash"), ((k % 30) * 1000.0).alias("held"), ((k % 110) * 1000.0).alias("gross"),
-                 ((k % 50) * 1000.0).alias("sector_value"), (F.lit(0.5) + (k % 4) * 0.5).alias("beta"), ((k % 120) * 1000.0).alias("beta_exposure"), (p * 10).alias("adv"), (k % 97 == 0).alias("halted"))
-    return risk.gate(t).select("o_orderkey", F.round("allowed", 4).alias("allowed"), "verdict", "binding")
+    k, p, none = F.col("o_orderkey"), F.col("o_totalprice"), F.lit(None).cast("double")
+    t = o.select(
+        "o_orderkey", (p * F.when(k % 19 == 0, -0.05).otherwise(0.05)).alias("notional"), (F.lit(100000.0) + F.col("o_custkey")).alias("equity"), (p * 0.02 + 2500).alias("cash"), ((k % 30) * 1000.0).alias("held"), ((k % 110) * 1000.0).alias("gross"),
+        ((k % 50) * 1000.0).alias("sector_value"), (F.lit(0.5) + (k % 4) * 0.5).alias("beta"), ((k % 120) * 1000.0).alias("beta_exposure"), (p * 10).alias("adv"), F.when(k % 97 == 0, -0.25).otherwise(-0.05).alias("drawdown"),
+        none.alias("var95"), (k % 9 == 0).alias("event_risk"), ((k % 12) * 1000.0).alias("event_value"), none.alias("loss_share"), none.alias("vega_share"))
+    return risk.gate(t).select("o_orderkey", out(F.col("allowed"), 4).alias("allowed"), "verdict", "binding")
 
 
 @Q.query("SELECT o_custkey, round(sum(abs((o_orderkey % 7 - 3) * o_totalprice)), 2) AS gross, round(sum((o_orderkey % 7 - 3) * o_totalprice), 2) + 0.0 AS net, round(max(abs((o_orderkey % 7 - 3) * o_totalprice)), 2) AS largest FROM orders GROUP BY 1")
@@ -232,21 +236,23 @@ def three_valued_decision(spark, sf_dir):
     return L.decide(r, ["o_custkey"])
 
 
-_FIND = "f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'LOOK_AHEAD' WHEN 'signup' THEN 'SURVIVORSHIP' WHEN 'click' THEN 'SAMPLE' ELSE 'OTHER' END AS category, CASE WHEN value > 30 THEN 'MATERIAL' ELSE 'MINOR' END AS severity FROM events WHERE event_id % 40 = 0)"
+_FIND = "f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'LOOK_AHEAD_BIAS' WHEN 'signup' THEN 'SURVIVORSHIP_BIAS' WHEN 'click' THEN 'INADEQUATE_SAMPLE' ELSE 'MISSING_COSTS' END AS category, value > 60 AS m FROM events WHERE event_id % 20 = 0)"
 
 
-@Q.query(f"WITH {_FIND} SELECT user_id, CASE WHEN bool_or(severity = 'MATERIAL' AND category = 'LOOK_AHEAD') THEN 'BIASED' WHEN bool_or(severity = 'MATERIAL' AND category = 'SURVIVORSHIP') THEN 'PRELIMINARY' WHEN bool_or(severity = 'MATERIAL' AND category = 'SAMPLE') THEN 'INSUFFICIENT' ELSE 'RESEARCH_GRADE' END AS grade FROM f GROUP BY 1")
+@Q.query(f"""WITH {_FIND}, g AS (SELECT user_id, coalesce(bool_or(m AND category = 'LOOK_AHEAD_BIAS'), false) AS la, coalesce(bool_or(m AND category = 'SURVIVORSHIP_BIAS'), false) AS sb, coalesce(bool_or(m AND category = 'MISSING_COSTS'), false) AS mc, coalesce(bool_or(m AND category = 'INADEQUATE_SAMPLE'), false) AS s FROM f GROUP BY 1),
+p AS (SELECT *, concat_ws('+', CASE WHEN sb THEN 'SURVIVORSHIP-BIASED' END, CASE WHEN la THEN 'LOOK-AHEAD' END, CASE WHEN mc THEN 'MISSING-COSTS' END) AS bad FROM g)
+SELECT user_id, CASE WHEN bad = '' AND NOT s THEN 'RESEARCH_GRADE' ELSE concat_ws('; ', CASE WHEN bad <> '' THEN (CASE WHEN la THEN 'BIASED' ELSE 'PRELIMINARY' END) || ' / ' || bad END, CASE WHEN s THEN 'INSUFFICIENT_EVIDENCE / INADEQUATE-SAMPLE' END) END AS grade FROM p""")
 def findings_grade(spark, sf_dir):
-    kind = F.create_map(F.lit("error"), F.lit("LOOK_AHEAD"), F.lit("signup"), F.lit("SURVIVORSHIP"), F.lit("click"), F.lit("SAMPLE"))
-    f = table(spark, sf_dir, "events").where("event_id % 40 = 0").select("user_id", F.coalesce(kind[F.col("event_type")], F.lit("OTHER")).alias("category"), F.when(F.col("value") > 30, "MATERIAL").otherwise("MINOR").alias("severity"))
+    kind = F.create_map(F.lit("error"), F.lit("LOOK_AHEAD_BIAS"), F.lit("signup"), F.lit("SURVIVORSHIP_BIAS"), F.lit("click"), F.lit("INADEQUATE_SAMPLE"))
+    f = table(spark, sf_dir, "events").where("event_id % 20 = 0").select("user_id", F.coalesce(kind[F.col("event_type")], F.lit("MISSING_COSTS")).alias("category"), F.when(F.col("value") > 60, "MATERIAL").otherwise("MINOR").alias("severity"))
     return L.grades(f, ["user_id"])
 
 
-_STATUS = "st AS (SELECT user_id AS entity_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'CANDIDATE' WHEN 'click' THEN 'VALIDATED' WHEN 'signup' THEN 'PAPER' WHEN 'purchase' THEN 'LIVE' ELSE 'REJECTED' END AS to_status FROM events)"
+_STATUS = "st AS (SELECT user_id AS entity_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'EXPERIMENTAL' WHEN 'click' THEN 'VALIDATING' WHEN 'signup' THEN 'ACCEPTED' WHEN 'purchase' THEN 'PAPER_TRADING' ELSE 'REJECTED' END AS to_status FROM events)"
 
 
 def _statuses(spark, sf_dir):
-    m = F.create_map(*[F.lit(x) for x in ("view", "CANDIDATE", "click", "VALIDATED", "signup", "PAPER", "purchase", "LIVE", "error", "REJECTED")])
+    m = F.create_map(*[F.lit(x) for x in ("view", "EXPERIMENTAL", "click", "VALIDATING", "signup", "ACCEPTED", "purchase", "PAPER_TRADING", "error", "REJECTED")])
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("seq"), m[F.col("event_type")].alias("to_status"))
 
 
@@ -256,7 +262,7 @@ def current_status(spark, sf_dir):
 
 
 @Q.query(f"""WITH {_STATUS}, l AS (SELECT *, lag(to_status) OVER (PARTITION BY entity_id ORDER BY seq) AS from_status FROM st)
-SELECT entity_id, seq, from_status, to_status FROM l WHERE from_status IS NOT NULL AND NOT ((from_status = 'CANDIDATE' AND to_status IN ('VALIDATED', 'REJECTED')) OR (from_status = 'VALIDATED' AND to_status IN ('PAPER', 'REJECTED', 'RETIRED')) OR (from_status = 'PAPER' AND to_status IN ('LIVE', 'REJECTED', 'RETIRED')) OR (from_status = 'LIVE' AND to_status IN ('RETIRED', 'REJECTED')))""")
+SELECT entity_id, seq, from_status, to_status FROM l WHERE from_status IS NOT NULL AND NOT ((from_status = 'EXPERIMENTAL' AND to_status IN ('VALIDATING', 'REJECTED')) OR (from_status = 'VALIDATING' AND to_status IN ('ACCEPTED', 'REJECTED')) OR (from_status = 'ACCEPTED' AND to_status IN ('PAPER_TRADING')))""")
 def illegal_transitions(spark, sf_dir):
     return L.illegal_transitions(_statuses(spark, sf_dir))
 
@@ -274,11 +280,19 @@ def year_concentration(spark, sf_dir):
     return L.year_concentration(t, ["supp"], "l_shipdate", "r").select("supp", out(F.col("concentration"), 5).alias("concentration"))
 
 
-@Q.query("""WITH t AS (SELECT l_suppkey AS supp, year(l_shipdate)::DOUBLE AS y, l_discount - l_tax AS r, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_discount - l_tax) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
-SELECT supp, any_value(n) AS n, round(regr_slope(r, y), 6) + 0.0 AS slope FROM t GROUP BY 1""")
+@Q.query("""WITH t AS (SELECT l_suppkey AS supp, (l_shipdate::DATE - min(l_shipdate::DATE) OVER (PARTITION BY l_suppkey)) / 365.25::DOUBLE AS y, l_discount - l_tax AS r,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate::DATE, l_orderkey, l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+SELECT supp, any_value(n) AS n, round(regr_slope(r, y), 6) + 0.0 AS slope, round(avg(r) FILTER (i <= n // 2), 6) + 0.0 AS first_half, round(avg(r) FILTER (i > n // 2), 6) + 0.0 AS second_half FROM t GROUP BY 1""")
 def stability(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), "l_shipdate", (F.col("l_discount") - F.col("l_tax")).alias("r"))
-    return L.stability(t, ["supp"], "l_shipdate", "r").select("supp", "n", out(F.col("slope")).alias("slope"))
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.to_date("l_shipdate").alias("d"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") - F.col("l_tax")).alias("r"))
+    s = L.stability(t, ["supp"], "d", "r", ["l_orderkey", "l_linenumber", "l_partkey"])
+    return s.select("supp", "n", *[out(F.col(c)).alias(c) for c in ("slope", "first_half", "second_half")])
+
+
+@Q.query()
+def stability_verdicts(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.to_date("l_shipdate").alias("d"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") - F.col("l_tax")).alias("r"))
+    return L.stability(t, ["supp"], "d", "r", ["l_orderkey", "l_linenumber", "l_partkey"]).select("supp", out(F.col("slope_p"), 5).alias("slope_p"), "verdict")
 
 
 @Q.query("""WITH h AS (SELECT o_custkey AS entity_id, o_orderkey AS seq, o_orderstatus AS field, o_orderpriority AS value FROM orders) SELECT entity_id, field, arg_max(value, seq) AS value FROM h GROUP BY 1, 2""")

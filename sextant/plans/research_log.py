@@ -17,7 +17,16 @@ from ..operators.pit import latest_per_key
 
 #: The lifecycle of hypotheses and the transitions of signals.
 LIFECYCLE = ("REGISTERED", "EVALUATED", "FROZEN", "TESTED", "CONCLUDED")
-TRANSITIONS = {"CANDIDATE": ("VALIDATED", "REJECTED"), "VALIDATED": ("PAPER", "REJECTED", "RETIRED"), "PAPER": ("LIVE", "REJECTED", "RETIRED"), "LIVE": ("RETIRED", "REJECTED"), "REJECTED": (), "RETIRED": ()}
+TRANSITIONS = {
+    "EXPERIMENTAL": ("VALIDATING", "REJECTED"),
+    "VALIDATING": ("ACCEPTED", "REJECTED"),
+    "ACCEPTED": ("PAPER_TRADING", "DEGRADED", "RETIRED"),
+    "PAPER_TRADING": ("LIVE_ELIGIBLE", "DEGRADED", "RETIRED"),
+    "LIVE_ELIGIBLE": ("DEGRADED", "RETIRED"),
+    "DEGRADED": ("ACCEPTED", "PAPER_TRADING", "RETIRED"),
+    "REJECTED": (),
+    "RETIRED": (),
+}
 GENESIS = "0" * 64
 
 
@@ -81,17 +90,40 @@ def decide(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(F.when(F.bool_or(ok == False), "FAIL").when(F.count(F.when(ok.isNull(), 1)) > 0, "INCONCLUSIVE").otherwise("PASS").alias("decision"))  # noqa: E712
 
 
-#: How findings of each kind grade a record, the worst first.
-GRADES = (("BIASED", ("LOOK_AHEAD", "CONTAMINATION", "LEAKAGE", "FORCED_DATA")), ("PRELIMINARY", ("SURVIVORSHIP", "COSTS", "EXECUTION")), ("INSUFFICIENT", ("SAMPLE", "MULTIPLICITY")))
+#: Kinds of findings in order, with their labels.
+FINDINGS = {
+    "SURVIVORSHIP_BIAS": "SURVIVORSHIP-BIASED",
+    "LOOK_AHEAD_BIAS": "LOOK-AHEAD",
+    "DATA_LEAKAGE": "DATA-LEAKAGE",
+    "TEST_CONTAMINATION": "TEST-CONTAMINATED",
+    "INCOMPLETE_UNIVERSE": "INCOMPLETE-UNIVERSE",
+    "PIT_DATA_ERROR": "PIT-DATA-ERROR",
+    "UNREALISTIC_EXECUTION": "UNREALISTIC-EXECUTION",
+    "MISSING_COSTS": "MISSING-COSTS",
+    "INADEQUATE_SAMPLE": "INADEQUATE-SAMPLE",
+    "CORPORATE_ACTION_ERROR": "CORPORATE-ACTION-ERROR",
+    "TIMESTAMP_INTEGRITY": "TIMESTAMP-INTEGRITY",
+    "UNRELIABLE_PRICES": "UNRELIABLE-PRICES",
+    "UNCORRECTED_MULTIPLE_TESTING": "MULTIPLE-TESTING-UNCORRECTED",
+    "OTHER_DEFECT": "OTHER-DEFECT",
+    "INSUFFICIENT_SIGNIFICANCE": "NOT-SIGNIFICANT-AFTER-CORRECTION",
+}
+#: Findings that lack evidence, and those that make evidence wrong; all others leave it incomplete.
+LACKING = ("INADEQUATE_SAMPLE", "INSUFFICIENT_SIGNIFICANCE")
+WRONG = ("LOOK_AHEAD_BIAS", "DATA_LEAKAGE", "TEST_CONTAMINATION", "PIT_DATA_ERROR", "CORPORATE_ACTION_ERROR", "TIMESTAMP_INTEGRITY", "UNRELIABLE_PRICES")
 
 
 def grades(findings: DataFrame, by: list[str]) -> DataFrame:
-    """by, grade: of material findings the worst kind's grade, else RESEARCH_GRADE."""
-    m = F.col("severity") == "MATERIAL"
-    out = F.lit("RESEARCH_GRADE")
-    for name, kinds in reversed(GRADES):
-        out = F.when(F.bool_or(m & F.col("category").isin(list(kinds))), name).otherwise(out)
-    return findings.groupBy(*by).agg(out.alias("grade"))
+    """by, grade of material findings: 'BIASED / ..' or 'PRELIMINARY / ..' with the failures' labels, 'INSUFFICIENT_EVIDENCE / ..' with what lacks, both joined by '; ', or RESEARCH_GRADE."""
+    table = [(kind, i, label, kind in LACKING, kind in WRONG) for i, (kind, label) in enumerate(FINDINGS.items())]
+    kinds = F.broadcast(findings.sparkSession.createDataFrame(table, "category string, place int, label string, lacks boolean, wrong boolean"))
+    f = findings.withColumn("_m", F.col("severity") == "MATERIAL").join(kinds, "category", "left")
+    part = lambda lacks: F.array_join(F.transform(F.sort_array(F.collect_set(F.when(F.col("_m") & (F.col("lacks") == lacks), F.struct("place", "label")))), lambda x: x["label"]), "+")
+    g = f.groupBy(*by).agg(part(False).alias("_bad"), part(True).alias("_few"), F.coalesce(F.bool_or(F.col("_m") & F.col("wrong")), F.lit(False)).alias("_wrong"))
+    bad = F.when(F.col("_bad") != "", F.concat(F.when(F.col("_wrong"), "BIASED").otherwise("PRELIMINARY"), F.lit(" / "), "_bad"))
+    few = F.when(F.col("_few") != "", F.concat(F.lit("INSUFFICIENT_EVIDENCE / "), "_few"))
+    both = F.concat_ws("; ", bad, few)
+    return g.select(*by, F.when(both == "", "RESEARCH_GRADE").otherwise(both).alias("grade"))
 
 
 def open_findings(raised: DataFrame, resolved: DataFrame, experiments: DataFrame) -> DataFrame:
@@ -123,12 +155,23 @@ def year_concentration(rows: DataFrame, by: list[str], date: str, x: str) -> Dat
     return y.groupBy(*by).agg(F.when(F.sum("_s") > 0, F.max("_s") / F.sum("_s")).alias("concentration"))
 
 
-def stability(rows: DataFrame, by: list[str], date: str, x: str, least: int = 20) -> DataFrame:
-    """by, n, slope, first_half, second_half, verdict of a strategy's trades over the years."""
-    w = Window.partitionBy(*by).orderBy(date, x)
-    r = rows.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    early = F.col("_i") <= F.col("_n") / 2
-    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col(x), F.year(date).cast("double")).alias("slope"), F.avg(F.when(early, F.col(x))).alias("first_half"), F.avg(F.when(~early, F.col(x))).alias("second_half"))
+def stability(rows: DataFrame, by: list[str], date: str, x: str, tie: list[str], least: int = 20) -> DataFrame:
+    """by, n, slope, slope_p, first_half, second_half, verdict of a strategy's trades over the years since its first.
+
+    A significant slope (p < 0.10) tells a stronger or weaker edge; an edge of the first half that is gone in the second
+    has disappeared, whatever the slope.
+    """
+    from ..functions.special import t_pvalue
+
+    w = Window.partitionBy(*by)
+    r = rows.withColumns({"_i": F.row_number().over(w.orderBy(date, *tie)), "_n": F.count(F.lit(1)).over(w), "_t": F.datediff(date, F.min(date).over(w)) / F.lit(365.25)})
+    early = F.col("_i") <= F.floor(F.col("_n") / 2)
+    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col(x), F.col("_t")).alias("slope"), F.regr_r2(F.col(x), F.col("_t")).alias("_r2"), F.avg(F.when(early, F.col(x))).alias("first_half"), F.avg(F.when(~early, F.col(x))).alias("second_half"))
+    t = F.sqrt(F.col("_r2") * (F.col("n") - 2) / F.nullif(1 - F.col("_r2"), F.lit(0.0)))
+    g = g.withColumn("slope_p", 2 * t_pvalue(t, F.col("n") - 2))
     a, b = F.col("first_half"), F.col("second_half")
-    verdict = F.when(F.col("n") < least, "INSUFFICIENT").when((a <= 0) & (b <= 0), "NO_EDGE").when((a > 0) & (b <= 0), "DISAPPEARED").when(b > 1.5 * F.abs(a), "STRENGTHENED").when(b < 0.5 * a, "WEAKENED").otherwise("STABLE")
-    return g.withColumn("verdict", verdict)
+    verdict = (
+        F.when(F.col("n") < least, "INSUFFICIENT_DATA").when((a > 0) & (b <= 0), "DISAPPEARED")
+        .when((F.col("slope_p") < 0.10) & (F.col("slope") > 0), "STRENGTHENED").when(F.col("slope_p") < 0.10, "WEAKENED")
+        .when(b > 0, "STABLE").otherwise("NO_EDGE_IN_EITHER_HALF"))
+    return g.withColumn("verdict", verdict).drop("_r2")

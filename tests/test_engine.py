@@ -237,10 +237,12 @@ def test_resampling(spark):
 
 
 def test_risk(spark):
-    t = [(1, 1000.0, 1e5, 1e5, 0.0, 0.0, 0.0, 1.0, 0.0, 1e7, False), (2, 5e4, 1e5, 1e5, 0.0, 0.0, 0.0, 1.0, 0.0, 1e9, False), (3, 1000.0, 1e5, 1e5, 0.0, 0.0, 0.0, 1.0, 0.0, 1e7, True)]
-    df = spark.createDataFrame(t, "id int, notional double, equity double, cash double, held double, gross double, sector_value double, beta double, beta_exposure double, adv double, halted boolean")
+    base = {"equity": 1e5, "cash": 1e5, "held": 0.0, "gross": 0.0, "sector_value": 0.0, "beta": 1.0, "beta_exposure": 0.0, "adv": 1e9, "drawdown": 0.0, "var95": None, "event_risk": False, "event_value": 0.0, "loss_share": None, "vega_share": None}
+    t = [base | {"id": i, "notional": n} | more for i, n, more in ((1, 1000.0, {}), (2, 5e4, {}), (3, 1000.0, {"drawdown": -0.3}), (4, -1000.0, {"drawdown": -0.3}), (5, 1000.0, {"var95": 0.05}), (6, 2e4, {"event_risk": True}), (7, 6e3, {"loss_share": 1.0}), (8, 1000.0, {"cash": 1000.0}))]
+    kinds = ", ".join(f"{k} {'int' if k == 'id' else 'boolean' if k == 'event_risk' else 'double'}" for k in t[0])
+    df = spark.createDataFrame([tuple(r.values()) for r in t], kinds)
     got = {r["id"]: (r["verdict"], r["binding"]) for r in risk.gate(df).collect()}
-    assert got == {1: ("APPROVE", None), 2: ("REDUCE", "position"), 3: ("REJECT", "hard")}
+    assert got == {1: ("APPROVE", None), 2: ("REDUCE", "position"), 3: ("REJECT", "hard"), 4: ("APPROVE", None), 5: ("REJECT", "hard"), 6: ("REDUCE", "event_risk"), 7: ("REDUCE", "option_premium_at_risk"), 8: ("REJECT", "cash")}
     w = risk.fractional_kelly(np.array([0.1, 0.05, -0.1]), np.diag([0.04, 0.04, 0.04]), 0.25, 0.2)
     assert np.allclose(w, [0.2, 0.2, 0.0], atol=1e-3)
     rng = np.random.default_rng(2)
