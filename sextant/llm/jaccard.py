@@ -13,7 +13,7 @@ copies costs no g * g rows, nothing is capped, and every comparison that could b
 from all links.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing (its own component); fewer words than n
-make one n-gram; repeated rows each get a result row; null ids are kept, as a component of null; empty tables give
+make one n-gram; repeated rows each get a result row (rows of one id are taken to hold one text); null ids are kept, as a component of null; empty tables give
 empty results; other columns are ignored.
 """
 

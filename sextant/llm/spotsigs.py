@@ -12,6 +12,8 @@ table gives an empty result; repeated rows each get a row; other columns are ign
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     ranked = each.join(df, "sig").withColumn("at", F.row_number().over(w) - 1)
     keep = F.col("n") - F.ceil(F.round(F.lit(threshold) * F.col("n"), 9)) + 1
     prefix = ranked.where((F.col("at") < keep) & (F.col("df") > 1))
-    bucket = F.floor(F.log("n") / F.lit(-__import__("math").log(threshold)) + 1e-9)
+    bucket = F.floor(F.log("n") / F.lit(-math.log(threshold)) + 1e-9)
     left = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), "sig", bucket.alias("bucket"))
     right = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), "sig", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
     need = F.ceil(F.round(threshold / (1 + threshold) * (F.col("na") + F.col("nb")), 9))
