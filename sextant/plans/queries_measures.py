@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions.windows import out
-from ..operators import measure, option_trades, relative, resample
-from ..sources.adapters import PANEL_SQL
+from ..operators import measure, option_trades, paper, relative, resample, stats
+from ..sources.adapters import PANEL_SQL, table
 from .catalogue import Catalogue
 from .queries_features import S, _sma, market_panel
 from .queries_models import chain
@@ -84,3 +84,36 @@ def option_trades_simulated(spark, sf_dir):
     legs = [{"qty": -1, "right": "C", "min_days": 10, "moneyness": 1.1}, {"qty": -1, "right": "P", "min_days": 10, "moneyness": 0.9}]
     r = option_trades.simulate(quotes, signals, legs, hold=4)
     return r.select("signal_id", "status", "entry_session", "exit_session", out(F.col("pnl"), 4).alias("pnl"))
+
+
+@Q.query(f"""WITH {_CANDIDATES}, k AS (SELECT unnest([1.0, 2.0, 3.0])::DOUBLE AS k) SELECT symbol, k, count(*) AS n, round(avg(gross_ret - k * cost_frac), 6) + 0.0 AS mean_net FROM cand, k GROUP BY 1, 2""")
+def cost_stress(spark, sf_dir):
+    """The mean net trade when all frictions are multiplied."""
+    c = _candidates(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))))
+    return c.groupBy("symbol", "k").agg(F.count(F.lit(1)).alias("n"), out(F.avg(F.col("gross_ret") - F.col("k") * F.col("cost_frac"))).alias("mean_net"))
+
+
+def _orders(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    quotes = e.where("event_type = 'view'").select(F.col("user_id").alias("account"), "at", (F.col("value") * 0.995).alias("bid"), (F.col("value") * 1.005).alias("ask"))
+    orders = e.where("event_type IN ('purchase', 'click')").select(F.col("user_id").alias("account"), F.col("event_id").alias("order_id"), "at", F.when(F.col("event_type") == "purchase", 10.0).otherwise(-10.0).alias("quantity"), F.when(F.col("event_id") % 5 == 0, F.col("value")).alias("limit"))
+    return paper.with_quotes(orders, quotes, ["account"])
+
+
+@Q.query("""WITH o AS (SELECT user_id AS account, event_id AS order_id, ts FROM events WHERE event_type IN ('purchase', 'click')), q AS (SELECT user_id AS account, ts, max_by(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT o.account, o.order_id, round(q.value * 0.995, 6) AS bid, round(q.value * 1.005, 6) AS ask FROM o ASOF LEFT JOIN q ON o.account = q.account AND o.ts >= q.ts""")
+def paper_quotes(spark, sf_dir):
+    return _orders(spark, sf_dir).select("account", "order_id", out(F.col("bid")).alias("bid"), out(F.col("ask")).alias("ask"))
+
+
+@Q.query()
+def paper_fills(spark, sf_dir):
+    return paper.fill(_orders(spark, sf_dir), cash=1_000.0, stale_seconds=2 * 86_400)
+
+
+@Q.query()
+def shrinkage_posterior(spark, sf_dir):
+    """Posterior mean, sd and P(> 0) of each supplier's mean trade."""
+    g = table(spark, sf_dir, "lineitem").withColumn("r", F.col("l_discount") - F.col("l_tax")).groupBy("l_suppkey").agg(F.avg("r").alias("m"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("se"))
+    mean, sd, p = stats.shrinkage_posterior(F.col("m"), F.col("se"))
+    return g.select("l_suppkey", out(mean).alias("post_mean"), out(sd).alias("post_sd"), out(p).alias("p_positive"))

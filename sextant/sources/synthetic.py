@@ -1,0 +1,79 @@
+"""Simulated markets for calibration: one scenario per group, label SIMULATED.
+
+Returns follow a GARCH(1,1) with Student-t shocks under a two-state regime, share a market and a sector factor, and may
+carry a planted AR(1) effect. Prices pay quarterly dividends and split when they grow past a threshold. Scenarios are
+independent, so any number of them runs side by side; a scenario is recursive in time and is one group.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BARS = "scenario bigint, symbol string, session date, open double, high double, low double, close double, volume double, split_ratio double, dividend double, true_ret double"
+
+
+@dataclass(frozen=True)
+class Market:
+    symbols: int = 8
+    start: str = "2006-01-02"
+    sessions: int = 1000
+    ar1: float = 0.0
+    annual_vol: float = 0.2
+    split_above: float = 150.0
+    sectors: int = 3
+
+
+def paths(m: Market, rng: np.random.Generator) -> np.ndarray:
+    """Daily log returns [session, symbol] before dividends: market, sector and own shocks with changing variance."""
+    n, k = m.sessions, m.symbols
+    base = (m.annual_vol**2) / 252
+    shock = rng.standard_t(6, (n, k + m.sectors + 1)) / np.sqrt(6 / 4)
+    calm = np.ones(n, bool)
+    turns = rng.random(n)
+    for t in range(1, n):
+        calm[t] = turns[t] > 0.01 if calm[t - 1] else turns[t] < 0.04
+    var, out = np.full(shock.shape[1], base), np.empty_like(shock)
+    for t in range(n):
+        out[t] = np.sqrt(var * (1.0 if calm[t] else 3.0)) * shock[t]
+        var = 0.05 * base + 0.08 * out[t] ** 2 + 0.87 * var
+    own, sector, market = out[:, :k], out[:, k:-1], out[:, -1]
+    r = 0.6 * own + 0.4 * sector[:, np.arange(k) % m.sectors] + 0.6 * market[:, None] + 0.0002
+    for t in range(1, n):
+        r[t] += m.ar1 * r[t - 1]
+    return r
+
+
+def market_bars(m: Market, scenario: int) -> pd.DataFrame:
+    rng = np.random.default_rng([17, scenario])
+    r = paths(m, rng)
+    days = pd.bdate_range(m.start, periods=m.sessions)
+    rows = []
+    for j in range(m.symbols):
+        price = float(rng.uniform(30, 120))
+        gap, spread = rng.normal(0, 0.003, m.sessions), np.abs(rng.normal(0, 0.006, m.sessions))
+        size = rng.lognormal(14, 0.4, m.sessions)
+        for t in range(m.sessions):
+            before = price
+            ratio = 2.0 if before > m.split_above else 1.0
+            paid = round(0.005 * before / ratio, 4) if t and t % 63 == 0 else 0.0
+            price = before / ratio * float(np.exp(r[t, j])) - paid
+            first = before / ratio * float(np.exp(gap[t]))
+            rows.append((scenario, f"SYN{j:03d}", days[t].date(), first, max(first, price) * (1 + spread[t]), min(first, price) * (1 - spread[t]), price, float(np.round(size[t] * ratio)), ratio, paid, (price * ratio + paid * ratio) / before - 1 if t else None))
+    return pd.DataFrame(rows, columns=[c.strip().split()[0] for c in BARS.split(",")])
+
+
+def simulated(spark: SparkSession, scenarios: int, market: Market = Market()) -> DataFrame:
+    """BARS of so many scenarios. Dividends are paid on shares after a split of the same day; true_ret is the total return."""
+    seeds = spark.range(scenarios).withColumnRenamed("id", "scenario")
+    return seeds.groupBy("scenario").applyInPandas(lambda pdf: market_bars(market, int(pdf["scenario"].iloc[0])), BARS)
+
+
+def actions(bars: DataFrame) -> DataFrame:
+    """scenario, symbol, ex_date, action, value; a dividend on a split day is stated on shares before it."""
+    kinds = F.array(F.struct(F.lit("split").alias("action"), F.when(F.col("split_ratio") != 1, F.col("split_ratio")).alias("value")), F.struct(F.lit("dividend").alias("action"), F.when(F.col("dividend") > 0, F.col("dividend") * F.col("split_ratio")).alias("value")))
+    return bars.select("scenario", "symbol", F.col("session").alias("ex_date"), F.explode(kinds).alias("a")).where("a.value IS NOT NULL").select("scenario", "symbol", "ex_date", "a.action", "a.value")

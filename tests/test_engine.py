@@ -345,3 +345,31 @@ def test_option_trade_outcomes(spark):
     r = option_trades.simulate(q, s, [{"qty": 1, "right": "C", "min_days": 5, "moneyness": 1.0}], hold=3, per_contract=0.0).first()
     assert r["status"] == "CLOSED" and math.isclose(r["entry_value"], 2.1) and math.isclose(r["pnl"], 1.6 - 2.1) and r["exit_session"] == d(2024, 1, 6)
     assert option_trades.simulate(q, s, [{"qty": 1, "right": "P", "min_days": 5, "moneyness": 1.0}]).first()["status"] == "NO_CONTRACT"
+
+
+def test_simulated_market_total_return(spark):
+    """The panel's adjusted close reproduces the simulator's true total returns through splits and dividends."""
+    from sextant.sources import synthetic
+
+    m = synthetic.Market(symbols=3, sessions=300, split_above=110.0)
+    b = synthetic.simulated(spark, 2, m).cache()
+    assert b.where("split_ratio > 1").count() > 0 and b.where("dividend > 0").count() > 0
+    one = b.where("scenario = 0")
+    p = panel.build_panel(one, synthetic.actions(one).drop("scenario")).join(one.select("session", "symbol", "true_ret"), ["session", "symbol"])
+    assert p.where("abs(ret - true_ret) > 1e-10").count() == 0
+    w = p.groupBy("symbol").agg(F.max_by("close", "session").alias("last"), F.min_by("close", "session").alias("first"), F.product(1 + F.coalesce("true_ret", F.lit(0.0))).alias("g")).collect()
+    assert all(math.isclose(r["last"] / r["first"], r["g"], rel_tol=1e-9) for r in w)
+    again = synthetic.simulated(spark, 2, m)
+    assert again.exceptAll(b).count() == 0
+
+
+def test_paper_fills(spark):
+    from sextant.operators import paper
+
+    t = lambda m: dt.datetime(2024, 1, 2, 10, m)
+    q = spark.createDataFrame([(1, t(0), 9.9, 10.1)], "account bigint, at timestamp, bid double, ask double")
+    o = spark.createDataFrame([(1, 1, t(1), 10.0, None), (1, 2, t(2), 10.0, 9.0), (1, 3, t(3), 1000.0, None), (1, 4, t(30), 1.0, None), (2, 5, t(1), 1.0, None), (1, 6, t(4), -10.0, None)], "account bigint, order_id bigint, at timestamp, quantity double, limit double")
+    f = paper.fill(paper.with_quotes(o, q, ["account"]), cash=1000.0, slippage_bps=0.0)
+    assert {r["order_id"]: r["status"] for r in f.collect()} == {1: "FILLED", 2: "NOT_MARKETABLE", 3: "NO_CASH", 4: "STALE_QUOTE", 5: "NO_QUOTE", 6: "FILLED"}
+    links = spark.createDataFrame([(1, 6)], "open_id bigint, close_id bigint")
+    assert math.isclose(paper.round_trips(f, links).first()["gross"], 9.9 / 10.1 - 1)
