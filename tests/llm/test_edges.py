@@ -94,6 +94,33 @@ def test_language_model(spark, docs, none):
     assert language_model.digest(none, F.lit(0)).count() == 0
 
 
+def test_language_model_filter_grows(spark, docs, monkeypatch):
+    """Beyond MOST_BITS the filter is not broadcast, but as large as before and with the same scores."""
+    rng = random.Random(5)
+    many = spark.createDataFrame([(100 + i, " ".join(f"w{rng.randrange(400_000)}" for _ in range(8000)), i % 7 == 2) for i in range(50)], "doc_id bigint, text string, held_out boolean")
+    d = docs.select("doc_id", "text", F.lit(False).alias("held_out")).unionByName(many)
+
+    def scores():
+        return sorted(map(tuple, language_model.score(d, language_model.fit(d.where(~F.col("held_out")))).collect()), key=str)
+
+    whole = scores()
+    monkeypatch.setattr(language_model, "MOST_BITS", 1 << language_model.SEGMENT_BITS)
+    assert scores() == whole and len(whole) == len(rows()) + 50
+
+
+def test_language_model_levels_end(spark):
+    """A full filter, in which every probe hits, still ends."""
+    import threading
+
+    import numpy as np
+
+    done = []
+    ended = threading.Thread(target=lambda: done.append(language_model.levels(np.full(1 << 17, 255, np.uint8), np.arange(3, dtype=np.uint64))), daemon=True)
+    ended.start()
+    ended.join(20)
+    assert done and (done[0] == language_model.MOST_LEVELS).all()
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(i, 1, int(i in (6, 8))) for i in range(14)] + [(6, 0, 0), (None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int")
     chain = toxicity.train(docs, labels)
