@@ -3,10 +3,12 @@
 Equal vectors of a label are one class. A first neighbour graph comes from TABLES random hyperplane tables: vectors of
 one label and code meet in runs of at most RUN (a larger bucket is walked in overlapping runs along a projection), and
 each keeps its LIST best neighbours. NN-descent then refines the graph: the neighbours and reverse neighbours of a
-vector meet at it, and each takes over the best it meets there. Edges at or above the threshold are links. A list that
-is full of links is saturated: there may be more. Such lists are enlarged to all that their links reach: vectors joined
-by links are compared with each other exactly, in blocks, which counts every link between them without writing pairs.
-An audit compares a bounded, hashed sample with all vectors; while links are missing, more tables are added.
+vector meet at it, and each takes over the best it meets there. Pairs at or above the threshold are links. Lists are
+short and may be full of closer links, so links do not depend on them: wherever vectors meet, a spanning forest of all
+links among them is kept besides the lists, and so any link whose ends meet once joins their components. Vectors joined
+by links are then compared with each other exactly, in blocks, which counts every link between them without writing
+pairs. An audit compares a bounded, hashed sample with all vectors; while links are missing, more tables are added, and
+when the last tables still leave one out, the operator fails.
 
 Links only join vectors of equal, non-null labels; null, zero-length, zero and non-finite vectors link with nothing and
 stand alone (other lengths than the most common are compared only with their like). Repeated ids each get a row and
@@ -46,15 +48,36 @@ def unit(rows: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def best(ids: np.ndarray, x: np.ndarray, floor: float, keep: int) -> pd.DataFrame:
-    """a, b, sim: each vector's `keep` best others of sim >= floor among the given."""
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of links that join all that the given links (a symmetric matrix) join, without a circle."""
+    left, a, b = linked.any(1), [], []
+    for start in np.flatnonzero(left):
+        if not left[start]:
+            continue
+        left[start], queue = False, [start]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            a.append(np.full(len(new), i))
+            b.append(new)
+            queue.extend(new)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def best(ids: np.ndarray, x: np.ndarray, floor: float, keep: int, t: float) -> pd.DataFrame:
+    """a, b, sim, link: each vector's `keep` best others of sim >= floor among the given, and a forest of their links."""
     s = x @ x.T
     np.fill_diagonal(s, -2.0)
     k = min(keep, len(ids) - 1)
     at = np.argpartition(-s, k - 1, 1)[:, :k]
     sims = np.take_along_axis(s, at, 1)
     near = sims >= floor
-    return pd.DataFrame({"a": np.repeat(ids, near.sum(1)), "b": ids[at[near]], "sim": sims[near]})
+    i, j = forest(s >= t - 1e-9)
+    return pd.DataFrame({
+        "a": np.concatenate([np.repeat(ids, near.sum(1)), ids[i]]), "b": np.concatenate([ids[at[near]], ids[j]]),
+        "sim": np.concatenate([sims[near], s[i, j]]), "link": np.repeat([False, True], [near.sum(), len(i)])})
 
 
 def by_group(rows: DataFrame, keys: list[str], order: list[str], work, schema: str, run: int | None = None) -> DataFrame:
@@ -90,39 +113,42 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], work, schema: s
     return placed.mapInPandas(each, schema)
 
 
-EDGE = "a bigint, b bigint, sim double"
+EDGE = "a bigint, b bigint, sim double, link boolean"
 
 
-def tables(classes: DataFrame, width: int, bits: int, first: int, number: int, floor: float) -> DataFrame:
-    """Edges a, b, sim from hyperplane tables first .. first + number - 1."""
+def tables(classes: DataFrame, width: int, bits: int, first: int, number: int, floor: float, t: float) -> DataFrame:
+    """Edges a, b, sim, link from hyperplane tables first .. first + number - 1."""
 
     def codes(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = unit(batch["embedding"])
-            for t in range(first, first + number):
-                planes = np.random.default_rng([7, t]).normal(size=(x.shape[1], bits + 1))
+            for n in range(first, first + number):
+                planes = np.random.default_rng([7, n]).normal(size=(x.shape[1], bits + 1))
                 side = x @ planes
                 code = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pd.DataFrame({"t": t, "label": batch["label"], "code": code, "at": side[:, bits], "rep": batch["rep"], "embedding": batch["embedding"]})
+                yield pd.DataFrame({"t": n, "label": batch["label"], "code": code, "at": side[:, bits], "rep": batch["rep"], "embedding": batch["embedding"]})
 
     kind = classes.schema["label"].dataType.simpleString()
     rows = classes.select("rep", "label", "embedding").mapInPandas(codes, f"t int, label {kind}, code bigint, at double, rep bigint, embedding array<double>")
-    return by_group(rows, ["t", "label", "code"], ["at", "rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST), EDGE, RUN)
+    return by_group(rows, ["t", "label", "code"], ["at", "rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST, t), EDGE, RUN)
 
 
 def shortened(edges: DataFrame) -> DataFrame:
-    """The LIST best distinct edges of each a."""
-    lists = edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b")), False).alias("l"))
-    return lists.select("a", F.explode(F.slice("l", 1, LIST)).alias("e")).select("a", "e.b", "e.sim")
+    """The LIST best distinct edges of each a, and all that are kept as links."""
+    lists = edges.where(~F.col("link")).groupBy("a", "b").agg(F.max("sim").alias("sim")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b")), False).alias("l"))
+    short = lists.select("a", F.explode(F.slice("l", 1, LIST)).alias("e")).select("a", "e.b", "e.sim", F.lit(False).alias("link"))
+    links = edges.where("link").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
+    return short.unionByName(links.withColumn("link", F.lit(True)))
 
 
-def descend(edges: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
+def descend(edges: DataFrame, classes: DataFrame, floor: float, t: float) -> DataFrame:
     """One round: neighbours and reverse neighbours of a vector meet at it, each takes its best there; lists are cut again."""
-    around = edges.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(edges.select(F.col("b").alias("hub"), F.col("a").alias("rep"))).distinct()
+    lists = edges.where(~F.col("link"))
+    around = lists.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(lists.select(F.col("b").alias("hub"), F.col("a").alias("rep"))).distinct()
     rows = around.join(classes.select("rep", "embedding"), "rep")
-    found = by_group(rows, ["hub"], ["rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST // 2), EDGE, RUN)
+    found = by_group(rows, ["hub"], ["rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST // 2, t), EDGE, RUN)
     return shortened(edges.unionByName(found))
 
 
@@ -183,13 +209,16 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
         bits = max(1, int(np.log2(max(labels / 96, 2))))
         floor, edges = NEAR * t, None
         for attempt in range(TRIES):
-            more = tables(classes, width, bits, attempt * TABLES, TABLES, floor)
+            more = tables(classes, width, bits, attempt * TABLES, TABLES, floor, t)
             edges = written(shortened(more if edges is None else edges.unionByName(more)), "vectors-graph")
             for _ in range(ROUNDS):
-                edges = written(descend(edges, classes, floor), "vectors-graph")
+                edges = written(descend(edges, classes, floor, t), "vectors-graph")
             roots = written(components(edges.where(F.col("sim") >= t - 1e-9).select("a", "b")), "vectors-roots")
-            if audit(classes, roots, t) >= RECALL:
+            recall = audit(classes, roots, t)
+            if recall >= RECALL:
                 break
+        else:
+            raise RuntimeError(f"links are still missing after {TRIES * TABLES} tables: the audit found {recall:.4f} of its links joined")
         counted.append(link_counts(classes, roots, t))
         rooted.append(roots)
     out = every

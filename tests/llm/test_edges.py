@@ -52,6 +52,42 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
+def brute_force(made, t=0.98):
+    """vec_id, n_links, component_id of unit vectors of one label, by comparing all pairs."""
+    import numpy as np
+
+    x = np.array([v for _, v, _ in made])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= t
+    root = np.arange(len(x))
+    while True:
+        lower = np.array([root[row].min() for row in linked])
+        if (lower == root).all():
+            return {i: (int(linked[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+        root = lower
+
+
+def test_vectors_bridge_between_tight_groups(spark):
+    """Two groups of vectors with more than LIST closer neighbours each, joined only by weaker links."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    turn = np.arccos(0.983)
+    ends = [np.eye(16)[0], np.cos(turn) * np.eye(16)[0] + np.sin(turn) * np.eye(16)[1]]
+    made = []
+    for end, away in zip(ends, (-1, 1)):
+        made.append((len(made), end.tolist(), 1))
+        for _ in range(14):  # away from the other end, so that only the two ends are linked
+            side = 0.05 * rng.normal(size=16) / 4
+            side[:2] = 0
+            v = end + side + away * 0.06 * np.array([-np.sin(turn / 2), np.cos(turn / 2), *[0] * 14])
+            made.append((len(made), (v / np.linalg.norm(v)).tolist(), 1))
+    want = brute_force(made)
+    assert set(c for _, c in want.values()) == {0} and want[0][0] == 15
+    df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()} == want
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
