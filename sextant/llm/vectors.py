@@ -1,13 +1,14 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors of a label are one class. A first neighbour graph comes from TABLES random hyperplane tables: vectors of
-one label and code meet in runs of at most RUN (a larger bucket is walked in overlapping runs along a projection), and
-each keeps its LIST best neighbours. NN-descent then refines the graph: the neighbours and reverse neighbours of a
-vector meet at it, and each takes over the best it meets there. Pairs at or above the threshold are links. Lists are
+Equal vectors of a label are one class. Labels of up to two blocks are compared whole. In others a first neighbour graph
+comes from random hyperplane tables: the bits of a label's codes follow its own size, and the number of its tables the
+chance that a pair at the threshold never meets (at most MISS). All vectors of one label and code meet, in pairs of
+blocks where there are many, and each keeps its LIST best neighbours. NN-descent then refines the graph: the neighbours and reverse neighbours of a
+vector meet at it, and each takes over the best it meets there, until no list changes. Pairs at or above the threshold are links. Lists are
 short and may be full of closer links, so links do not depend on them: wherever vectors meet, a spanning forest of all
 links among them is kept besides the lists, and so any link whose ends meet once joins their components. Vectors joined
 by links are then compared with each other exactly, in blocks, which counts every link between them without writing
-pairs. An audit compares a bounded, hashed sample with all vectors; while links are missing, more tables are added, and
+pairs. An audit compares a hashed sample, enlarged until it has enough links, with all vectors; while links are missing, more tables are added, and
 when the last tables still leave one out, the operator fails.
 
 Links only join vectors of equal, non-null labels; null, zero-length, zero and non-finite vectors link with nothing and
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 
-TABLES, RUN, LIST, ROUNDS = 10, 512, 10, 2
+RUN, LIST = 512, 10
+#: The chance at most that a link at the threshold meets in no table, and the vectors that a bucket holds on average.
+MISS, BUCKET = 1e-6, 96
 #: Below this share of the threshold no neighbour is kept: too far to lead to a link.
 NEAR = 0.85
-AUDIT, RECALL, TRIES, BLOCK = 256, 1.0, 3, 1000
+#: Vectors in the first audit sample and at most, and links that a sample should have.
+AUDIT, MOST_AUDIT, AUDIT_LINKS = 256, 16384, 1000
+RECALL, TRIES, BLOCK = 1.0, 3, 1000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -116,23 +121,44 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], work, schema: s
 EDGE = "a bigint, b bigint, sim double, link boolean"
 
 
-def tables(classes: DataFrame, width: int, bits: int, first: int, number: int, floor: float, t: float) -> DataFrame:
-    """Edges a, b, sim, link from hyperplane tables first .. first + number - 1."""
+def blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with own, i, j: those of equal keys in blocks of about BLOCK, each row once for each pair i <= j of blocks that its own is in."""
+    sizes = rows.select(*keys).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")).where("k > 1")
+    rows = rows.join(sizes, keys, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("k", "other")
+
+
+def plan(n: int, t: float) -> tuple[int, int]:
+    """Bits of a code and number of tables for a label of n vectors; 0 bits: all are compared."""
+    if n <= 2 * BLOCK:
+        return 0, 1
+    bits = max(1, int(np.log2(n / BUCKET)))
+    meet = (1 - np.arccos(min(t, 1.0)) / np.pi) ** bits
+    return bits, 1 if meet >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-meet)))
+
+
+def tables(classes: DataFrame, attempt: int, floor: float, t: float) -> DataFrame:
+    """Edges a, b, sim, link from each label's hyperplane tables; every attempt has other planes."""
+    large = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)  # few: a 2 * BLOCK-th of the rows at most
 
     def codes(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            x = unit(batch["embedding"])
-            for n in range(first, first + number):
-                planes = np.random.default_rng([7, n]).normal(size=(x.shape[1], bits + 1))
-                side = x @ planes
-                code = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pd.DataFrame({"t": n, "label": batch["label"], "code": code, "at": side[:, bits], "rep": batch["rep"], "embedding": batch["embedding"]})
+            for n, few in batch.groupby("n"):
+                x = unit(few["embedding"])
+                bits, number = plan(n, t)
+                if attempt and not bits:  # compared whole already
+                    continue
+                for table in range(attempt * number, (attempt + 1) * number):
+                    planes = np.random.default_rng([7, table]).normal(size=(x.shape[1], bits))
+                    code = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    yield pd.DataFrame({"t": table, "label": few["label"], "code": code, "rep": few["rep"], "embedding": few["embedding"]})
 
     kind = classes.schema["label"].dataType.simpleString()
-    rows = classes.select("rep", "label", "embedding").mapInPandas(codes, f"t int, label {kind}, code bigint, at double, rep bigint, embedding array<double>")
-    return by_group(rows, ["t", "label", "code"], ["at", "rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST, t), EDGE, RUN)
+    sized = classes.join(F.broadcast(large), "label", "left").select("rep", "label", "embedding", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = sized.mapInPandas(codes, f"t int, label {kind}, code bigint, rep bigint, embedding array<double>")
+    rows = blocked(rows, ["t", "label", "code"])
+    return by_group(rows, ["t", "label", "code", "i", "j"], ["rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST, t), EDGE)
 
 
 def shortened(edges: DataFrame) -> DataFrame:
@@ -152,11 +178,26 @@ def descend(edges: DataFrame, classes: DataFrame, floor: float, t: float) -> Dat
     return shortened(edges.unionByName(found))
 
 
+def lists_state(edges: DataFrame) -> tuple:
+    """Tells whether any list has changed."""
+    return tuple(edges.where(~F.col("link")).agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def audit(classes: DataFrame, roots: DataFrame, t: float) -> float:
-    """Share of the true links of a bounded sample (every link of AUDIT hashed vectors, against all) whose ends are joined."""
-    few = classes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(AUDIT).select("rep", "label", "embedding").toPandas()
+    """Share of a sample's true links whose ends are joined; the sample grows until it has AUDIT_LINKS links, or is all, or MOST_AUDIT vectors."""
+    n, size = classes.count(), AUDIT
+    while True:
+        met, joined = audited(classes, roots, t, size)
+        if met >= AUDIT_LINKS or size >= min(n, MOST_AUDIT):
+            return joined / met if met else 1.0
+        size *= 4
+
+
+def audited(classes: DataFrame, roots: DataFrame, t: float, size: int) -> tuple[int, int]:
+    """The links of `size` hashed vectors, each compared with all, and how many of them have joined ends."""
+    few = classes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(size).select("rep", "label", "embedding").toPandas()
     if not len(few):
-        return 1.0
+        return 0, 0
     groups = {k: (g["rep"].to_numpy(), unit(g["embedding"])) for k, g in few.groupby("label")}
     shared = classes.sparkSession.sparkContext.broadcast(groups)
 
@@ -173,16 +214,13 @@ def audit(classes: DataFrame, roots: DataFrame, t: float) -> float:
     true = classes.select("rep", "label", "embedding").mapInPandas(compare, "a bigint, b bigint").where("a <> b")
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     met = true.join(ra, "a", "left").join(rb, "b", "left").agg(F.count(F.lit(1)), F.count(F.when(F.col("ra") == F.col("rb"), 1))).first()
-    return met[1] / met[0] if met[0] else 1.0
+    return met[0], met[1]
 
 
 def link_counts(classes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
     """rep, others: copies of other classes linked with each, counted exactly within what links join, in blocks."""
     inside = classes.join(roots, classes["rep"] == roots["node"]).select("root", "rep", "copies", "embedding")
-    sizes = inside.groupBy("root").agg(F.count(F.lit(1)).alias("g"))
-    rows = inside.join(sizes, "root").withColumn("k", F.ceil(F.col("g") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = blocked(inside, ["root"])
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
         x, copies, own = unit(g["embedding"]), g["copies"].to_numpy(), g["own"].to_numpy()
@@ -205,20 +243,19 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
     counted, rooted = [], []
     for width in widths:
         classes = every.where(F.size("embedding") == width)
-        labels = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        bits = max(1, int(np.log2(max(labels / 96, 2))))
         floor, edges = NEAR * t, None
         for attempt in range(TRIES):
-            more = tables(classes, width, bits, attempt * TABLES, TABLES, floor, t)
+            more = tables(classes, attempt, floor, t)
             edges = written(shortened(more if edges is None else edges.unionByName(more)), "vectors-graph")
-            for _ in range(ROUNDS):
+            state = None
+            while state != (state := lists_state(edges)):
                 edges = written(descend(edges, classes, floor, t), "vectors-graph")
             roots = written(components(edges.where(F.col("sim") >= t - 1e-9).select("a", "b")), "vectors-roots")
             recall = audit(classes, roots, t)
             if recall >= RECALL:
                 break
         else:
-            raise RuntimeError(f"links are still missing after {TRIES * TABLES} tables: the audit found {recall:.4f} of its links joined")
+            raise RuntimeError(f"links are still missing after {TRIES} sets of tables: the audit found {recall:.4f} of its links joined")
         counted.append(link_counts(classes, roots, t))
         rooted.append(roots)
     out = every

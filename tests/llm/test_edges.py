@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def test_vectors(spark):
 
 def brute_force(made, t=0.98):
     """vec_id, n_links, component_id of unit vectors of one label, by comparing all pairs."""
-    import numpy as np
-
     x = np.array([v for _, v, _ in made])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     linked = x @ x.T >= t
@@ -69,8 +68,6 @@ def brute_force(made, t=0.98):
 
 def test_vectors_bridge_between_tight_groups(spark):
     """Two groups of vectors with more than LIST closer neighbours each, joined only by weaker links."""
-    import numpy as np
-
     rng = np.random.default_rng(2)
     turn = np.arccos(0.983)
     ends = [np.eye(16)[0], np.cos(turn) * np.eye(16)[0] + np.sin(turn) * np.eye(16)[1]]
@@ -88,6 +85,27 @@ def test_vectors_bridge_between_tight_groups(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()} == want
 
 
+def test_vectors_dense_label_beside_a_far_larger_one(spark, monkeypatch):
+    """Links of few common neighbours, in a label whose vectors lie close together, are all found."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(vectors, "BLOCK", 100)  # more than two blocks: by tables, and buckets in blocks
+    topic = rng.normal(size=32)
+    dense = [topic / np.linalg.norm(topic) + 0.3 * rng.normal(size=32) / 32**0.5 for _ in range(700)]
+    dense += [v + 0.17 * np.linalg.norm(v) * rng.normal(size=32) / 32**0.5 for v in dense[:200]]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(dense)], "vec_id bigint, embedding array<double>, label int")
+    want = brute_force([(i, v.tolist(), 1) for i, v in enumerate(dense)])
+    assert 100 < sum(n > 0 for n, _ in want.values())
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()} == want
+
+
+def test_vectors_tables_follow_the_label():
+    """Every label has tables enough for its own size."""
+    for n in (3_000, 100_000, 33_000_000):
+        bits, number = vectors.plan(n, 0.98)
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** number <= 1e-6 and n / 2**bits <= 2 * vectors.BUCKET
+    assert vectors.plan(1000, 0.98) == (0, 1)
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
@@ -148,8 +166,6 @@ def test_language_model_levels_end(spark):
     """A full filter, in which every probe hits, still ends."""
     import threading
 
-    import numpy as np
-
     done = []
     ended = threading.Thread(target=lambda: done.append(language_model.levels(np.full(1 << 17, 255, np.uint8), np.arange(3, dtype=np.uint64))), daemon=True)
     ended.start()
