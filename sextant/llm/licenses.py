@@ -67,8 +67,8 @@ def phrases(docs: DataFrame, norm: Column | None = None, found: dict[str, str] =
     with_norm = docs.withColumn("_norm", n)
     c = F.col("_norm")
     hit = c.rlike(f" (?:{any_phrase}) ")
-    before_first = F.regexp_extract(c, f"^(.*?) (?:{any_phrase}) ", 1)
-    before_last = F.regexp_extract(c, f"^(.*) (?:{any_phrase}) ", 1)
+    before_first = F.regexp_extract(c, f"(?s)^(.*?) (?:{any_phrase}) ", 1)
+    before_last = F.regexp_extract(c, f"(?s)^(.*) (?:{any_phrase}) ", 1)
     # what stands before a hit is ' w1 .. wk' (or empty): k words, k spaces
     place = lambda before: (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).cast("long")
     labels = F.sort_array(F.array_distinct(F.filter(

@@ -199,6 +199,13 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_unicode_line_ends(spark):
+    """Line ends outside ASCII stay in words; phrases before and after them have the right places."""
+    text = "one\u0085two three under the MIT license four\u2028five \u2029 cc by nc six"
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (12, 2, 2, 8)
+
+
 def test_spotsigs(spark, docs, none):
     got = spotsigs.digest(docs).collect()
     assert len(got) == len(rows())
