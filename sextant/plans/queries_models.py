@@ -109,17 +109,17 @@ def bs_price_greeks(spark, sf_dir):
 @Q.query()
 def implied_vol(spark, sf_dir):
     """Prices at a known volatility, solved back."""
-    c = chain(spark, sf_dir).where("days = 90")
+    c = chain(spark, sf_dir)
     call = F.col("right") == "C"
     c = c.withColumn("price", O.bs_price(*_args(), F.col("iv"), call))
-    return c.select("underlying", "k", "right", out(O.implied_vol(F.col("price"), *_args(), call), 5).alias("iv_back"), out(F.col("iv"), 5).alias("iv"))
+    return c.select("underlying", "days", "k", "right", out(O.implied_vol(F.col("price"), *_args(), call), 5).alias("iv_back"), out(F.col("iv"), 5).alias("iv"))
 
 
 @Q.query()
 def crr_price(spark, sf_dir):
-    c = chain(spark, sf_dir).where("days = 90 AND k = 4")
+    c = chain(spark, sf_dir)
     call = F.col("right") == "C"
-    return c.select("underlying", "right", out(O.crr_price(*_args(), F.col("iv"), call, steps=100), 5).alias("american"), out(O.early_exercise_premium(*_args(), F.col("iv"), call, steps=100), 5).alias("premium"))
+    return c.select("underlying", "days", "k", "right", out(O.crr_price(*_args(), F.col("iv"), call, steps=100), 5).alias("american"), out(O.early_exercise_premium(*_args(), F.col("iv"), call, steps=100), 5).alias("premium"))
 
 
 @Q.query(f"""WITH {_CHAIN}, l AS (SELECT underlying, spot, max(strike) FILTER (k = 4) AS k4, max(strike) FILTER (k = 6) AS k6, max(mid) FILTER (k = 4) AS p4, max(mid) FILTER (k = 6) AS p6 FROM chain WHERE "right" = 'C' AND days = 30 GROUP BY 1, 2)

@@ -373,3 +373,14 @@ def test_paper_fills(spark):
     assert {r["order_id"]: r["status"] for r in f.collect()} == {1: "FILLED", 2: "NOT_MARKETABLE", 3: "NO_CASH", 4: "STALE_QUOTE", 5: "NO_QUOTE", 6: "FILLED"}
     links = spark.createDataFrame([(1, 6)], "open_id bigint, close_id bigint")
     assert math.isclose(paper.round_trips(f, links).first()["gross"], 9.9 / 10.1 - 1)
+
+
+def test_option_queries_take_the_whole_chain(spark):
+    from sextant import registry
+
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    for name in ("implied_vol", "crr_price"):
+        got = registry.QUERIES[name](spark, sf)
+        assert got.count() == 54 * parts == got.select("underlying", "days", "k", "right").distinct().count()
+    assert registry.QUERIES["option_trades_simulated"](spark, sf).count() == parts
