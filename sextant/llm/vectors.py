@@ -1,24 +1,28 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors of a label are one class. Labels of up to two blocks are compared whole. In others a first neighbour graph
-comes from random hyperplane tables: the bits of a label's codes follow its own size, and the number of its tables the
-chance that a pair at the threshold never meets (at most MISS). All vectors of one label and code meet, in pairs of
-blocks where there are many, and each keeps its LIST best neighbours. NN-descent then refines the graph: the neighbours and reverse neighbours of a
-vector meet at it, and each takes over the best it meets there, until no list changes. Pairs at or above the threshold are links. Lists are
-short and may be full of closer links, so links do not depend on them: wherever vectors meet, a spanning forest of all
-links among them is kept besides the lists, and so any link whose ends meet once joins their components. Vectors joined
-by links are then compared with each other exactly, in blocks, which counts every link between them without writing
-pairs. An audit compares a hashed sample, enlarged until it has enough links, with all vectors; while links are missing, more tables are added, and
-when the last tables still leave one out, the operator fails.
-
-Links only join vectors of equal, non-null labels; null, zero-length, zero and non-finite vectors link with nothing and
-stand alone (other lengths than the most common are compared only with their like). Repeated ids each get a row and
-share the smallest id of their class; an empty table gives an empty result; other columns are ignored.
+Equal vectors of a label are one class. Every class has a neighbour list: its LIST best neighbours, enlarged where they
+are all links, so that it holds every link found, up to MOST. The first lists come from random hyperplane tables: the
+bits of a label's codes follow its size, and the number of its tables the chance (at most MISS) that a pair at the
+threshold meets in none; labels of up to WHOLE vectors are one bucket. NN-descent then refines the lists: a vector's
+neighbours, in both directions, meet at it, and each is told of those it meets there that its list should hold; rounds
+go on until none is told of anything new. Links are the list entries at or above the threshold.
+
+A vector with more than MOST links is crowded. Its list stays short, and its links are found exactly: crowded vectors
+are cut into blocks, each with a centre and a radius, and every vector of the label that can reach the block by the
+triangle inequality is compared with all of it. So dense groups cost no list entry for each pair, and no link is lost.
+
+An audit compares the stated query set (ids divisible by 20, at most AUDIT of them in hash order) with all vectors and
+gives the share of their links that was found. While it is below 1, another set of tables is added; the last attempt
+compares labels whole, in blocks.
+
+Links only join vectors of equal, non-null labels and equal length; null, empty, zero and non-finite vectors link with
+nothing and stand alone. Repeated ids each get a row and share the smallest id of their class; ties between neighbours
+are broken by id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,14 +32,15 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 
-RUN, LIST = 512, 10
-#: The chance at most that a link at the threshold meets in no table, and the vectors that a bucket holds on average.
-MISS, BUCKET = 1e-6, 96
-#: Below this share of the threshold no neighbour is kept: too far to lead to a link.
-NEAR = 0.85
-#: Vectors in the first audit sample and at most, and links that a sample should have.
-AUDIT, MOST_AUDIT, AUDIT_LINKS = 256, 16384, 1000
-RECALL, TRIES, BLOCK = 1.0, 3, 1000
+#: Entries of a list, and the most links that it is enlarged for.
+LIST, MOST = 16, 64
+#: The chance at most that a link at the threshold meets in no table, the vectors of a bucket on average, and of a label that is one bucket.
+MISS, BUCKET, WHOLE = 1e-6, 96, 2000
+#: Vectors of a block where a bucket, or those around a vector, are many; of a block of crowded vectors.
+BLOCK, AROUND, CROWD = 1000, 512, 2048
+#: Query vectors of the audit, and centres of crowded blocks that are broadcast, at most.
+AUDIT, MOST_CENTRES = 20_000, 20_000
+ATTEMPTS = 3
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -47,223 +52,317 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "label", "embedding", "copies")
 
 
-def unit(rows: pd.Series) -> np.ndarray:
-    x = np.array(rows.tolist(), np.float64).reshape(len(rows), -1)
-    x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
-
-
-def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of links that join all that the given links (a symmetric matrix) join, without a circle."""
-    left, a, b = linked.any(1), [], []
-    for start in np.flatnonzero(left):
-        if not left[start]:
-            continue
-        left[start], queue = False, [start]
-        while queue:
-            i = queue.pop()
-            new = np.flatnonzero(linked[i] & left)
-            left[new] = False
-            a.append(np.full(len(new), i))
-            b.append(new)
-            queue.extend(new)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(a or none), np.concatenate(b or none)
-
-
-def best(ids: np.ndarray, x: np.ndarray, floor: float, keep: int, t: float) -> pd.DataFrame:
-    """a, b, sim, link: each vector's `keep` best others of sim >= floor among the given, and a forest of their links."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2.0)
-    k = min(keep, len(ids) - 1)
-    at = np.argpartition(-s, k - 1, 1)[:, :k]
-    sims = np.take_along_axis(s, at, 1)
-    near = sims >= floor
-    i, j = forest(s >= t - 1e-9)
-    return pd.DataFrame({
-        "a": np.concatenate([np.repeat(ids, near.sum(1)), ids[i]]), "b": np.concatenate([ids[at[near]], ids[j]]),
-        "sim": np.concatenate([sims[near], s[i, j]]), "link": np.repeat([False, True], [near.sum(), len(i)])})
-
-
-def by_group(rows: DataFrame, keys: list[str], order: list[str], work, schema: str, run: int | None = None) -> DataFrame:
-    """`work(group)` over runs of rows of equal keys; rows meet by key, sorted. Groups beyond `run` go in runs that overlap by half."""
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-
-    def each(batches):
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(held):
-                continue
-            code = (held[keys] != held[keys].shift()).any(axis=1).to_numpy().cumsum()
-            ends = np.searchsorted(code, np.unique(code), "right")
-            lo = 0
-            for hi in ends[:-1]:
-                yield from runs(held.iloc[lo:hi])
-                lo = hi
-            if run and len(held) - lo > 4 * run:  # a large group: work it off, keep half a run
-                yield from runs(held.iloc[lo:])
-                lo = len(held) - run // 2
-            held = held.iloc[lo:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield from runs(held)
-
-    def runs(group):
-        step = (run // 2) if run and len(group) > run else max(len(group), 1)
-        for lo in range(0, max(len(group) - (run // 2 if step < len(group) else 0), 1), step):
-            part = group.iloc[lo : lo + (run if run and step < len(group) else len(group))]
-            if len(part) > 1:
-                yield work(part)
-
-    return placed.mapInPandas(each, schema)
-
-
-EDGE = "a bigint, b bigint, sim double, link boolean"
-
-
-def blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with own, i, j: those of equal keys in blocks of about BLOCK, each row once for each pair i <= j of blocks that its own is in."""
-    sizes = rows.select(*keys).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")).where("k > 1")
-    rows = rows.join(sizes, keys, "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("k", "other")
+def matrix(vecs) -> np.ndarray:
+    """Unit vectors packed as doubles, as rows."""
+    return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
 
 
 def plan(n: int, t: float) -> tuple[int, int]:
-    """Bits of a code and number of tables for a label of n vectors; 0 bits: all are compared."""
-    if n <= 2 * BLOCK:
+    """Bits of a code and number of tables for a label of n vectors; 0 bits: one bucket."""
+    if n <= WHOLE:
         return 0, 1
     bits = max(1, int(np.log2(n / BUCKET)))
     meet = (1 - np.arccos(min(t, 1.0)) / np.pi) ** bits
     return bits, 1 if meet >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-meet)))
 
 
-def tables(classes: DataFrame, attempt: int, floor: float, t: float) -> DataFrame:
-    """Edges a, b, sim, link from each label's hyperplane tables; every attempt has other planes."""
-    large = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)  # few: a 2 * BLOCK-th of the rows at most
+def coded(every: DataFrame, t: float, attempt: int) -> DataFrame:
+    """rep, space, vec (unit, packed), copies, codes (one for each table): written. space: label and length as a number."""
+    spaced = every.withColumn("space", F.xxhash64("label", F.size("embedding")))
+    sizes = spaced.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE)
+    sized = spaced.join(sizes, "space", "left").select("rep", "space", "embedding", "copies", F.coalesce("n", F.lit(0)).alias("n"))
 
-    def codes(batches):
+    def run(batches):
         for batch in batches:
-            for n, few in batch.groupby("n"):
-                x = unit(few["embedding"])
-                bits, number = plan(n, t)
-                if attempt and not bits:  # compared whole already
-                    continue
-                for table in range(attempt * number, (attempt + 1) * number):
-                    planes = np.random.default_rng([7, table]).normal(size=(x.shape[1], bits))
-                    code = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield pd.DataFrame({"t": table, "label": few["label"], "code": code, "rep": few["rep"], "embedding": few["embedding"]})
+            width = batch["embedding"].str.len()
+            for (n, w), few in batch.groupby([batch["n"], width]):
+                x = np.concatenate(few["embedding"].to_numpy()).reshape(len(few), w)
+                x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
+                x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                bits, number = (0, 1) if attempt + 1 == ATTEMPTS else plan(n, t)
+                codes = np.zeros((len(few), number), np.int64)
+                for k in range(number if bits else 0):
+                    planes = np.random.default_rng([7, attempt * number + k]).normal(size=(w, bits))
+                    codes[:, k] = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                yield pd.DataFrame({"rep": few["rep"], "space": few["space"], "vec": [r.tobytes() for r in x], "copies": few["copies"], "codes": list(codes)})
+
+    return written(sized.mapInPandas(run, "rep bigint, space bigint, vec binary, copies bigint, codes array<bigint>"), "vectors-coded")
+
+
+def grouped(batches, keys: list[str]):
+    """Arrays of the columns for each run of rows of equal keys (sorted rows, keys of integers)."""
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[keys].to_numpy()
+        columns = [batch[c].to_numpy() for c in batch.columns]
+        cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for lo, hi in pairwise(cut):
+            now = tuple(k[lo])
+            if now != last and held:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            last = now
+            held.append([c[lo:hi] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
-    kind = classes.schema["label"].dataType.simpleString()
-    sized = classes.join(F.broadcast(large), "label", "left").select("rep", "label", "embedding", F.coalesce("n", F.lit(0)).alias("n"))
-    rows = sized.mapInPandas(codes, f"t int, label {kind}, code bigint, rep bigint, embedding array<double>")
-    rows = blocked(rows, ["t", "label", "code"])
-    return by_group(rows, ["t", "label", "code", "i", "j"], ["rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST, t), EDGE)
 
+EDGE = "a bigint, b bigint, sim double, copies bigint"
 
-def shortened(edges: DataFrame) -> DataFrame:
-    """The LIST best distinct edges of each a, and all that are kept as links."""
-    lists = edges.where(~F.col("link")).groupBy("a", "b").agg(F.max("sim").alias("sim")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b")), False).alias("l"))
-    short = lists.select("a", F.explode(F.slice("l", 1, LIST)).alias("e")).select("a", "e.b", "e.sim", F.lit(False).alias("link"))
-    links = edges.where("link").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
-    return short.unionByName(links.withColumn("link", F.lit(True)))
 
+def edges_frame(a, b, sim, copies) -> pd.DataFrame:
+    return pd.DataFrame({"a": a, "b": b, "sim": sim, "copies": copies})
 
-def descend(edges: DataFrame, classes: DataFrame, floor: float, t: float) -> DataFrame:
-    """One round: neighbours and reverse neighbours of a vector meet at it, each takes its best there; lists are cut again."""
-    lists = edges.where(~F.col("link"))
-    around = lists.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(lists.select(F.col("b").alias("hub"), F.col("a").alias("rep"))).distinct()
-    rows = around.join(classes.select("rep", "embedding"), "rep")
-    found = by_group(rows, ["hub"], ["rep"], lambda g: best(g["rep"].to_numpy(), unit(g["embedding"]), floor, LIST // 2, t), EDGE, RUN)
-    return shortened(edges.unionByName(found))
 
+def met(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, floor: float, t: float) -> pd.DataFrame:
+    """What the lists of vectors that meet should hold of each other: the LIST best of at least `floor`, and all links up to MOST + 1."""
+    s = x @ x.T
+    np.fill_diagonal(s, -2.0)
+    busy = np.flatnonzero((s >= floor).any(1))
+    if not len(busy):
+        return edges_frame(ids[:0], ids[:0], s[0, :0], copies[:0])
+    s = s[busy]
+    links = (s >= t).sum(1)
+    # one link more than a list may hold tells that the vector is crowded, wherever the others are met
+    keep = np.minimum(np.maximum(LIST, np.minimum(links, MOST + 1)), s.shape[1])
+    wide = int(keep.max())
+    at = np.argpartition(-s, wide - 1, 1)[:, :wide] if wide < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    order = np.argsort(-np.take_along_axis(s, at, 1), 1, kind="stable")
+    at = np.take_along_axis(at, order, 1)
+    sims = np.take_along_axis(s, at, 1)
+    chosen = (np.arange(at.shape[1]) < keep[:, None]) & (sims >= floor)
+    return edges_frame(np.repeat(ids[busy], chosen.sum(1)), ids[at[chosen]], sims[chosen], copies[at[chosen]])
+
+
+def tables(coded_: DataFrame, floor: float, t: float) -> DataFrame:
+    """Edges a, b, sim, copies of vectors of one bucket; buckets of many are cut into blocks that meet in pairs."""
+    key = ["space", "table", "code"]
+    place = F.posexplode("codes").alias("table", "code")
+    counts = coded_.select("space", place).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("k")).where("k > 1")
+    counts = written(counts, "vectors-large")  # its size is known to the join: none, or few
+    rows = coded_.select("rep", "space", "vec", "copies", place).join(counts, key, "left").withColumn("k", F.coalesce(F.col("k") * 2, F.lit(1)))
+    own = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "vec", "copies")
+    key += ["i", "j"]
+
+    def run(batches):
+        for *_, ids, vecs, copies in grouped(batches, key):
+            if len(ids) > 1:
+                yield met(ids, matrix(vecs), copies, floor, t)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "rep").mapInPandas(run, EDGE)
+
+
+def listed(edges: DataFrame, t: float) -> DataFrame:
+    """rep, list (of b, sim, copies, best first), crowded: a class's distinct edges cut to its list."""
+    entry = F.struct(F.col("sim"), (-F.col("b")).alias("_b"), F.col("b"), F.col("copies"))
+    each = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("copies").alias("copies"))
+    sorted_ = each.groupBy(F.col("a").alias("rep")).agg(F.sort_array(F.collect_list(entry), False).alias("l"))
+    links = F.size(F.filter("l", lambda x: x["sim"] >= t))
+    crowded = links > MOST
+    kept = F.slice("l", F.lit(1), F.when(crowded, F.lit(LIST)).otherwise(F.greatest(F.lit(LIST), links)))
+    return sorted_.select("rep", F.transform(kept, lambda x: F.struct(x["b"].alias("b"), x["sim"].alias("sim"), x["copies"].alias("copies"))).alias("list"), crowded.alias("crowded"))
+
+
+def told(nodes: DataFrame, floor: float, t: float) -> DataFrame:
+    """A round of NN-descent: edges a, b, sim, copies that a's list should hold and does not.
+
+    nodes: rep, vec, copies, list, crowded. Neighbours and reverse neighbours meet at a vector; where its reverse ones
+    are many, they are dealt to several places, each with all its own neighbours. Crowded vectors are told nothing.
+    """
+    out = nodes.where(F.size("list") > 0).select(F.col("rep").alias("hub"), F.explode("list.b").alias("rep"), F.lit(0).alias("back"))
+    into = out.select(F.col("rep").alias("hub"), F.col("hub").alias("rep"), F.lit(1).alias("back"))
+    places = into.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / AROUND).cast("int").alias("k"))
+    all_ = out.unionByName(into).groupBy("hub", "rep").agg(F.min("back").alias("back")).join(places, "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    part = F.when(F.col("back") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")))
+    all_ = all_.select("hub", F.explode(part).alias("part"), "rep")
+    full = F.size("list") >= LIST
+    least = F.when(F.col("crowded"), F.lit(2.0)).when(full, F.least(F.lit(t), F.element_at("list.sim", LIST))).otherwise(F.lit(floor))
+    about = nodes.select("rep", "vec", "copies", F.col("list.b").alias("known"), least.alias("least"))
+    rows = all_.join(about, "rep").select("hub", "part", "rep", "vec", "copies", "known", "least")
+
+    def run(batches):
+        for _, _, ids, vecs, copies, known, least_ in grouped(batches, ["hub", "part"]):
+            if len(ids) < 2:
+                continue
+            x = matrix(vecs)
+            s = x @ x.T
+            np.fill_diagonal(s, -2.0)
+            for i in np.flatnonzero((s >= least_[:, None]).any(1)):
+                j = np.flatnonzero(s[i] >= least_[i])
+                j = j[~np.isin(ids[j], known[i])]
+                if len(j):
+                    j = j[np.argsort(-s[i, j], kind="stable")][: MOST + 1]
+                    yield edges_frame(np.full(len(j), ids[i]), ids[j], s[i, j], copies[j])
+
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "rep").mapInPandas(run, EDGE)
 
-def lists_state(edges: DataFrame) -> tuple:
-    """Tells whether any list has changed."""
-    return tuple(edges.where(~F.col("link")).agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+def with_lists(about: DataFrame, edges: DataFrame, t: float, was_crowded: DataFrame | None = None) -> DataFrame:
+    """rep, space, vec, copies, list, crowded of every class, written; a class once crowded stays so."""
+    found = about.select("rep", "space", "vec", "copies").join(listed(edges, t), "rep", "left")
+    crowded = F.coalesce("crowded", F.lit(False))
+    if was_crowded is not None:
+        found = found.join(was_crowded.select("rep", F.col("crowded").alias("was")), "rep", "left")
+        crowded |= F.coalesce("was", F.lit(False))
+    empty = F.array().cast("array<struct<b:bigint,sim:double,copies:bigint>>")
+    return written(found.select("rep", "space", "vec", "copies", F.coalesce("list", empty).alias("list"), crowded.alias("crowded")), "vectors-lists")
 
-def audit(classes: DataFrame, roots: DataFrame, t: float) -> float:
-    """Share of a sample's true links whose ends are joined; the sample grows until it has AUDIT_LINKS links, or is all, or MOST_AUDIT vectors."""
-    n, size = classes.count(), AUDIT
+
+def as_edges(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("rep").alias("a"), F.explode("list").alias("e")).select("a", "e.b", "e.sim", "e.copies")
+
+
+def descend(nodes: DataFrame, floor: float, t: float) -> DataFrame:
+    """Rounds until no list is told of anything new."""
     while True:
-        met, joined = audited(classes, roots, t, size)
-        if met >= AUDIT_LINKS or size >= min(n, MOST_AUDIT):
-            return joined / met if met else 1.0
-        size *= 4
+        news = written(told(nodes, floor, t), "vectors-news")
+        if news.isEmpty():
+            return nodes
+        nodes = with_lists(nodes, as_edges(nodes).unionByName(news), t, nodes)
+
+
+def crowds(nodes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
+    """rep, others (links of each crowded class, by copies), a, b: and the roots a, b of components that these links join.
+
+    Rows have either rep and others, or a and b.
+    """
+    rooted = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("rep", "space", "vec", "copies", "crowded", F.coalesce("root", "rep").alias("root"))
+    rooted = written(rooted, "vectors-rooted")
+    full = rooted.where("crowded")
+    number = full.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("k"))
+    members = full.join(number, "root").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    members = written(members.select("root", "part", "space", "rep", "vec", "copies"), "vectors-crowded")
+    angle = float(np.arccos(min(t, 1.0))) + 1e-7
+
+    def centre(batches):
+        for root, part, space, _, vecs, _ in grouped(batches, ["root", "part"]):
+            x = matrix(vecs)
+            c = x.mean(0)
+            c /= max(np.sqrt(c @ c), 1e-300)
+            reach = float(np.arccos(np.clip(x @ c, -1, 1)).max()) + angle
+            yield pd.DataFrame({"space": space[:1], "root": root[:1], "part": part[:1], "centre": [c.tobytes()], "reach": [reach]})
+
+    dealt = members.repartition("root", "part").sortWithinPartitions("root", "part")
+    centres = written(dealt.mapInPandas(centre, "space bigint, root bigint, part int, centre binary, reach double"), "vectors-centres")
+    about = rooted.select("rep", "space", "vec", "copies", F.col("root").alias("own"))
+    if centres.limit(MOST_CENTRES + 1).count() <= MOST_CENTRES:
+        few = centres.toPandas()
+        groups = {k: (g["root"].to_numpy(), g["part"].to_numpy(), matrix(g["centre"].to_numpy()), g["reach"].to_numpy()) for k, g in few.groupby("space")}
+        shared = nodes.sparkSession.sparkContext.broadcast(groups)
+
+        def near(batches):
+            for batch in batches:
+                for space, g in batch.groupby("space"):
+                    if space in shared.value:
+                        root, part, c, reach = shared.value[space]
+                        i, j = np.nonzero(np.arccos(np.clip(matrix(g["vec"].to_numpy()) @ c.T, -1, 1)) <= reach)
+                        yield pd.DataFrame({"root": root[j], "part": part[j]}).assign(**{k: g[k].to_numpy()[i] for k in ("rep", "vec", "copies", "own")})
+
+        candidates = about.mapInPandas(near, "root bigint, part int, rep bigint, vec binary, copies bigint, own bigint")
+    else:
+        candidates = about.join(centres.select("space", "root", "part"), "space").select("root", "part", "rep", "vec", "copies", "own")
+    side = lambda df, n: df.select("root", "part", F.lit(n).alias("side"), "rep", "vec", "copies", "own")
+    rows = side(members.withColumn("own", F.col("root")), 0).unionByName(side(candidates, 1))
 
+    def compare(batches):
+        now, ids, x, counts, first = None, None, None, None, []
 
-def audited(classes: DataFrame, roots: DataFrame, t: float, size: int) -> tuple[int, int]:
-    """The links of `size` hashed vectors, each compared with all, and how many of them have joined ends."""
-    few = classes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(size).select("rep", "label", "embedding").toPandas()
-    if not len(few):
-        return 0, 0
-    groups = {k: (g["rep"].to_numpy(), unit(g["embedding"])) for k, g in few.groupby("label")}
-    shared = classes.sparkSession.sparkContext.broadcast(groups)
+        def done():
+            return pd.DataFrame({"rep": ids, "others": counts, "a": None, "b": None})
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch[["root", "part", "side"]].to_numpy()
+            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for lo, hi in pairwise(cut):
+                root, part, of = k[lo]
+                g = batch.iloc[lo:hi]
+                if (root, part) != now:
+                    if ids is not None:
+                        yield done()
+                    now, ids, first = (root, part), None, []
+                if not of:
+                    first.append(g)
+                    continue
+                if ids is None:
+                    all_ = pd.concat(first)
+                    ids, x = all_["rep"].to_numpy(), matrix(all_["vec"].to_numpy())
+                    counts = np.zeros(len(ids), np.int64)
+                other, copies = g["rep"].to_numpy(), g["copies"].to_numpy()
+                for at in range(0, len(g), BLOCK):
+                    few = slice(at, at + BLOCK)
+                    linked = (matrix(g["vec"].to_numpy()[few]) @ x.T >= t) & (other[few, None] != ids)
+                    counts += copies[few] @ linked
+                    strange = np.unique(g["own"].to_numpy()[few][linked.any(1)])
+                    strange = strange[strange != root]
+                    yield pd.DataFrame({"rep": None, "others": None, "a": strange, "b": root})
+        if ids is not None:
+            yield done()
+
+    placed = rows.repartition("root", "part").sortWithinPartitions("root", "part", "side")
+    return written(placed.mapInPandas(compare, "rep bigint, others bigint, a bigint, b bigint"), "vectors-crowds")
+
+
+def audit(nodes: DataFrame, counted: DataFrame, t: float) -> float:
+    """Share of the links of the query set, by comparing it with all vectors, that were found (counted: rep, others)."""
+    queries = nodes.where(F.col("rep") % 20 == 0).orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(AUDIT).select("rep", "space", "vec").toPandas()
+    if not len(queries):
+        return 1.0
+    shared = nodes.sparkSession.sparkContext.broadcast({k: (g["rep"].to_numpy(), matrix(g["vec"].to_numpy())) for k, g in queries.groupby("space")})
 
     def compare(batches):
         for batch in batches:
-            for label, g in batch.groupby("label"):
-                if label in shared.value:
-                    ids, q = shared.value[label]
-                    x = unit(g["embedding"])
-                    if x.shape[1] == q.shape[1]:
-                        i, j = np.nonzero(q @ x.T >= t)
-                        yield pd.DataFrame({"a": ids[i], "b": g["rep"].to_numpy()[j]})
-
-    true = classes.select("rep", "label", "embedding").mapInPandas(compare, "a bigint, b bigint").where("a <> b")
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    met = true.join(ra, "a", "left").join(rb, "b", "left").agg(F.count(F.lit(1)), F.count(F.when(F.col("ra") == F.col("rb"), 1))).first()
-    return met[0], met[1]
-
-
-def link_counts(classes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
-    """rep, others: copies of other classes linked with each, counted exactly within what links join, in blocks."""
-    inside = classes.join(roots, classes["rep"] == roots["node"]).select("root", "rep", "copies", "embedding")
-    rows = blocked(inside, ["root"])
-
-    def count(g: pd.DataFrame) -> pd.DataFrame:
-        x, copies, own = unit(g["embedding"]), g["copies"].to_numpy(), g["own"].to_numpy()
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        linked = (x @ x.T >= t).astype(float)
-        np.fill_diagonal(linked, 0)
-        if i != j:  # pairs inside a block are counted where it meets itself
-            linked *= own[:, None] != own[None, :]
-        return pd.DataFrame({"rep": g["rep"], "others": (linked @ copies).astype(np.int64)})
-
-    parts = by_group(rows.select("root", "i", "j", "own", "rep", "copies", "embedding"), ["root", "i", "j"], ["rep"], count, "rep bigint, others bigint")
-    return parts.groupBy("rep").agg(F.sum("others").alias("others"))
-
-
-def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
+            for space, g in batch.groupby("space"):
+                if space not in shared.value:
+                    continue
+                ids, q = shared.value[space]
+                other, copies, vecs = g["rep"].to_numpy(), g["copies"].to_numpy(), g["vec"].to_numpy()
+                total = np.zeros(len(ids), np.int64)
+                for at in range(0, len(g), BLOCK):
+                    few = slice(at, at + BLOCK)
+                    total += ((q @ matrix(vecs[few]).T >= t) & (ids[:, None] != other[few])) @ copies[few]
+                yield pd.DataFrame({"rep": ids[total > 0], "true": total[total > 0]})
+
+    true = nodes.select("rep", "space", "vec", "copies").mapInPandas(compare, "rep bigint, true bigint").groupBy("rep").agg(F.sum("true").alias("true"))
+    r = true.join(counted, "rep", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("others", F.lit(0)), "true"))).first()
+    return 1.0 if not r[0] else r[1] / r[0]
+
+
+def near_duplicates(vectors: DataFrame, t: float = 0.98, report: dict | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label). report: gets recall and attempts."""
     vectors = vectors.select("vec_id", "embedding", "label")
     every = written(usable(vectors), "vectors-classes")
-    widths = [r["w"] for r in every.select(F.size("embedding").alias("w")).distinct().collect()]  # one, but for stray vectors
-    counted, rooted = [], []
-    for width in widths:
-        classes = every.where(F.size("embedding") == width)
-        floor, edges = NEAR * t, None
-        for attempt in range(TRIES):
-            more = tables(classes, attempt, floor, t)
-            edges = written(shortened(more if edges is None else edges.unionByName(more)), "vectors-graph")
-            state = None
-            while state != (state := lists_state(edges)):
-                edges = written(descend(edges, classes, floor, t), "vectors-graph")
-            roots = written(components(edges.where(F.col("sim") >= t - 1e-9).select("a", "b")), "vectors-roots")
-            recall = audit(classes, roots, t)
-            if recall >= RECALL:
-                break
-        else:
-            raise RuntimeError(f"links are still missing after {TRIES} sets of tables: the audit found {recall:.4f} of its links joined")
-        counted.append(link_counts(classes, roots, t))
-        rooted.append(roots)
-    out = every
-    if widths:
-        counts, roots = reduce(DataFrame.unionByName, counted), reduce(DataFrame.unionByName, rooted)
-        out = every.join(counts, "rep", "left").join(roots, every["rep"] == roots["node"], "left")
-    else:
-        out = every.withColumns({"others": F.lit(None).cast("bigint"), "root": F.lit(None).cast("bigint")})
+    floor = 2 * t * t - 1  # two steps along links at the threshold lead no further away
+    nodes = None
+    for attempt in range(ATTEMPTS):
+        about = coded(every, t, attempt)
+        edges = tables(about, floor, t)
+        if nodes is not None:
+            edges = edges.unionByName(as_edges(nodes))
+        nodes = descend(with_lists(about, edges, t, nodes), floor, t)
+        links = as_edges(nodes).where(F.col("sim") >= t)
+        roots = written(components(links.select("a", "b")), "vectors-roots")
+        counted = links.groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+        if not nodes.where("crowded").isEmpty():
+            more = crowds(nodes, roots, t)
+            exact = more.where(F.col("rep").isNotNull()).groupBy("rep").agg(F.sum("others").alias("others"))
+            counted = counted.join(nodes.where("crowded").select("rep"), "rep", "left_anti").unionByName(exact)
+            joined = components(more.where(F.col("a").isNotNull()).select("a", "b")).select(F.col("node").alias("old"), F.col("root").alias("new"))
+            roots = roots.join(joined, roots["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+            lone = joined.join(roots.select("node"), joined["old"] == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+            roots = written(roots.unionByName(lone), "vectors-roots")
+        counted = written(counted, "vectors-counts")
+        recall = audit(nodes, counted, t)
+        if recall >= 1.0:
+            break
+    if report is not None:
+        report.update(recall=recall, attempts=attempt + 1)
+    out = every.join(counted, "rep", "left").join(roots, every["rep"] == roots["node"], "left")
     of_class = out.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     keyed = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     found = keyed.join(of_class, ["label", "embedding"], "left")
