@@ -37,7 +37,7 @@ LIST, MOST = 16, 64
 #: The chance at most that a link at the threshold meets in no table, the vectors of a bucket on average, and of a label that is one bucket.
 MISS, BUCKET, WHOLE = 1e-6, 96, 2000
 #: Vectors of a block where a bucket, or those around a vector, are many; of a block of crowded vectors.
-BLOCK, AROUND, CROWD = 1000, 512, 2048
+BLOCK, AROUND, CROWD = 1000, 512, 512
 #: Query vectors of the audit, and centres of crowded blocks that are broadcast, at most.
 AUDIT, MOST_CENTRES = 20_000, 20_000
 ATTEMPTS = 3
@@ -117,7 +117,10 @@ def edges_frame(a, b, sim, copies) -> pd.DataFrame:
 
 
 def met(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, floor: float, t: float) -> pd.DataFrame:
-    """What the lists of vectors that meet should hold of each other: the LIST best of at least `floor`, and all links up to MOST + 1."""
+    """What the lists of vectors that meet should hold of each other: the LIST best of at least `floor`, and all links up to MOST.
+
+    Of a vector with more links come the LIST best, and an edge to itself that marks it as crowded.
+    """
     s = x @ x.T
     np.fill_diagonal(s, -2.0)
     busy = np.flatnonzero((s >= floor).any(1))
@@ -125,15 +128,16 @@ def met(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, floor: float, t: flo
         return edges_frame(ids[:0], ids[:0], s[0, :0], copies[:0])
     s = s[busy]
     links = (s >= t).sum(1)
-    # one link more than a list may hold tells that the vector is crowded, wherever the others are met
-    keep = np.minimum(np.maximum(LIST, np.minimum(links, MOST + 1)), s.shape[1])
+    keep = np.minimum(np.where(links > MOST, LIST, np.maximum(LIST, links)), s.shape[1])
     wide = int(keep.max())
     at = np.argpartition(-s, wide - 1, 1)[:, :wide] if wide < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
     order = np.argsort(-np.take_along_axis(s, at, 1), 1, kind="stable")
     at = np.take_along_axis(at, order, 1)
     sims = np.take_along_axis(s, at, 1)
     chosen = (np.arange(at.shape[1]) < keep[:, None]) & (sims >= floor)
-    return edges_frame(np.repeat(ids[busy], chosen.sum(1)), ids[at[chosen]], sims[chosen], copies[at[chosen]])
+    full = ids[busy[links > MOST]]
+    a, b = np.concatenate([np.repeat(ids[busy], chosen.sum(1)), full]), np.concatenate([ids[at[chosen]], full])
+    return edges_frame(a, b, np.concatenate([sims[chosen], np.full(len(full), 2.0)]), np.concatenate([copies[at[chosen]], np.zeros(len(full), np.int64)]))
 
 
 def tables(coded_: DataFrame, floor: float, t: float) -> DataFrame:
@@ -161,8 +165,9 @@ def listed(edges: DataFrame, t: float) -> DataFrame:
     entry = F.struct(F.col("sim"), (-F.col("b")).alias("_b"), F.col("b"), F.col("copies"))
     each = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("copies").alias("copies"))
     sorted_ = each.groupBy(F.col("a").alias("rep")).agg(F.sort_array(F.collect_list(entry), False).alias("l"))
+    sorted_ = sorted_.select("rep", F.filter("l", lambda x: x["b"] != F.col("rep")).alias("l"), F.exists("l", lambda x: x["b"] == F.col("rep")).alias("marked"))
     links = F.size(F.filter("l", lambda x: x["sim"] >= t))
-    crowded = links > MOST
+    crowded = F.col("marked") | (links > MOST)
     kept = F.slice("l", F.lit(1), F.when(crowded, F.lit(LIST)).otherwise(F.greatest(F.lit(LIST), links)))
     return sorted_.select("rep", F.transform(kept, lambda x: F.struct(x["b"].alias("b"), x["sim"].alias("sim"), x["copies"].alias("copies"))).alias("list"), crowded.alias("crowded"))
 
@@ -195,8 +200,9 @@ def told(nodes: DataFrame, floor: float, t: float) -> DataFrame:
                 j = np.flatnonzero(s[i] >= least_[i])
                 j = j[~np.isin(ids[j], known[i])]
                 if len(j):
-                    j = j[np.argsort(-s[i, j], kind="stable")][: MOST + 1]
-                    yield edges_frame(np.full(len(j), ids[i]), ids[j], s[i, j], copies[j])
+                    full = (s[i] >= t).sum() > MOST
+                    j = np.append(j[np.argsort(-s[i, j], kind="stable")][: LIST if full else MOST], [i] * full)
+                    yield edges_frame(np.full(len(j), ids[i]), ids[j], np.where(j == i, 2.0, s[i, j]), copies[j])
 
     return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "rep").mapInPandas(run, EDGE)
 
@@ -235,38 +241,40 @@ def crowds(nodes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
     full = rooted.where("crowded")
     number = full.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("k"))
     members = full.join(number, "root").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    members = written(members.select("root", "part", "space", "rep", "vec", "copies"), "vectors-crowded")
+    members = written(members.select("root", "part", "k", "space", "rep", "vec", "copies"), "vectors-crowded")
     angle = float(np.arccos(min(t, 1.0))) + 1e-7
 
     def centre(batches):
-        for root, part, space, _, vecs, _ in grouped(batches, ["root", "part"]):
+        for root, part, k, space, _, vecs, _ in grouped(batches, ["root", "part"]):
             x = matrix(vecs)
             c = x.mean(0)
             c /= max(np.sqrt(c @ c), 1e-300)
             reach = float(np.arccos(np.clip(x @ c, -1, 1)).max()) + angle
-            yield pd.DataFrame({"space": space[:1], "root": root[:1], "part": part[:1], "centre": [c.tobytes()], "reach": [reach]})
+            yield pd.DataFrame({"space": space[:1], "root": root[:1], "part": part[:1], "k": k[:1], "centre": [c.tobytes()], "reach": [reach]})
 
     dealt = members.repartition("root", "part").sortWithinPartitions("root", "part")
-    centres = written(dealt.mapInPandas(centre, "space bigint, root bigint, part int, centre binary, reach double"), "vectors-centres")
+    centres = written(dealt.mapInPandas(centre, "space bigint, root bigint, part int, k int, centre binary, reach double"), "vectors-centres")
     about = rooted.select("rep", "space", "vec", "copies", F.col("root").alias("own"))
     if centres.limit(MOST_CENTRES + 1).count() <= MOST_CENTRES:
         few = centres.toPandas()
-        groups = {k: (g["root"].to_numpy(), g["part"].to_numpy(), matrix(g["centre"].to_numpy()), g["reach"].to_numpy()) for k, g in few.groupby("space")}
+        groups = {k: (g[["root", "part", "k"]].to_numpy(), matrix(g["centre"].to_numpy()), g["reach"].to_numpy()) for k, g in few.groupby("space")}
         shared = nodes.sparkSession.sparkContext.broadcast(groups)
 
         def near(batches):
             for batch in batches:
                 for space, g in batch.groupby("space"):
                     if space in shared.value:
-                        root, part, c, reach = shared.value[space]
+                        block, c, reach = shared.value[space]
                         i, j = np.nonzero(np.arccos(np.clip(matrix(g["vec"].to_numpy()) @ c.T, -1, 1)) <= reach)
-                        yield pd.DataFrame({"root": root[j], "part": part[j]}).assign(**{k: g[k].to_numpy()[i] for k in ("rep", "vec", "copies", "own")})
+                        yield pd.DataFrame(block[j], columns=["root", "part", "k"]).assign(**{k: g[k].to_numpy()[i] for k in ("rep", "vec", "copies", "own")})
 
-        candidates = about.mapInPandas(near, "root bigint, part int, rep bigint, vec binary, copies bigint, own bigint")
+        candidates = about.mapInPandas(near, "root bigint, part int, k int, rep bigint, vec binary, copies bigint, own bigint")
     else:
-        candidates = about.join(centres.select("space", "root", "part"), "space").select("root", "part", "rep", "vec", "copies", "own")
-    side = lambda df, n: df.select("root", "part", F.lit(n).alias("side"), "rep", "vec", "copies", "own")
-    rows = side(members.withColumn("own", F.col("root")), 0).unionByName(side(candidates, 1))
+        candidates = about.join(centres.select("space", "root", "part", "k"), "space").select("root", "part", "k", "rep", "vec", "copies", "own")
+    # a block meets its candidates in as many shares as its component has blocks
+    side = lambda df, n, share: df.select("root", "part", share.alias("share"), F.lit(n).alias("side"), "rep", "vec", "copies", "own")
+    rows = side(members.withColumn("own", F.col("root")), 0, F.explode(F.sequence(F.lit(0), F.col("k") - 1))).unionByName(
+        side(candidates, 1, F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")))
 
     def compare(batches):
         now, ids, x, counts, first = None, None, None, None, []
@@ -277,15 +285,15 @@ def crowds(nodes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            k = batch[["root", "part", "side"]].to_numpy()
+            k = batch[["root", "part", "share", "side"]].to_numpy()
             cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
             for lo, hi in pairwise(cut):
-                root, part, of = k[lo]
+                root, part, share, of = k[lo]
                 g = batch.iloc[lo:hi]
-                if (root, part) != now:
+                if (root, part, share) != now:
                     if ids is not None:
                         yield done()
-                    now, ids, first = (root, part), None, []
+                    now, ids, first = (root, part, share), None, []
                 if not of:
                     first.append(g)
                     continue
@@ -304,7 +312,7 @@ def crowds(nodes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
         if ids is not None:
             yield done()
 
-    placed = rows.repartition("root", "part").sortWithinPartitions("root", "part", "side")
+    placed = rows.repartition("root", "part", "share").sortWithinPartitions("root", "part", "share", "side")
     return written(placed.mapInPandas(compare, "rep bigint, others bigint, a bigint, b bigint"), "vectors-crowds")
 
 
