@@ -35,10 +35,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (word 5-grams, Jaccard >= 0.8): the one with the smallest id."""
+    """One document of each group of near copies (word 5-grams, Jaccard >= 0.8): the one with the smallest id (one row of each id; rows without id stay)."""
     found = jaccard.join(docs, n=5, t=0.8)
-    first = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # both by doc_id: texts are shuffled once
+    return kept.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of written tables that nothing reads any more (rounds of a loop, say)."""
+    for table in tables:
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}
+        for folder in folders:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
@@ -52,7 +61,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 .. n (grown as needed, kept by the worker)."""
     if len(_powers.get("up", ())) < n + 1:
-        size = max(1 << 20, 1 << int(n + 1).bit_length())
+        size = max(1 << 18, 1 << int(n + 1).bit_length())
         for name, base in (("up", BASE), ("down", _INVERSE)):
             with np.errstate(over="ignore"):
                 _powers[name] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, base, np.uint64), dtype=np.uint64)])
@@ -95,7 +104,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return SpanHash(data)(first, last), np.searchsorted(first, borders)
 
 
-def chunks(texts: list[str | None], most: int = 3_500_000):
+def chunks(texts: list[str | None], most: int = 1_000_000):
     """Ranges of texts of about `most` characters each (a longer text stands alone), to bound memory: some 50 bytes a character."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         first = F.min("v").over(Window.partitionBy("u"))
         small = large.select("u", "v", first.alias("m"))
         down = small.select(v.alias("u"), F.col("m").alias("v")).where(u > v)
-        e = written(down.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, e = e, written(down.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

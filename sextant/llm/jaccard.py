@@ -34,6 +34,10 @@ LENGTHENED = (1, 2, 4, 8, 16)
 #: Cost of verifying a candidate against meeting it once in a list.
 VERIFY = 30.0
 FEW, BLOCK = 24, 1000
+#: Characters of text that a worker hashes, or holds of a pair of blocks, at once.
+CHARS = 1_000_000
+#: N-grams of this class of frequency or more (16 times the usual load) go to long lists without being counted: they may be too many for one task.
+COMMON = 4
 #: The counting sketch: a fixed number of counters, in segments.
 SKETCH_BITS, SEGMENT = 22, 1 << 16
 
@@ -118,14 +122,14 @@ def choose(classes: np.ndarray, size: int, need: int) -> int:
 
 
 def prefixes(docs: DataFrame, n: int, t: float, classes: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, lo, hi (the set's fingerprint), ask (its l), prefix (its n-grams)."""
+    """doc_id, n_shingles, lo, hi (the set's fingerprint), ask (its l), prefix (its n-grams), common (those of them whose class is COMMON or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         by_counter = shared.value
         for batch in batches:
             texts, ids = list(batch["text"]), list(batch["doc_id"])
-            for start, stop in chunks(texts):
+            for start, stop in chunks(texts, CHARS):
                 values, at = ngram_sets(texts[start:stop], n)
                 level = by_counter[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 with np.errstate(over="ignore"):
@@ -135,17 +139,20 @@ def prefixes(docs: DataFrame, n: int, t: float, classes: np.ndarray) -> DataFram
                     v, c = values[at[i] : at[i + 1]], level[at[i] : at[i + 1]]
                     size = len(v)
                     if not size:
-                        out.append((ids[start + i], 0, 0, 0, 0, []))
+                        out.append((ids[start + i], 0, 0, 0, 0, [], []))
                         continue
                     order = np.argsort(c, kind="stable")
                     need = int(needed(t, np.array([size]))[0])
                     ask = choose(c[order], size, need)
+                    kept = order[: size - need + ask]
+                    often = c[kept] >= COMMON
                     with np.errstate(over="ignore"):
                         lo, hi = v.sum(dtype=np.uint64), second[at[i] : at[i + 1]].sum(dtype=np.uint64)
-                    out.append((ids[start + i], size, lo.astype(np.int64), hi.astype(np.int64), ask, v[order[: size - need + ask]].astype(np.int64)))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "lo", "hi", "ask", "prefix"]).astype({"doc_id": "Int64"})
+                    prefix = v[kept].astype(np.int64)
+                    out.append((ids[start + i], size, lo.astype(np.int64), hi.astype(np.int64), ask, prefix[~often], prefix[often]))
+                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "lo", "hi", "ask", "prefix", "common"]).astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id bigint, n_shingles bigint, lo bigint, hi bigint, ask int, prefix array<bigint>")
+    return docs.mapInPandas(run, "doc_id bigint, n_shingles bigint, lo bigint, hi bigint, ask int, prefix array<bigint>, common array<bigint>")
 
 
 def meet(grams: DataFrame, t: float) -> DataFrame:
@@ -159,8 +166,7 @@ def meet(grams: DataFrame, t: float) -> DataFrame:
                 continue
             at = starts[length == m]
             if m > FEW:
-                rows = (at[:, None] + np.arange(m)).ravel()
-                yield pd.DataFrame({"gram": g[rows], "a": rep[rows], "b": rep[rows], "ask": 0})
+                yield members((at[:, None] + np.arange(m)).ravel(), g, rep)
                 continue
             i, j = np.array(list(combinations(range(m), 2))).T
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
@@ -168,16 +174,29 @@ def meet(grams: DataFrame, t: float) -> DataFrame:
             x, y = x[near], y[near]
             yield pd.DataFrame({"gram": g[x], "a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]), "ask": np.minimum(ask[x], ask[y])})
 
+    def members(rows, g, rep):
+        return pd.DataFrame({"gram": g[rows], "a": rep[rows], "b": rep[rows], "ask": 0})
+
     def run(batches):
-        held = None  # the last list may go on in the next batch
+        held = long = None  # the last list may go on in the next batch; of a long one only the gram is kept
         for batch in batches:
             now = tuple(batch[c].to_numpy() for c in ("gram", "rep", "n", "ask"))
             if not len(now[0]):
                 continue
             now = tuple(np.concatenate(x) for x in zip(held, now)) if held else now
+            start = np.searchsorted(now[0], long, "right") if long is not None else 0
+            if start:
+                yield members(np.arange(start), now[0], now[1])
+                now = tuple(x[start:] for x in now)
+            if not len(now[0]):
+                held = None
+                continue
             last = np.searchsorted(now[0], now[0][-1])
             yield from emit(*(x[:last] for x in now)) if last else ()
-            held = tuple(x[last:] for x in now)
+            held, long = tuple(x[last:] for x in now), None
+            if len(held[0]) > FEW:
+                yield members(np.arange(len(held[0])), held[0], held[1])
+                held, long = None, held[0][0]
         if held:
             yield from emit(*held)
 
@@ -191,8 +210,10 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 300):
-                part = batch.iloc[lo : lo + 300]
+            length = (batch["ta"].str.len() + batch["tb"].str.len()).to_numpy()
+            cut = np.flatnonzero(np.diff(np.cumsum(length) // CHARS, prepend=-1)) if len(batch) else []
+            for lo, hi in zip(cut, [*cut[1:], len(batch)]):
+                part = batch.iloc[lo:hi]
                 names, inverse = np.unique(np.concatenate([part["a"], part["b"]]), return_inverse=True)
                 by_id = dict(zip(part["a"], part["ta"])) | dict(zip(part["b"], part["tb"]))
                 values, at = ngram_sets([by_id[k] for k in names], n)
@@ -207,11 +228,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint")
 
 
-def forest(values: np.ndarray, at: np.ndarray, t: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of sets (given by borders) under Jaccard >= t: each set against all later ones at once."""
+def forest(values: np.ndarray, at: np.ndarray, t: float, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all sets (given by borders) of different labels with Jaccard >= t: each set against all later ones at once."""
     size, k = np.diff(at), len(at) - 1
     vocabulary, code = np.unique(values, return_inverse=True)
-    label, links = np.arange(k), []
+    label, links = label.copy(), []
     mark = np.zeros(len(vocabulary), np.int32)
     for x in range(k - 1):
         if (label[x + 1 :] == label[x]).all():
@@ -228,36 +249,65 @@ def forest(values: np.ndarray, at: np.ndarray, t: float) -> list[tuple[int, int]
     return links
 
 
-def blocks(members: DataFrame, texts: DataFrame, n: int, t: float) -> DataFrame:
-    """Links (a, b) among the members (gram, a) of long lists, by blocks of about BLOCK members and pairs of blocks."""
-    counts = members.groupBy("gram").agg(F.count(F.lit(1)).alias("g"))
-    rows = members.join(counts, "gram").withColumn("k", F.ceil(F.col("g") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("a"), F.col("k")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other)
-    rows = rows.select("gram", "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    placed = rows.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "a")
-
-    def links(ids, texts_):
-        for lo, hi in [(0, len(ids))]:
-            values, at = ngram_sets(texts_[lo:hi], n)
-            return [(ids[x], ids[y]) for x, y in forest(values, at, t)]
+def placed(members: DataFrame, texts: DataFrame, extra: list[str]) -> DataFrame:
+    """gram, i, j, a, text and `extra` of the members (gram, a): lists in blocks of about BLOCK members and CHARS characters, for each pair i <= j of blocks."""
+    long = members.join(texts.select(F.col("doc_id").alias("a"), F.length("text").alias("chars")), "a")
+    sizes = long.groupBy("gram").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / CHARS)).cast("int").alias("k"))
+    rows = members.join(written(sizes, "jaccard-sizes"), "gram").withColumn("own", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("gram", "a", *extra, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("gram", "i", "j", "a", "text", *extra)
+
+
+def compared(rows: DataFrame, n: int, t: float, rooted: bool) -> DataFrame:
+    """Links (a, b) of a spanning forest of each pair of blocks; with `rooted`, only between members of different roots."""
+    rows = rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "a")
+
+    def links(ids: list, texts: list, roots: list):
+        parts = list(chunks(texts, CHARS // 2))
+        if len(parts) <= 2:
+            parts, pairs = [(0, len(texts))], [(0, 0)]
+        else:  # a few very long texts: part by part
+            pairs = list(combinations(range(len(parts)), 2))
+        for p, q in pairs:
+            at_ = [*range(*parts[p]), *(range(*parts[q]) if p != q else ())]
+            values, at = ngram_sets([texts[i] for i in at_], n)
+            label = np.unique([roots[i] for i in at_], return_inverse=True)[1] if rooted else np.arange(len(at_))
+            yield from ((ids[at_[x]], ids[at_[y]]) for x, y in forest(values, at, t, label))
 
     def run(batches):
-        key, ids, held = None, [], []
+        key, ids, held, roots = None, [], [], []
         for batch in batches:
             out = []
-            for g, i, j, a, text in batch.itertuples(index=False):
-                if (g, i, j) != key:
-                    out += links(ids, held) if len(ids) > 1 else []
-                    key, ids, held = (g, i, j), [], []
-                ids.append(a)
-                held.append(text)
+            for row in batch.itertuples(index=False):
+                if row[:3] != key:
+                    out += links(ids, held, roots) if len(ids) > 1 else []
+                    key, ids, held, roots = row[:3], [], [], []
+                ids.append(row[3])
+                held.append(row[4])
+                roots.append(row[5] if rooted else 0)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         if len(ids) > 1:
-            yield pd.DataFrame(links(ids, held), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(list(links(ids, held, roots)), columns=["a", "b"], dtype="int64")
+
+    return rows.mapInPandas(run, "a bigint, b bigint")
+
+
+def blocks(members: DataFrame, texts: DataFrame, near: DataFrame, n: int, t: float) -> DataFrame:
+    """Links (a, b) that, with the links `near`, join all that the members (gram, a) of long lists should be joined to.
 
-    return placed.select("gram", "i", "j", "a", "text").mapInPandas(run, "a bigint, b bigint")
+    First every text is compared in one of its lists only, the one of the least hash, which near copies mostly share.
+    Then in each list whose members are not of one component already, those of different components are compared.
+    Lists of the same members are compared once.
+    """
+    chosen = members.groupBy("a").agg(F.min_by("gram", F.xxhash64("gram")).alias("gram"))
+    first = written(near.unionByName(compared(placed(chosen, texts, []), n, t, False)), "jaccard-links")
+    roots = components(first).select(F.col("node").alias("a"), "root")
+    rooted = members.join(roots, "a", "left").select("gram", "a", F.coalesce("root", "a").alias("root"))
+    open_ = rooted.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("g"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("who"))
+    open_ = open_.where("least < most").groupBy("g", "who").agg(F.min("gram").alias("gram")).select("gram")
+    rest = written(rooted.join(open_, "gram").select("gram", "a", "root"), "jaccard-open")
+    return first.unionByName(compared(placed(rest, texts, ["root"]), n, t, True))
 
 
 def join(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
@@ -267,16 +317,19 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     sigs = written(prefixes(docs, n, t, classes), "jaccard-prefixes")
     sets = sigs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = sets.groupBy("lo", "hi", F.col("n_shingles").alias("n")).agg(
-        F.min("doc_id").alias("rep"), F.min_by(F.struct("ask", "prefix"), "doc_id").alias("p"))
-    reps = written(reps.select("lo", "hi", "n", "rep", "p.ask", "p.prefix"), "jaccard-classes")
+        F.min("doc_id").alias("rep"), F.min_by(F.struct("ask", "prefix", "common"), "doc_id").alias("p"))
+    reps = written(reps.select("lo", "hi", "n", "rep", "p.ask", "p.prefix", "p.common"), "jaccard-classes")
     grams = reps.select("rep", "n", "ask", F.explode("prefix").alias("gram")).repartition("gram").sortWithinPartitions("gram")
     met = written(meet(grams.select("gram", "rep", "n", "ask"), t), "jaccard-lists")
-    pairs = met.where("ask > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("ask").alias("ask")).where("shared >= ask").select("a", "b")
-    pairs = written(pairs, "jaccard-pairs")
-    members = met.where("ask = 0").select("gram", "a")
+    pairs = met.where("ask > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("ask").alias("ask"))
+    common = reps.select(F.col("rep").alias("a"), F.explode("common").alias("gram"))
+    twice = common.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
+    members = written(met.where("ask = 0").select("gram", "a").unionByName(common.join(twice, "gram").select("gram", "a")), "jaccard-members")
+    # a pair that shares fewer n-grams in short lists than it must may share the others in long ones, where it is compared
+    pairs = written(pairs.where("shared >= ask").select("a", "b"), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("a").alias("doc_id"))).distinct()
     texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
-    links = verified(pairs, texts, n, t).unionByName(blocks(members, texts, n, t))
+    links = blocks(members, texts, verified(pairs, texts, n, t), n, t)
     roots = components(links)
     of_class = reps.select("lo", "hi", F.col("n").alias("n_shingles"), "rep").join(roots, reps["rep"] == roots["node"], "left")
     of_class = of_class.select("lo", "hi", "n_shingles", F.coalesce("root", "rep").alias("component"))

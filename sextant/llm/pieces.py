@@ -27,7 +27,7 @@ class PieceModel:
     """The vocabulary of a SentencePiece model, and encoding and decoding by it."""
 
     #: Units kept by the cache's two generations.
-    KEPT = 300_000
+    KEPT = 150_000
 
     def __init__(self, path: str):
         import ahocorasick

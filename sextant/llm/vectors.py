@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .graph import components
 
 #: Entries of a list, and the most links that it is enlarged for.
@@ -228,7 +228,8 @@ def descend(nodes: DataFrame, floor: float, t: float) -> DataFrame:
         news = written(told(nodes, floor, t), "vectors-news")
         if news.isEmpty():
             return nodes
-        nodes = with_lists(nodes, as_edges(nodes).unionByName(news), t, nodes)
+        before, nodes = nodes, with_lists(nodes, as_edges(nodes).unionByName(news), t, nodes)
+        discard(before, news)
 
 
 def crowds(nodes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
