@@ -9,7 +9,8 @@ says.
 
 Edge cases: a null text counts as empty, a null role as ''; repeated turn numbers keep all rows, ordered by turn, role
 and text (nulls first); an empty table gives an empty result; other columns are ignored; null conversation ids form one
-conversation. A role holding a line end or control string is escaped like text.
+conversation. A role holding a line end or control string is escaped like text. A part of an unknown type becomes a
+placeholder of kind `other` without tokens. Texts of any length are kept whole; a conversation is one row of the result.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class Flat:
     """What a visitor has gathered: the flattened text, attachments in order, and the expanded token count."""
 
     out: list[str] = field(default_factory=list)
+    open: bool = False  # whether the turn's text ends in '<', which a '|' would make a control string
     attachments: list[dict] = field(default_factory=list)
     tokens: int = 0
 
@@ -61,12 +63,14 @@ class Visitor:
 
     def on_text(self, part: dict) -> None:
         text = escaped(part.get("text") or "")
-        joins = text.startswith("|") and self.flat.out and self.flat.out[-1].endswith("<")  # a control string over two parts
-        self.flat.out.append(_ESCAPE + text if joins else text)
+        if text:
+            self.flat.out.append(_ESCAPE + text if self.flat.open and text[0] == "|" else text)
+            self.flat.open = text[-1] == "<"
 
     def place(self, kind: str, part: dict, tokens: int) -> None:
         n = len(self.flat.attachments)
         self.flat.out.append(f"{PART}{kind}:{n}{CLOSE}")
+        self.flat.open = False
         self.flat.attachments.append({"kind": kind, "ref": part.get("ref") or "", "tokens": tokens})
         self.flat.tokens += tokens
 
@@ -81,7 +85,7 @@ class Visitor:
         self.place("document", part, int(part.get("pages") or 1) * PAGE_TOKENS)
 
     def on_other(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part.get('type')!r}")
+        self.place("other", part, 0)
 
 
 def format_turns(turns: list[tuple[str, list[dict]]]) -> dict:
@@ -89,7 +93,7 @@ def format_turns(turns: list[tuple[str, list[dict]]]) -> dict:
     visitor, pieces, spans, at = Visitor(), [], [], 0
     for role, parts in turns:
         head = f"{START}{escaped(role)}\n" if "\n" not in role else f"{START}{escaped(role).replace(chr(10), _ESCAPE + 'n')}\n"
-        first = len(visitor.flat.out)
+        first, visitor.flat.open = len(visitor.flat.out), False
         for part in parts:
             visitor.visit(part)
         body = "".join(visitor.flat.out[first:])
