@@ -5,11 +5,14 @@ is cut into overlapping blocks of words; a block matches a template when it hold
 distinct words. Template words are ordered by how many documents of the whole corpus hold them, rarest first. A block
 that reaches the threshold must hold one of a template's first |T| - ceil(t|T|) + 1 words (prefix filter), must have at
 least ceil(t|T|) words (length filter), and, where its first shared prefix word is the template's i-th, can share at
-most |T| - i words (positional filter). What is left is verified exactly. The templates are a fixed list, so their
-index is a bounded broadcast; documents are never shuffled with their text.
+most |T| - i words (positional filter). What is left is verified exactly, and must hold the template's own words that
+tell licenses apart (TELLING). The templates are a fixed list, so their index is a bounded broadcast; documents are
+never shuffled with their text.
 
 Only DataFrame functions. Edge cases: a null text counts as empty and has no words, places or labels; empty tables give
 empty results; repeated rows each get their own result row; other columns are ignored; ids may be null or repeated.
+Texts of any length are cut into blocks whole. Of phrases that overlap each place counts; the best containment is the
+score, whichever template has it.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ PHRASES = {
 
 #: Wordings of common notices, in words, with the label each stands for.
 TEMPLATES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction "
+     "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the mit license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -39,8 +46,9 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("all-rights-reserved", "all rights reserved"),
 ]
+#: Words without which a block is not a template's, however much of it they share: they tell licenses of like wording apart.
+TELLING = {"mit", "apache", "gnu", "mozilla", "nc", "noncommercial"}
 THRESHOLD = 0.8
 #: Words that separate: everything in ASCII that is no digit or letter.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -118,7 +126,8 @@ def template_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: l
     prefix = [(words[i], tid, i) for tid, (_, words) in enumerate(ordered) for i in range(len(words) - need[tid] + 1)]
     first = sorted({w for w, _, _ in prefix})
     index = spark.createDataFrame(prefix, "word string, tid int, at int")
-    table = spark.createDataFrame([(tid, label, words, need[tid]) for tid, (label, words) in enumerate(ordered)], "tid int, label string, words array<string>, need int")
+    table = spark.createDataFrame(
+        [(tid, label, words, need[tid], [w for w in words if w in TELLING]) for tid, (label, words) in enumerate(ordered)], "tid int, label string, words array<string>, need int, telling array<string>")
 
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.trim(spaced(F.col("text"))), " ").alias("w"))
     held = F.array(*[F.lit(w) for w in first])
@@ -133,7 +142,7 @@ def template_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: l
     first_shared = F.array_position(F.transform("words", lambda x: F.array_contains(F.col("b"), x)), True) - 1
     found = found.where(F.col("at") == first_shared)
     shared = F.size(F.array_intersect("b", "words"))
-    return found.withColumn("shared", shared).where("shared >= need").select(
+    return found.withColumn("shared", shared).where((F.col("shared") >= F.col("need")) & (F.size(F.array_except("telling", "b")) == 0)).select(
         "doc_id", "text_hash", "block", "tid", "label", (F.col("shared") / F.size("words")).alias("containment"))
 
 

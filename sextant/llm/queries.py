@@ -145,10 +145,11 @@ found AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place
 blocks AS (
   SELECT doc_id, list_distinct(w[(k * {_LONGEST} + 1):((k + 2) * {_LONGEST})]) AS b
   FROM (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - {_LONGEST}) / {_LONGEST}.0)::BIGINT) + 1)) AS k FROM n)),
-templates AS (SELECT label, list_distinct(string_split(t, ' ')) AS t FROM (VALUES {_TEMPLATES}) v(tid, label, t)),
+templates AS (
+  SELECT label, list_distinct(string_split(t, ' ')) AS t, list_intersect(list_distinct(string_split(t, ' ')), {sorted(licenses.TELLING)}) AS telling FROM (VALUES {_TEMPLATES}) v(tid, label, t)),
 matched AS (
   SELECT doc_id, label, len(list_intersect(b, t))::DOUBLE / len(t) AS containment FROM blocks, templates
-  WHERE len(list_intersect(b, t)) >= ceil(round({licenses.THRESHOLD} * len(t), 9))),
+  WHERE len(list_intersect(b, t)) >= ceil(round({licenses.THRESHOLD} * len(t), 9)) AND len(list_intersect(b, telling)) = len(telling)),
 best AS (SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS best FROM matched GROUP BY doc_id),
 based AS (SELECT *, list_sort(list_distinct(list_filter([{_BASE}], lambda x: x IS NOT NULL))) AS base FROM n)
 SELECT b.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, array_to_string(base, ',') AS base_labels,
