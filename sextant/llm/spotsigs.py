@@ -7,7 +7,10 @@ threshold meet, and prunes by length and by what is left to share before it coun
 
 Only DataFrame functions. Edge cases: a null text counts as empty; a text without chains is its own single signature, so
 equal texts have equal fingerprints; the empty text's fingerprint is empty, and two empty ones have likeness 1; an empty
-table gives an empty result; repeated rows each get a row; other columns are ignored.
+table gives an empty result; repeated rows each get a row (ties of an id: by text); other columns are ignored. Texts of
+any length are read whole.
+
+The registered query stops at fingerprints and the likenesses that its contract names; pairs are another call.
 """
 
 from __future__ import annotations
@@ -96,24 +99,37 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return d.withColumn("h", F.sha2("fingerprint", 256)).join(reps, "h").select(F.col("_key").alias(key), "fingerprint", "sigs", "rep")
 
 
-#: Neighbouring ids are kept together in runs of so many, runs in runs of runs.
-RUN, RUNS = 512, 4096
-_NO_ID = (1 << 62) // RUN
+#: Neighbouring ids are kept together in runs of 2**RUN; runs, and runs of runs, in groups of 2**RUNS, until few are left.
+RUN, RUNS = 9, 12
+_NO_ID = 1 << (63 - RUN)
 
 
 def _run(key: Column) -> Column:
-    return F.coalesce(F.floor(key / RUN), F.lit(_NO_ID))
+    return F.coalesce(F.shiftright(key.cast("long"), RUN), F.lit(_NO_ID))
+
+
+def with_previous(runs: DataFrame, bits: int) -> DataFrame:
+    """run, before: the run that comes before each (before the first: the last). bits: how many a run's number has.
+
+    A run's forerunner is in its group, or the last one of the group before it, which is found in the same way; so no
+    window holds more than a group, however sparse the ids are.
+    """
+    if bits <= RUNS:
+        order = Window.orderBy("run")
+        last = F.max("run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return runs.select("run", F.coalesce(F.lag("run").over(order), last).alias("before"))
+    grouped = runs.withColumn("group", F.shiftright("run", RUNS))
+    ends = grouped.groupBy("group").agg(F.max("run").alias("end"))
+    above = with_previous(ends.select(F.col("group").alias("run")), bits - RUNS)
+    enders = above.join(ends.select(F.col("group").alias("before"), "end"), "before").select(F.col("run").alias("group"), "end")
+    inside = grouped.withColumn("inside", F.lag("run").over(Window.partitionBy("group").orderBy("run")))
+    return inside.join(enders, "group").select("run", F.coalesce("inside", "end").alias("before"))
 
 
 def run_heads(docs: DataFrame) -> DataFrame:
     """run, head (its smallest id), prev (the run before it; before the first: the last). One row per run of ids."""
-    heads = docs.groupBy(_run(F.col("doc_id")).alias("run")).agg(F.min("doc_id").alias("head"))
-    heads = heads.withColumn("runs", F.floor(F.col("run") / RUNS))
-    ends = heads.groupBy("runs").agg(F.max("run").alias("end"))
-    over_all = Window.orderBy("runs")  # one row per RUN * RUNS ids
-    ends = ends.select("runs", F.coalesce(F.lag("end").over(over_all), F.max("end").over(over_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("end_before"))
-    inside = F.lag("run").over(Window.partitionBy("runs").orderBy("run"))
-    return heads.withColumn("inside", inside).join(ends, "runs").select("run", "head", F.coalesce("inside", "end_before").alias("prev"))
+    heads = written(docs.groupBy(_run(F.col("doc_id")).alias("run")).agg(F.min("doc_id").alias("head")), "spotsigs-runs")
+    return heads.join(with_previous(heads.select("run"), 64 - RUN).withColumnRenamed("before", "prev"), "run")
 
 
 def digest(docs: DataFrame) -> DataFrame:
