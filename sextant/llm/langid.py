@@ -2,9 +2,9 @@
 
 Two gated recurrent layers read the bytes of a text, one forwards and one backwards; a softmax over both states labels
 every position. A document's probabilities are the mean of its positions' probabilities over the bytes of letters. The
-network is trained in numpy by backpropagation through time, with Adam, on a bounded hash-ordered sample of pieces of
-labelled texts (SAMPLE). Whole texts are labelled, in windows of STEPS bytes that lie side by side; states start anew
-in each window, and the backward layer sees a window's end first.
+network is trained in numpy by backpropagation through time, with Adam, on the whole texts of a bounded hash-ordered
+sample of labelled rows (SAMPLE). Whole texts are read, in windows of STEPS bytes that lie side by side and reach CONTEXT
+bytes into their neighbours on both sides, where states warm up and nothing is labelled.
 
 Cell: f = sigmoid(F[x] + U f-part), c = tanh(C[x] + V (f * h)), h' = h + f * (c - h), where F and C are tables by byte
 (the byte's embedding times the input weights) and U, V are recurrent weights. Letters are lower-cased; ASCII
@@ -12,7 +12,8 @@ characters other than letters read as spaces.
 
 Edge cases: a null text or one without a letter is 'und' with score 0; null labels are not learned from; without any
 labelled row every text is 'und'; an empty table gives an empty result; repeated rows each get a row; other columns are
-ignored.
+ignored. Null ids are not held out. Of equally likely languages the first in order is taken. A very long text is read
+whole, window by window.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: pieces of texts, and characters of a piece.
-SAMPLE, PIECE_CHARS = 6000, 160
-STEPS, LANES, HIDDEN = 64, 4096, 6
+#: Bound of the training sample: labelled rows.
+SAMPLE = 600
+STEPS, CONTEXT, LANES, HIDDEN = 64, 16, 4096, 6
 EPOCHS, BATCH, RATE = 4, 64, 0.02
 UNDETERMINED = "und"
 
@@ -112,13 +113,13 @@ def through_time(cell: dict[str, np.ndarray], x: np.ndarray, kept: list, dstates
     return grad
 
 
-def fit(pieces: list[bytes], targets: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network | None:
-    """A network trained on the pieces (bytes); classes weigh the same however often they occur."""
+def fit(texts: list[bytes], targets: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network | None:
+    """A network trained on the texts (bytes); classes weigh the same however often they occur."""
     labels = sorted(set(targets))
     if not labels:
         return None
     net = start(labels, seed=seed)
-    x, _, y = windows(pieces, STEPS)
+    x, letters, y = windows(texts)
     if not x.shape[1]:
         return None
     target = np.array([labels.index(t) for t in targets])[y]
@@ -142,7 +143,7 @@ def fit(pieces: list[bytes], targets: list[str], seed: int = 0, epochs: int = EP
             p = np.exp(s)
             p /= p.sum(1, keepdims=True)
             p[:, target[pick], np.arange(len(pick))] -= 1
-            p *= (_LETTER[xb] * weight[pick])[:, None, :] / (len(pick) * STEPS / 8)
+            p *= (letters[:, pick] * weight[pick])[:, None, :] / (len(pick) * STEPS / 8)
             dboth = np.matmul(net.out.T, p)
             grads = list(through_time(net.forward, xb, kept_a, dboth[:, :half]).values())
             grads += list(through_time(net.backward, xb[::-1], kept_b, dboth[::-1, half:]).values())
@@ -158,17 +159,22 @@ def fit(pieces: list[bytes], targets: list[str], seed: int = 0, epochs: int = EP
     return net
 
 
-def windows(texts: list[bytes], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes [step, lane] of all texts cut into windows (a text's last one filled with spaces), the letters' weights, and each lane's text."""
-    counts = np.array([-(-len(t) // steps) for t in texts], np.int64)
-    data = b"".join(t.ljust(n * steps) for t, n in zip(texts, counts.tolist()))
-    x = _READ[np.frombuffer(data, np.uint8)].reshape(-1, steps)
-    return np.ascontiguousarray(x.T), np.ascontiguousarray(_LETTER[x].T), np.repeat(np.arange(len(texts)), counts)
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes [step, lane] of the windows of all texts (spaces around a text), the weights of what each labels, and each lane's text."""
+    counts = np.array([-(-len(t) // STEPS) for t in texts], np.int64)
+    around = b" " * CONTEXT
+    data = _READ[np.frombuffer(b"".join(around + t.ljust(n * STEPS) + around for t, n in zip(texts, counts.tolist())), np.uint8)]
+    owner = np.repeat(np.arange(len(texts)), counts)
+    first = np.arange(len(owner)) * STEPS + owner * 2 * CONTEXT
+    x = data[first + np.arange(STEPS + 2 * CONTEXT)[:, None]]
+    letters = _LETTER[x]
+    letters[:CONTEXT] = letters[STEPS + CONTEXT :] = 0
+    return x, letters, owner
 
 
 def label(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean probability [text, label] over the letters of each text; zeros where there are none."""
-    x, letters, owner = windows(texts, STEPS)
+    x, letters, owner = windows(texts)
     sums = np.zeros((len(texts), len(net.labels)))
     for lo in range(0, x.shape[1], LANES):
         p = probabilities(net, x[:, lo : lo + LANES])
@@ -179,19 +185,18 @@ def label(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, learn: Column, size: int = SAMPLE) -> DataFrame:
-    """Pieces of labelled texts at hashed places, a bounded number of documents in hash order: lang, piece."""
-    place = F.floor(F.abs(F.xxhash64("doc_id", F.lit(1))) % F.greatest(F.length("text") - PIECE_CHARS, F.lit(1)))
-    rows = docs.where(learn & F.col("lang").isNotNull())
+    """lang, text of a bounded number of labelled rows, in hash order."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     # About twice the sample passes a bound on the hash, so that no task sends more than its share to the final sort.
     share = min(1.0, 2.0 * size / max(rows.count(), 1))
-    rows = rows.where((F.length("text") > 0) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) <= int(share * (1 << 20))))
-    return rows.select("lang", F.substring(F.col("text"), (place + 1).cast("int"), F.lit(PIECE_CHARS)).alias("piece"), F.xxhash64("doc_id", F.lit(2)).alias("h")).orderBy("h", "lang", "piece").limit(size)
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    return rows.orderBy("h", "lang", "text").limit(size)
 
 
 def train(docs: DataFrame, learn: Column) -> Network | None:
-    """A network from the bounded sample (about a megabyte of text on the driver)."""
+    """A network from the bounded sample, which comes to the driver: SAMPLE texts, a few megabytes."""
     rows = sample(docs, learn).collect()
-    return fit([r["piece"].lower().encode() for r in rows], [r["lang"] for r in rows])
+    return fit([r["text"].lower().encode("utf-8", "replace") for r in rows], [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -207,7 +212,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             lengths = [len(t) if t else 0 for t in batch["text"]]
             for i, n in enumerate(lengths):
                 size += n
-                if size > 2_000_000 or i + 1 == len(lengths):
+                if size > 1_000_000 or i + 1 == len(lengths):
                     part = batch.iloc[lo : i + 1].copy()
                     texts = [t or "" for t in part["text"]]
                     has = np.array([any(map(str.isalpha, t)) for t in texts], bool)
@@ -231,6 +236,7 @@ FOLDS, HELD_OUT = 4, 2
 
 def digest(docs: DataFrame, remainder: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    net = train(docs, remainder != HELD_OUT)
-    rows = docs.select("doc_id", "text", (remainder == HELD_OUT).alias("held_out"))
+    held_out = F.coalesce(remainder == HELD_OUT, F.lit(False))
+    net = train(docs, ~held_out)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     return predict(rows, net).select("doc_id", "held_out", "lang_pred", "score")
