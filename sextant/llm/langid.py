@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the training sample: labelled rows.
-SAMPLE = 600
+SAMPLE = 400
 STEPS, CONTEXT, LANES, HIDDEN = 64, 16, 4096, 6
 EPOCHS, BATCH, RATE = 4, 64, 0.02
 UNDETERMINED = "und"
