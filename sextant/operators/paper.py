@@ -1,14 +1,10 @@
-"""Paper trading: orders against quotes, one account after another in time."""
+"""Orders with the quotes that held when they came."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FILLS = "account bigint, order_id bigint, status string, fill_price double, quantity double, cash_after double"
-
-
 def with_quotes(orders: DataFrame, quotes: DataFrame, by: list[str]) -> DataFrame:
     """orders (by, order_id, at, ..) with bid, ask and quote_at of the latest quote (by, at, bid, ask) not after them."""
     q = quotes.select(*by, F.col("at").alias("_at"), F.struct("bid", "ask", F.col("at").alias("quote_at")).alias("_q"))
@@ -18,39 +14,3 @@ def with_quotes(orders: DataFrame, quotes: DataFrame, by: list[str]) -> DataFram
     return both.withColumn("_last", F.last("_q", ignorenulls=True).over(w)).where("order_id IS NOT NULL").select(*[c for c in orders.columns], "_last.*")
 
 
-def fill(orders: DataFrame, cash: float = 100_000.0, slippage_bps: float = 2.0, stale_seconds: int = 300) -> DataFrame:
-    """FILLS of orders with quotes: account, order_id, at, quantity (signed), limit (or NULL), bid, ask, quote_at.
-
-    Buys fill at the ask and sales at the bid, moved against the order by the slippage. An order without a quote, with
-    one older than stale_seconds, beyond its limit, or without the cash is rejected. Cash runs on in time, so an account
-    is one group.
-    """
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out = cash, []
-        for r in pdf.sort_values(["at", "order_id"]).itertuples():
-            buy = r.quantity > 0
-            price = (r.ask if buy else r.bid) * (1 + (1 if buy else -1) * slippage_bps / 1e4)
-            status = "FILLED"
-            if pd.isna(r.bid) or pd.isna(r.ask):
-                status = "NO_QUOTE"
-            elif (r.at - r.quote_at).total_seconds() > stale_seconds:
-                status = "STALE_QUOTE"
-            elif not pd.isna(r.limit) and (price > r.limit if buy else price < r.limit):
-                status = "NOT_MARKETABLE"
-            elif buy and price * r.quantity > left:
-                status = "NO_CASH"
-            done = status == "FILLED"
-            left -= price * r.quantity if done else 0.0
-            out.append((key[0], r.order_id, status, price if done else None, r.quantity if done else 0.0, left))
-        return pd.DataFrame(out, columns=[c.strip().split()[0] for c in FILLS.split(",")])
-
-    return orders.groupBy("account").applyInPandas(run, FILLS)
-
-
-def round_trips(fills: DataFrame, links: DataFrame) -> DataFrame:
-    """open_id, close_id, gross of closed positions: links name the order that opened and the one that closed each."""
-    f = fills.where("status = 'FILLED'")
-    a = f.select(F.col("order_id").alias("open_id"), F.col("fill_price").alias("in_price"), "quantity")
-    b = f.select(F.col("order_id").alias("close_id"), F.col("fill_price").alias("out_price"))
-    return links.join(a, "open_id").join(b, "close_id").select("open_id", "close_id", (F.signum("quantity") * (F.col("out_price") / F.col("in_price") - 1)).alias("gross"))

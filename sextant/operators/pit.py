@@ -51,17 +51,17 @@ def asof_backward(decisions: DataFrame, values: DataFrame, by: list[str], at: st
 def asof_forward(events: DataFrame, sessions: DataFrame, at: str, close: str = "close_at", session: str = "session") -> DataFrame:
     """Each event with the first session whose close is not before it; NULL past the end.
 
-    Sessions and events are united and carried backward within runs of years, and an event with no later session in its
-    year takes the first session of a later one from a table of one row per year.
+    Sessions and events are united and carried backward within days, and an event after the last close of its day takes
+    the first session of a later day, from a table of one row per day.
     """
     e = events.withColumns({"_at": F.col(at), "_side": F.lit(0), "_s": F.lit(None).cast("date")})
     s = sessions.select(F.col(close).alias("_at"), F.lit(1).alias("_side"), F.col(session).alias("_s"))
-    both = e.unionByName(s, allowMissingColumns=True).withColumn("_y", F.year("_at"))
-    w = Window.partitionBy("_y").orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
-    firsts = s.groupBy(F.year("_at").alias("_fy")).agg(F.min_by("_s", "_at").alias("_first"))
-    years = both.select("_y").distinct()
-    after = years.join(F.broadcast(firsts), F.col("_fy") > F.col("_y")).groupBy("_y").agg(F.min_by("_first", "_fy").alias("_after"))
-    out = both.withColumn("_found", F.first("_s", ignorenulls=True).over(w)).where("_side = 0").join(after, "_y", "left")
+    both = e.unionByName(s, allowMissingColumns=True).withColumn("_y", F.to_date("_at"))
+    w = Window.partitionBy("_y").orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    days = both.where("_y IS NOT NULL").groupBy("_y").agg(F.min_by("_s", F.when(F.col("_side") == 1, F.col("_at"))).alias("_first"))
+    later = Window.orderBy(F.desc("_y")).rowsBetween(Window.unboundedPreceding, -1)
+    after = days.select("_y", F.last("_first", ignorenulls=True).over(later).alias("_after"))
+    out = both.withColumn("_found", F.last("_s", ignorenulls=True).over(w)).where("_side = 0").join(after, "_y", "left")
     return out.withColumn(session, F.coalesce("_found", "_after")).drop("_at", "_side", "_s", "_y", "_found", "_after")
 
 

@@ -1,132 +1,108 @@
-"""Resampling: bootstraps, permutation tests and Monte Carlo paths, one draw per row over the cluster.
+"""Resampling tests: draws are rows, picked positions come from hashes, and means are joins and aggregates.
 
-Every draw has its own seed from the run's seed and its number, so results don't depend on partitioning. A statistic's
-input series is one bounded series (a strategy's returns), gathered once and broadcast.
+A series is numbered within its group (a symbol, a strategy), and any number of groups runs at once. What a draw picks
+follows from the hash of seed, draw and position alone, so results depend neither on partitions nor on lost executors.
+Sums are combined before they are shuffled; nothing is gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A series longer than this is not gathered.
-MOST_VALUES = 2_000_000
-
-
-def gathered(rows: DataFrame, order: list[str], *columns: str) -> np.ndarray:
-    """The ordered columns of one series, whole; raises above MOST_VALUES rather than cut it."""
-    part = rows.select(*columns, *[c for c in order if c not in columns]).where(F.col(columns[0]).isNotNull())
-    if part.limit(MOST_VALUES + 1).count() > MOST_VALUES:
-        raise ValueError("the series is too long to gather; aggregate it first")
-    return part.orderBy(*order).select(*columns).toPandas().to_numpy()
+#: Hex digits of a hash that make a uniform number.
+DIGITS = 12
 
 
-def draws(spark, n: int, seed: int, work: Callable[[np.random.Generator, int], tuple], schema: str) -> DataFrame:
-    """draw and the columns of `schema` for draws 0 .. n - 1; work(rng, draw) gives one row."""
-    names = ["draw", *[c.strip().split()[0] for c in schema.split(",")]]
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the md5 of the parts."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") + 0.5) / F.lit(float(16**DIGITS))
 
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame([(d, *work(np.random.default_rng([seed, d]), d)) for d in batch["id"].tolist()], columns=names)
 
-    return spark.range(n).repartition(max(1, min(n // 50, 64))).mapInPandas(run, f"draw bigint, {schema}")
+def numbered(rows: DataFrame, by: list[str], order: list[str], *columns: str) -> DataFrame:
+    """by, the columns, pos (from 0) and n of each group's rows where the first column has a value."""
+    clean = rows.where(F.col(columns[0]).isNotNull())
+    w = Window.partitionBy(*by)
+    return clean.select(*by, *columns, (F.row_number().over(w.orderBy(*order)) - 1).alias("pos"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-def stationary_indices(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
-    """Positions of a stationary bootstrap: blocks of geometric length from random starts, wrapping around."""
-    fresh = rng.random(n) < 1 / mean_block
-    fresh[0] = True
-    start = rng.integers(0, n, n)
-    block = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    return (start[block] + np.arange(n) - block) % n
+def each_draw(rows: DataFrame, draws: int) -> DataFrame:
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
 
 
-def bootstrap_ci(spark, x: np.ndarray, n_boot: int = 2000, level: float = 0.95, block: float | None = None, seed: int = 0) -> DataFrame:
-    """One row: n, mean, lo, hi, p_le_zero of the mean's stationary bootstrap; NULLs below five values."""
-    x = np.asarray(x, float).ravel()
-    if len(x) < 5:
-        return spark.createDataFrame([(len(x), None, None, None, None)], "n bigint, mean double, lo double, hi double, p_le_zero double")
-    b = block or max(1.0, len(x) ** (1 / 3))
-    d = draws(spark, n_boot, seed, lambda rng, _: (float(x[stationary_indices(len(x), b, rng)].mean()),), "m double")
-    a = (1 - level) / 2
-    return d.agg(F.lit(len(x)).cast("long").alias("n"), F.lit(float(x.mean())).alias("mean"), F.expr(f"percentile(m, {a})").alias("lo"), F.expr(f"percentile(m, {1 - a})").alias("hi"), F.avg((F.col("m") <= 0).cast("double")).alias("p_le_zero"))
-
+def permutation_p(stats: DataFrame, drawn: DataFrame, by: list[str], draws: int) -> DataFrame:
+    """by, n, stat, p: the share of draws (by, m) that reach the statistic (by, n, stat), with one added to both."""
+    met = drawn.join(stats, by).groupBy(*by, "n", "stat").agg(((1 + F.count(F.when(F.col("m") >= F.col("stat"), 1))) / (draws + 1)).alias("p"))
+    return met.select(*by, "n", "stat", "p")
 
-def sign_flip_test(spark, x: np.ndarray, n_perm: int = 5000, seed: int = 0) -> DataFrame:
-    """One row: n, stat, p of the mean against random signs."""
-    x = np.asarray(x, float).ravel()
-    stat = float(x.mean())
-    d = draws(spark, n_perm, seed, lambda rng, _: (float((np.abs(x) * rng.choice([-1.0, 1.0], len(x))).mean()),), "m double")
-    return d.agg(F.lit(len(x)).cast("long").alias("n"), F.lit(stat).alias("stat"), ((1 + F.count(F.when(F.col("m") >= stat, 1))) / (n_perm + 1)).alias("p"))
 
+def sign_flip_test(rows: DataFrame, by: list[str], order: list[str], x: str, draws: int = 5000, seed: int = 0) -> DataFrame:
+    """by, n, stat, p of the mean against random signs."""
+    s = numbered(rows, by, order, x)
+    sign = F.when(uniform(F.lit(seed), F.col("draw"), F.col("pos")) < 0.5, -1.0).otherwise(1.0)
+    drawn = each_draw(s, draws).groupBy(*by, "draw").agg(F.avg(F.abs(x) * sign).alias("m"))
+    return permutation_p(s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("stat")), drawn, by, draws)
 
-def random_entry_test(spark, trade_returns: np.ndarray, directions: np.ndarray, pool: np.ndarray, n_perm: int = 2000, seed: int = 0) -> DataFrame:
-    """One row: n, stat, p of the mean trade against means of random entries from the pool of forward returns."""
-    r, s, pool = (np.asarray(v, float).ravel() for v in (trade_returns, directions, pool))
-    if len(pool) < 20 or len(r) < 5:
-        return spark.createDataFrame([(len(r), None, None)], "n bigint, stat double, p double")
-    stat = float(r.mean())
-    d = draws(spark, n_perm, seed, lambda rng, _: (float((rng.choice(pool, len(r)) * s).mean()),), "m double")
-    return d.agg(F.lit(len(r)).cast("long").alias("n"), F.lit(stat).alias("stat"), ((1 + F.count(F.when(F.col("m") >= stat, 1))) / (n_perm + 1)).alias("p"))
 
+def bootstrap_ci(rows: DataFrame, by: list[str], order: list[str], x: str, draws: int = 2000, level: float = 0.95, seed: int = 0, least: int = 5) -> DataFrame:
+    """by, n, mean, lo, hi, p_le_zero of the mean's stationary bootstrap (blocks of n^(1/3) rows on average, wrapping around).
 
-def circular_shift_test(spark, signal: np.ndarray, target: np.ndarray, n_perm: int = 2000, seed: int = 0, min_shift: int = 21) -> DataFrame:
-    """One row: n, stat, p of |Spearman| against circular shifts of the target's ranks."""
-    a, b = pd.Series(np.ravel(signal)).rank().to_numpy(), pd.Series(np.ravel(target)).rank().to_numpy()
-    a, b = (a - a.mean()) / a.std(), (b - b.mean()) / b.std()
-    n, stat = len(a), abs(float((a * b).mean()))
-    d = draws(spark, n_perm, seed, lambda rng, _: (abs(float((a * np.roll(b, int(rng.integers(min_shift, n - min_shift)))).mean())),), "m double")
-    return d.agg(F.lit(n).cast("long").alias("n"), F.lit(stat).alias("stat"), ((1 + F.count(F.when(F.col("m") >= stat, 1))) / (n_perm + 1)).alias("p"))
-
-
-def monte_carlo(spark, r: np.ndarray, capitals: list[float], paths: int = 1000, trades: int = 200, fraction: float = 0.1, fixed_cost: float = 1.0, minimum: float = 100.0, ruin: float = 0.5, haircut: float = 0.5, block: float = 5.0, seed: int = 0) -> DataFrame:
-    """capital, variant and path statistics of block-bootstrapped trades: a fixed fraction, fixed costs, a smallest position, ruin.
-
-    One row of work per (capital, variant, path); the summary is one aggregation. The stressed variant keeps a share of
-    the mean. Below ten trades there is nothing to resample, and the status says so.
+    A draw's blocks begin at positions chosen by hash, and a block's sum is a difference of running sums, so the rows
+    that meet the running sums are blocks, not draws times rows. Groups below `least` rows have no result.
     """
-    r = np.asarray(r, float).ravel()
-    if len(r) < 10:
-        return spark.createDataFrame([("INSUFFICIENT", len(r))], "status string, n bigint")
-    variants = {"historical": r, "stressed": r - haircut * r.mean()}
-    grid = [(c, v) for c in capitals for v in variants]
-
-    def one(rng, d):
-        capital, variant = grid[d % len(grid)]
-        x = variants[variant]
-        k = np.concatenate([stationary_indices(len(x), block, rng) for _ in range(-(-trades // len(x)))])[:trades]
-        equity = peak = capital
-        worst, doubled, dead, skipped = 0.0, None, False, 0
-        for i, v in enumerate(x[k]):
-            size = fraction * equity
-            if size < minimum:
-                skipped += 1
-                continue
-            equity += size * v - fixed_cost
-            peak, worst = max(peak, equity), min(worst, equity / max(peak, equity) - 1)
-            doubled = i + 1 if doubled is None and equity >= 2 * capital else doubled
-            if equity <= ruin * capital:
-                dead = True
-                break
-        return capital, variant, equity / capital, worst, dead, doubled, skipped
-
-    d = draws(spark, paths * len(grid), seed, one, "capital double, variant string, final double, max_dd double, ruined boolean, doubled_at double, skipped int")
-    q = lambda c, p: F.expr(f"percentile({c}, {p})")
-    return d.groupBy("capital", "variant").agg(
-        F.count(F.lit(1)).alias("paths"), F.avg("final").alias("mean_final"), q("final", 0.05).alias("p05"), q("final", 0.5).alias("median"), q("final", 0.95).alias("p95"),
-        F.avg((F.col("final") < 1).cast("double")).alias("p_loss"), F.avg(F.col("ruined").cast("double")).alias("p_ruin"), q("max_dd", 0.5).alias("median_dd"), F.min("max_dd").alias("worst_dd"),
-        F.avg(F.col("doubled_at").isNotNull().cast("double")).alias("p_double"), q("doubled_at", 0.5).alias("median_to_double"), F.avg("skipped").alias("mean_skipped"))
-
-
-def compare_with_history(spark, forward: np.ndarray, history: np.ndarray, n_boot: int = 5000, seed: int = 0) -> DataFrame:
-    """One row: n, forward_mean, percentile of the forward mean among means of as many draws from history."""
-    f, h = np.ravel(forward), np.ravel(history)
-    d = draws(spark, n_boot, seed, lambda rng, _: (float(rng.choice(h, len(f)).mean()),), "m double")
-    return d.agg(F.lit(len(f)).cast("long").alias("n"), F.lit(float(f.mean())).alias("forward_mean"), F.avg((F.col("m") <= float(f.mean())).cast("double")).alias("percentile"))
+    s = numbered(rows, by, order, x).where(F.col("n") >= least)
+    so_far = F.sum(x).over(Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    sums = s.select(*by, (F.col("pos") + 1).alias("k"), so_far.alias("c")).unionByName(s.where("pos = 0").select(*by, F.col("pos").alias("k"), F.lit(0.0).alias("c")))
+    fresh = (F.col("pos") == 0) | (uniform(F.lit(seed), F.col("draw"), F.col("pos"), F.lit("cut")) < F.pow("n", F.lit(-1 / 3)))
+    b = each_draw(s.select(*by, "pos", "n"), draws).where(fresh)
+    start = F.floor(uniform(F.lit(seed), F.col("draw"), F.col("pos"), F.lit("start")) * F.col("n")).cast("int")
+    after = F.coalesce(F.lead("pos").over(Window.partitionBy(*by, "draw").orderBy("pos")), F.col("n").cast("int"))
+    b = b.select(*by, "draw", "n", start.alias("k0"), (start + after - F.col("pos")).alias("stop"))
+    b = b.select(*by, "draw", "n", "k0", F.least("stop", F.col("n").cast("int")).alias("k1"), F.greatest(F.col("stop") - F.col("n").cast("int"), F.lit(0)).alias("k2"))
+    for i in ("0", "1", "2"):
+        b = b.join(sums.select(*by, F.col("k").alias(f"k{i}"), F.col("c").alias(f"c{i}")), [*by, f"k{i}"])
+    m = b.groupBy(*by, "draw", "n").agg((F.sum(F.col("c1") - F.col("c0") + F.col("c2")) / F.col("n")).alias("m"))
+    a = (1 - level) / 2
+    spread = m.groupBy(*by).agg(F.expr(f"percentile(m, {a})").alias("lo"), F.expr(f"percentile(m, {1 - a})").alias("hi"), F.avg((F.col("m") <= 0).cast("double")).alias("p_le_zero"))
+    return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean")).join(spread, by)
+
+
+def random_entry_test(trades: DataFrame, pool: DataFrame, by: list[str], order: list[str], ret: str, direction: str, pool_order: list[str], label: str, draws: int = 2000, seed: int = 0, least: int = 5, least_pool: int = 20) -> DataFrame:
+    """by, n, stat, p of the mean trade against means of as many random entries from the group's pool of forward returns."""
+    t = numbered(trades, by, order, ret, direction).where(F.col("n") >= least)
+    p = numbered(pool, by, pool_order, label).select(*by, F.col("pos").alias("k"), F.col("n").alias("size"), label).where(F.col("size") >= least_pool)
+    sizes = p.where("k = 0").select(*by, "size")
+    k = F.floor(uniform(F.lit(seed), F.col("draw"), F.col("pos")) * F.col("size")).cast("int")
+    picked = each_draw(t.join(sizes, by), draws).select(*by, "draw", direction, k.alias("k")).join(p.select(*by, "k", label), [*by, "k"])
+    drawn = picked.groupBy(*by, "draw").agg(F.avg(F.col(label) * F.col(direction)).alias("m"))
+    return permutation_p(t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(ret).alias("stat")), drawn, by, draws)
+
+
+def circular_shift_test(rows: DataFrame, by: list[str], order: list[str], a: str, b: str, draws: int = 2000, seed: int = 0, min_shift: int = 21) -> DataFrame:
+    """by, n, stat, p of |Spearman| of two series against circular shifts of the second by at least min_shift."""
+    from ..functions.windows import rank_pct
+
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_a": rank_pct(F.col(a), by), "_b": rank_pct(F.col(b), by)})
+    w = Window.partitionBy(*by)
+    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)
+    s = numbered(both.withColumns({"_a": z("_a"), "_b": z("_b")}), by, order, "_a", "_b").where(F.col("n") > 2 * min_shift)
+    shift = min_shift + F.floor(uniform(F.lit(seed), F.col("draw")) * (F.col("n") - 2 * min_shift))
+    moved = each_draw(s.select(*by, "_a", "pos", "n"), draws).withColumn("k", F.pmod(F.col("pos") - shift, F.col("n")).cast("int"))
+    met = moved.join(s.select(*by, F.col("pos").alias("k"), "_b"), [*by, "k"])
+    drawn = met.groupBy(*by, "draw").agg(F.abs(F.avg(F.col("_a") * F.col("_b"))).alias("m"))
+    return permutation_p(s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(F.col("_a") * F.col("_b"))).alias("stat")), drawn, by, draws)
+
+
+def compare_with_history(forward: DataFrame, history: DataFrame, by: list[str], order: list[str], x: str, draws: int = 5000, seed: int = 0) -> DataFrame:
+    """by, n, forward_mean, percentile: where the forward mean lies among means of as many draws from the group's history."""
+    f, h = numbered(forward, by, order, x), numbered(history, by, order, x)
+    pool = h.select(*by, F.col("pos").alias("k"), F.col("n").alias("size"), F.col(x).alias("_h"))
+    k = F.floor(uniform(F.lit(seed), F.col("draw"), F.col("pos")) * F.col("size")).cast("int")
+    picked = each_draw(f.select(*by, "pos").join(pool.where("k = 0").select(*by, "size"), by), draws).select(*by, "draw", k.alias("k")).join(pool.select(*by, "k", "_h"), [*by, "k"])
+    drawn = picked.groupBy(*by, "draw").agg(F.avg("_h").alias("m"))
+    stat = f.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("forward_mean"))
+    return drawn.join(stat, by).groupBy(*by, "n", "forward_mean").agg(F.avg((F.col("m") <= F.col("forward_mean")).cast("double")).alias("percentile"))
 
 
 def walk_forward_folds(sessions: DataFrame, train: int = 756, test: int = 252, purge: int = 21, expanding: bool = True) -> DataFrame:

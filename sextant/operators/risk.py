@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +96,7 @@ def gate(trades: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     trades: notional (negative: a sale), equity, cash, held, gross, sector_value, beta, beta_exposure, adv, drawdown,
     var95, event_risk (boolean), event_value, loss_share (largest loss over notional of an option trade, else NULL) and
     vega_share (dollar vega over notional, else NULL). No equity, a drawdown or a VaR beyond its limit stops purchases
-    whatever their size; sales are always allowed.
+    whatever their size; sales are always allowed. Where trades have a column `refused` (see `refusals`), it stops them.
     """
     e, none = F.col("equity"), F.lit(float("inf"))
     buys = F.col("notional") > 0
@@ -107,7 +105,8 @@ def gate(trades: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
         "beta": (limits["beta"] * e - F.col("beta_exposure")) / F.greatest(F.abs("beta"), F.lit(1e-12)), "cash": F.col("cash") - limits["cash_buffer"] * e, "liquidity": limits["liquidity"] * F.col("adv"),
         "event_risk": F.when(F.col("event_risk"), limits["event_risk"] * e - F.col("event_value")), "option_premium_at_risk": limits["option_premium"] * e / F.abs("loss_share"), "vega": limits["vega"] * e * 100 / F.abs("vega_share")}
     entries = F.array(*[F.struct(F.coalesce(c, none).alias("cap"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, c) in enumerate(caps.items())])
-    hard = (e <= 0) | (buys & (F.col("drawdown") <= -limits["drawdown_halt"])) | (buys & F.coalesce(F.col("var95") > limits["var95"], F.lit(False)))
+    refused = F.coalesce(F.col("refused"), F.lit(False)) if "refused" in trades.columns else F.lit(False)
+    hard = (e <= 0) | refused | (buys & (F.col("drawdown") <= -limits["drawdown_halt"])) | (buys & F.coalesce(F.col("var95") > limits["var95"], F.lit(False)))
     t = trades.withColumn("_t", F.array_min(entries))
     free = F.when(buys, F.greatest(F.lit(0.0), F.least(F.abs("notional"), "_t.cap"))).otherwise(F.abs("notional"))
     t = t.withColumn("allowed", F.when(hard, 0.0).otherwise(free))
@@ -130,34 +129,6 @@ def adjusted_edges(signals: DataFrame) -> DataFrame:
     return s.withColumn("edge", F.when(F.col("active"), F.coalesce("shrunk", F.lit(0.0)) * decay * F.coalesce("regime_factor", F.lit(1.0))).otherwise(0.0))
 
 
-def combine(mu: np.ndarray, cov: np.ndarray, long_only: bool = True) -> np.ndarray:
-    """Weights C^-1 mu of one universe's bounded signals, clipped and normalised; all zero where nothing is left."""
-    w = np.linalg.solve(cov + 1e-12 * np.eye(len(mu)), mu)
-    w = np.maximum(w, 0) if long_only else w
-    total = np.abs(w).sum()
-    return w / total if total > 0 else w * 0
-
-
-def fractional_kelly(mu: np.ndarray, cov: np.ndarray, fraction: float = 0.25, cap: float = 0.2, gross: float = 1.0, long_only: bool = True, steps: int = 2000) -> np.ndarray:
-    """argmax mu'w - w'Cw / (2 fraction) in a box with a gross limit, by projected gradient steps."""
-    w, lo = np.zeros(len(mu)), (0.0 if long_only else -cap)
-    rate = fraction / max(np.linalg.eigvalsh(cov)[-1], 1e-12)
-
-    def project(v):
-        v = np.clip(v, lo, cap)
-        if np.abs(v).sum() <= gross:
-            return v
-        a, b = 0.0, np.abs(v).max()
-        for _ in range(80):  # shrink all by the same amount until the gross limit holds
-            m = (a + b) / 2
-            a, b = (m, b) if np.maximum(np.abs(v) - m, 0).sum() > gross else (a, m)
-        return np.sign(v) * np.maximum(np.abs(v) - b, 0)
-
-    for _ in range(steps):
-        w = project(w + rate * (mu - cov @ w / fraction))
-    return w
-
-
 def recommended_fraction(kelly: Column, n: Column, fraction: float = 0.25, cap: float = 0.2, least: int = 30) -> Column:
     return F.when(n < least, 0.0).otherwise(F.greatest(F.least(kelly * fraction, F.lit(cap)), F.lit(0.0)))
 
@@ -170,7 +141,20 @@ def evaluate_predictions(pred: DataFrame, by: list[str], cost: float, threshold:
         F.avg(F.when(on, F.col("label"))).alias("hit_rate"), F.avg("label").alias("base_rate"), F.avg((F.col("prob") - F.col("label")) ** 2).alias("brier"))
 
 
-def frame(cov: DataFrame) -> pd.DataFrame:
-    """A covariance table of one bounded universe as a square."""
-    m = cov.select("sym_a", "sym_b", "cov").toPandas().pivot(index="sym_a", columns="sym_b", values="cov")
-    return m.combine_first(m.T)
+def refusals(trades: DataFrame, allow_short: bool = False, allow_naked: bool = False) -> DataFrame:
+    """Adds refused and why: what no size mends. A short stock position, an option sold with undefined risk, an option bought without a known largest loss.
+
+    trades: kind (option or other), quantity, existing, short_option, defined_risk, max_loss.
+    """
+    option = F.col("kind") == "option"
+    reasons = [
+        F.when(~option & (F.col("existing") + F.col("quantity") < 0) & F.lit(not allow_short), "short stock"),
+        F.when(F.col("short_option") & ~F.col("defined_risk") & F.lit(not allow_naked), "undefined risk"),
+        F.when(option & (F.col("quantity") > 0) & F.col("max_loss").isNull(), "no largest loss")]
+    t = trades.withColumn("why", F.concat_ws("; ", *reasons))
+    return t.withColumn("refused", F.col("why") != "")
+
+
+def whole_units(allowed: Column, unit: Column, kind: Column, multiplier: Column) -> Column:
+    """The allowed notional in whole contracts, where contracts can't be split."""
+    return F.when((kind == "option") | (multiplier > 1), F.floor(allowed / unit + 1e-9) * unit).otherwise(allowed)

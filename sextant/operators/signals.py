@@ -27,10 +27,12 @@ def threshold_signal(p: DataFrame, wanted: list[tuple[str, str, float]], directi
     return p.withColumn("signal", on.cast("double") * direction + 0.0).drop("_on")
 
 
-def quantile_signal(p: DataFrame, feature: str, quantile: float = 0.2, side: str = "top", every: int = 1, direction: float = 1.0) -> DataFrame:
-    """Adds signal: the top (pct > 1 - q) or bottom (pct <= q) of each session, only at rows 0, every, 2 every .. of the sessions."""
+def quantile_signal(p: DataFrame, feature: str, quantile: float = 0.2, side: str = "top", every: int = 1, direction: float = 1.0, wanted: list[tuple[str, str, float]] | None = None) -> DataFrame:
+    """Adds signal: the top (pct > 1 - q) or bottom (pct <= q) of each session where all conditions hold, only at rows 0, every, 2 every .. of the sessions."""
     p = p.withColumn("_pct", rank_pct(F.col(feature), ["session"]))
     on = F.col("_pct") > 1 - quantile if side == "top" else F.col("_pct") <= quantile
+    if wanted:
+        on = on & conditions(wanted)
     if every > 1:
         p = p.withColumn("_pos", F.row_number().over(by_symbol()) - 1)
         on = on & (F.col("_pos") % every == 0)
@@ -38,11 +40,12 @@ def quantile_signal(p: DataFrame, feature: str, quantile: float = 0.2, side: str
 
 
 def state_weights(p: DataFrame, wanted: list[tuple[str, str, float]], gross: float = 1.0, slots: int | None = None) -> DataFrame:
-    """Adds weight: gross shared evenly by the qualifying symbols of a session, or in fixed slots."""
+    """Adds weight: gross shared evenly by the qualifying symbols of a session, or in fixed slots; NULL (no decision) where no symbol has all features."""
     on = conditions(wanted).cast("double")
-    p = p.withColumn("_on", on)
+    known = reduce(operator.and_, [F.col(c).isNotNull() for c, _, _ in wanted])
+    p = p.withColumns({"_on": on, "_known": F.count(F.when(known, 1)).over(by_session())})
     share = F.col("_on") / slots if slots else F.coalesce(ratio(F.col("_on"), F.sum("_on").over(by_session())), F.lit(0.0))
-    return p.withColumn("weight", share * gross).drop("_on")
+    return p.withColumn("weight", F.when(F.col("_known") > 0, share * gross)).drop("_on", "_known")
 
 
 def constant_weights(p: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

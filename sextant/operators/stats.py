@@ -41,7 +41,8 @@ def adjust(rows: DataFrame, p: str, tie: list[str], by: list[str] | None = None)
     w = Window.partitionBy(*keys)
     up = w.orderBy("_q", *tie)
     r = r.withColumns({"_m": F.count(F.lit(1)).over(w).cast("double"), "_k": F.row_number().over(up)})
-    before, after = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(0, Window.unboundedFollowing)
+    before = up.rowsBetween(Window.unboundedPreceding, 0)
+    after = w.orderBy(F.desc("_q"), *[F.desc(t) for t in tie]).rowsBetween(Window.unboundedPreceding, 0)
     one = F.lit(1.0)
     bh = F.min(F.least(F.col("_q") * F.col("_m") / F.col("_k"), one)).over(after)
     harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)

@@ -28,7 +28,7 @@ def candidates(p: DataFrame, costs: Costs, holding: int = 5, execution: str = "n
     ok = F.col(px).isNotNull() & (F.col("raw_volume") > 0)
     p = with_liquidity(p).withColumn("pos", F.row_number().over(w))
     here = F.when(ok, F.struct("pos", F.col("session").alias("session"), F.col(px).alias("px")))
-    later = F.min(here).over(w.rowsBetween(holding + 1, Window.unboundedFollowing))
+    later = F.min(here).over(Window.partitionBy("symbol").orderBy(F.desc("session")).rowsBetween(Window.unboundedPreceding, -(holding + 1)))
     p = p.withColumns({"_x": later, "_in": F.lead("session").over(w), "_px": F.lead(px).over(w), "_raw": F.lead(raw).over(w), "_vol": F.lead("raw_volume").over(w)})
     c = p.where((F.coalesce("signal", F.lit(0.0)) != 0) & F.col("_px").isNotNull() & (F.col("_vol") > 0) & F.col("_x").isNotNull() & F.col("raw_close").isNotNull())
     c = c.withColumns({"direction": F.signum("signal"), "_n": F.lit(float(notional))})

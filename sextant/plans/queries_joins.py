@@ -18,13 +18,13 @@ _INTERVALS = "iv AS (SELECT user_id AS security_id, event_type AS value, min(ts)
 _T = "1997-06-30 12:00:00"
 
 
-@Q.query(f"""WITH {_MACRO}, d AS (SELECT DISTINCT o_orderpriority AS series_id, o_orderdate::TIMESTAMP AS decision_at FROM orders WHERE o_orderkey % 10 = 0),
+@Q.query(f"""WITH {_MACRO}, d AS (SELECT DISTINCT o_orderpriority AS series_id, o_orderdate::TIMESTAMP AS decision_at FROM orders),
 fresh AS (SELECT * FROM (SELECT *, max(observation_date) OVER (PARTITION BY series_id ORDER BY available_at, observation_date, seq ROWS UNBOUNDED PRECEDING) AS top FROM m) WHERE observation_date = top),
 one AS (SELECT series_id, available_at, last(value ORDER BY observation_date, seq) AS value, max(observation_date) AS period FROM fresh GROUP BY series_id, available_at)
 SELECT d.series_id, d.decision_at, value, period FROM d ASOF LEFT JOIN one o ON d.series_id = o.series_id AND d.decision_at >= o.available_at""")
 def asof_vintage(spark, sf_dir):
     m = macro_vintages(spark, sf_dir)
-    d = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("decision_at")).distinct()
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("decision_at")).distinct()
     return pit.asof_backward(d, m, ["series_id"]).select("series_id", "decision_at", "value", "period")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions.windows import out
-from ..operators import measure, option_trades, paper, relative, resample, stats
+from ..operators import measure, paper, relative, resample, stats
 from ..sources.adapters import PANEL_SQL, table
 from .catalogue import Catalogue
 from .queries_features import S, _sma, market_panel
@@ -72,20 +72,6 @@ def unit_root_tests(spark, sf_dir):
     return relative.unit_root_tests(p, ["symbol"], "session", "x").select("symbol", "n", out(F.col("t"), 4).alias("t"), "lags", out(F.col("p"), 4).alias("p"))
 
 
-@Q.query()
-def option_trades_simulated(spark, sf_dir):
-    """A short strangle on each part's chain, quoted over nine sessions that drift by rule."""
-    c = chain(spark, sf_dir)
-    c = c.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    start = F.lit("2024-01-02").cast("date")
-    mid = F.col("mid") * (1 - 0.02 * F.col("i")) + 0.01
-    quotes = c.select("underlying", F.date_add(start, F.col("i")).alias("session"), F.date_add(start, F.col("days")).alias("expiration"), "strike", "right", (mid * 0.97).alias("bid"), (mid * 1.03).alias("ask"), F.lit(100.0).alias("open_interest"), (F.col("spot") * (1 + 0.001 * F.col("i"))).alias("spot"))
-    signals = c.select("underlying").distinct().select(F.col("underlying").alias("signal_id"), "underlying", F.lit("2024-01-02").cast("date").alias("signal_session"))
-    legs = [{"qty": -1, "right": "C", "min_days": 10, "moneyness": 1.1}, {"qty": -1, "right": "P", "min_days": 10, "moneyness": 0.9}]
-    r = option_trades.simulate(quotes, signals, legs, hold=4)
-    return r.select("signal_id", "status", "entry_session", "exit_session", out(F.col("pnl"), 4).alias("pnl"))
-
-
 @Q.query(f"""WITH {_CANDIDATES}, k AS (SELECT unnest([1.0, 2.0, 3.0])::DOUBLE AS k) SELECT symbol, k, count(*) AS n, round(avg(gross_ret - k * cost_frac), 6) + 0.0 AS mean_net FROM cand, k GROUP BY 1, 2""")
 def cost_stress(spark, sf_dir):
     """The mean net trade when all frictions are multiplied."""
@@ -106,11 +92,6 @@ def paper_quotes(spark, sf_dir):
     return _orders(spark, sf_dir).select("account", "order_id", out(F.col("bid")).alias("bid"), out(F.col("ask")).alias("ask"))
 
 
-@Q.query()
-def paper_fills(spark, sf_dir):
-    return paper.fill(_orders(spark, sf_dir), cash=1_000.0, stale_seconds=2 * 86_400)
-
-
 @Q.query()
 def shrinkage_posterior(spark, sf_dir):
     """Posterior mean, sd and P(> 0) of each supplier's mean trade."""

@@ -34,8 +34,8 @@ def chain(spark, sf_dir) -> DataFrame:
         "iv": F.lit(0.2) + 0.1 * (1 - m) + 0.02 * F.col("t") + 0.001 * (F.col("size") % 10), "delta": F.when(call, logistic).otherwise(logistic - 1)})
 
 
-@Q.query(f"""WITH {_CHAIN} SELECT c.underlying, c.days, c.k, round(c.mid - p.mid - (c.spot * exp(-0.01 * c.t) - c.strike * exp(-0.04 * c.t)), 5) + 0.0 AS gap
-FROM chain c JOIN chain p ON c.underlying = p.underlying AND c.days = p.days AND c.k = p.k WHERE c."right" = 'C' AND p."right" = 'P'""")
+@Q.query(f"""WITH {_CHAIN} SELECT underlying, days, k, round(max(mid) FILTER ("right" = 'C') - max(mid) FILTER ("right" = 'P') - any_value(spot * exp(-0.01 * t) - strike * exp(-0.04 * t)), 5) + 0.0 AS gap
+FROM chain GROUP BY underlying, days, k""")
 def option_parity_gap(spark, sf_dir):
     g = chain(spark, sf_dir).groupBy("underlying", "days", "k", "spot", "strike", "t").agg(F.max(F.when(F.col("right") == "C", F.col("mid"))).alias("call"), F.max(F.when(F.col("right") == "P", F.col("mid"))).alias("put"))
     gap = O.parity_gap(F.col("call"), F.col("put"), F.col("spot"), F.col("strike"), F.col("t"), F.lit(0.04), F.lit(0.01))
@@ -236,7 +236,7 @@ def three_valued_decision(spark, sf_dir):
     return L.decide(r, ["o_custkey"])
 
 
-_FIND = "f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'LOOK_AHEAD_BIAS' WHEN 'signup' THEN 'SURVIVORSHIP_BIAS' WHEN 'click' THEN 'INADEQUATE_SAMPLE' ELSE 'MISSING_COSTS' END AS category, value > 60 AS m FROM events WHERE event_id % 20 = 0)"
+_FIND = "f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'LOOK_AHEAD_BIAS' WHEN 'signup' THEN 'SURVIVORSHIP_BIAS' WHEN 'click' THEN 'INADEQUATE_SAMPLE' ELSE 'MISSING_COSTS' END AS category, value > 60 AS m FROM events)"
 
 
 @Q.query(f"""WITH {_FIND}, g AS (SELECT user_id, coalesce(bool_or(m AND category = 'LOOK_AHEAD_BIAS'), false) AS la, coalesce(bool_or(m AND category = 'SURVIVORSHIP_BIAS'), false) AS sb, coalesce(bool_or(m AND category = 'MISSING_COSTS'), false) AS mc, coalesce(bool_or(m AND category = 'INADEQUATE_SAMPLE'), false) AS s FROM f GROUP BY 1),
@@ -244,7 +244,7 @@ p AS (SELECT *, concat_ws('+', CASE WHEN sb THEN 'SURVIVORSHIP-BIASED' END, CASE
 SELECT user_id, CASE WHEN bad = '' AND NOT s THEN 'RESEARCH_GRADE' ELSE concat_ws('; ', CASE WHEN bad <> '' THEN (CASE WHEN la THEN 'BIASED' ELSE 'PRELIMINARY' END) || ' / ' || bad END, CASE WHEN s THEN 'INSUFFICIENT_EVIDENCE / INADEQUATE-SAMPLE' END) END AS grade FROM p""")
 def findings_grade(spark, sf_dir):
     kind = F.create_map(F.lit("error"), F.lit("LOOK_AHEAD_BIAS"), F.lit("signup"), F.lit("SURVIVORSHIP_BIAS"), F.lit("click"), F.lit("INADEQUATE_SAMPLE"))
-    f = table(spark, sf_dir, "events").where("event_id % 20 = 0").select("user_id", F.coalesce(kind[F.col("event_type")], F.lit("MISSING_COSTS")).alias("category"), F.when(F.col("value") > 60, "MATERIAL").otherwise("MINOR").alias("severity"))
+    f = table(spark, sf_dir, "events").select("user_id", F.coalesce(kind[F.col("event_type")], F.lit("MISSING_COSTS")).alias("category"), F.when(F.col("value") > 60, "MATERIAL").otherwise("MINOR").alias("severity"))
     return L.grades(f, ["user_id"])
 
 

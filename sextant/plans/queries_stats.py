@@ -10,6 +10,7 @@ from ..operators.panel import forward_return, with_market
 from ..sources.adapters import PANEL_SQL, strategy_trades, table
 from .catalogue import Catalogue
 from .queries_features import S, _frame, market_panel
+from .queries_trading import _CANDIDATES, _candidates
 
 Q = Catalogue()
 
@@ -140,48 +141,64 @@ def hac_pvalues(spark, sf_dir):
     return stats.hac_test(t, ["supp"], "k", "x").select("supp", "n", out(F.col("t"), 4).alias("t"), out(F.col("p"), 6).alias("p"))
 
 
-def _daily(spark, sf_dir, symbol="AF"):
-    return resample.gathered(market_panel(spark, sf_dir).where(F.col("symbol") == symbol), ["session"], "ret")
+DRAWS = 200
+_U = lambda *parts: f"(('0x' || substr(md5(concat_ws(':', {', '.join(f'({p})::VARCHAR' for p in parts)})), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(16**12)!r}::DOUBLE"
+_SERIES = f"{PANEL_SQL}, s AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM panel WHERE ret IS NOT NULL), dr AS (SELECT unnest(range(0, {DRAWS})) AS draw)"
 
 
-@Q.query()
-def bootstrap_ci(spark, sf_dir):
-    return resample.bootstrap_ci(spark, _daily(spark, sf_dir), 400, seed=5)
+@Q.query(f"""WITH {_SERIES}, m AS (SELECT symbol, draw, avg(abs(x) * CASE WHEN {_U(5, 'draw', 'pos')} < 0.5 THEN -1.0 ELSE 1.0 END) AS m FROM s, dr GROUP BY 1, 2),
+st AS (SELECT symbol, count(*) AS n, avg(x) AS stat FROM s GROUP BY 1)
+SELECT symbol, n, round(stat, 6) + 0.0 AS stat, round((1 + count(*) FILTER (m >= stat)) / {DRAWS + 1}.0, 6) AS p FROM m JOIN st USING (symbol) GROUP BY symbol, n, stat""")
+def sign_flip_test(spark, sf_dir):
+    t = resample.sign_flip_test(market_panel(spark, sf_dir), ["symbol"], ["session"], "ret", DRAWS, seed=5)
+    return t.select("symbol", "n", out(F.col("stat")).alias("stat"), out(F.col("p")).alias("p"))
 
 
-@Q.query()
-def sign_flip_test(spark, sf_dir):
-    return resample.sign_flip_test(spark, _daily(spark, sf_dir), 400, seed=5)
+@Q.query(f"""WITH {_SERIES}, b AS (SELECT symbol, draw, pos, n, floor({_U(5, 'draw', 'pos', "'start'")} * n)::BIGINT AS a FROM s, dr WHERE pos = 0 OR {_U(5, 'draw', 'pos', "'cut'")} < pow(n, -1.0 / 3)),
+l AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY symbol, draw ORDER BY pos), n) - pos AS len FROM b),
+c AS (SELECT symbol, pos + 1 AS k, sum(x) OVER (PARTITION BY symbol ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM s UNION ALL SELECT DISTINCT symbol, 0, 0.0 FROM s),
+m AS (SELECT l.symbol, draw, sum(c1.c - c0.c + c2.c) / any_value(n) AS m FROM l JOIN c c0 ON c0.symbol = l.symbol AND c0.k = a JOIN c c1 ON c1.symbol = l.symbol AND c1.k = least(a + len, n) JOIN c c2 ON c2.symbol = l.symbol AND c2.k = greatest(a + len - n, 0) GROUP BY 1, 2),
+st AS (SELECT symbol, count(*) AS n, avg(x) AS mean FROM s GROUP BY 1)
+SELECT symbol, any_value(n) AS n, round(any_value(mean), 6) + 0.0 AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS lo, round(quantile_cont(m, 0.975), 6) + 0.0 AS hi, round(avg((m <= 0)::INT), 6) AS p_le_zero FROM m JOIN st USING (symbol) GROUP BY symbol""")
+def bootstrap_ci(spark, sf_dir):
+    t = resample.bootstrap_ci(market_panel(spark, sf_dir), ["symbol"], ["session"], "ret", DRAWS, seed=5)
+    return t.select("symbol", "n", *[out(F.col(c)).alias(c) for c in ("mean", "lo", "hi", "p_le_zero")])
 
 
-@Q.query()
+@Q.query(f"""WITH {_CANDIDATES}, dr AS (SELECT unnest(range(0, {DRAWS})) AS draw),
+t AS (SELECT symbol, gross_ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY entry_session) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM cand),
+lb AS (SELECT symbol, session, lead(open, 6) OVER ({S}) / lead(open, 1) OVER ({S}) - 1 AS y FROM panel),
+pool AS (SELECT symbol, y, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS size FROM lb WHERE y IS NOT NULL),
+pk AS (SELECT t.symbol, draw, floor({_U(5, 'draw', 'pos')} * size)::BIGINT AS k FROM t JOIN (SELECT DISTINCT symbol, size FROM pool WHERE size >= 20) USING (symbol), dr WHERE n >= 5),
+m AS (SELECT symbol, draw, avg(y) AS m FROM pk JOIN pool USING (symbol, k) GROUP BY 1, 2), st AS (SELECT symbol, count(*) AS n, avg(x) AS stat FROM t GROUP BY 1)
+SELECT symbol, n, round(stat, 6) + 0.0 AS stat, round((1 + count(*) FILTER (m >= stat)) / {DRAWS + 1}.0, 6) AS p FROM m JOIN st USING (symbol) GROUP BY symbol, n, stat""")
 def random_entry_test(spark, sf_dir):
-    from .queries_trading import _candidates
-
-    t = resample.gathered(_candidates(spark, sf_dir), ["entry_session", "symbol"], "gross_ret", "direction")
-    pool = resample.gathered(market_panel(spark, sf_dir).withColumn("label", forward_return(5)), ["symbol", "session"], "label")
-    return resample.random_entry_test(spark, t[:, 0], t[:, 1], pool, 400, seed=5)
+    pool = market_panel(spark, sf_dir).withColumn("label", forward_return(5))
+    t = resample.random_entry_test(_candidates(spark, sf_dir), pool, ["symbol"], ["entry_session"], "gross_ret", "direction", ["session"], "label", DRAWS, seed=5)
+    return t.select("symbol", "n", out(F.col("stat")).alias("stat"), out(F.col("p")).alias("p"))
 
 
-@Q.query()
+@Q.query(f"""WITH {PANEL_SQL}, {_MK}, dr AS (SELECT unnest(range(0, {DRAWS})) AS draw), x AS (SELECT symbol, session, ret, mret FROM m WHERE ret IS NOT NULL AND mret IS NOT NULL),
+r AS (SELECT symbol, session, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY mret) + (count(*) OVER (PARTITION BY symbol, mret) - 1) / 2.0 AS b FROM x),
+z AS (SELECT symbol, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS a, (b - avg(b) OVER w) / stddev_pop(b) OVER w AS b, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS pos, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY symbol)),
+m2 AS (SELECT y.symbol, draw, abs(avg(y.a * z.b)) AS m FROM z y, dr, z WHERE y.n > 42 AND z.symbol = y.symbol AND z.pos = (y.pos - (21 + floor({_U(5, 'draw')} * (y.n - 42))::BIGINT) + y.n) % y.n GROUP BY 1, 2),
+st AS (SELECT symbol, count(*) AS n, abs(avg(a * b)) AS stat FROM z GROUP BY 1)
+SELECT symbol, n, round(stat, 6) + 0.0 AS stat, round((1 + count(*) FILTER (m >= stat)) / {DRAWS + 1}.0, 6) AS p FROM m2 JOIN st USING (symbol) GROUP BY symbol, n, stat""")
 def circular_shift_test(spark, sf_dir):
-    p = with_market(market_panel(spark, sf_dir), "RF").where("symbol = 'AF' AND market_ret IS NOT NULL")
-    x = resample.gathered(p, ["session"], "ret", "market_ret")
-    return resample.circular_shift_test(spark, x[:, 0], x[:, 1], 400, seed=5)
-
-
-@Q.query()
-def monte_carlo(spark, sf_dir):
-    from .queries_trading import _candidates
-
-    t = resample.gathered(_candidates(spark, sf_dir), ["entry_session", "symbol"], "net_ret")
-    return resample.monte_carlo(spark, t[:, 0] / 20, [1_000.0, 5_000.0, 25_000.0, 100_000.0], paths=100, seed=5)
+    p = with_market(market_panel(spark, sf_dir), "AF").where("symbol <> 'AF'")
+    t = resample.circular_shift_test(p, ["symbol"], ["session"], "ret", "market_ret", DRAWS, seed=5)
+    return t.select("symbol", "n", out(F.col("stat")).alias("stat"), out(F.col("p")).alias("p"))
 
 
-@Q.query()
+@Q.query(f"""WITH {PANEL_SQL}, dr AS (SELECT unnest(range(0, {DRAWS})) AS draw), f AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS pos FROM panel WHERE ret IS NOT NULL AND session >= DATE '1998-01-01'),
+h AS (SELECT symbol, ret AS y, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS size FROM panel WHERE ret IS NOT NULL AND session < DATE '1998-01-01'),
+pk AS (SELECT symbol, draw, floor({_U(5, 'draw', 'pos')} * size)::BIGINT AS k FROM f JOIN (SELECT DISTINCT symbol, size FROM h) USING (symbol), dr),
+m AS (SELECT symbol, draw, avg(y) AS m FROM pk JOIN h USING (symbol, k) GROUP BY 1, 2), st AS (SELECT symbol, count(*) AS n, avg(x) AS fm FROM f GROUP BY 1)
+SELECT symbol, n, round(fm, 6) + 0.0 AS forward_mean, round(avg((m <= fm)::INT), 6) AS percentile FROM m JOIN st USING (symbol) GROUP BY symbol, n, fm""")
 def compare_with_history(spark, sf_dir):
-    x = _daily(spark, sf_dir).ravel()
-    return resample.compare_with_history(spark, x[-60:], x[:-60], 400, seed=5)
+    p = market_panel(spark, sf_dir)
+    t = resample.compare_with_history(p.where("session >= DATE '1998-01-01'"), p.where("session < DATE '1998-01-01'"), ["symbol"], ["session"], "ret", DRAWS, seed=5)
+    return t.select("symbol", "n", out(F.col("forward_mean")).alias("forward_mean"), out(F.col("percentile")).alias("percentile"))
 
 
 @Q.query("""WITH s AS (SELECT session, row_number() OVER (ORDER BY session) AS p FROM (SELECT DISTINCT l_shipdate::DATE AS session FROM lineitem)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions.windows import out
 from ..operators import metrics as M
-from ..operators import portfolio_run, signals, trades
+from ..operators import signals, trades
 from ..operators.costs import PROFILES, profile
 from ..sources.adapters import PANEL_SQL, strategy_trades
 from .catalogue import Catalogue
@@ -36,7 +36,7 @@ def quantile_signal(spark, sf_dir):
     return signals.quantile_signal(_features(spark, sf_dir), "mom", 0.3, every=5).select("session", "symbol", "signal")
 
 
-@Q.query(f"WITH {PANEL_SQL}, {_FEAT}, o AS (SELECT *, coalesce(sma > 0, false)::INT AS q FROM f) SELECT session, symbol, round(coalesce(q / nullif(sum(q) OVER (PARTITION BY session), 0), 0) * 0.8, 6) + 0.0 AS weight FROM o")
+@Q.query(f"WITH {PANEL_SQL}, {_FEAT}, o AS (SELECT *, coalesce(sma > 0, false)::INT AS q FROM f) SELECT session, symbol, CASE WHEN count(sma) OVER (PARTITION BY session) > 0 THEN round(coalesce(q / nullif(sum(q) OVER (PARTITION BY session), 0), 0) * 0.8, 6) + 0.0 END AS weight FROM o")
 def state_weights(spark, sf_dir):
     return signals.state_weights(_features(spark, sf_dir), [("sma", ">", 0.0)], gross=0.8).select("session", "symbol", out(F.col("weight")).alias("weight"))
 
@@ -133,19 +133,6 @@ def segment_intraday(spark, sf_dir):
     return _segments("intraday", spark, sf_dir)
 
 
-@Q.query()
-def portfolio_sim(spark, sf_dir):
-    p = signals.state_weights(_features(spark, sf_dir), [("sma", ">", 0.0)])
-    return portfolio_run.gross_and_net(p, portfolio_run.Setup(costs=profile("retail_etf")))
-
-
-@Q.query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c.half_spread_bps + c.slippage_bps}::DOUBLE, {c.impact}::DOUBLE)" for n, c in PROFILES.items()) + ") v(name, fixed_bps, impact) JOIN (SELECT count(*) AS n_lines, round(sum(l_extendedprice * 1.0) / 1e6, 4) AS value_m FROM lineitem) ON true")
-def cost_profiles(spark, sf_dir):
-    rows = spark.createDataFrame([(n, c.half_spread_bps + c.slippage_bps, c.impact) for n, c in PROFILES.items()], "name string, fixed_bps double, impact double")
-    total = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_extendedprice") / 1e6, 4).alias("value_m"))
-    return rows.crossJoin(total)
-
-
 _R = f"{PANEL_SQL}, r AS (SELECT symbol, session, ret FROM panel WHERE ret IS NOT NULL)"
 
 
