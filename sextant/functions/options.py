@@ -211,3 +211,59 @@ def select_contract(chain: DataFrame, by: list[str], min_days: int, target: Colu
     first = far.groupBy(*by).agg(F.min("days").alias("days"))
     w = Window.partitionBy(*by).orderBy(F.abs(F.col("strike") - target), "strike", "right")
     return far.join(first, [*by, "days"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def enrich_chain(chain: DataFrame, r: float, q: float = 0.0, session: str = "session", max_rel_spread: float = 0.25) -> DataFrame:
+    """Adds t, mid, spread, moneyness, iv_bid, iv_mid, iv_ask, iv_reliable and Greeks at iv_mid.
+
+    chain: session, expiration, strike, right, bid, ask, spot. A volatility is reliable with a bid, a relative spread below
+    max_rel_spread, out of the money or within 2 % of it.
+    """
+    call, mid = F.col("right") == "C", (F.col("bid") + F.col("ask")) / 2
+    c = chain.withColumns({"t": F.datediff("expiration", session) / F.lit(365.0), "mid": mid, "spread": F.col("ask") - F.col("bid"), "moneyness": F.col("strike") / F.col("spot")})
+    args = (F.col("spot"), F.col("strike"), F.col("t"), F.lit(float(r)), F.lit(float(q)))
+    c = c.withColumns({f"iv_{n}": implied_vol(F.col(n), *args, call) for n in ("bid", "mid", "ask")})
+    outside = F.when(call, F.col("moneyness") >= 0.98).otherwise(F.col("moneyness") <= 1.02)
+    reliable = (F.col("bid") > 0) & (F.col("spread") / F.nullif("mid", F.lit(0.0)) < max_rel_spread) & outside
+    return c.withColumn("iv_reliable", F.coalesce(reliable, F.lit(False))).withColumns(bs_greeks(*args, F.col("iv_mid"), call))
+
+
+def leg(right: str, strike: Column, qty: float, premium: Column, t: Column) -> Column:
+    """One leg of a position; right is C, P or S (stock)."""
+    return F.struct(F.lit(float(qty)).alias("qty"), strike.cast("double").alias("strike"), F.lit(right).alias("right"), premium.cast("double").alias("premium"), t.cast("double").alias("t"))
+
+
+def straddle(k, t, call, put, qty: float = 1.0) -> Column:
+    return F.array(leg("C", k, qty, call, t), leg("P", k, qty, put, t))
+
+
+def strangle(kp, kc, t, put, call, qty: float = 1.0) -> Column:
+    return F.array(leg("P", kp, qty, put, t), leg("C", kc, qty, call, t))
+
+
+def vertical(right: str, bought, sold, t, paid, got, qty: float = 1.0) -> Column:
+    return F.array(leg(right, bought, qty, paid, t), leg(right, sold, -qty, got, t))
+
+
+def iron_condor(kp_long, kp_short, kc_short, kc_long, t, premiums: list[Column], qty: float = 1.0) -> Column:
+    """Sold put and call spreads; premiums in the order of the strikes."""
+    return F.array(leg("P", kp_long, qty, premiums[0], t), leg("P", kp_short, -qty, premiums[1], t), leg("C", kc_short, -qty, premiums[2], t), leg("C", kc_long, qty, premiums[3], t))
+
+
+def butterfly(right: str, lo, mid, hi, t, premiums: list[Column], qty: float = 1.0) -> Column:
+    return F.array(leg(right, lo, qty, premiums[0], t), leg(right, mid, -2 * qty, premiums[1], t), leg(right, hi, qty, premiums[2], t))
+
+
+def covered_call(spot, k, t, call, qty: float = 1.0) -> Column:
+    return F.array(leg("S", spot, qty, spot, t), leg("C", k, -qty, call, t))
+
+
+def position_marks(positions: DataFrame, key: str, legs: str, spot: str, r: float, q: float, sigma: Column, elapsed: float = 0.0) -> DataFrame:
+    """key, value, delta, gamma, vega, theta, rho: model mark less premiums, and the legs' summed Greeks (stock has a delta of 1)."""
+    each = positions.select(key, F.col(spot).alias("_s"), sigma.alias("_v"), F.explode(legs).alias("_l")).select(key, "_s", "_v", "_l.*")
+    t, call, stock = F.greatest(F.col("t") - elapsed, F.lit(0.0)), F.col("right") == "C", F.col("right") == "S"
+    args = (F.col("_s"), F.col("strike"), t, F.lit(float(r)), F.lit(float(q)))
+    g = bs_greeks(*args, F.col("_v"), call)
+    value = F.col("qty") * (F.when(stock, F.col("_s")).otherwise(bs_price(*args, F.col("_v"), call)) - F.col("premium"))
+    total = lambda n: F.sum(F.col("qty") * F.when(stock, 1.0 if n == "delta" else 0.0).otherwise(F.coalesce(g[n], F.lit(0.0)))).alias(n)
+    return each.groupBy(key).agg(F.sum(value).alias("value"), *[total(n) for n in g])

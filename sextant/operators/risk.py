@@ -25,15 +25,15 @@ def growth_rate(rows: DataFrame, by: list[str], x: str, f: Column) -> DataFrame:
 def kelly_empirical(rows: DataFrame, by: list[str], x: str, most: float = 10.0, grid: int = 200) -> DataFrame:
     """by, kelly: the fraction with the highest mean log growth, on a grid over (0, min(most, 0.999 / -worst)] and a finer one around its best.
 
-    Grids are exploded before one partial aggregation each; 0 below ten rows or for a mean of at most 0.
+    Equal returns count once with their number, so a grid meets distinct values only; 0 below ten rows or for a mean of at most 0.
     """
-    clean = rows.where(F.col(x).isNotNull())
-    s = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("worst"))
+    clean = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_w"))
+    s = clean.groupBy(*by).agg(F.sum("_w").alias("n"), (F.sum(F.col(x) * F.col("_w")) / F.sum("_w")).alias("mean"), F.min(x).alias("worst"))
     s = s.withColumn("hi", F.when(F.col("worst") < 0, F.least(F.lit(most), 0.999 / -F.col("worst"))).otherwise(most)).withColumn("lo", F.lit(0.0))
     for _ in range(2):
-        near = clean.join(s, by).select(*by, x, "n", "mean", "worst", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("_k"))
+        near = clean.join(s, by).select(*by, x, "_w", "n", "mean", "worst", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("_k"))
         near = near.withColumn("_f", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_k") / grid)
-        g = near.groupBy(*by, "n", "mean", "worst", "lo", "hi", "_f").agg(F.avg(F.log1p(F.greatest(F.col("_f") * F.col(x), F.lit(-0.999999)))).alias("_g"))
+        g = near.groupBy(*by, "n", "mean", "worst", "lo", "hi", "_f").agg((F.sum(F.col("_w") * F.log1p(F.greatest(F.col("_f") * F.col(x), F.lit(-0.999999)))) / F.sum("_w")).alias("_g"))
         best = g.groupBy(*by, "n", "mean", "worst", "lo", "hi").agg(F.max_by("_f", F.struct("_g", -F.col("_f"))).alias("best"))
         wide = (F.col("hi") - F.col("lo")) / grid
         s = best.select(*by, "n", "mean", "worst", F.greatest(F.col("best") - wide, F.lit(0.0)).alias("lo2"), F.least(F.col("best") + wide, F.col("hi")).alias("hi2"), "best").withColumnsRenamed({"lo2": "lo", "hi2": "hi"})

@@ -81,3 +81,27 @@ def coverage(securities: DataFrame) -> DataFrame:
     """Counts and filled shares of the security table."""
     n = F.count(F.lit(1))
     return securities.agg(n.alias("n"), (F.count("last_session") / n).alias("share_delisted"), F.min("first_session").alias("first_session"), F.count_distinct("asset_type").alias("n_types") if "asset_type" in securities.columns else F.lit(None).alias("n_types"))
+
+
+def history(identifiers: DataFrame, kind: str | None = None) -> DataFrame:
+    """security_id, value, valid_from, valid_to, n: every interval of every security (of one kind), numbered in order."""
+    rows = identifiers.where(F.col("kind") == kind) if kind is not None else identifiers
+    n = F.row_number().over(Window.partitionBy("security_id").orderBy("valid_from", "value"))
+    return rows.select("security_id", "value", "valid_from", "valid_to", n.alias("n"))
+
+
+def listed_on(securities: DataFrame, dates: DataFrame) -> DataFrame:
+    """date, security_id of what was listed on each date, delisted securities included."""
+    inside = interval_contains(F.col("date"), F.col("first_session"), F.col("last_session"), True)
+    return dates.join(securities, inside).select("date", "security_id")
+
+
+def static_mask(spine: DataFrame, universe: DataFrame) -> DataFrame:
+    """spine with member: in the fixed list (symbol, inception; NULL: always), not before its inception."""
+    u = universe.select("symbol", F.coalesce("inception", F.lit("0001-01-01").cast("date")).alias("_from"))
+    return spine.join(u, "symbol", "left").withColumn("member", F.coalesce(F.col("session") >= F.col("_from"), F.lit(False))).drop("_from")
+
+
+def static_members(universe: DataFrame, session) -> DataFrame:
+    """symbol: the fixed list's members on a session."""
+    return universe.where(F.col("inception").isNull() | (F.col("inception") <= F.lit(session).cast("date"))).select("symbol")

@@ -129,7 +129,7 @@ def shrunk_covariance(cov: DataFrame, shrink: float | None = None) -> DataFrame:
 
 def var_es(rows: DataFrame, by: list[str], x: str, level: float = 0.95, least: int = 20) -> DataFrame:
     """by, n, var, es: the linear quantile of losses and the mean beyond it."""
-    w = Window.partitionBy(*by)
-    r = rows.where(F.col(x).isNotNull()).withColumn("_q", F.expr(f"percentile({x}, {round(1 - level, 12)})").over(w))
+    clean = rows.where(F.col(x).isNotNull())
+    r = clean.join(clean.groupBy(*by).agg(F.expr(f"percentile({x}, {round(1 - level, 12)})").alias("_q")), by)
     n = F.count(F.lit(1))
     return r.groupBy(*by).agg(n.alias("n"), F.when(n >= least, -F.first("_q")).alias("var"), F.when(n >= least, -F.avg(F.when(F.col(x) <= F.col("_q"), F.col(x)))).alias("es"))

@@ -67,9 +67,9 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 
 def _issue(df: DataFrame, check: str, severity: str, bad: Column, example: Column) -> DataFrame:
     """One row: count and five smallest examples of the rows that fail."""
-    hit = F.when(F.coalesce(bad, F.lit(False)), example)
-    top = F.slice(F.sort_array(F.collect_set(hit)), 1, 5)
-    return df.agg(F.count(hit).alias("n"), F.array_join(top, ";").alias("examples")).select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n", "examples")
+    hits = df.where(F.coalesce(bad, F.lit(False))).select(example.alias("_e"))
+    few = hits.distinct().orderBy("_e").limit(5).agg(F.array_join(F.sort_array(F.collect_list("_e")), ";").alias("examples"))
+    return hits.agg(F.count(F.lit(1)).alias("n")).crossJoin(few).select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n", "examples")  # one row each
 
 
 def validate_bars(bars: DataFrame, sessions: DataFrame, actions: DataFrame | None = None, extreme: float = 0.4, stale: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.windows import out
 from ..operators import panel as P
 from ..operators import signals
 from ..sources.adapters import ACTIONS_SQL, BARS_SQL, PANEL_SQL, bars_daily, bars_intraday, corporate_actions
-from .catalogue import Catalogue
+from .catalogue import Catalogue, wilder_sql
 
 Q = Catalogue()
 
@@ -144,12 +144,19 @@ for _n, (_spec, _steps) in _FEATURES.items():
 # RSI and ATR: the fold over a symbol's growing prefix is quadratic in SQL; tests hold them to pandas.
 
 
-@Q.query()
+_POS = f"q AS (SELECT *, row_number() OVER ({S}) AS pos, close - lag(close) OVER ({S}) AS d, lag(close) OVER ({S}) AS before FROM panel)"
+
+
+@Q.query(f"""WITH RECURSIVE {PANEL_SQL}, {_POS}, ru2 AS (SELECT symbol, pos, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS x FROM q), rd AS (SELECT symbol, pos, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS x FROM q),
+u AS ({wilder_sql('ru2', 14)} u e JOIN ru2 r ON r.symbol = e.symbol AND r.pos = e.pos + 1), v AS ({wilder_sql('rd', 14)} v e JOIN rd r ON r.symbol = e.symbol AND r.pos = e.pos + 1)
+SELECT q.session, q.symbol, round(CASE WHEN u.c >= 14 AND v.c >= 14 THEN CASE WHEN v.m = 0 AND u.m > 0 THEN 100.0 ELSE 100 - 100 / (1 + u.m / nullif(v.m, 0)) END END, 6) + 0.0 AS x FROM q JOIN u USING (symbol, pos) JOIN v USING (symbol, pos)""")
 def feat_rsi(spark, sf_dir):
     return features.add(market_panel(spark, sf_dir), "rsi(n=14)", "x").select("session", "symbol", out(F.col("x")).alias("x"))
 
 
-@Q.query()
+@Q.query(f"""WITH RECURSIVE {PANEL_SQL}, {_POS}, rt AS (SELECT symbol, pos, CASE WHEN before IS NOT NULL AND close IS NOT NULL THEN greatest(high - low, abs(high - before), abs(low - before)) END AS x FROM q),
+u AS ({wilder_sql('rt', 14)} u e JOIN rt r ON r.symbol = e.symbol AND r.pos = e.pos + 1)
+SELECT q.session, q.symbol, round(CASE WHEN u.c >= 14 THEN u.m / close END, 6) + 0.0 AS x FROM q JOIN u USING (symbol, pos)""")
 def feat_atr_pct(spark, sf_dir):
     return features.add(market_panel(spark, sf_dir), "atr(n=14)", "x").select("session", "symbol", out(F.col("x")).alias("x"))
 

@@ -11,7 +11,7 @@ from ..functions import features
 from ..functions.windows import out
 from ..operators import measure, paper, relative, resample, stats
 from ..sources.adapters import PANEL_SQL, table
-from .catalogue import Catalogue
+from .catalogue import Catalogue, normal_sql
 from .queries_features import S, _sma, market_panel
 from .queries_models import chain
 from .queries_trading import _CANDIDATES, _candidates
@@ -92,7 +92,8 @@ def paper_quotes(spark, sf_dir):
     return _orders(spark, sf_dir).select("account", "order_id", out(F.col("bid")).alias("bid"), out(F.col("ask")).alias("ask"))
 
 
-@Q.query()
+@Q.query(f"""WITH g AS (SELECT l_suppkey, avg(l_discount - l_tax) AS m, stddev_samp(l_discount - l_tax) / sqrt(count(*)) AS se FROM lineitem GROUP BY 1)
+SELECT l_suppkey, round(m / 2, 6) + 0.0 AS post_mean, round(sqrt(0.5) * se, 6) + 0.0 AS post_sd, round({normal_sql('(m / 2 / (sqrt(0.5) * se))')}, 6) + 0.0 AS p_positive FROM g""")
 def shrinkage_posterior(spark, sf_dir):
     """Posterior mean, sd and P(> 0) of each supplier's mean trade."""
     g = table(spark, sf_dir, "lineitem").withColumn("r", F.col("l_discount") - F.col("l_tax")).groupBy("l_suppkey").agg(F.avg("r").alias("m"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("se"))

@@ -10,7 +10,7 @@ from ..functions.windows import out
 from ..operators import relative, risk, stats
 from ..sources.adapters import PANEL_SQL, table
 from . import research_log as L
-from .catalogue import Catalogue
+from .catalogue import Catalogue, normal_sql, t_tail_sql
 from .queries_features import S, market_panel
 
 Q = Catalogue()
@@ -98,12 +98,16 @@ def _args():
     return F.col("spot"), F.col("strike"), F.col("t"), F.lit(0.04), F.lit(0.01)
 
 
-@Q.query()
+@Q.query(f"""WITH {_CHAIN}, a AS (SELECT *, (ln(spot / strike) + (0.04 - 0.01 + iv * iv / 2) * t) / (iv * sqrt(t)) AS d1 FROM chain), b AS (SELECT *, d1 - iv * sqrt(t) AS d2 FROM a),
+n AS (SELECT *, {normal_sql('d1')} AS n1, {normal_sql('d2')} AS n2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS f, exp(-0.01 * t) AS ah, strike * exp(-0.04 * t) AS cash, CASE WHEN "right" = 'C' THEN 1 ELSE -1 END AS g FROM b),
+m AS (SELECT *, CASE WHEN g > 0 THEN n1 ELSE 1 - n1 END AS a1, CASE WHEN g > 0 THEN n2 ELSE 1 - n2 END AS a2 FROM n)
+SELECT underlying, days, k, "right", round(g * (spot * ah * a1 - cash * a2), 4) + 0.0 AS price, round(g * ah * a1, 4) + 0.0 AS delta, round(ah * f / (spot * iv * sqrt(t)), 4) + 0.0 AS gamma, round(spot * ah * f * sqrt(t), 4) + 0.0 AS vega,
+ round(-spot * ah * f * iv / (2 * sqrt(t)) - g * 0.04 * cash * a2 + g * 0.01 * spot * ah * a1, 3) + 0.0 AS theta, round(g * cash * t * a2, 4) + 0.0 AS rho, round(n2, 4) + 0.0 AS prob_above FROM m""")
 def bs_price_greeks(spark, sf_dir):
     c = chain(spark, sf_dir)
     call = F.col("right") == "C"
     g = O.bs_greeks(*_args(), F.col("iv"), call)
-    return c.select("underlying", "days", "k", "right", out(O.bs_price(*_args(), F.col("iv"), call), 5).alias("price"), *[out(v).alias(n) for n, v in g.items()], out(O.prob_above(*_args(), F.col("iv"))).alias("prob_above"))
+    return c.select("underlying", "days", "k", "right", out(O.bs_price(*_args(), F.col("iv"), call), 4).alias("price"), *[out(v, 3 if n == "theta" else 4).alias(n) for n, v in g.items()], out(O.prob_above(*_args(), F.col("iv")), 4).alias("prob_above"))
 
 
 @Q.query()
@@ -149,7 +153,13 @@ def kelly_growth(spark, sf_dir):
     return k.join(g, "supp").select("supp", "kelly", out(F.col("growth")).alias("growth"), "var95")
 
 
-@Q.query()
+_GRID = lambda source: f"SELECT supp, arg_max(f, row(g, -f)) AS best FROM (SELECT supp, f, sum(w * ln(1 + greatest(f * x, -0.999999))) / sum(w) AS g FROM (SELECT s.supp, s.lo + (s.hi - s.lo) * k / 200 AS f, x, w FROM {source} s, range(1, 201) r(k), v WHERE v.supp = s.supp) GROUP BY supp, f) GROUP BY supp"
+
+
+@Q.query(f"""WITH t AS (SELECT l_suppkey AS supp, l_discount - l_tax AS x FROM lineitem), v AS (SELECT supp, x, count(*) AS w FROM t GROUP BY 1, 2),
+s AS (SELECT supp, count(*) AS n, avg(x) AS mean, 0.0 AS lo, CASE WHEN min(x) < 0 THEN least(10.0, 0.999 / -min(x)) ELSE 10.0 END AS hi FROM t GROUP BY 1), b1 AS ({_GRID('s')}),
+s2 AS (SELECT supp, greatest(best - (hi - lo) / 200, 0) AS lo, least(best + (hi - lo) / 200, hi) AS hi FROM s JOIN b1 USING (supp)), b2 AS ({_GRID('s2')})
+SELECT supp, round(CASE WHEN n < 10 OR mean <= 0 THEN 0.0 ELSE best END, 4) + 0.0 AS kelly FROM s JOIN b2 USING (supp)""")
 def kelly_empirical(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), (F.col("l_discount") - F.col("l_tax")).alias("ret"))
     return risk.kelly_empirical(t, ["supp"], "ret").select("supp", out(F.col("kelly"), 4).alias("kelly"))
@@ -212,7 +222,10 @@ def walk_forward_classifier(spark, sf_dir):
     return learn.walk_forward(rows, ["a", "b", "c"], "label", train=1500, test=400).select("session", "symbol", "label", out(F.col("prob"), 4).alias("prob"), "fold")
 
 
-@Q.query()
+@Q.query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT user_id, n, seq, payload, '{L.GENESIS}' AS prev_hash, sha256('{L.GENESIS}|' || seq || '|' || payload) AS row_hash FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.n, e.seq, e.payload, c.row_hash, sha256(c.row_hash || '|' || e.seq || '|' || e.payload) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)
+SELECT user_id, seq, payload, prev_hash, row_hash FROM c""")
 def hash_chain(spark, sf_dir):
     """One chained log for each user: seq, prev_hash and row_hash of every event."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", "event_id").alias("payload"))
@@ -289,7 +302,11 @@ def stability(spark, sf_dir):
     return s.select("supp", "n", *[out(F.col(c)).alias(c) for c in ("slope", "first_half", "second_half")])
 
 
-@Q.query()
+@Q.query(f"""WITH t AS (SELECT l_suppkey AS supp, (l_shipdate::DATE - min(l_shipdate::DATE) OVER (PARTITION BY l_suppkey)) / 365.25::DOUBLE AS y, l_discount - l_tax AS r,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate::DATE, l_orderkey, l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+g AS (SELECT supp, any_value(n) AS n, regr_slope(r, y) AS b, regr_r2(r, y) AS r2, avg(r) FILTER (i <= n // 2) AS f, avg(r) FILTER (i > n // 2) AS s FROM t GROUP BY 1),
+p AS (SELECT *, sqrt(r2 * (n - 2) / (1 - r2)) AS tt FROM g), q AS (SELECT *, 2 * {t_tail_sql('tt', 'n - 2')} AS sp FROM p)
+SELECT supp, round(sp, 5) + 0.0 AS slope_p, CASE WHEN n < 20 THEN 'INSUFFICIENT_DATA' WHEN f > 0 AND s <= 0 THEN 'DISAPPEARED' WHEN sp < 0.1 AND b > 0 THEN 'STRENGTHENED' WHEN sp < 0.1 THEN 'WEAKENED' WHEN s > 0 THEN 'STABLE' ELSE 'NO_EDGE_IN_EITHER_HALF' END AS verdict FROM q""")
 def stability_verdicts(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.to_date("l_shipdate").alias("d"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") - F.col("l_tax")).alias("r"))
     return L.stability(t, ["supp"], "d", "r", ["l_orderkey", "l_linenumber", "l_partkey"]).select("supp", out(F.col("slope_p"), 5).alias("slope_p"), "verdict")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol, gated, out, ratio, trailing
 from ..operators import resample, stats
 from ..operators.panel import forward_return, with_market
 from ..sources.adapters import PANEL_SQL, strategy_trades, table
-from .catalogue import Catalogue
+from .catalogue import Catalogue, normal_sql, t_tail_sql
 from .queries_features import S, _frame, market_panel
 from .queries_trading import _CANDIDATES, _candidates
 
@@ -124,7 +127,17 @@ def rolling_correlation(spark, sf_dir):
     return p.select("session", "symbol", out(gated(F.corr(a, b), a, 63, trailing(63))).alias("rho"))
 
 
-@Q.query()
+def _psr_sql(benchmark: str) -> str:
+    return normal_sql(f"((sr - {benchmark}) * sqrt(n - 1) / sqrt(sp))")
+
+
+_Z95 = NormalDist().inv_cdf(0.95)
+_ZMAX = (1 - stats.EULER) * NormalDist().inv_cdf(1 - 1 / 100) + stats.EULER * NormalDist().inv_cdf(1 - 1 / (100 * math.e))
+
+
+@Q.query(f"""WITH g AS (SELECT l_suppkey, avg(l_discount - l_tax) / stddev_samp(l_discount - l_tax) AS sr, count(*) AS n, skewness(l_discount - l_tax) AS sk, kurtosis(l_discount - l_tax) + 3 AS ku FROM lineitem GROUP BY 1),
+p AS (SELECT *, 1 - sk * sr + (ku - 1) / 4 * sr * sr AS sp FROM g)
+SELECT l_suppkey, round(sr, 6) + 0.0 AS sr, n, round({_psr_sql('0.0')}, 6) + 0.0 AS psr, round({_psr_sql(f'{_ZMAX!r} / sqrt(n - 1)')}, 6) + 0.0 AS dsr, round(CASE WHEN sr > 0 THEN 1 + sp * power({_Z95!r} / sr, 2) END, 3) + 0.0 AS min_track FROM p""")
 def probabilistic_sharpe(spark, sf_dir):
     """PSR, deflated Sharpe and the shortest track record of each supplier's trades."""
     from ..operators.metrics import kurtosis, skew
@@ -135,7 +148,8 @@ def probabilistic_sharpe(spark, sf_dir):
     return g.select("l_suppkey", out(sr).alias("sr"), "n", out(stats.psr(sr, n, sk, ku)).alias("psr"), out(stats.deflated_sharpe(sr, n, F.lit(100), sk, ku)).alias("dsr"), out(stats.min_track_record(sr, sk, ku), 3).alias("min_track"))
 
 
-@Q.query()
+@Q.query(f"""{_HAC}, s AS (SELECT supp, n, mean, sqrt(greatest(sum(CASE WHEN k = 0 THEN 1.0 ELSE 2 * (1 - k / (L + 1.0)) END * g / n), 0) / n) AS se FROM g GROUP BY 1, 2, 3), t2 AS (SELECT supp, n, mean / se AS tt FROM s)
+SELECT supp, n, round(tt, 4) + 0.0 AS t, round({t_tail_sql('tt', 'n - 1')}, 6) + 0.0 AS p FROM t2""")
 def hac_pvalues(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), (F.col("l_discount") - F.col("l_tax")).alias("x"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("k"))
     return stats.hac_test(t, ["supp"], "k", "x").select("supp", "n", out(F.col("t"), 4).alias("t"), out(F.col("p"), 6).alias("p"))
@@ -181,7 +195,8 @@ def random_entry_test(spark, sf_dir):
 @Q.query(f"""WITH {PANEL_SQL}, {_MK}, dr AS (SELECT unnest(range(0, {DRAWS})) AS draw), x AS (SELECT symbol, session, ret, mret FROM m WHERE ret IS NOT NULL AND mret IS NOT NULL),
 r AS (SELECT symbol, session, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY mret) + (count(*) OVER (PARTITION BY symbol, mret) - 1) / 2.0 AS b FROM x),
 z AS (SELECT symbol, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS a, (b - avg(b) OVER w) / stddev_pop(b) OVER w AS b, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS pos, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY symbol)),
-m2 AS (SELECT y.symbol, draw, abs(avg(y.a * z.b)) AS m FROM z y, dr, z WHERE y.n > 42 AND z.symbol = y.symbol AND z.pos = (y.pos - (21 + floor({_U(5, 'draw')} * (y.n - 42))::BIGINT) + y.n) % y.n GROUP BY 1, 2),
+k AS (SELECT symbol, draw, a, (pos - (21 + floor({_U(5, 'draw')} * (n - 42))::BIGINT) + n) % n AS pos FROM z, dr WHERE n > 42),
+m2 AS (SELECT symbol, draw, abs(avg(k.a * z.b)) AS m FROM k JOIN z USING (symbol, pos) GROUP BY 1, 2),
 st AS (SELECT symbol, count(*) AS n, abs(avg(a * b)) AS stat FROM z GROUP BY 1)
 SELECT symbol, n, round(stat, 6) + 0.0 AS stat, round((1 + count(*) FILTER (m >= stat)) / {DRAWS + 1}.0, 6) AS p FROM m2 JOIN st USING (symbol) GROUP BY symbol, n, stat""")
 def circular_shift_test(spark, sf_dir):

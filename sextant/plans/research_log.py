@@ -144,8 +144,7 @@ def grid(features: list[str], thresholds: list[float], holdings: list[int], budg
 
 def outlier_trimmed_mean(rows: DataFrame, by: list[str], x: str, trim: float = 0.05, least: int = 20) -> DataFrame:
     """by, n, trimmed: the mean of values strictly below the (1 - trim) quantile."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("_q", F.expr(f"percentile({x}, {1 - trim})").over(w))
+    r = rows.join(rows.groupBy(*by).agg(F.expr(f"percentile({x}, {1 - trim})").alias("_q")), by)
     return r.groupBy(*by).agg(F.count(x).alias("n"), F.when(F.count(x) >= least, F.avg(F.when(F.col(x) < F.col("_q"), F.col(x)))).alias("trimmed"))
 
 
@@ -175,3 +174,127 @@ def stability(rows: DataFrame, by: list[str], date: str, x: str, tie: list[str],
         .when((F.col("slope_p") < 0.10) & (F.col("slope") > 0), "STRENGTHENED").when(F.col("slope_p") < 0.10, "WEAKENED")
         .when(b > 0, "STABLE").otherwise("NO_EDGE_IN_EITHER_HALF"))
     return g.withColumn("verdict", verdict).drop("_r2")
+
+
+#: Thresholds of the default methodology, and the direction in which each is looser.
+DEFAULTS = {
+    "min_effective_n_inconclusive": (30.0, -1), "min_effective_n_accept": (100.0, -1), "screen_p_value": (0.05, 1), "validation_sharpe_ratio_of_train": (0.5, -1),
+    "walk_forward_min_positive_fold_frac": (0.60, -1), "fdr_q": (0.10, 1), "dsr_min_prob": (0.95, -1), "bootstrap_ci_level": (0.95, -1),
+    "cost_stress_multiplier": (2.0, -1), "max_single_year_pnl_share": (0.40, 1), "min_param_neighbor_positive_frac": (0.70, -1), "live_min_paper_days": (60.0, -1),
+    "live_min_paper_trades": (30.0, -1), "live_min_forward_percentile": (0.05, -1), "live_max_slippage_ratio": (1.5, 1), "max_participation": (0.10, 1),
+}
+#: Executions that come after the information, and those that the default methodology allows.
+AFTER_INFORMATION = {"next_open": True, "next_close": True, "same_close": False, "same_open": False}
+ALLOWED_EXECUTIONS = ("next_open", "next_close")
+#: What data flags and failed checks stand for.
+FLAGS = {"SURVIVORSHIP_BIASED_UNIVERSE": "SURVIVORSHIP_BIAS", "MODEL_PRICED": "UNRELIABLE_PRICES"}
+FAILED_CHECKS = {
+    "missing_available_at": "TIMESTAMP_INTEGRITY", "non_trading_session": "TIMESTAMP_INTEGRITY", "non_positive_or_missing_price": "UNRELIABLE_PRICES", "ohlc_inconsistent": "UNRELIABLE_PRICES",
+    "negative_volume": "UNRELIABLE_PRICES", "non_positive_value": "CORPORATE_ACTION_ERROR", "unknown_action": "CORPORATE_ACTION_ERROR", "schema": "OTHER_DEFECT",
+}
+#: Kinds of universes, and the flags of one whose members are only today's.
+UNIVERSE_KINDS = ("etf", "stock_pit", "stock_current")
+CURRENT_FLAGS = ("SURVIVORSHIP_RISK", "NO_PIT_MEMBERSHIP", "SURVIVORSHIP_BIASED_UNIVERSE")
+#: States that need a person's approval, and those that an integrity failure forbids.
+NEEDS_APPROVAL = ("PAPER_TRADING", "LIVE_ELIGIBLE")
+PROMOTED = ("ACCEPTED", "PAPER_TRADING", "LIVE_ELIGIBLE")
+
+
+def loosened(criteria: DataFrame, by: list[str]) -> DataFrame:
+    """by, name, value, default_value of thresholds (by, name, value) that are looser than the defaults."""
+    table = [(n, v, d) for n, (v, d) in DEFAULTS.items()]
+    known = F.broadcast(criteria.sparkSession.createDataFrame(table, "name string, default_value double, direction int"))
+    return criteria.join(known, "name").where(F.col("direction") * (F.col("value") - F.col("default_value")) > 1e-12).select(*by, "name", "value", "default_value")
+
+
+def spec_hash(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def register(registered: DataFrame, batch: DataFrame, seq: list[str]) -> DataFrame:
+    """batch (id, spec_hash, loosened, justification, ..) with verdict: REGISTERED, DUPLICATE of an earlier row or of `registered` (spec_hash), or REFUSED (looser thresholds without a reason)."""
+    first = F.row_number().over(Window.partitionBy("spec_hash", "_refused").orderBy(*seq)) == 1
+    old = registered.select("spec_hash", F.lit(True).alias("_old")).distinct()
+    b = batch.withColumn("_refused", F.col("loosened") & (F.trim(F.coalesce("justification", F.lit(""))) == "")).join(old, "spec_hash", "left").withColumn("_first", first)
+    verdict = F.when(F.col("_refused"), "REFUSED").when(F.coalesce("_old", F.lit(False)) | ~F.col("_first"), "DUPLICATE").otherwise("REGISTERED")
+    return b.withColumn("verdict", verdict).drop("_refused", "_old", "_first")
+
+
+def not_registered(specs: DataFrame, registered: DataFrame) -> DataFrame:
+    """id, why of specs (id, spec_hash) that are unknown or differ from what was registered under their id."""
+    j = specs.join(registered.select("id", F.col("spec_hash").alias("_known")), "id", "left")
+    why = F.when(F.col("_known").isNull(), "UNKNOWN").when(F.col("_known") != F.col("spec_hash"), "CHANGED")
+    return j.withColumn("why", why).where("why IS NOT NULL").select("id", "why")
+
+
+def transition_verdicts(requests: DataFrame) -> DataFrame:
+    """requests (from_status, to_status, approved_by, grade, ..) with verdict: OK, NOT_ALLOWED, NEEDS_APPROVAL or BLOCKED by the integrity grade."""
+    pairs = F.array(*[F.lit(f"{a}>{b}") for a, bs in TRANSITIONS.items() for b in bs])
+    allowed = F.array_contains(pairs, F.concat_ws(">", "from_status", "to_status"))
+    approved = F.trim(F.coalesce("approved_by", F.lit(""))) != ""
+    verdict = F.when(~allowed, "NOT_ALLOWED").when(F.col("to_status").isin(*NEEDS_APPROVAL) & ~approved, "NEEDS_APPROVAL")
+    return requests.withColumn("verdict", verdict.when(F.col("to_status").isin(*PROMOTED) & (F.coalesce("grade", F.lit("")) != "RESEARCH_GRADE"), "BLOCKED").otherwise("OK"))
+
+
+def automatic_findings(records: DataFrame, by: list[str]) -> DataFrame:
+    """by, category, severity: what the rules find in records, one row for each.
+
+    records: flags, failed_checks (arrays of names), lookahead_failures (number), contaminated, leakage, frictions (their
+    sum; NULL: no cost model), participation, execution, effective_n, p, q; any may be NULL.
+    """
+    limit = lambda n: DEFAULTS[n][0]
+    names = lambda known: F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    one = lambda when, category: F.when(F.coalesce(when, F.lit(False)), F.lit(category))
+    late = ~F.coalesce(names({k: str(v) for k, v in AFTER_INFORMATION.items()})[F.col("execution")] == "True", F.lit(False)) | ~F.col("execution").isin(*ALLOWED_EXECUTIONS)
+    rules = [
+        one(F.col("lookahead_failures") > 0, "LOOK_AHEAD_BIAS"), one(F.col("contaminated"), "TEST_CONTAMINATION"), one(F.col("leakage"), "DATA_LEAKAGE"),
+        one(F.col("frictions") == 0, "MISSING_COSTS"), one((F.col("frictions").isNotNull() & (F.col("participation") > limit("max_participation"))) | (F.col("execution").isNotNull() & late), "UNREALISTIC_EXECUTION"),
+        one(F.col("effective_n") < limit("min_effective_n_inconclusive"), "INADEQUATE_SAMPLE"), one(F.col("p").isNotNull() & F.col("q").isNull(), "UNCORRECTED_MULTIPLE_TESTING"), one(F.col("q") > limit("fdr_q"), "INSUFFICIENT_SIGNIFICANCE")]
+    none = F.array().cast("array<string>")
+    flagged = F.transform(F.coalesce("flags", none), lambda x: names(FLAGS)[x])
+    failed = F.transform(F.coalesce("failed_checks", none), lambda x: F.coalesce(names(FAILED_CHECKS)[x], F.lit("OTHER_DEFECT")))
+    found = F.array_distinct(F.filter(F.concat(F.array(*rules), flagged, failed), lambda x: x.isNotNull()))
+    return records.select(*by, F.explode(found).alias("category")).withColumn("severity", F.lit("MATERIAL"))
+
+
+def assess(automatic: DataFrame, manual: DataFrame, signals: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_findings, grade of each signal, from the distinct findings over all its versions and its open manual ones (by, category, severity)."""
+    all_ = automatic.select(*by, "category", "severity").unionByName(manual.select(*by, "category", "severity")).distinct()
+    g = grades(all_, by).join(all_.groupBy(*by).agg(F.count(F.lit(1)).alias("n_findings")), by)
+    return signals.select(*by).distinct().join(g, by, "left").select(*by, F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("grade", F.lit("RESEARCH_GRADE")).alias("grade"))
+
+
+def raise_verdicts(findings: DataFrame) -> DataFrame:
+    """findings (category, severity, detail, raised_by) with verdict: RAISED, or what keeps them from the log."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    verdict = F.when(~F.coalesce(F.col("category").isin(*FINDINGS), F.lit(False)), "UNKNOWN_CATEGORY").when(~F.coalesce(F.col("severity").isin("MATERIAL", "MINOR"), F.lit(False)), "UNKNOWN_SEVERITY")
+    return findings.withColumn("verdict", verdict.when(blank("detail") | blank("raised_by"), "INCOMPLETE").otherwise("RAISED"))
+
+
+def split_plans(plans: DataFrame, experiments: DataFrame) -> DataFrame:
+    """plans (family, seq) with n and late: whether the plan came after the family's first experiment (family, seq)."""
+    first = experiments.groupBy("family").agg(F.min("seq").alias("_first"))
+    n = F.row_number().over(Window.partitionBy("family").orderBy("seq"))
+    return plans.withColumn("n", n).join(first, "family", "left").withColumn("late", F.coalesce(F.col("_first") < F.col("seq"), F.lit(False))).drop("_first")
+
+
+def universe_flags(universes: DataFrame) -> DataFrame:
+    """universes (name, kind; NULL: not declared, the worst case) with flags; a kind that isn't known raises."""
+    kind = F.coalesce("kind", F.lit("stock_current"))
+    known = F.when(kind.isin(*UNIVERSE_KINDS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown universe kind "), kind)))
+    return universes.withColumn("flags", F.when(known == "stock_current", F.array(*[F.lit(f) for f in CURRENT_FLAGS])).otherwise(F.array().cast("array<string>")))
+
+
+def vault_accesses(requests: DataFrame) -> DataFrame:
+    """requests (entity_id, seq, status, acknowledged) with verdict: OPENED at the first request of a frozen hypothesis, then CONTAMINATED if acknowledged, else REFUSED."""
+    frozen = F.col("status") == "FROZEN"
+    before = F.sum(frozen.cast("int")).over(Window.partitionBy("entity_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    verdict = F.when(~F.coalesce(frozen, F.lit(False)), "REFUSED").when(F.coalesce(before, F.lit(0)) == 0, "OPENED").when(F.col("acknowledged"), "CONTAMINATED").otherwise("REFUSED")
+    return requests.withColumn("verdict", verdict)
+
+
+def with_status(entities: DataFrame, events: DataFrame, to: str | None = None) -> DataFrame:
+    """entities (entity_id, ..) with to_status and status_seq of their last event (of one status if given); NULL without any."""
+    e = events.where(F.col("to_status") == to) if to is not None else events
+    last = e.groupBy("entity_id").agg(F.max_by("to_status", "seq").alias("to_status"), F.max("seq").alias("status_seq"))
+    return entities.join(last, "entity_id", "left")

@@ -115,3 +115,10 @@ def earnings(filings: DataFrame, by: list[str]) -> DataFrame:
     r = c.join(usual, [*by, "no"], "left").withColumn("_d", F.abs(F.col("lag") - F.coalesce("usual", F.lit(30.0))))
     r = r.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "no").orderBy("_d", "accepted_at", "accession"))).where("_k = 1")
     return r.withColumn("_u", F.row_number().over(Window.partitionBy(*by, "accession").orderBy("no"))).where("_u = 1").select(*by, "period_end", "accepted_at", "accession")
+
+
+def ticker_map(payloads: DataFrame, text: str = "payload") -> DataFrame:
+    """ticker, cik of JSON payloads that map a key to {cik_str, ticker}: tickers in capitals, with '-' for '.'."""
+    kind = "map<string, struct<cik_str: bigint, ticker: string>>"
+    each = payloads.select(F.explode(F.map_values(F.from_json(text, kind))).alias("e"))
+    return each.select(F.replace(F.upper("e.ticker"), F.lit("."), F.lit("-")).alias("ticker"), F.col("e.cik_str").alias("cik"))

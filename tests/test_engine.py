@@ -324,3 +324,50 @@ def test_option_queries_take_the_whole_chain(spark):
     for name in ("implied_vol", "crr_price"):
         got = registry.QUERIES[name](spark, sf)
         assert got.count() == 54 * parts == got.select("underlying", "days", "k", "right").distinct().count()
+
+
+def test_weights_without_features_are_no_decision(spark):
+    rows = [(day(0), "A", None), (day(0), "B", None), (day(1), "A", 1.0), (day(1), "B", None), (day(2), "A", -1.0), (day(2), "B", -2.0)]
+    p = spark.createDataFrame(rows, "session date, symbol string, x double")
+    got = {(r["session"], r["symbol"]): r["weight"] for r in signals.state_weights(p, [("x", ">", 0.0)]).collect()}
+    assert [got[day(i), s] for i in range(3) for s in "AB"] == [None, None, 1.0, 0.0, 0.0, 0.0]
+
+
+def test_forward_session_is_the_first_that_closes_after(spark):
+    t = lambda d, h: dt.datetime(2020, 1, d, h)
+    s = spark.createDataFrame([(dt.date(2020, 1, d), t(d, 16)) for d in (2, 3, 6)], "session date, close_at timestamp")
+    e = spark.createDataFrame([(1, t(1, 9)), (2, t(2, 16)), (3, t(2, 17)), (4, t(3, 18)), (5, t(6, 16)), (6, t(6, 17)), (7, None)], "id int, at timestamp")
+    got = {r["id"]: r["session"] and r["session"].day for r in pit.asof_forward(e, s, "at").collect()}
+    assert got == {1: 2, 2: 2, 3: 3, 4: 6, 5: 6, 6: None, 7: None}
+
+
+def test_refused_trades_and_whole_contracts(spark):
+    t = spark.createDataFrame([(1, "equity", -5.0, 3.0, False, True, None), (2, "option", -1.0, 0.0, True, False, 5.0), (3, "option", 1.0, 0.0, False, True, None), (4, "option", 1.0, 0.0, False, True, 9.0)],
+        "id int, kind string, quantity double, existing double, short_option boolean, defined_risk boolean, max_loss double")
+    assert {r["id"]: r["why"] for r in risk.refusals(t).collect()} == {1: "short stock", 2: "undefined risk", 3: "no largest loss", 4: ""}
+    units = t.select(risk.whole_units(F.lit(2750.0), F.lit(500.0), F.col("kind"), F.lit(1)).alias("u")).collect()
+    assert [r["u"] for r in units] == [2750.0, 2500.0, 2500.0, 2500.0]
+
+
+def test_positions(spark):
+    s = F.lit(100.0)
+    legs = options.covered_call(s, F.lit(105.0), F.lit(0.5), F.lit(3.0))
+    p = spark.range(1).select(F.col("id"), s.alias("spot"), legs.alias("legs"))
+    m = options.position_marks(p, "id", "legs", "spot", 0.0, 0.0, F.lit(0.2)).first()
+    d1 = (math.log(100 / 105) + 0.02 * 0.5) / (0.2 * math.sqrt(0.5))
+    phi = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
+    call = 100 * phi(d1) - 105 * phi(d1 - 0.2 * math.sqrt(0.5))
+    assert math.isclose(m["value"], 3.0 - call, rel_tol=1e-6) and math.isclose(m["delta"], 1 - phi(d1), rel_tol=1e-6)
+    b = options.breakevens(p.withColumn("legs", options.vertical("C", F.lit(95.0), F.lit(105.0), F.lit(0.5), F.lit(7.0), F.lit(3.0))), "id", "legs", "spot", 0.6, 241).first()
+    assert b["breakevens"] == [99.0] and math.isclose(b["max_profit"], 6.0) and math.isclose(b["max_loss"], -4.0)
+
+
+def test_unknown_kinds_are_told(spark):
+    from sextant.operators import evaluation
+
+    assert evaluation.template_kind("measurement:vrp") == "measurement"
+    with pytest.raises(KeyError):
+        evaluation.template_kind("nothing")
+    with pytest.raises(Exception, match="unknown universe kind"):
+        research_log.universe_flags(spark.createDataFrame([("a", "funds")], "name string, kind string")).collect()
+

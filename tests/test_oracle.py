@@ -15,6 +15,8 @@ NAMES = [
     "asof_vintage", "pit_snapshot", "reaction_session", "resolve_identifier", "membership_mask", "tradable_mask", "validate_bars_issues", "event_study_car", "threshold_signal", "quantile_signal", "spells_to_trades",
     "trades_overlap_allowed", "trades_no_overlap", "segment_overnight", "summarize_returns", "summarize_trades", "quantile_returns", "regime_labels", "regime_performance", "fdr_adjustments", "hac_tstat", "cross_sectional_ic",
     "cusum", "shrunk_covariance", "rolling_spread", "atm_term_structure", "breeden_litzenberger", "option_payoff", "risk_gate", "hash_chain_verify", "three_valued_decision", "findings_grade", "illegal_transitions",
+    "sign_flip_test", "bootstrap_ci", "feat_rsi", "hash_chain", "probabilistic_sharpe", "family_pvalues", "run_strategy", "transition_verdicts", "automatic_findings", "assessed_signals", "vault_accesses", "register_batch", "condor_marks",
+    "enriched_chain", "session_neighbours", "current_opportunities", "validate_actions", "risk_refusals", "ticker_map",
 ]
 
 
