@@ -189,7 +189,7 @@ def effective_p(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(E.effective_p(a, b), 6).alias("p"))
 
 
-@Q.query("""WITH m AS (SELECT p_brand, p_size, avg(l_discount - l_tax - 0.01) AS mean FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), g AS (SELECT DISTINCT p_brand, p_size FROM part), d AS (SELECT unnest([-1, 1]) AS d)
+@Q.query("""WITH m AS (SELECT p_brand, p_size, avg(l_discount - l_tax - 0.01037) AS mean FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), g AS (SELECT DISTINCT p_brand, p_size FROM part), d AS (SELECT unnest([-1, 1]) AS d)
 SELECT g.p_brand || '/' || g.p_size AS id, count(*) AS n, round(avg((coalesce(m.mean, -1) > 0)::INT), 6) AS share FROM g CROSS JOIN d LEFT JOIN m ON m.p_brand = g.p_brand AND m.p_size = g.p_size + d GROUP BY 1""")
 def neighbour_share(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -197,7 +197,7 @@ def neighbour_share(spark, sf_dir):
     h = part.select("p_brand", "p_size").distinct()
     near = h.select(name(F.col("p_size")).alias("id"), F.explode(F.array(name(F.col("p_size") - 1), name(F.col("p_size") + 1))).alias("neighbour"))
     t = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
-    means = t.groupBy(name(F.col("p_size")).alias("id")).agg(F.avg(F.col("l_discount") - F.col("l_tax") - 0.01).alias("mean"))
+    means = t.groupBy(name(F.col("p_size")).alias("id")).agg(F.avg(F.col("l_discount") - F.col("l_tax") - 0.01037).alias("mean"))
     return E.neighbour_share(h.select(name(F.col("p_size")).alias("id")), near, means).select("id", "n", F.round("share", 6).alias("share"))
 
 
