@@ -33,9 +33,9 @@ from .graph import components
 LENGTHENED = (1, 2, 4, 8, 16)
 #: Cost of verifying a candidate against meeting it once in a list.
 VERIFY = 30.0
-FEW, BLOCK = 24, 1000
-#: Characters of text that a worker hashes, or holds of a pair of blocks, at once.
-CHARS = 1_000_000
+FEW, BLOCK = 24, 2000
+#: Characters of text that a worker hashes at once, and that a block holds.
+CHARS, HELD = 1_000_000, 4_000_000
 #: N-grams of this class of frequency or more (16 times the usual load) go to long lists without being counted: they may be too many for one task.
 COMMON = 4
 #: The counting sketch: a fixed number of counters, in segments.
@@ -250,9 +250,9 @@ def forest(values: np.ndarray, at: np.ndarray, t: float, label: np.ndarray) -> l
 
 
 def placed(members: DataFrame, texts: DataFrame, extra: list[str]) -> DataFrame:
-    """gram, i, j, a, text and `extra` of the members (gram, a): lists in blocks of about BLOCK members and CHARS characters, for each pair i <= j of blocks."""
+    """gram, i, j, a, text and `extra` of the members (gram, a): lists in blocks of about BLOCK members and HELD characters at most, for each pair i <= j of blocks."""
     long = members.join(texts.select(F.col("doc_id").alias("a"), F.length("text").alias("chars")), "a")
-    sizes = long.groupBy("gram").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / CHARS)).cast("int").alias("k"))
+    sizes = long.groupBy("gram").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / HELD)).cast("int").alias("k"))
     rows = members.join(written(sizes, "jaccard-sizes"), "gram").withColumn("own", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("gram", "a", *extra, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -264,16 +264,12 @@ def compared(rows: DataFrame, n: int, t: float, rooted: bool) -> DataFrame:
     rows = rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "a")
 
     def links(ids: list, texts: list, roots: list):
-        parts = list(chunks(texts, CHARS // 2))
-        if len(parts) <= 2:
-            parts, pairs = [(0, len(texts))], [(0, 0)]
-        else:  # a few very long texts: part by part
-            pairs = list(combinations(range(len(parts)), 2))
-        for p, q in pairs:
-            at_ = [*range(*parts[p]), *(range(*parts[q]) if p != q else ())]
-            values, at = ngram_sets([texts[i] for i in at_], n)
-            label = np.unique([roots[i] for i in at_], return_inverse=True)[1] if rooted else np.arange(len(at_))
-            yield from ((ids[at_[x]], ids[at_[y]]) for x, y in forest(values, at, t, label))
+        found = [ngram_sets(texts[lo:hi], n) for lo, hi in chunks(texts, CHARS)]
+        values = np.concatenate([v for v, _ in found])
+        size = np.concatenate([np.diff(at) for _, at in found])
+        label = np.unique(roots, return_inverse=True)[1] if rooted else np.arange(len(ids))
+        for x, y in forest(values, np.concatenate([[0], np.cumsum(size)]), t, label):
+            yield ids[x], ids[y]
 
     def run(batches):
         key, ids, held, roots = None, [], [], []

@@ -109,6 +109,7 @@ def test_common_ngrams_in_long_lists(spark, monkeypatch, common):
     monkeypatch.setattr(jaccard, "FEW", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 9)
     monkeypatch.setattr(jaccard, "CHARS", 3000)
+    monkeypatch.setattr(jaccard, "HELD", 4000)
     rng = random.Random(5)
     made = []
     for i in range(90):
