@@ -36,6 +36,8 @@ VERIFY = 30.0
 FEW, BLOCK = 24, 2000
 #: Characters of text that a worker hashes at once, and that a block holds.
 CHARS, HELD = 1_000_000, 4_000_000
+#: Rows of a few numbers that are broadcast to the texts they ask for, at most (some 10 MB).
+MOST_SENT = 200_000
 #: N-grams of this class of frequency or more (16 times the usual load) go to long lists without being counted: they may be too many for one task.
 COMMON = 4
 #: The counting sketch: a fixed number of counters, in segments.
@@ -203,29 +205,34 @@ def meet(grams: DataFrame, t: float) -> DataFrame:
     return grams.mapInPandas(run, "gram bigint, a bigint, b bigint, ask int")
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """rows (a few numbers each) as a broadcast where they are at most MOST_SENT; else Spark joins by shuffling, and splits skewed keys."""
+    return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach t."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    """Those of the pairs (a, b) whose sets reach t. The two texts of a pair come together, one row each."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    rows = texts.join(sent(ends), "doc_id").select("a", "b", "text").repartition("a", "b").sortWithinPartitions("a", "b")
 
     def run(batches):
+        held = None
         for batch in batches:
-            length = (batch["ta"].str.len() + batch["tb"].str.len()).to_numpy()
-            cut = np.flatnonzero(np.diff(np.cumsum(length) // CHARS, prepend=-1)) if len(batch) else []
-            for lo, hi in zip(cut, [*cut[1:], len(batch)]):
-                part = batch.iloc[lo:hi]
-                names, inverse = np.unique(np.concatenate([part["a"], part["b"]]), return_inverse=True)
-                by_id = dict(zip(part["a"], part["ta"])) | dict(zip(part["b"], part["tb"]))
-                values, at = ngram_sets([by_id[k] for k in names], n)
-                k = len(part)
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            whole, held = held.iloc[: len(held) // 2 * 2], held.iloc[len(held) // 2 * 2 :]
+            ids, found = whole[["a", "b"]].iloc[::2], list(whole["text"])
+            length = np.array([len(x) for x in found], np.int64).reshape(-1, 2).sum(1)
+            cut = np.flatnonzero(np.diff(np.cumsum(length) // CHARS, prepend=-1)) if len(ids) else []
+            for lo, hi in zip(cut, [*cut[1:], len(ids)]):
+                values, at = ngram_sets(found[2 * lo : 2 * hi], n)
                 keep = []
-                for x, y in zip(inverse[:k], inverse[k:]):
-                    p, q = values[at[x] : at[x + 1]], values[at[y] : at[y + 1]]
+                for x in range(0, 2 * (hi - lo), 2):
+                    p, q = values[at[x] : at[x + 1]], values[at[x + 1] : at[x + 2]]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(both >= needed(t, np.array([len(p) + len(q) - both]))[0])
-                yield part.loc[np.array(keep, bool), ["a", "b"]]
+                yield ids.iloc[lo:hi][np.array(keep, bool)]
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint")
+    return rows.mapInPandas(run, "a bigint, b bigint")
 
 
 def forest(values: np.ndarray, at: np.ndarray, t: float, label: np.ndarray) -> list[tuple[int, int]]:
@@ -251,12 +258,12 @@ def forest(values: np.ndarray, at: np.ndarray, t: float, label: np.ndarray) -> l
 
 def placed(members: DataFrame, texts: DataFrame, extra: list[str]) -> DataFrame:
     """gram, i, j, a, text and `extra` of the members (gram, a): lists in blocks of about BLOCK members and HELD characters at most, for each pair i <= j of blocks."""
-    long = members.join(texts.select(F.col("doc_id").alias("a"), F.length("text").alias("chars")), "a")
+    long = texts.select(F.col("doc_id").alias("a"), F.length("text").alias("chars")).join(sent(members), "a")
     sizes = long.groupBy("gram").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / HELD)).cast("int").alias("k"))
     rows = members.join(written(sizes, "jaccard-sizes"), "gram").withColumn("own", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("gram", "a", *extra, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return rows.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("gram", "i", "j", "a", "text", *extra)
+    return texts.select(F.col("doc_id").alias("a"), "text").join(sent(rows), "a").select("gram", "i", "j", "a", "text", *extra)
 
 
 def compared(rows: DataFrame, n: int, t: float, rooted: bool) -> DataFrame:
