@@ -38,6 +38,8 @@ FEW, BLOCK = 24, 2000
 CHARS, HELD = 1_000_000, 4_000_000
 #: Rows of a few numbers that are broadcast to the texts they ask for, at most (some 10 MB).
 MOST_SENT = 200_000
+#: Bits of the filter of wanted ids for each of them, and its 64-bit words that are broadcast, at most (some 50 MB).
+ID_BITS, MOST_WORDS = 12, 1_000_000
 #: N-grams of this class of frequency or more (16 times the usual load) go to long lists without being counted: they may be too many for one task.
 COMMON = 4
 #: The counting sketch: a fixed number of counters, in segments.
@@ -210,6 +212,21 @@ def sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
 
 
+def among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row (doc_id, text) of each wanted id (distinct rows of doc_id).
+
+    A Bloom filter of the ids (four bits of one 64-bit word each) is broadcast while it has at most MOST_WORDS words,
+    so that few other texts reach the shuffle of the exact join; beyond that all texts are shuffled.
+    """
+    words = wanted.count() * ID_BITS // 64 + 1
+    if words <= MOST_WORDS:
+        word = F.pmod(F.xxhash64("doc_id"), F.lit(words)).alias("word")
+        mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {at}) & 63 as int))" for at in (40, 46, 52, 58)))
+        bits = wanted.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+        docs = docs.select("doc_id", "text", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(mask) == mask)
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach t. The two texts of a pair come together, one row each."""
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
@@ -331,7 +348,7 @@ def join(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     # a pair that shares fewer n-grams in short lists than it must may share the others in long ones, where it is compared
     pairs = written(pairs.where("shared >= ask").select("a", "b"), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("a").alias("doc_id"))).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
+    texts = written(among(docs, written(wanted, "jaccard-wanted")), "jaccard-texts")
     links = blocks(members, texts, verified(pairs, texts, n, t), n, t)
     roots = components(links)
     of_class = reps.select("lo", "hi", F.col("n").alias("n_shingles"), "rep").join(roots, reps["rep"] == roots["node"], "left")

@@ -237,3 +237,15 @@ def test_registered_query_against_sql(spark, name):
 def test_registered_query_returns_every_row(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert df.agg(F.count(F.lit(1))).first()[0] == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_jaccard_texts_of_wanted_ids(spark, monkeypatch, most):
+    """With or without the broadcast filter: one row of each wanted id that has a text, no other, null ids never."""
+    monkeypatch.setattr(jaccard, "MOST_WORDS", most)
+    rows = [(i * 7919 - 5000, f"text {i}") for i in range(3000)] + [(None, "none")] + [(7919 - 5000, "text 1")] * 3
+    wanted = sorted({i * 7919 - 5000 for i in range(0, 3000, 7)} | {7919 - 5000, 3})
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard.among(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id bigint")).collect()
+    assert sorted(got) == sorted({r for r in rows if r[0] in wanted})
+    assert jaccard.among(docs, docs.select("doc_id").limit(0)).count() == 0
