@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, langid, language_model, licenses, mixing, pieces, spotsigs, toxicity, vectors
+from . import chat, jaccard, langid, language_model, licenses, mixing, pieces, queries_text, spotsigs, toxicity, vectors
 from .common import crc_mod
 
 
@@ -174,5 +174,5 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_spotsigs": op10_spotsigs,
-}
-ORACLE_SQL = {"op2_vectors": OP2_SQL, "op4_mixing": OP4_SQL, "op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL, "op9_licenses": OP9_SQL}
+} | queries_text.QUERIES
+ORACLE_SQL = {"op2_vectors": OP2_SQL, "op4_mixing": OP4_SQL, "op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL, "op9_licenses": OP9_SQL} | queries_text.ORACLE_SQL
