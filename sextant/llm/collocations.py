@@ -3,9 +3,9 @@
 Every shard of texts (SHARD characters of one language) sorts its n-grams and builds count transducers from them: states
 are shared prefixes, equal subtrees are one state, an arc holds a word and how often the path up to it occurs. The
 paths are cut into ranges by a hash of their first words, so that a range's transducers from all shards meet in one group,
-are united and their weights summed. Single words and pairs come first. A longer phrase is only as frequent as its rarest pair, so the
-second round takes only places where all pairs may be frequent by a Bloom filter of FILTER_BITS bits, which can let
-too much through but never too little. Parts of candidates are looked up by composing the sorted distinct parts of a
+are united and their weights summed. Single words come first, then pairs, then longer phrases: a phrase is only as
+frequent as its rarest part, so pairs are taken where both words, and longer phrases where all pairs may be frequent by a
+Bloom filter of FILTER_BITS bits of what the round before has found, which can let too much through but never too little. Parts of candidates are looked up by composing the sorted distinct parts of a
 range with the range's transducer.
 
 Ranges are as many as shuffle partitions; paths of three and more words are dealt by their first three, so a frequent
@@ -19,6 +19,7 @@ by bytes. Other columns, the id included, are not looked at.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,15 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import SpanHash, mix, written
 
-#: Characters of a shard, bits of the filter of frequent pairs (1 MB; collected and broadcast as at most 131,072 numbers), slices of a language's top list.
+#: Characters of a shard, bits of a filter of frequent words or pairs (1 MB; collected and broadcast as at most 131,072 numbers), slices of a language's top list.
 SHARD, FILTER_BITS, SLICES = 4_000_000, 1 << 23, 64
 LONGEST = 5
 _TOKEN = re.compile(rb"[^ \t\n]+|\n")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: What ends a piece becomes a line end.
 _PIECES = bytes(10 if chr(c) in ".,;:!?\n\v\f\r" else _LOWER[c] for c in range(256))
-AUTOMATON = "words binary, first binary, label binary, weight binary, target binary"
-_ARRAYS = {"first": np.int64, "label": np.int32, "weight": np.int64, "target": np.int32}
+AUTOMATON = "words binary, size binary, label binary, weight binary, target binary"
 
 
 class Automaton:
@@ -133,11 +133,15 @@ class Automaton:
         return np.where(alive, out, 0)
 
     def columns(self) -> list:
-        return [b"\n".join(self.words), *(getattr(self, k).astype(kind).tobytes() for k, kind in _ARRAYS.items())]
+        """For a row: numbers of arcs in place of where they begin, and every array in the narrowest type (its size goes first)."""
+        arrays = [np.diff(self.first), self.label, self.weight, self.target]
+        kinds = [np.min_scalar_type(int(a.max())) if len(a) else np.dtype("u1") for a in arrays]
+        return [b"\n".join(self.words), *(bytes([k.itemsize]) + a.astype(k).tobytes() for a, k in zip(arrays, kinds))]
 
     @classmethod
     def read(cls, words: bytes, *arrays: bytes) -> Automaton:
-        return cls(words.split(b"\n") if words else [], *(np.frombuffer(a, kind) for a, kind in zip(arrays, _ARRAYS.values())))
+        size, label, weight, target = (np.frombuffer(a, f"u{a[0]}", offset=1) for a in arrays)
+        return cls(words.split(b"\n") if words else [], np.append(0, np.cumsum(size, dtype=np.int64)), label.astype(np.int32), weight.astype(np.int64), target.astype(np.int32))
 
 
 def united(automata: list[Automaton], least: int = 1) -> Automaton:
@@ -192,17 +196,22 @@ def range_hash(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def range_of(rows: np.ndarray, hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of the hash that a path lies in. Paths of three words or more have ranges of their own, behind the others."""
+    """The range of the hash that a path lies in. Single words, pairs and longer paths each have ranges of their own."""
     part = ((range_hash(rows, hashes) >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int32)
-    return part + (ranges * (rows[:, 2] > 0) if rows.shape[1] > 2 else 0).astype(np.int32) if rows.shape[1] > 2 else part
+    return part + (ranges * ((rows[:, 1] > 0).astype(np.int32) + (rows[:, 2] > 0)))
 
 
-def pair_bits(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Two places in the filter for each pair."""
+def filter_bits(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Two places in a filter for each word or pair (rows of two labels)."""
     h = range_hash(rows[:, :2], hashes)
     return np.stack([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)], 1).astype(np.int64)
 
 
+def may_hold(known: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = filter_bits(rows, hashes)
+    return (known[bits >> 3] >> (bits & 7) & 1).all(axis=1)
+
+
 def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     """The distinct words in order, and the sequence of their places from 1, with 0 between pieces and LONGEST times at the end."""
     number: dict[bytes, int] = defaultdict()
@@ -216,38 +225,40 @@ def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return words, np.append(place[codes], np.zeros(LONGEST, np.int32))
 
 
-def ngrams(codes: np.ndarray, words: int, first: int, last: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of first .. last words that start at `at` within pieces, in order, and their counts. `at` must be word places."""
-    found, counted = [], []
-    ids = codes[at].astype(np.int64)
-    for n in range(1, last + 1):
-        if n > 1:
-            inside = codes[at + n - 1] > 0
-            at, ids = at[inside], ids[inside] * (words + 1) + codes[at[inside] + n - 1]
-        distinct, where, ids, count = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
-        if n >= first:
-            rows = np.zeros((len(distinct), LONGEST), np.int32)
-            for d in range(n):
-                rows[:, d] = codes[at[where] + d]
-            found.append(rows), counted.append(count.astype(np.int64))
-    return summed(np.concatenate(found), np.concatenate(counted))
-
-
-def shard_automata(texts: list[str], ranges: int, pairs: np.ndarray | None) -> Iterator[tuple[int, Automaton]]:
-    """One shard's automata by range: of single words and pairs, or with a filter of frequent pairs, of longer phrases."""
+def counted(codes: np.ndarray, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of that size that start at `at`, in order, and their counts."""
+    width = int(codes.max(initial=0)) + 1
+    if size <= 2:
+        key = codes[at].astype(np.int64) * width + (codes[at + 1] if size == 2 else 0)
+        distinct, count = np.unique(key, return_counts=True)
+        rows = np.zeros((len(distinct), LONGEST), np.int32)
+        rows[:, 0], rows[:, 1] = distinct // width, distinct % width
+        return rows, count.astype(np.int64)
+    rows = np.zeros((len(at), LONGEST), np.int32)
+    for d in range(size):
+        rows[:, d] = codes[at + d]
+    return summed(rows, np.ones(len(at), np.int64))
+
+
+def shard_automata(texts: list[str], ranges: int, level: int, known: np.ndarray | None) -> Iterator[tuple[int, Automaton]]:
+    """One shard's automata by range: of single words (level 1), of pairs (2) whose words the filter may hold, of longer phrases (3) whose pairs it may hold."""
     words, codes = coded(texts)
-    at = np.flatnonzero(codes > 0)
     hashes = word_hashes(words)
-    if pairs is None:
-        rows, count = ngrams(codes, len(words), 1, 2, at)
+    at = np.flatnonzero(codes > 0)
+    if level == 1:
+        rows, count = counted(codes, 1, at)
+    elif level == 2:
+        often = np.append(False, may_hold(known, np.stack([np.arange(1, len(words) + 1), np.zeros(len(words), np.int64)], 1), hashes)) if words else np.zeros(1, bool)
+        rows, count = counted(codes, 2, at[often[codes[at]] & often[codes[at + 1]]])
     else:
         two = at[codes[at + 1] > 0]
-        bits = pair_bits(np.stack([codes[two], codes[two + 1]], 1), hashes)
         often = np.zeros(len(codes), bool)
-        often[two] = (pairs[bits >> 3] >> (bits & 7) & 1).all(axis=1)
-        # a phrase ends where a pair is too rare: past it the sequence counts as another piece
-        at = np.flatnonzero(often[:-1] & often[1:])
-        rows, count = ngrams_within(codes, len(words), often, at)
+        often[two] = may_hold(known, np.stack([codes[two], codes[two + 1]], 1), hashes)
+        found, at = [(np.zeros((0, LONGEST), np.int32), np.zeros(0, np.int64))], np.flatnonzero(often)
+        for n in range(3, LONGEST + 1):
+            at = at[often[at + n - 2]]
+            found.append(counted(codes, n, at))
+        rows, count = summed(np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]))
     part = range_of(rows, hashes, ranges)
     order = np.argsort(part, kind="stable")
     border = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
@@ -256,21 +267,8 @@ def shard_automata(texts: list[str], ranges: int, pairs: np.ndarray | None) -> I
         yield int(part[some[0]]), compact(words, rows[some], count[some])
 
 
-def ngrams_within(codes: np.ndarray, words: int, often: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of 3 .. LONGEST words all of whose pairs are marked, and their counts."""
-    found, counted = [np.zeros((0, LONGEST), np.int32)], [np.zeros(0, np.int64)]
-    for n in range(3, LONGEST + 1):
-        at = at[often[at + n - 2]]
-        window = np.zeros((len(at), LONGEST), np.int32)
-        for d in range(n):
-            window[:, d] = codes[at + d]
-        rows, count = summed(window, np.ones(len(at), np.int64))
-        found.append(rows), counted.append(count)
-    return summed(np.concatenate(found), np.concatenate(counted))
-
-
-def shards(docs: DataFrame, ranges: int, pairs=None) -> DataFrame:
-    """lang, part and an automaton: one row for each shard and range. pairs: the broadcast filter of frequent pairs."""
+def shards(docs: DataFrame, ranges: int, level: int, known=None) -> DataFrame:
+    """lang, part and an automaton: one row for each shard and range. known: the broadcast filter of the level below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[str]] = defaultdict(list)
@@ -278,7 +276,7 @@ def shards(docs: DataFrame, ranges: int, pairs=None) -> DataFrame:
 
         def flush(lang: str) -> pa.RecordBatch | None:
             size[lang] = 0
-            rows = [[lang, part, *a.columns()] for part, a in shard_automata(held.pop(lang), ranges, pairs.value if pairs else None)]
+            rows = [[lang, part, *a.columns()] for part, a in shard_automata(held.pop(lang), ranges, level, known.value if known else None)]
             return batch_of(rows, "lang string, part int") if rows else None
 
         for batch in batches:
@@ -322,14 +320,13 @@ def unite(made: DataFrame, least: int) -> DataFrame:
     return made.groupBy("lang", "part").applyInArrow(run, f"lang string, part int, n_words bigint, {AUTOMATON}")
 
 
-def pair_filter(frequent: DataFrame) -> np.ndarray:
-    """The filter of all pairs of the automata: at most FILTER_BITS / 64 numbers come to the driver, whatever their number."""
+def filter_of(frequent: DataFrame) -> np.ndarray:
+    """The filter of all paths (words or pairs) of the automata: at most FILTER_BITS / 64 numbers come to the driver, whatever their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in _automata(pa.Table.from_batches([batch])):
-                rows, _ = a.paths()
-                bits = np.unique(pair_bits(rows[rows[:, 1] > 0], word_hashes(a.words)))
+                bits = np.unique(filter_bits(a.paths()[0], word_hashes(a.words)))
                 yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], ["cell", "bits"])
 
     cells = frequent.select(*[f.split()[0] for f in AUTOMATON.split(", ")]).mapInArrow(run, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
@@ -389,11 +386,12 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    short = written(unite(shards(docs, ranges), least), "colloc-short")
-    pairs = spark.sparkContext.broadcast(pair_filter(short))
-    long = unite(shards(docs, ranges, pairs), least)
-    frequent = written(short.drop("n_words").unionByName(long.drop("n_words")), "colloc-frequent")
-    totals = short.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    levels, known = [], None
+    for level in (1, 2, 3):
+        levels.append(written(unite(shards(docs, ranges, level, known), least), f"colloc-{level}"))
+        known = spark.sparkContext.broadcast(filter_of(levels[-1])) if level < 3 else None
+    frequent = functools.reduce(DataFrame.unionByName, levels).drop("n_words")
+    totals = levels[0].groupBy("lang").agg(F.sum("n_words").alias("n"))
 
     phrases = written(listed(frequent), "colloc-phrases").withColumn("w", F.split("phrase", " "))
     cuts = phrases.where(F.size("w") > 1).select("lang", "phrase", F.col("f").alias("a"), F.size("w").alias("m"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
