@@ -7,6 +7,9 @@ Sums are combined before they are shuffled; nothing is gathered.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +71,77 @@ def bootstrap_ci(rows: DataFrame, by: list[str], order: list[str], x: str, draws
     return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean")).join(spread, by)
 
 
+def blocks(sizes: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
+    """by, draw, n, a, len: the blocks of each draw of a stationary bootstrap over n positions, from sizes (by, n).
+
+    Lengths are geometric with mean n^(1/3), by inversion of a hash, so that rows are blocks from the start. More are drawn than n positions
+    take all but surely (six deviations); should they not do, the last one runs on to the end.
+    """
+    p = F.pow("n", F.lit(-1 / 3))
+    most = F.ceil(F.col("n") * p + 6 * F.sqrt(F.col("n") * p) + 12).cast("int")
+    drawn = each_draw(sizes.select(*by, "n", most.alias("_m")), draws).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    gap = 1 + F.floor(F.log(uniform(F.lit(seed), F.col("draw"), F.col("_i"), F.lit("len"))) / F.log(1 - p))
+    start = F.floor(uniform(F.lit(seed), F.col("draw"), F.col("_i"), F.lit("start")) * F.col("n"))
+    w = Window.partitionBy(*by, "draw").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = drawn.withColumns({"_g": gap, "a": start}).withColumn("_s", F.sum("_g").over(w) - F.col("_g")).where(F.col("_s") < F.col("n"))
+    left = F.col("n") - F.col("_s")
+    return placed.select(*by, "draw", "n", "a", F.when(F.col("_i") == F.col("_m") - 1, left).otherwise(F.least("_g", left)).alias("len"))
+
+
+def _interval(drawn: DataFrame, by: list[str], level: float) -> DataFrame:
+    a = (1 - level) / 2
+    return drawn.groupBy(*by).agg(F.expr(f"percentile(m, {a})").alias("lo"), F.expr(f"percentile(m, {1 - a})").alias("hi"), F.avg((F.col("m") <= 0).cast("double")).alias("p_le_zero"))
+
+
+def bootstrap(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], statistic: Callable[[dict[str, Column]], Column], draws: int = 2000, level: float = 0.95, seed: int = 0, least: int = 5) -> DataFrame:
+    """by, n, estimate, lo, hi, p_le_zero of any statistic that follows from sums over rows, by the stationary bootstrap.
+
+    sums: what is summed, by name (rows where one of them is NULL are left out); statistic: from the sums' columns and `n` to its own. A block's sums are
+    differences of running sums at three places, met in one join; draws times rows never arise.
+    """
+    names = list(sums)
+    s = numbered(rows.withColumns(sums).na.drop(subset=names), by, order, *names).where(F.col("n") >= least)
+    w = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = s.select(*by, (F.col("pos") + 1).cast("long").alias("k"), *[F.sum(c).over(w).alias(c) for c in names])
+    running = running.unionByName(s.where("pos = 0").select(*by, F.lit(0).cast("long").alias("k"), *[F.lit(0.0).alias(c) for c in names]))
+    sizes = s.where("pos = 0").select(*by, "n")
+    stop, n = F.col("a") + F.col("len"), F.col("n")
+    ends = [F.struct(k.cast("long").alias("k"), F.lit(float(sign)).alias("sign")) for k, sign in ((F.col("a"), -1), (F.least(stop, n), 1), (F.greatest(stop - n, F.lit(0)), 1))]
+    met = blocks(sizes, by, draws, seed).select(*by, "draw", "n", F.explode(F.array(*ends)).alias("e")).select(*by, "draw", "n", "e.*").join(running, [*by, "k"])
+    drawn = met.groupBy(*by, "draw", "n").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in names])
+    of = lambda: statistic({c: F.col(c) for c in [*names, "n"]})
+    whole = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).select(*by, "n", of().alias("estimate"))
+    return whole.join(_interval(drawn.select(*by, of().alias("m")), by, level), by)
+
+
+def sharpe_sums(x: str, periods: int = 252) -> tuple[dict[str, Column], Callable[[dict[str, Column]], Column]]:
+    """For `bootstrap`: the yearly Sharpe ratio of x."""
+    return {"_x": F.col(x), "_xx": F.col(x) * F.col(x)}, lambda s: s["_x"] / s["n"] / F.sqrt(F.nullif((s["_xx"] - s["_x"] * s["_x"] / s["n"]) / (s["n"] - 1), F.lit(0.0))) * math.sqrt(periods)
+
+
+def ratio_sums(above: Column, below: Column) -> tuple[dict[str, Column], Callable[[dict[str, Column]], Column]]:
+    """For `bootstrap`: the sum of one column over that of another."""
+    return {"_above": above, "_below": below}, lambda s: s["_above"] / F.nullif(s["_below"], F.lit(0.0))
+
+
+def bootstrap_quantile(rows: DataFrame, by: list[str], order: list[str], x: str, q: float = 0.5, draws: int = 2000, level: float = 0.95, seed: int = 0, least: int = 5) -> DataFrame:
+    """by, n, estimate, lo, hi, p_le_zero of a quantile (linear between neighbours): draws are weights on the distinct values, and a quantile is where running weights pass its place."""
+    s = numbered(rows, by, order, x).where(F.col("n") >= least)
+    at = F.floor((F.col("n") - 1) * F.lit(q)), F.ceil((F.col("n") - 1) * F.lit(q))
+
+    def placed(weights: DataFrame, keys: list[str]) -> DataFrame:
+        passed = F.sum("weight").over(Window.partitionBy(*keys).orderBy(x).rangeBetween(Window.unboundedPreceding, 0))
+        v = weights.withColumn("_c", passed).groupBy(*keys, "n").agg(F.min(F.when(F.col("_c") > at[0], F.col(x))).alias("_lo"), F.min(F.when(F.col("_c") > at[1], F.col(x))).alias("_hi"))
+        part = (F.col("n") - 1) * F.lit(q) - at[0]
+        return v.select(*keys, "n", (F.col("_lo") + part * (F.col("_hi") - F.col("_lo"))).alias("m"))
+
+    b = blocks(s.where("pos = 0").select(*by, "n"), by, draws, seed)
+    picks = b.select(*by, "draw", F.explode(F.sequence(F.col("a"), F.col("a") + F.col("len") - 1)).alias("_p"), "n").withColumn("pos", (F.col("_p") % F.col("n")).cast("int"))
+    weights = picks.groupBy(*by, "draw", "pos").agg(F.count(F.lit(1)).alias("weight")).join(s.select(*by, "pos", "n", x), [*by, "pos"])
+    estimate = placed(s.groupBy(*by, "n", x).agg(F.count(F.lit(1)).alias("weight")), by).withColumnRenamed("m", "estimate")
+    return estimate.join(_interval(placed(weights, [*by, "draw"]), by, level), by)
+
+
 def random_entry_test(trades: DataFrame, pool: DataFrame, by: list[str], order: list[str], ret: str, direction: str, pool_order: list[str], label: str, draws: int = 2000, seed: int = 0, least: int = 5, least_pool: int = 20) -> DataFrame:
     """by, n, stat, p of the mean trade against means of as many random entries from the group's pool of forward returns."""
     t = numbered(trades, by, order, ret, direction).where(F.col("n") >= least)

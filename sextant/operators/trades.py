@@ -62,22 +62,46 @@ def without_overlap(trades: DataFrame, keys: list[str] | None = None) -> DataFra
     return trades.groupBy(*keys).applyInPandas(fold, trades.schema)
 
 
+def islands(trades: DataFrame, run: str | None = None) -> DataFrame:
+    """Adds island: entry sessions between which some trade is open have the same one. Trades of different islands never compete for a slot.
+
+    Exits are reduced to the latest one of each entry session first, so the running maximum goes over sessions, not over trades.
+    """
+    keys = [run] if run else []
+    ends = trades.groupBy(*keys, "entry_session").agg(F.max("exit_session").alias("_end"))
+    w = Window.partitionBy(*keys).orderBy("entry_session")
+    open_until = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = ends.withColumn("_new", F.when(open_until > F.col("entry_session"), 0).otherwise(1))
+    numbered = starts.select(*keys, "entry_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    return trades.join(numbered, [*keys, "entry_session"])
+
+
 def slots(trades: DataFrame, max_concurrent: int = 5, run: str | None = None) -> DataFrame:
-    """Adds slot: the first free of so many slots in order of entry, NULL where none is free. One fold per run of a strategy."""
+    """Adds slot: the first free of so many slots in order of entry and symbol, NULL where none is free. A trade that never holds over a session takes no slot.
+
+    Where no trade is open the timeline falls apart into islands, which are dealt side by side. Of the trades that enter in one
+    session only the first `max_concurrent` can find a slot, so a group holds at most that many rows for each session of its island.
+    """
+    keys = [run] if run else []
+    w = Window.partitionBy(*keys, "entry_session").orderBy("symbol", "exit_session")
+    ranked = trades.withColumn("_k", F.when(F.col("exit_session") > F.col("entry_session"), F.row_number().over(w.partitionBy(*keys, "entry_session", F.col("exit_session") > F.col("entry_session")))))
+    able = islands(ranked.where(F.col("_k") <= max_concurrent).drop("_k"), run)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in trades.schema.fields)}, slot int"
+    names = [f.name for f in trades.schema.fields]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["entry_session", "symbol"], kind="stable")
-        busy = [None] * max_concurrent
-        out = []
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["entry_session", "symbol", "exit_session"], kind="stable")
+        busy, out = [None] * max_concurrent, []
         for e, x in zip(pdf["entry_session"], pdf["exit_session"]):
             free = next((k for k, b in enumerate(busy) if b is None or b <= e), None)
             out.append(free)
-            if free is not None and x > e:
+            if free is not None:
                 busy[free] = x
-        return pdf.assign(slot=pd.array(out, "Int32"))
+        return pdf[names].assign(slot=pd.array(out, "Int32"))
 
-    return trades.groupBy(*([run] if run else [])).applyInPandas(fold, schema)
+    dealt = able.groupBy(*keys, "island").applyInPandas(deal, schema)
+    others = ranked.where(F.col("_k").isNull() | (F.col("_k") > max_concurrent)).drop("_k").withColumn("slot", F.lit(None).cast("int"))
+    return dealt.unionByName(others)
 
 
 def to_daily(trades: DataFrame, sessions: DataFrame, max_concurrent: int = 5, ret: str = "net_ret", run: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions.windows import out
-from ..operators import measure, paper, relative, resample, stats
+from ..operators import measure, paper, resample, stats
 from ..sources.adapters import PANEL_SQL, table
 from .catalogue import Catalogue, normal_sql
 from .queries_features import S, _sma, market_panel
@@ -66,12 +66,6 @@ def capacity(spark, sf_dir):
     return c.select("symbol", "capital", "n", *[out(F.col(x)).alias(x) for x in ("median_participation", "share_affordable", "share_feasible")])
 
 
-@Q.query()
-def unit_root_tests(spark, sf_dir):
-    p = market_panel(spark, sf_dir).withColumn("x", F.log("close"))
-    return relative.unit_root_tests(p, ["symbol"], "session", "x").select("symbol", "n", out(F.col("t"), 4).alias("t"), "lags", out(F.col("p"), 4).alias("p"))
-
-
 @Q.query(f"""WITH {_CANDIDATES}, k AS (SELECT unnest([1.0, 2.0, 3.0])::DOUBLE AS k) SELECT symbol, k, count(*) AS n, round(avg(gross_ret - k * cost_frac), 6) + 0.0 AS mean_net FROM cand, k GROUP BY 1, 2""")
 def cost_stress(spark, sf_dir):
     """The mean net trade when all frictions are multiplied."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import options as O
 from ..functions.windows import out
-from ..operators import relative, risk, stats
+from ..operators import risk, stats
 from ..sources.adapters import PANEL_SQL, table
 from . import research_log as L
 from .catalogue import Catalogue, normal_sql, t_tail_sql
@@ -204,11 +204,6 @@ def effective_number(spark, sf_dir):
     return risk.effective_number(c).select("n", F.round("effective", 5).alias("effective"))
 
 
-@Q.query()
-def pca_residuals(spark, sf_dir):
-    return relative.pca_residuals(market_panel(spark, sf_dir), 1, 252, 63).select("session", "symbol", out(F.col("residual"), 5).alias("residual"))
-
-
 @Q.query()
 def walk_forward_classifier(spark, sf_dir):
     """The sign of the next five sessions from three features, out of sample."""

@@ -179,6 +179,39 @@ def bootstrap_ci(spark, sf_dir):
     return t.select("symbol", "n", *[out(F.col(c)).alias(c) for c in ("mean", "lo", "hi", "p_le_zero")])
 
 
+_BLOCKS = f"""gp AS (SELECT DISTINCT symbol, n, pow(n, -1.0::DOUBLE / 3) AS p FROM s WHERE n >= 5), gm AS (SELECT *, ceil(n * p + 6 * sqrt(n * p) + 12)::INT AS m FROM gp),
+gd AS (SELECT symbol, draw, n, m, i, 1 + floor(ln({_U(9, 'draw', 'i', "'len'")}) / ln(1 - p))::BIGINT AS g, floor({_U(9, 'draw', 'i', "'start'")} * n)::BIGINT AS a FROM gm, dr, range(0, 4000) r(i) WHERE i < m),
+gs AS (SELECT *, (sum(g) OVER (PARTITION BY symbol, draw ORDER BY i ROWS UNBOUNDED PRECEDING) - g)::BIGINT AS s0 FROM gd),
+bk AS (SELECT symbol, draw, n, a, CASE WHEN i = m - 1 THEN n - s0 ELSE least(g, n - s0) END AS len FROM gs WHERE s0 < n),
+pk AS (SELECT symbol, draw, unnest(range(a, a + len)) % n AS pos FROM bk)"""
+
+
+def _boot_sql(statistic: str) -> str:
+    """statistic: of the rows x (and y) that a draw picks."""
+    return f"""{_BLOCKS}, m AS (SELECT symbol, draw, {statistic} AS m FROM pk JOIN s USING (symbol, pos) GROUP BY 1, 2), e AS (SELECT symbol, count(*) AS n, {statistic} AS estimate FROM s WHERE n >= 5 GROUP BY 1)
+SELECT symbol, e.n, round(any_value(estimate), 6) + 0.0 AS estimate, round(quantile_cont(m, 0.025), 6) + 0.0 AS lo, round(quantile_cont(m, 0.975), 6) + 0.0 AS hi, round(avg((m <= 0)::INT), 6) AS p_le_zero FROM m JOIN e USING (symbol) GROUP BY symbol, e.n"""
+
+
+def _boot(t):
+    return t.select("symbol", "n", *[out(F.col(c)).alias(c) for c in ("estimate", "lo", "hi", "p_le_zero")])
+
+
+@Q.query(f"WITH {_SERIES}, {_boot_sql('avg(x) / stddev_samp(x) * sqrt(252)')}")
+def bootstrap_sharpe(spark, sf_dir):
+    return _boot(resample.bootstrap(market_panel(spark, sf_dir), ["symbol"], ["session"], *resample.sharpe_sums("ret"), DRAWS, seed=9))
+
+
+@Q.query(f"WITH {_SERIES}, {_boot_sql('sum(greatest(x, 0)) / sum(greatest(-x, 0))')}")
+def bootstrap_profit_factor(spark, sf_dir):
+    gain = resample.ratio_sums(F.greatest("ret", F.lit(0.0)), F.greatest(-F.col("ret"), F.lit(0.0)))
+    return _boot(resample.bootstrap(market_panel(spark, sf_dir).where("ret IS NOT NULL"), ["symbol"], ["session"], *gain, DRAWS, seed=9))
+
+
+@Q.query(f"WITH {_SERIES}, {_boot_sql('quantile_cont(x, 0.3)')}")
+def bootstrap_quantile(spark, sf_dir):
+    return _boot(resample.bootstrap_quantile(market_panel(spark, sf_dir), ["symbol"], ["session"], "ret", 0.3, DRAWS, seed=9))
+
+
 @Q.query(f"""WITH {_CANDIDATES}, dr AS (SELECT unnest(range(0, {DRAWS})) AS draw),
 t AS (SELECT symbol, gross_ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY entry_session) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM cand),
 lb AS (SELECT symbol, session, lead(open, 6) OVER ({S}) / lead(open, 1) OVER ({S}) - 1 AS y FROM panel),

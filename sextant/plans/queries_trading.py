@@ -104,7 +104,16 @@ def trades_no_overlap(spark, sf_dir):
     return trades.without_overlap(_candidates(spark, sf_dir)).select("symbol", "entry_session", "exit_session", out(F.col("net_ret")).alias("net_ret"))
 
 
-@Q.query()
+@Q.query(f"""{_GREEDY},
+tk AS (SELECT symbol, entry_session, exit_session, net_ret, row_number() OVER (ORDER BY entry_session, symbol, exit_session) AS q FROM walk WHERE taken AND exit_session > entry_session),
+dl AS (SELECT q, entry_session, exit_session, net_ret, 1 AS slot, [exit_session, NULL, NULL] AS busy FROM tk WHERE q = 1
+  UNION ALL SELECT t.q, t.entry_session, t.exit_session, t.net_ret, list_position(list_transform(d.busy, lambda b: b IS NULL OR b <= t.entry_session), true),
+    list_transform(range(1, 4), lambda i: CASE WHEN i = list_position(list_transform(d.busy, lambda b: b IS NULL OR b <= t.entry_session), true) THEN t.exit_session ELSE d.busy[i] END)
+  FROM dl d JOIN tk t ON t.q = d.q + 1),
+num AS (SELECT session, row_number() OVER (ORDER BY session) AS p FROM (SELECT DISTINCT session FROM panel)),
+sp AS (SELECT a.p AS pa, b.p AS pb, net_ret FROM dl JOIN num a ON a.session = entry_session JOIN num b ON b.session = exit_session WHERE slot IS NOT NULL),
+dy AS (SELECT unnest(range(pa + 1, pb + 1)) AS p, CASE WHEN net_ret > -1 THEN pow(1 + net_ret, 1.0 / (pb - pa)) - 1 ELSE -1 END / 3 AS d FROM sp)
+SELECT session, round(coalesce(sum(d), 0), 6) + 0.0 AS ret FROM num LEFT JOIN dy USING (p) GROUP BY session""")
 def trades_to_daily(spark, sf_dir):
     p = market_panel(spark, sf_dir)
     t = trades.without_overlap(_candidates(spark, sf_dir))

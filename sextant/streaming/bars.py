@@ -1,4 +1,4 @@
-"""Extensions over streams: bars from ticks, a CUSUM monitor and last known vintages. Each equals its batch form."""
+"""Extensions over streams: bars from ticks and a CUSUM monitor. Each equals its batch form."""
 
 from __future__ import annotations
 
