@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+__all__ = ["discard", "shared_folder", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def with_computed(rows: DataFrame, text: str, added: str, compute: Callable[[], Callable[[list], list[pa.Array]]], most: int = 1_000_000) -> DataFrame:
+    """rows with columns computed from their texts; all other columns pass through as they are, whatever their type and nulls.
 
+    compute() is called once in each task and gives what turns a list of texts (None: null) into the arrays of the added
+    columns. Texts come in lists of about `most` characters.
+    """
+    names = [c.split()[0] for c in added.split(", ")]
+    rows = rows.drop(*names)
+    at = rows.columns.index(text)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, {added}"
 
-def discard(*tables: DataFrame) -> None:
-    """Removes the files of written tables that nothing reads any more (rounds of a loop, say)."""
-    for table in tables:
-        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}
-        for folder in folders:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def run(batches):
+        of = compute()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for lo, hi in chunks(texts, most):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *of(texts[lo:hi])], names=[*batch.schema.names, *names])
+
+    return rows.mapInArrow(run, schema)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

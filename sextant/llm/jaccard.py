@@ -24,10 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, word_hashes, written
+from .common import chunks, mix, with_computed, word_hashes, written
 from .graph import components
 
 LENGTHENED = (1, 2, 4, 8, 16)
@@ -129,34 +130,36 @@ def prefixes(docs: DataFrame, n: int, t: float, classes: np.ndarray) -> DataFram
     """doc_id, n_shingles, lo, hi (the set's fingerprint), ask (its l), prefix (its n-grams), common (those of them whose class is COMMON or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
-    def run(batches):
+    def compute():
         by_counter = shared.value
-        for batch in batches:
-            texts, ids = list(batch["text"]), list(batch["doc_id"])
-            for start, stop in chunks(texts, CHARS):
-                values, at = ngram_sets(texts[start:stop], n)
-                level = by_counter[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+
+        def of(texts):
+            values, at = ngram_sets(texts, n)
+            level = by_counter[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            with np.errstate(over="ignore"):
+                second = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            out = []
+            for i in range(len(texts)):
+                v, c = values[at[i] : at[i + 1]], level[at[i] : at[i + 1]]
+                size = len(v)
+                if not size:
+                    out.append((0, 0, 0, 0, [], []))
+                    continue
+                order = np.argsort(c, kind="stable")
+                need = int(needed(t, np.array([size]))[0])
+                ask = choose(c[order], size, need)
+                kept = order[: size - need + ask]
+                often = c[kept] >= COMMON
                 with np.errstate(over="ignore"):
-                    second = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                out = []
-                for i in range(stop - start):
-                    v, c = values[at[i] : at[i + 1]], level[at[i] : at[i + 1]]
-                    size = len(v)
-                    if not size:
-                        out.append((ids[start + i], 0, 0, 0, 0, [], []))
-                        continue
-                    order = np.argsort(c, kind="stable")
-                    need = int(needed(t, np.array([size]))[0])
-                    ask = choose(c[order], size, need)
-                    kept = order[: size - need + ask]
-                    often = c[kept] >= COMMON
-                    with np.errstate(over="ignore"):
-                        lo, hi = v.sum(dtype=np.uint64), second[at[i] : at[i + 1]].sum(dtype=np.uint64)
-                    prefix = v[kept].astype(np.int64)
-                    out.append((ids[start + i], size, lo.astype(np.int64), hi.astype(np.int64), ask, prefix[~often], prefix[often]))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "lo", "hi", "ask", "prefix", "common"]).astype({"doc_id": "Int64"})
-
-    return docs.mapInPandas(run, "doc_id bigint, n_shingles bigint, lo bigint, hi bigint, ask int, prefix array<bigint>, common array<bigint>")
+                    lo, hi = v.sum(dtype=np.uint64), second[at[i] : at[i + 1]].sum(dtype=np.uint64)
+                prefix = v[kept].astype(np.int64)
+                out.append((size, int(lo.astype(np.int64)), int(hi.astype(np.int64)), ask, prefix[~often], prefix[often]))
+            return [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+
+        return of
+
+    added = "n_shingles bigint, lo bigint, hi bigint, ask int, prefix array<bigint>, common array<bigint>"
+    return with_computed(docs.select("doc_id", "text"), "text", added, compute, CHARS).drop("text")
 
 
 def meet(grams: DataFrame, t: float) -> DataFrame:

@@ -21,9 +21,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_computed
+
 #: Bound of the training sample: labelled rows.
 SAMPLE = 400
 STEPS, CONTEXT, LANES, HIDDEN = 64, 16, 4096, 6
@@ -201,33 +204,26 @@ def train(docs: DataFrame, learn: Column) -> Network | None:
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs (their own columns, of which text is read) with lang_pred and score. No shuffle."""
-    docs = docs.drop("lang_pred", "score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, lang_pred string, score double"
     model = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches):
+    def compute():
         known = model.value
-        for batch in batches:
-            lo, size = 0, 0
-            lengths = [len(t) if t else 0 for t in batch["text"]]
-            for i, n in enumerate(lengths):
-                size += n
-                if size > 1_000_000 or i + 1 == len(lengths):
-                    part = batch.iloc[lo : i + 1].copy()
-                    texts = [t or "" for t in part["text"]]
-                    has = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-                    if known is None or not has.any():
-                        best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-                    else:
-                        p = label(known, [t.lower().encode("utf-8", "replace") for t in texts])
-                        best, score = p.argmax(1), p.max(1)
-                    names = np.array(known.labels if known else [UNDETERMINED], object)[best]
-                    names[~has | (score <= 0)] = UNDETERMINED
-                    part["lang_pred"], part["score"] = names, np.where(has, score, 0.0).clip(0, 1)
-                    yield part
-                    lo, size = i + 1, 0
-
-    return docs.mapInPandas(run, schema)
+
+        def of(texts):
+            texts = [t or "" for t in texts]
+            has = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+            if known is None or not has.any():
+                best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+            else:
+                p = label(known, [t.lower().encode("utf-8", "replace") for t in texts])
+                best, score = p.argmax(1), p.max(1)
+            names = np.array(known.labels if known else [UNDETERMINED], object)[best]
+            names[~has | (score <= 0)] = UNDETERMINED
+            return [pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0).clip(0, 1).astype(float))]
+
+        return of
+
+    return with_computed(docs, "text", "lang_pred string, score double", compute)
 
 
 #: Documents of this remainder are held out of learning.

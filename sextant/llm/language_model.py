@@ -252,8 +252,8 @@ def answered(docs: DataFrame, filter_: DataFrame, bits: int, top: int) -> DataFr
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(k)]])
                 five = k.view(np.uint8).reshape(-1, 8)[:, :5]
                 few = batch.iloc[lo:hi]
-                yield pd.DataFrame({"chunk": chunk, "doc_id": few["doc_id"].astype("Int64").array, "held_out": few["held_out"].array, "text": few["text"].array})
-                yield pd.DataFrame({"chunk": chunk, "shard": where[cut[:-1]].astype(np.int32), "keys": [five[i:j].tobytes() for i, j in zip(cut, cut[1:])]}).assign(doc_id=pd.array([None] * (len(cut) - 1), "Int64"), held_out=None, text=None)
+                yield pd.DataFrame({"chunk": chunk, "doc_id": few["doc_id"].array, "held_out": few["held_out"].array, "text": few["text"].array})
+                yield pd.DataFrame({"chunk": chunk, "shard": where[cut[:-1]].astype(np.int32), "keys": [five[i:j].tobytes() for i, j in zip(cut, cut[1:])]}).assign(doc_id=None, held_out=None, text=None)
                 chunk += 1
 
     def ordered(batches):
@@ -263,7 +263,7 @@ def answered(docs: DataFrame, filter_: DataFrame, bits: int, top: int) -> DataFr
                 frame = frame.assign(shard=pd.array([None] * len(frame), "Int32"), keys=None)
             yield frame[names]
 
-    schema = "chunk bigint, shard int, doc_id bigint, held_out boolean, text string, keys binary"
+    schema = "chunk bigint, shard int, doc_id string, held_out boolean, text string, keys binary"
     rows = written(docs.select("doc_id", "held_out", "text").mapInPandas(ordered, schema), "lm-chunks")
     texts = rows.where(F.col("shard").isNull()).select("chunk", "shard", "doc_id", "held_out", "text", F.lit(None).cast("binary").alias("q"))
     wide = 1 << (SEGMENT_BITS - 3)
@@ -287,12 +287,17 @@ def answered(docs: DataFrame, filter_: DataFrame, bits: int, top: int) -> DataFr
     stored = filter_.select(F.floor(F.col("segment") / SHARD).cast("int").alias("shard"), "segment", F.lit(-1).cast("bigint").alias("chunk"), F.col("bits").alias("raw"))
     sent = rows.where(F.col("shard").isNotNull()).select("shard", F.lit(-1).alias("segment"), "chunk", F.col("keys").alias("raw"))
     met = stored.unionByName(sent).repartition("shard").sortWithinPartitions("shard", F.desc("segment"))
-    answers = met.mapInPandas(answer, "chunk bigint, shard int, q binary").select("chunk", "shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"), "q")
+    answers = met.mapInPandas(answer, "chunk bigint, shard int, q binary").select("chunk", "shard", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"), "q")
     return texts.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("shard"))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, held_out)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, held_out).
+
+    Ids travel as text: a column of numbers with a null would lose digits on its way through pandas.
+    """
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     n, v, bits, top = model["N"], model["V"], model["bits"], model["top"]
     whole = isinstance(model["filter"], np.ndarray)
     shared = docs.sparkSession.sparkContext.broadcast((model["filter"] if whole else None, *model["hot"]))
@@ -326,7 +331,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         cut = np.searchsorted(distinct // (len(u) + 1), np.arange(k + 1))
         rest = u[distinct % (len(u) + 1)].view(np.int64)
         return pd.DataFrame({
-            "doc_id": rows["doc_id"].astype("Int64").array, "held_out": rows["held_out"].astype(bool).array, "n_tokens": np.diff(at), "hot_n": hot_n.astype(np.int64), "hot_sum": hot_sum, "score": total,
+            "doc_id": rows["doc_id"].array, "held_out": rows["held_out"].astype(bool).array, "n_tokens": np.diff(at), "hot_n": hot_n.astype(np.int64), "hot_sum": hot_sum, "score": total,
             "cold": [rest[i:j] for i, j in zip(cut, cut[1:])], "times": [times[i:j].astype(np.int32) for i, j in zip(cut, cut[1:])]})
 
     def run(batches):
@@ -354,7 +359,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         if held is not None and len(held):
             yield with_answers(held)
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, hot_n bigint, hot_sum double, score double, cold array<bigint>, times array<int>"
+    schema = "doc_id string, held_out boolean, n_tokens bigint, hot_n bigint, hot_sum double, score double, cold array<bigint>, times array<int>"
     if whole:
         rows = docs.select("doc_id", "held_out", "text").mapInPandas(run, schema)
     else:
@@ -364,7 +369,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     gained = cold.join(model["words"], "gram").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("cold_sum"), F.sum("times").alias("cold_n"))
     out = scored.drop("cold", "times").join(gained, "row", "left")
     base = F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("hot_n") + F.coalesce("cold_n", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", (F.col("hot_n") + F.coalesce("cold_n", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def digest(docs: DataFrame, remainder: Column) -> DataFrame:

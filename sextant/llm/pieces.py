@@ -16,9 +16,12 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_computed
+
 SPACE = "▁"
 _UNKNOWN = -1
 
@@ -153,22 +156,18 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     `path` is the model file on every machine (an installed package), read once by each worker.
     """
-    docs = docs.drop("ids", "n_tokens", "decoded")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, ids binary, n_tokens bigint, decoded string"
 
-    def run(batches):
+    def compute():
         model = model_at(path)
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.iloc[start : start + 500].copy()
-                texts = [None if t is None else t for t in part[text]]
-                ids = [model.encode(t) for t in texts]
-                part["ids"] = ids
-                part["n_tokens"] = [len(x) // 4 for x in ids]
-                part["decoded"] = [model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-                yield part
-
-    return docs.mapInPandas(run, schema)
+
+        def of(texts):
+            ids = [model.encode(t) for t in texts]
+            decoded = [model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())]
+
+        return of
+
+    return with_computed(docs, text, "ids binary, n_tokens bigint, decoded string", compute)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

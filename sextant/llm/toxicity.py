@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, chunks, mix, runs, text_bytes
+from .common import SpanHash, chunks, mix, runs, text_bytes, with_computed
 
 SAMPLE, KEPT, FOLDS, THRESHOLD = 2000, 1000, 3, 0.5
 #: A feature of fewer texts, or of a smaller chi-squared (p above 0.0016), tells nothing.
@@ -189,28 +190,23 @@ def chain_probabilities(chain: list[Link], texts: list[str | None], tables: list
 
 def predict(docs: DataFrame, chain: list[Link]) -> DataFrame:
     """docs with p_junk, p_toxic, toxic_pred and score (the toxic probability). No shuffle."""
-    names = [f"p_{link.name}" for link in chain]
-    docs = docs.drop(*names, "toxic_pred", "score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, {', '.join(f'{n} double' for n in names)}, toxic_pred boolean, score double"
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def run(batches):
-        links = model.value
-        tables = []
+    def compute():
+        links, tables = model.value, []
         for link in links:
             by_bucket = np.zeros(1 << _BITS, np.float32)
             by_bucket[link.kept] = link.weights
             tables.append(by_bucket)
-        for batch in batches:
-            for lo, hi in chunks(list(batch["text"])):
-                part = batch.iloc[lo:hi].copy()
-                p = chain_probabilities(links, list(part["text"]), tables)
-                for i, n in enumerate(names):
-                    part[n] = p[:, i]
-                part["toxic_pred"], part["score"] = p[:, -1] >= THRESHOLD, p[:, -1]
-                yield part
-
-    return docs.mapInPandas(run, schema)
+
+        def of(texts):
+            p = chain_probabilities(links, texts, tables)
+            return [*(pa.array(p[:, i]) for i in range(len(links))), pa.array(p[:, -1] >= THRESHOLD), pa.array(p[:, -1])]
+
+        return of
+
+    names = ", ".join(f"p_{link.name} double" for link in chain)
+    return with_computed(docs, "text", f"{names}, toxic_pred boolean, score double", compute)
 
 
 def rejected(toxic_pred: Column) -> Column:

@@ -28,6 +28,8 @@ from .common import written
 
 #: Words of a window and of a fingerprint.
 WINDOW, GRAM = 10, 5
+#: Words that windows are cut from at once.
+SEGMENT = 512
 #: Rows of items' windows or fingerprints (some 24 bytes each) that may be broadcast.
 BROADCAST = 1_000_000
 #: A-Z, and what stands between words, as a pattern.
@@ -71,20 +73,29 @@ def window_keys(sizes: list[int]) -> dict[str, Column]:
     return {"key_a": key(1 << 20), "key_b": key(1 << 21)}
 
 
+def segments(rows: DataFrame, overlap: int) -> DataFrame:
+    """rows (with h) with base and h of each run of SEGMENT words and the `overlap` words after it: a row of windows never carries a whole text's words."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("h") - 1, F.lit(0)) / SEGMENT).cast("int"))
+    cut = F.explode(F.transform(starts, lambda s: F.struct((s * SEGMENT).alias("base"), F.slice("h", s * SEGMENT + 1, F.lit(SEGMENT + overlap)).alias("h"))))
+    return rows.withColumn("_s", cut).drop("h").select("*", "_s.*").drop("_s")
+
+
 def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """item, size, print, key_a, key_b: the distinct windows of each item."""
-    h = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), hashed(F.col("text")).alias("h"))
-    size = F.least(F.size("h"), F.lit(window))
-    placed = h.where(F.size("h") > 0).select("item", "h", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("h") - size)).alias("at"))
+    h = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), hashed(F.col("text")).alias("h")).withColumn("size", F.least(F.size("h"), F.lit(window)))
+    cut = segments(h.where("size > 0"), window - 1)
+    placed = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.lit(SEGMENT - 1), F.size("h") - F.col("size")))))
+    # the last segment of an item may hold less than a window, which the one before has seen
+    placed = placed.where(F.col("at").between(0, F.size("h") - F.col("size")))
     sizes = list(range(1, window + 1))
     return placed.select("item", "size", fingerprint(sizes, window, gram).alias("print"), *[c.alias(k) for k, c in window_keys(sizes).items()]).distinct()
 
 
 def occurrences(docs: DataFrame, marks: DataFrame, known: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, text_hash, n, at, size, set_id: windows of documents that an item holds, and for each document a row of its own with at = -1.
+    """doc_id, text_hash, n, at, size, copies, set_id: windows of documents that an item holds, and for each document a row of its own with at = -1.
 
-    marks: item_windows; known: their distinct windows with set_id. Each counted once a document row: `copies` says how
-    many equal rows there are.
+    marks: item_windows; known: their distinct windows with set_id. Equal document rows are one; `copies` says how many
+    there are.
     """
     # the window and the lengths of short items: ten at most
     sizes = sorted({window} | {r["size"] for r in marks.select("size").distinct().collect()})
@@ -92,11 +103,11 @@ def occurrences(docs: DataFrame, marks: DataFrame, known: DataFrame, window: int
     small = known.count() <= BROADCAST
     own = F.col("at") < 0
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), hashed(F.col("text")).alias("h")).withColumn("n", F.size("h"))
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - sizes[0], F.lit(-1)))))
-    if len(sizes) > 1:
-        rows = rows.withColumn("size", F.explode(F.when(own, F.array(F.lit(0))).otherwise(F.filter(F.array(*map(F.lit, sizes)), lambda s: F.col("at") + s <= F.col("n")))))
-    else:
-        rows = rows.withColumn("size", F.when(own, 0).otherwise(sizes[0]))
+    rows = segments(rows, window - 1)
+    first, last = F.when(F.col("base") == 0, -1).otherwise(0), F.least(F.lit(SEGMENT - 1), F.size("h") - sizes[0])
+    rows = rows.withColumn("at", F.explode(F.sequence(first, F.greatest(last, first))))
+    rows = rows.withColumn("size", F.explode(F.array(*map(F.lit, sizes))) if len(sizes) > 1 else F.lit(sizes[0]))
+    rows = rows.where((own & (F.col("size") == sizes[0])) | (~own & (F.col("at") + F.col("size") <= F.size("h"))))
     # a document's own row has a key that spreads and that nothing answers to
     rows = rows.withColumn("print", F.when(own, F.col("text_hash")).otherwise(fingerprint(sizes, window, gram)))
     keys = {k: F.when(~own, c) for k, c in window_keys(sizes).items()}
@@ -104,6 +115,7 @@ def occurrences(docs: DataFrame, marks: DataFrame, known: DataFrame, window: int
         rows = rows.join(F.broadcast(prints), "print", "left").where(own | F.col("met")).withColumns(keys)
     else:
         rows = rows.withColumns(keys).drop("h").join(prints, "print", "left").where(own | F.col("met"))
+    rows = rows.withColumn("at", F.when(own, -1).otherwise(F.col("base") + F.col("at")))
     found = rows.groupBy("doc_id", "text_hash", "n", "at", "size", "key_a", "key_b").agg(F.count(F.lit(1)).alias("copies"))
     found = found.withColumn("key_a", F.coalesce("key_a", "text_hash"))
     match = known.withColumnRenamed("size", "known_size").withColumn("met", F.lit(True))
