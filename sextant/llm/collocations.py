@@ -8,8 +8,8 @@ frequent as its rarest part, so pairs are taken where both words, and longer phr
 Bloom filter of FILTER_BITS bits of what the round before has found, which can let too much through but never too little. Parts of candidates are looked up by composing the sorted distinct parts of a
 range with the range's transducer.
 
-Ranges are as many as shuffle partitions; paths of three and more words are dealt by their first three, so a frequent
-word or pair is spread. Group sizes are those of a range's distinct frequent paths and of its share of the shards' paths. Top
+Ranges are as many as shuffle partitions; pairs are dealt by their first word, so one word brings at most its distinct successors to a
+range, and paths of three and more words by their first three, so a frequent pair is spread. Group sizes are those of a range's distinct frequent paths and of its share of the shards' paths. Top
 lists are taken from the tops of hashed slices.
 
 Edge cases: null texts are empty; a null lang is `und`, and so is one of that name. Repeated rows count each. Words may be of any length;
@@ -22,7 +22,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from .common import SpanHash, mix, written
 
 #: Characters of a shard, bits of a filter of frequent words or pairs (1 MB; collected and broadcast as at most 131,072 numbers), slices of a language's top list.
-SHARD, FILTER_BITS, SLICES = 4_000_000, 1 << 23, 64
+SHARD, FILTER_BITS, SLICES = 12_000_000, 1 << 23, 64
 LONGEST = 5
 _TOKEN = re.compile(rb"[^ \t\n]+|\n")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: What ends a piece becomes a line end.
 _PIECES = bytes(10 if chr(c) in ".,;:!?\n\v\f\r" else _LOWER[c] for c in range(256))
+_CODEC = pa.Codec("zstd", 1)
 AUTOMATON = "words binary, size binary, label binary, weight binary, target binary"
 
 
@@ -133,13 +134,15 @@ class Automaton:
         return np.where(alive, out, 0)
 
     def columns(self) -> list:
-        """For a row: numbers of arcs in place of where they begin, and every array in the narrowest type (its size goes first)."""
+        """For a row: numbers of arcs in place of where they begin, and every array in the narrowest type (its size goes first); all compressed, after their length."""
         arrays = [np.diff(self.first), self.label, self.weight, self.target]
         kinds = [np.min_scalar_type(int(a.max())) if len(a) else np.dtype("u1") for a in arrays]
-        return [b"\n".join(self.words), *(bytes([k.itemsize]) + a.astype(k).tobytes() for a, k in zip(arrays, kinds))]
+        plain = [b"\n".join(self.words), *(bytes([k.itemsize]) + a.astype(k).tobytes() for a, k in zip(arrays, kinds))]
+        return [len(x).to_bytes(8, "little") + _CODEC.compress(x, asbytes=True) for x in plain]
 
     @classmethod
-    def read(cls, words: bytes, *arrays: bytes) -> Automaton:
+    def read(cls, *columns: bytes) -> Automaton:
+        words, *arrays = (_CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in columns)
         size, label, weight, target = (np.frombuffer(a, f"u{a[0]}", offset=1) for a in arrays)
         return cls(words.split(b"\n") if words else [], np.append(0, np.cumsum(size, dtype=np.int64)), label.astype(np.int32), weight.astype(np.int64), target.astype(np.int32))
 
@@ -186,24 +189,26 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.append(np.uint64(0), SpanHash(data)(np.append(0, ends[:-1]), ends))
 
 
-def range_hash(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A hash of the first three words of each path."""
+def prefix_hash(rows: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the first so many words of each path."""
     out = np.zeros(len(rows), np.uint64)
     with np.errstate(over="ignore"):
-        for d in range(min(3, rows.shape[1])):
+        for d in range(size):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[rows[:, d]])
     return out
 
 
 def range_of(rows: np.ndarray, hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of the hash that a path lies in. Single words, pairs and longer paths each have ranges of their own."""
-    part = ((range_hash(rows, hashes) >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int32)
-    return part + (ranges * ((rows[:, 1] > 0).astype(np.int32) + (rows[:, 2] > 0)))
+    """The range of the hash that a path lies in: of the first word of pairs, of the first three of longer paths, each with ranges of their own behind those of single words."""
+    level = (rows[:, 1] > 0).astype(np.int32) + (rows[:, 2] > 0)
+    h = prefix_hash(rows, hashes, 1)
+    h[level == 2] = prefix_hash(rows[level == 2], hashes, 3)
+    return ((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int32) + ranges * level
 
 
 def filter_bits(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Two places in a filter for each word or pair (rows of two labels)."""
-    h = range_hash(rows[:, :2], hashes)
+    h = prefix_hash(rows, hashes, 2)
     return np.stack([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)], 1).astype(np.int64)
 
 
@@ -225,19 +230,25 @@ def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return words, np.append(place[codes], np.zeros(LONGEST, np.int32))
 
 
-def counted(codes: np.ndarray, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of that size that start at `at`, in order, and their counts."""
-    width = int(codes.max(initial=0)) + 1
-    if size <= 2:
-        key = codes[at].astype(np.int64) * width + (codes[at + 1] if size == 2 else 0)
-        distinct, count = np.unique(key, return_counts=True)
-        rows = np.zeros((len(distinct), LONGEST), np.int32)
-        rows[:, 0], rows[:, 1] = distinct // width, distinct % width
-        return rows, count.astype(np.int64)
-    rows = np.zeros((len(at), LONGEST), np.int32)
-    for d in range(size):
-        rows[:, d] = codes[at + d]
-    return summed(rows, np.ones(len(at), np.int64))
+def counted(codes: np.ndarray, first: int, last: int, starts: Callable[[np.ndarray, int], np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of first .. last words, in order, and their counts; starts(at, n): which of the places begin one of n words.
+
+    An n-gram is known by the number of its first n - 1 words among all such and its last word, so each size is one sort of numbers.
+    """
+    width = np.int64(codes.max(initial=0)) + 1
+    found, times, ids = [np.zeros((0, LONGEST), np.int32)], [np.zeros(0, np.int64)], codes[at].astype(np.int64)
+    for n in range(1, last + 1):
+        keep = starts(at, n)
+        at, ids = at[keep], ids[keep]
+        if n > 1:
+            ids = ids * width + codes[at + n - 1]
+        distinct, where, ids, count = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+        if n >= first:
+            rows = np.zeros((len(distinct), LONGEST), np.int32)
+            for d in range(n):
+                rows[:, d] = codes[at[where] + d]
+            found.append(rows), times.append(count.astype(np.int64))
+    return summed(np.concatenate(found), np.concatenate(times)) if last > first else (found[-1], times[-1])
 
 
 def shard_automata(texts: list[str], ranges: int, level: int, known: np.ndarray | None) -> Iterator[tuple[int, Automaton]]:
@@ -246,19 +257,17 @@ def shard_automata(texts: list[str], ranges: int, level: int, known: np.ndarray
     hashes = word_hashes(words)
     at = np.flatnonzero(codes > 0)
     if level == 1:
-        rows, count = counted(codes, 1, at)
+        rows, count = counted(codes, 1, 1, lambda at, n: codes[at] > 0, at)
     elif level == 2:
         often = np.append(False, may_hold(known, np.stack([np.arange(1, len(words) + 1), np.zeros(len(words), np.int64)], 1), hashes)) if words else np.zeros(1, bool)
-        rows, count = counted(codes, 2, at[often[codes[at]] & often[codes[at + 1]]])
+        often = often[codes]
+        rows, count = counted(codes, 2, 2, lambda at, n: often[at + n - 1], at)
     else:
         two = at[codes[at + 1] > 0]
         often = np.zeros(len(codes), bool)
         often[two] = may_hold(known, np.stack([codes[two], codes[two + 1]], 1), hashes)
-        found, at = [(np.zeros((0, LONGEST), np.int32), np.zeros(0, np.int64))], np.flatnonzero(often)
-        for n in range(3, LONGEST + 1):
-            at = at[often[at + n - 2]]
-            found.append(counted(codes, n, at))
-        rows, count = summed(np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]))
+        at = np.flatnonzero(often[:-1] & often[1:])
+        rows, count = counted(codes, 3, LONGEST, lambda at, n: often[at + max(n - 2, 0)], at)
     part = range_of(rows, hashes, ranges)
     order = np.argsort(part, kind="stable")
     border = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
