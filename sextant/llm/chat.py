@@ -119,21 +119,23 @@ def under_mask(formatted: str, loss: list[tuple[int, int]]) -> str:
     return "".join(unescaped(formatted[a:b]) for a, b in loss)
 
 
-SCHEMA = "conv_id bigint, formatted string, loss array<struct<start:bigint,end:bigint>>, attachments array<struct<kind:string,ref:string,tokens:bigint>>, tokens bigint"
+SCHEMA = "conv_id string, formatted string, loss array<struct<start:bigint,end:bigint>>, attachments array<struct<kind:string,ref:string,tokens:bigint>>, tokens bigint"
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, and text or parts): see SCHEMA.
 
     `parts`, if there, is an array of structs with type, text, ref, width, height, seconds, pages (any may be missing);
-    else `text` is the only part. Turns are gathered by conversation (one shuffle by conv_id): a conversation is the
+    where it is null or not there, `text` is the only part. Ids travel as text, so that none loses digits. Turns are gathered by conversation (one shuffle by conv_id): a conversation is the
     unit of work, so its turns meet in one row, but conversations that share text share nothing.
     """
     typed = "parts" in rows.columns
-    content = F.to_json("parts") if typed else F.coalesce("text", F.lit(""))
+    plain = F.coalesce("text", F.lit("")) if "text" in rows.columns else F.lit("")
+    content = F.coalesce(F.to_json("parts"), F.to_json(F.array(F.struct(F.lit("text").alias("type"), plain.alias("text"))))) if typed else plain
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), content.alias("content"))
     gathered = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    gathered = gathered.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.content").alias("contents"))
+    kind = rows.schema["conv_id"].dataType
+    gathered = gathered.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turns.role").alias("roles"), F.col("turns.content").alias("contents"))
 
     def run(batches):
         for batch in batches:
@@ -144,9 +146,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
                     done = format_turns(turns)
                     loss = [{"start": a, "end": b} for a, b in done["loss"]]
                     out.append((conv, done["formatted"], loss, done["attachments"], done["tokens"]))
-                yield pd.DataFrame(out, columns=["conv_id", "formatted", "loss", "attachments", "tokens"]).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(out, columns=["conv_id", "formatted", "loss", "attachments", "tokens"])
 
-    return gathered.mapInPandas(run, SCHEMA)
+    return gathered.mapInPandas(run, SCHEMA).withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def _hex(text: str) -> str:
@@ -163,10 +165,11 @@ def digest(formatted: DataFrame) -> DataFrame:
                 turns = read_back(text)
                 said = under_mask(text, [(x["start"], x["end"]) for x in loss])
                 out.append((conv, len(turns), _hex("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), _hex(said), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss").mapInPandas(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    kind = formatted.schema["conv_id"].dataType
+    return formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss").mapInPandas(
+        run, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint").withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 #: The conversation of the contract whose texts hold control strings.

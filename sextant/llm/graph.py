@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -13,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins every node's larger neighbours to its smallest one, then its smaller ones; edges only ever point
     to smaller nodes, and the rounds end when nothing changes (about the logarithm of the longest chain). Every round
-    is written to the shared folder. Windows run over a node's neighbours, which Spark spills; nothing is collected but
-    two numbers.
+    is written to the shared folder. A node's smallest neighbour is a sum by key that meets its edges in a join, so the edges of a
+    hub are spread over tasks; nothing is collected but two numbers.
     """
     u, v = F.col("u"), F.col("v")
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(u > v).distinct()
@@ -22,10 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.unionByName(e.select(v.alias("u"), u.alias("v")))
-        least = F.least(F.min("v").over(Window.partitionBy("u")), u)
-        large = both.select("v", "u", least.alias("m")).where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u > v).distinct()
-        first = F.min("v").over(Window.partitionBy("u"))
-        small = large.select("u", "v", first.alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u > v).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
         down = small.select(v.alias("u"), F.col("m").alias("v")).where(u > v)
         before, e = e, written(down.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(before)

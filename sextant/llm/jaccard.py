@@ -71,6 +71,24 @@ def ngram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]
     return values, np.searchsorted(owners, np.arange(len(texts) + 1))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counters in their narrowest type; only those above zero, after their places, where that is less. The first byte tells: the size of a number, and 128 for places."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    at = np.flatnonzero(counts)
+    if len(at) * (2 + kind.itemsize) < len(counts) * kind.itemsize and len(counts) <= 1 << 16:
+        return bytes([kind.itemsize | 128]) + at.astype(np.uint16).tobytes() + counts[at].astype(kind).tobytes()
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
+    """Where the counters stand, and their values."""
+    size = raw[0] & 127
+    if not raw[0] & 128:
+        return slice(None), np.frombuffer(raw, f"u{size}", offset=1).astype(np.uint64)
+    n = (len(raw) - 1) // (2 + size)
+    return np.frombuffer(raw, np.uint16, n, 1).astype(np.int64), np.frombuffer(raw, f"u{size}", n, 1 + 2 * n).astype(np.uint64)
+
+
 def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How many sets hold n-grams of each counter, over the whole corpus: 2**SKETCH_BITS numbers, whatever its size."""
     size = 1 << SKETCH_BITS
@@ -83,14 +101,15 @@ def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
                 values, _ = ngram_sets(texts[lo:hi], n)
                 np.add.at(total, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
-            parts = [(s, total[s * SEGMENT : (s + 1) * SEGMENT].tobytes()) for s in range(size // SEGMENT)]
+            parts = [(s, packed(total[s * SEGMENT : (s + 1) * SEGMENT])) for s in range(size // SEGMENT)]
             yield pd.DataFrame(parts, columns=["segment", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, raw in zip(batch["segment"], batch["counts"]):
-                sums[s] = sums.get(s, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+                at, counts = unpacked(raw)
+                sums.setdefault(s, np.zeros(SEGMENT, np.uint64))[at] += counts
         yield pd.DataFrame([(s, x.tobytes()) for s, x in sums.items()], columns=["segment", "counts"])
 
     schema = "segment int, counts binary"

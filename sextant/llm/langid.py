@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import with_computed
 
 #: Bound of the training sample: labelled rows.
-SAMPLE = 400
+SAMPLE = 600
 STEPS, CONTEXT, LANES, HIDDEN = 64, 16, 4096, 6
 EPOCHS, BATCH, RATE = 4, 64, 0.02
 UNDETERMINED = "und"

@@ -4,9 +4,9 @@
 is cut into overlapping blocks of words; a block matches a template when it holds at least THRESHOLD of the template's
 distinct words. Template words are ordered by how many documents of the whole corpus hold them, rarest first. A block
 that reaches the threshold must hold one of a template's first |T| - ceil(t|T|) + 1 words (prefix filter), must have at
-least ceil(t|T|) words (length filter), and, where its first shared prefix word is the template's i-th, can share at
-most |T| - i words (positional filter). What is left is verified exactly, and must hold the template's own words that
-tell licenses apart (TELLING). The templates are a fixed list, so their index is a bounded broadcast; documents are
+least ceil(t|T|) words (length filter), and, where its first shared prefix word is the template's i-th and the j-th of the K
+template words that it holds, can share at most min(|T| - i, K - j) words (positional filter). What is left is verified exactly; whether it
+holds the template's own words that tell licenses apart (TELLING) is told of each match and decides about labels, not about matches. The templates are a fixed list, so their index is a bounded broadcast; documents are
 never shuffled with their text.
 
 Only DataFrame functions. Edge cases: a null text counts as empty and has no words, places or labels; empty tables give
@@ -106,21 +106,22 @@ def word_frequency(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return base.join(counted, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def ordered_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
-    """(label, distinct words, rarest first). The vocabulary is fixed, so a few hundred counts come to the driver."""
+def ordered_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    """(label, distinct words, rarest first) of each template, and all their words in that order. The vocabulary is fixed, so a few hundred counts come to the driver."""
     vocabulary = sorted({w for _, text in templates for w in text.split()})
     df = {r["word"]: r["df"] for r in word_frequency(docs, vocabulary).collect()}
-    return [(label, sorted(set(text.split()), key=lambda w: (df[w], w))) for label, text in templates]
+    rarest = lambda words: sorted(words, key=lambda w: (df[w], w))
+    return [(label, rarest(set(text.split()))) for label, text in templates], rarest(vocabulary)
 
 
 def template_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Every block that meets the threshold: doc_id, text_hash, block, tid, label, containment.
+    """Every block that meets the threshold: doc_id, text_hash, block, tid, label, containment, told (whether it holds the template's telling words).
 
     Blocks are windows of twice the longest template's words, one starting every longest-template's words, so any run
     of words as long as a template lies whole in a block.
     """
     spark = docs.sparkSession
-    ordered = ordered_templates(docs, templates)
+    ordered, vocabulary = ordered_templates(docs, templates)
     longest = max(len(text.split()) for _, text in templates)
     need = [math.ceil(round(threshold * len(words), 9)) for _, words in ordered]
     prefix = [(words[i], tid, i) for tid, (_, words) in enumerate(ordered) for i in range(len(words) - need[tid] + 1)]
@@ -135,15 +136,20 @@ def template_matches(docs: DataFrame, threshold: float = THRESHOLD, templates: l
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - longest) / longest).cast("int")))
     blocks = d.select("doc_id", "text_hash", "w", F.explode(starts).alias("block"))
     blocks = blocks.select("doc_id", "text_hash", "block", F.array_distinct(F.slice("w", F.col("block") * longest + 1, F.lit(2 * longest))).alias("b"))
-    tokens = blocks.select("doc_id", "text_hash", "block", "b", F.explode(F.array_intersect("b", held)).alias("word"))
+    ranked = F.array(*[F.lit(w) for w in vocabulary])
+    blocks = blocks.withColumn("known", F.array_intersect(ranked, F.col("b")))
+    tokens = blocks.select("doc_id", "text_hash", "block", "b", "known", F.explode(F.array_intersect("known", held)).alias("word"))
     found = tokens.join(F.broadcast(index), "word").join(F.broadcast(table), "tid")
-    found = found.where((F.size("b") >= F.col("need")) & (F.size("words") - F.col("at") >= F.col("need")))
+    # words of any template in their global order: what follows a shared word on either side bounds what is shared
+    left = F.size("known") - (F.array_position("known", F.col("word")) - 1)
+    found = found.where((F.size("b") >= F.col("need")) & (F.least(F.size("words") - F.col("at"), left) >= F.col("need")))
     # a pair that shares several prefix words comes once: at the first of them in the template's order
     first_shared = F.array_position(F.transform("words", lambda x: F.array_contains(F.col("b"), x)), True) - 1
     found = found.where(F.col("at") == first_shared)
     shared = F.size(F.array_intersect("b", "words"))
-    return found.withColumn("shared", shared).where((F.col("shared") >= F.col("need")) & (F.size(F.array_except("telling", "b")) == 0)).select(
-        "doc_id", "text_hash", "block", "tid", "label", (F.col("shared") / F.size("words")).alias("containment"))
+    told = F.size(F.array_except("telling", "b")) == 0
+    return found.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).select(
+        "doc_id", "text_hash", "block", "tid", "label", (F.col("shared") / F.size("words")).alias("containment"), told.alias("told"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES, found: dict[str, str] = PHRASES) -> DataFrame:
@@ -154,7 +160,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[st
     """
     docs = docs.select("doc_id", "text")
     base = phrases(docs, found=found).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    matched = template_matches(docs, threshold, templates).groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
+    matched = template_matches(docs, threshold, templates).where("told").groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     both = base.join(matched, base["doc_id"].eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
     all_labels = F.sort_array(F.array_union("base_list", F.coalesce("more", F.array().cast("array<string>"))))

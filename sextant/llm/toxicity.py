@@ -153,7 +153,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     ranked = one.withColumn("h", F.xxhash64("doc_id"))
     picked = [ranked.where(F.col("toxic") == v).orderBy("h", "doc_id").limit(size) for v in (0, 1)]
     few = picked[0].unionByName(picked[1]).drop("h")
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # of an id with several texts the smallest, so that training does not depend on the order of rows
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("junk").alias("junk"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> list[Link]:

@@ -11,12 +11,12 @@ A vector with more than MOST links is crowded. Its list stays short, and its lin
 are cut into blocks, each with a centre and a radius, and every vector of the label that can reach the block by the
 triangle inequality is compared with all of it. So dense groups cost no list entry for each pair, and no link is lost.
 
-An audit compares the stated query set (ids divisible by 20, at most AUDIT of them in hash order) with all vectors and
+An audit compares the stated query set (every class with an id divisible by 20) with all vectors of its label, in blocks, and
 gives the share of their links that was found. While it is below 1, another set of tables is added; the last attempt
 compares labels whole, in blocks.
 
 Links only join vectors of equal, non-null labels and equal length; null, empty, zero and non-finite vectors link with
-nothing and stand alone. Repeated ids each get a row and share the smallest id of their class; ties between neighbours
+nothing and stand alone (null ids do not keep a vector from linking; a component of null ids only has a null id). Repeated ids each get a row and share the smallest id of their class; ties between neighbours
 are broken by id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,21 +35,29 @@ from .graph import components
 #: Entries of a list, and the most links that it is enlarged for.
 LIST, MOST = 16, 64
 #: The chance at most that a link at the threshold meets in no table, the vectors of a bucket on average, and of a label that is one bucket.
-MISS, BUCKET, WHOLE = 1e-6, 96, 2000
+MISS, BUCKET, WHOLE = 1e-6, 96, 64
 #: Vectors of a block where a bucket, or those around a vector, are many; of a block of crowded vectors.
 BLOCK, AROUND, CROWD = 1000, 512, 512
-#: Query vectors of the audit, and centres of crowded blocks that are broadcast, at most.
-AUDIT, MOST_CENTRES = 20_000, 20_000
+#: Centres of crowded blocks that are broadcast, at most.
+MOST_CENTRES = 20_000
+#: Above all ids that occur: numbers that stand for classes without ids begin here.
+NO_ID = 1 << 61
 ATTEMPTS = 3
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """rep, label, embedding, copies: one row per distinct usable vector of a label."""
+    """rep, first (its smallest vec_id), label, embedding, copies, asked (whether a vec_id is divisible by 20): one row per distinct usable vector of a label.
+
+    Where all ids are null, rep is a number from NO_ID up that stands for the class.
+    """
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.col("label").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(ok, F.lit(False))).select("vec_id", "label", v.cast("array<double>").alias("embedding"))
-    return rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "label", "embedding", "copies")
+    asked = F.coalesce(F.max(F.col("vec_id") % 20 == 0), F.lit(False))
+    found = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), asked.alias("asked"))
+    stand_in = F.xxhash64("label", "embedding").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    return found.select(F.coalesce("first", stand_in).alias("rep"), "first", "label", "embedding", "copies", "asked")
 
 
 def matrix(vecs) -> np.ndarray:
@@ -57,13 +65,13 @@ def matrix(vecs) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
 
 
-def plan(n: int, t: float) -> tuple[int, int]:
+def plan(n: int, t: float, miss: float = MISS, bucket: int = BUCKET, whole: int = WHOLE) -> tuple[int, int]:
     """Bits of a code and number of tables for a label of n vectors; 0 bits: one bucket."""
-    if n <= WHOLE:
+    if n <= whole:
         return 0, 1
-    bits = max(1, int(np.log2(n / BUCKET)))
+    bits = max(1, int(np.log2(n / bucket)))
     meet = (1 - np.arccos(min(t, 1.0)) / np.pi) ** bits
-    return bits, 1 if meet >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-meet)))
+    return bits, 1 if meet >= 1 else int(np.ceil(np.log(miss) / np.log1p(-meet)))
 
 
 def coded(every: DataFrame, t: float, attempt: int) -> DataFrame:
@@ -72,6 +80,8 @@ def coded(every: DataFrame, t: float, attempt: int) -> DataFrame:
     sizes = spaced.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE)
     sized = spaced.join(sizes, "space", "left").select("rep", "space", "embedding", "copies", F.coalesce("n", F.lit(0)).alias("n"))
 
+    settings = MISS, BUCKET, WHOLE
+
     def run(batches):
         for batch in batches:
             width = batch["embedding"].str.len()
@@ -79,7 +89,7 @@ def coded(every: DataFrame, t: float, attempt: int) -> DataFrame:
                 x = np.concatenate(few["embedding"].to_numpy()).reshape(len(few), w)
                 x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                bits, number = (0, 1) if attempt + 1 == ATTEMPTS else plan(n, t)
+                bits, number = (0, 1) if attempt + 1 == ATTEMPTS else plan(n, t, *settings)
                 codes = np.zeros((len(few), number), np.int64)
                 for k in range(number if bits else 0):
                     planes = np.random.default_rng([7, attempt * number + k]).normal(size=(w, bits))
@@ -200,8 +210,8 @@ def told(nodes: DataFrame, floor: float, t: float) -> DataFrame:
                 j = np.flatnonzero(s[i] >= least_[i])
                 j = j[~np.isin(ids[j], known[i])]
                 if len(j):
-                    full = (s[i] >= t).sum() > MOST
-                    j = np.append(j[np.argsort(-s[i, j], kind="stable")][: LIST if full else MOST], [i] * full)
+                    full = int((s[i] >= t).sum() > MOST)
+                    j = np.append(j[np.argsort(-s[i, j], kind="stable")][: LIST if full else MOST], np.full(full, i))
                     yield edges_frame(np.full(len(j), ids[i]), ids[j], np.where(j == i, 2.0, s[i, j]), copies[j])
 
     return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "rep").mapInPandas(run, EDGE)
@@ -317,35 +327,64 @@ def crowds(nodes: DataFrame, roots: DataFrame, t: float) -> DataFrame:
     return written(placed.mapInPandas(compare, "rep bigint, others bigint, a bigint, b bigint"), "vectors-crowds")
 
 
-def audit(nodes: DataFrame, counted: DataFrame, t: float) -> float:
-    """Share of the links of the query set, by comparing it with all vectors, that were found (counted: rep, others)."""
-    queries = nodes.where(F.col("rep") % 20 == 0).orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(AUDIT).select("rep", "space", "vec").toPandas()
-    if not len(queries):
-        return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast({k: (g["rep"].to_numpy(), matrix(g["vec"].to_numpy())) for k, g in queries.groupby("space")})
+def audit(nodes: DataFrame, asked: DataFrame, counted: DataFrame, t: float) -> float:
+    """Share of the links of the query set (asked: rep) that were found (counted: rep, others), by comparing each query with all vectors of its label.
+
+    Queries are cut into blocks and the vectors into shares, so that no task holds more than a block or reads more than
+    a share.
+    """
+    key = ["space", "block", "share"]
+    queries = nodes.join(asked, "rep", "left_semi").select("rep", "space", "vec", "copies")
+    of = queries.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    n = nodes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).cast("int").alias("shares")).join(of, "space")
+    deal = lambda c, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = queries.join(n, "space").select("space", deal("blocks", 1).alias("block"), all_of("shares").alias("share"), F.lit(0).alias("side"), "rep", "vec", "copies")
+    two = nodes.select("rep", "space", "vec", "copies").join(n, "space").select("space", all_of("blocks").alias("block"), deal("shares", 2).alias("share"), F.lit(1).alias("side"), "rep", "vec", "copies")
 
     def compare(batches):
-        for batch in batches:
-            for space, g in batch.groupby("space"):
-                if space not in shared.value:
-                    continue
-                ids, q = shared.value[space]
-                other, copies, vecs = g["rep"].to_numpy(), g["copies"].to_numpy(), g["vec"].to_numpy()
-                total = np.zeros(len(ids), np.int64)
-                for at in range(0, len(g), BLOCK):
+        now, ids, q = None, None, None
+        for space, block, share, side, rep_, vecs, copies in grouped_sides(batches, key):
+            if side == 0:
+                now, ids, q = (space, block, share), rep_, matrix(vecs)
+            elif now == (space, block, share):
+                true = np.zeros(len(ids), np.int64)
+                for at in range(0, len(rep_), BLOCK):
                     few = slice(at, at + BLOCK)
-                    total += ((q @ matrix(vecs[few]).T >= t) & (ids[:, None] != other[few])) @ copies[few]
-                yield pd.DataFrame({"rep": ids[total > 0], "true": total[total > 0]})
+                    true += ((q @ matrix(vecs[few]).T >= t) & (ids[:, None] != rep_[few])) @ copies[few]
+                yield pd.DataFrame({"rep": ids[true > 0], "true": true[true > 0]})
 
-    true = nodes.select("rep", "space", "vec", "copies").mapInPandas(compare, "rep bigint, true bigint").groupBy("rep").agg(F.sum("true").alias("true"))
+    placed = one.unionByName(two).repartition(*key).sortWithinPartitions(*key, "side")
+    true = placed.mapInPandas(compare, "rep bigint, true bigint").groupBy("rep").agg(F.sum("true").alias("true"))
     r = true.join(counted, "rep", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("others", F.lit(0)), "true"))).first()
     return 1.0 if not r[0] else r[1] / r[0]
 
 
+def grouped_sides(batches, key: list[str]):
+    """key .., side, and arrays of rep, vec and copies: side 0 of a key as one, side 1 batch by batch."""
+    first, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[[*key, "side"]].to_numpy()
+        cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for lo, hi in pairwise(cut):
+            part = [batch[c].to_numpy()[lo:hi] for c in ("rep", "vec", "copies")]
+            *now, side = k[lo].tolist()
+            if side == 0:
+                first, last = [*first, part] if last == now else [part], now
+                continue
+            if first and last == now:
+                yield *now, 0, *(np.concatenate(c) for c in zip(*first))
+                first = []
+            yield *now, 1, *part
+
+
 def near_duplicates(vectors: DataFrame, t: float = 0.98, report: dict | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label). report: gets recall and attempts."""
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label). report: gets recall, attempts, and the recall before and after the first descent."""
     vectors = vectors.select("vec_id", "embedding", "label")
     every = written(usable(vectors), "vectors-classes")
+    asked = every.where("asked").select("rep")
     floor = 2 * t * t - 1  # two steps along links at the threshold lead no further away
     nodes = None
     for attempt in range(ATTEMPTS):
@@ -353,7 +392,11 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98, report: dict | None = N
         edges = tables(about, floor, t)
         if nodes is not None:
             edges = edges.unionByName(as_edges(nodes))
-        nodes = descend(with_lists(about, edges, t, nodes), floor, t)
+        lists = with_lists(about, edges, t, nodes)
+        if report is not None and not attempt:
+            early = as_edges(lists).where(F.col("sim") >= t).groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+            report["before"] = audit(lists, asked, early, t)
+        nodes = descend(lists, floor, t)
         links = as_edges(nodes).where(F.col("sim") >= t)
         roots = written(components(links.select("a", "b")), "vectors-roots")
         counted = links.groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
@@ -366,14 +409,18 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98, report: dict | None = N
             lone = joined.join(roots.select("node"), joined["old"] == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
             roots = written(roots.unionByName(lone), "vectors-roots")
         counted = written(counted, "vectors-counts")
-        recall = audit(nodes, counted, t)
+        recall = audit(nodes, asked, counted, t)
+        if report is not None and not attempt:
+            report["after"] = recall
         if recall >= 1.0:
             break
     if report is not None:
         report.update(recall=recall, attempts=attempt + 1)
     out = every.join(counted, "rep", "left").join(roots, every["rep"] == roots["node"], "left")
-    of_class = out.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    names = every.select(F.col("rep").alias("named"), F.col("first").alias("component_id"))
+    out = out.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("named"))
+    of_class = out.join(names, "named").drop("named")
     keyed = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     found = keyed.join(of_class, ["label", "embedding"], "left")
     own = F.coalesce("component_id", "vec_id")
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
