@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.windows import out
@@ -12,9 +13,14 @@ from .catalogue import Catalogue
 
 Q = Catalogue()
 
+def kind() -> Column:
+    """What an event does: purchases open, errors close, views quote, others nothing."""
+    e = F.col("event_type")
+    return F.when(e == "purchase", "open").when(e == "error", "close").when(e == "view", "quote")
+
+
 #: A quote fills for two days, a trade is held for five.
 RULES = Rules(2 * 86_400, 5 * 86_400)
-KIND = F.when(F.col("event_type") == "purchase", "open").when(F.col("event_type") == "error", "close").when(F.col("event_type") == "view", "quote")
 _US = 1_000_000
 _GONE = f"(w.o IS NOT NULL AND e.us >= w.o + {RULES.hold * _US})"
 _HELD = f"(w.o IS NOT NULL AND NOT {_GONE})"
@@ -38,7 +44,7 @@ rows AS (SELECT user_id, xo AS opened, xe AS entry, xo + {RULES.hold * _US} AS c
 SELECT user_id, opened, round(entry, 6) AS entry, closed, round(exit, 6) AS exit, status, round(exit / nullif(entry, 0) - 1, 6) + 0.0 AS ret FROM rows""")
 def forward_ledger(spark, sf_dir):
     """Purchases open, errors close, views quote: trades of each user in the order of time."""
-    r = batch_ledger(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", KIND, "value", RULES)
+    r = batch_ledger(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", kind(), "value", RULES)
     return r.select("user_id", F.unix_micros("opened_at").alias("opened"), out(F.col("entry")).alias("entry"), F.unix_micros("closed_at").alias("closed"), out(F.col("exit")).alias("exit"), "status", out(F.col("ret")).alias("ret"))
 
 

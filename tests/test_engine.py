@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sextant.functions import features, options
 from sextant.functions.special import normal_cdf, normal_quantile, t_tail
 from sextant.functions.windows import quantile_bucket
-from sextant.operators import metrics, panel, pit, relative, resample, risk, security, signals, stats, trades, validation
+from sextant.operators import metrics, panel, pit, resample, risk, security, signals, stats, trades, validation
 from sextant.operators.costs import PROFILES, Costs
 from sextant.plans import research_log
 from sextant.sources import vendors
@@ -234,12 +234,6 @@ def test_risk(spark):
     assert abs(k - f[np.argmax([np.log1p(z * v).mean() if (1 + z * v).min() > 0 else -9 for z in f])]) < 0.05
 
 
-def test_clusters():
-    rho = np.array([[1, 0.95, 0.1], [0.95, 1, 0.1], [0.1, 0.1, 1]])
-    got = relative.clusters(["a", "b", "c"], rho)
-    assert got["a"] == got["b"] != got["c"]
-
-
 def test_chain_detects_changes(spark):
     e = spark.createDataFrame([("l", i, f"p{i}") for i in range(6)], "log string, seq int, payload string")
     log = research_log.chain(e, "log", "seq", "payload")
@@ -307,15 +301,6 @@ def test_walk_forward_folds(spark):
     assert len(f) == 2 and all((r["test_from"] - r["train_to"]).days == 22 and (r["test_to"] - r["test_from"]).days == 251 for r in f)
 
 
-def test_unit_root(spark):
-    rng = np.random.default_rng(0)
-    walk = np.cumsum(rng.normal(size=400))
-    still = np.zeros(400)
-    for i in range(1, 400):
-        still[i] = 0.5 * still[i - 1] + rng.normal()
-    assert relative.adf(walk)[2] > 0.05 and relative.adf(still)[2] <= 0.01
-
-
 def test_option_queries_take_the_whole_chain(spark):
     from sextant import registry
 
