@@ -9,12 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.panel import with_market
-from .windows import by_session, by_symbol, finite, gated, rank_pct, ratio, trailing
+from ..sources.shared import written
+from .windows import by_session, by_symbol, composed, finite, gated, rank_pct, ratio, trailing
 
 FAMILIES: dict[str, tuple[Callable, dict]] = {}
 
@@ -146,18 +146,24 @@ def bollinger(p, n, k):
 def ewm(p: DataFrame, source: list[str], n: int) -> DataFrame:
     """Adds _e_<column>: Wilder means (weight 1 / n, NULL until n values; a missing row keeps the last value and fades its weight).
 
-    The recursion runs once through each symbol's rows, in a grouped fold: O(rows) for each symbol.
+    A value moves the mean by an affine map whose coefficients follow from how many rows are missing before it, so the
+    means are running compositions of maps (see `windows.composed`): a symbol's history is cut into blocks that are
+    worked on side by side, and only the keys and the sources leave the panel.
     """
-    schema = p.schema
-    full = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}, {', '.join(f'_e_{c} double' for c in source)}"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session")
-        for c in source:
-            pdf[f"_e_{c}"] = pdf[c].ewm(alpha=1.0 / n, adjust=False, min_periods=n).mean()
-        return pdf
-
-    return p.groupBy("symbol").applyInPandas(fold, full)
+    keep, w = 1 - 1.0 / n, Window.partitionBy("symbol").orderBy("session")
+    numbered = p.select("symbol", "session", F.row_number().over(w).alias("_r"), *source)
+    long = numbered.select("symbol", "session", "_r", F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_x")) for c in source])).alias("_s")).select("symbol", "session", "_r", "_s.*")
+    of = Window.partitionBy("symbol", "_of").orderBy("_r")
+    there = long.where(F.col("_x").isNotNull()).withColumns({"pos": F.row_number().over(of) - 1, "_gap": F.col("_r") - F.lag("_r").over(of)})
+    old = F.pow(F.lit(keep), "_gap")
+    maps = there.select("symbol", "_of", "session", "pos", F.coalesce(old / (old + 1.0 / n), F.lit(0.0)).alias("a"), F.coalesce(F.col("_x") / n / (old + 1.0 / n), F.col("_x")).alias("b"))
+    maps = written(maps, "wilder-maps")
+    means = composed(maps.select("symbol", "_of", "pos", "a", "b"), ["symbol", "_of"])
+    found = maps.join(means.select("symbol", "_of", "pos", F.col("b").alias("_m")), ["symbol", "_of", "pos"])
+    wide = found.groupBy("symbol", "session").agg(*[F.max(F.when(F.col("_of") == c, F.struct("_m", "pos"))).alias(f"_e_{c}") for c in source])
+    joined = p.join(wide, ["symbol", "session"], "left")
+    last = {f"_e_{c}": F.last(f"_e_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in source}
+    return joined.withColumns(last).withColumns({f"_e_{c}": F.when(F.col(f"_e_{c}.pos") >= n - 1, F.col(f"_e_{c}._m")) for c in source})
 
 
 @family(n=14)

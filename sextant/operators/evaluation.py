@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_symbol, quantile_bucket, rank_pct, ratio
+from ..functions.windows import by_symbol, exact_quantiles, quantile_bucket, rank_pct, ratio
 from . import signals, stats, trades
 from .costs import Costs
 from .metrics import kurtosis, skew
@@ -124,9 +124,10 @@ def predicted_distribution(rows: DataFrame, by: list[str], ret: str) -> DataFram
     x = F.col(ret)
     se = F.stddev_samp(x) / F.sqrt(F.count(x))
     shrunk = stats.shrinkage_posterior(F.avg(x), se)[0]
-    q = F.expr(f"percentile({ret}, array(0.05, 0.25, 0.5, 0.75, 0.95))")
-    g = rows.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("n"), q.alias("_q"), shrunk.alias("shrunk"))
-    return g.select(*by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))], "shrunk")
+    names = {0.05: "q05", 0.25: "q25", 0.5: "q50", 0.75: "q75", 0.95: "q95"}
+    q = exact_quantiles(rows, by, ret, list(names)).groupBy(*by).agg(*[F.max(F.when(F.col("q") == v, F.col("value"))).alias(n) for v, n in names.items()])
+    g = rows.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("n"), shrunk.alias("shrunk"))
+    return g.join(q, by).select(*by, "n", *names.values(), "shrunk")
 
 
 def latest_adv(p: DataFrame, n: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_cdf, normal_quantile, t_pvalue
-from ..functions.windows import rank_pct, ratio
+from ..functions.windows import exact_quantiles, rank_pct, ratio
 
 EULER = 0.5772156649015329
 
@@ -128,8 +128,8 @@ def shrunk_covariance(cov: DataFrame, shrink: float | None = None) -> DataFrame:
 
 
 def var_es(rows: DataFrame, by: list[str], x: str, level: float = 0.95, least: int = 20) -> DataFrame:
-    """by, n, var, es: the linear quantile of losses and the mean beyond it."""
+    """by, n, var, es: the linear quantile of losses, by selection, and the mean beyond it."""
     clean = rows.where(F.col(x).isNotNull())
-    r = clean.join(clean.groupBy(*by).agg(F.expr(f"percentile({x}, {round(1 - level, 12)})").alias("_q")), by)
+    cut = exact_quantiles(clean, by, x, [round(1 - level, 12)]).select(*by, F.col("value").alias("_q"))
     n = F.count(F.lit(1))
-    return r.groupBy(*by).agg(n.alias("n"), F.when(n >= least, -F.first("_q")).alias("var"), F.when(n >= least, -F.avg(F.when(F.col(x) <= F.col("_q"), F.col(x)))).alias("es"))
+    return clean.join(cut, by).groupBy(*by).agg(n.alias("n"), F.when(n >= least, -F.first("_q")).alias("var"), F.when(n >= least, -F.avg(F.when(F.col(x) <= F.col("_q"), F.col(x)))).alias("es"))
