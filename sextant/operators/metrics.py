@@ -99,20 +99,32 @@ def global_rank(rows: DataFrame, order: list[str]) -> DataFrame:
     return sliced.withColumn("_in", inside).join(F.broadcast(offsets), "_slice").withColumn("_rank", F.col("_in") + F.col("_offset")).drop("_slice", "_in", "_offset")
 
 
-def regime_labels(panel: DataFrame, market: str) -> DataFrame:
-    """session, trend, volatility, market_drawdown, year of one symbol's history."""
+def regime_labels(panel: DataFrame, market: str, vix: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """session, trend, volatility, market_drawdown, year (and rates) of one symbol's history.
+
+    vix (session, vix): levels in percent that take the place of realised volatility against their own trailing median.
+    rates (session, rate): the last known rate of each session, rising or falling over 63 sessions. Both have one row a session at most.
+    """
     from ..functions.windows import by_symbol, gated, trailing
 
     m = panel.where(F.col("symbol") == market)
     c, lr = F.col("close"), F.log1p("ret")
     m = m.withColumns({"_sma": gated(F.avg(c), c, 200, trailing(200)), "_rv": gated(F.stddev_samp(lr), lr, 21, trailing(21)) * F.sqrt(F.lit(YEAR))})
+    if vix is not None:
+        m = m.drop("_rv").join(vix.select("session", (F.col("vix") / 100).alias("_rv")), "session", "left")
     m = m.withColumns({
         "_med": F.when(F.count("_rv").over(trailing(756)) >= 126, F.expr("percentile(_rv, 0.5)").over(trailing(756))),
         "_dd": c / F.max(c).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)) - 1})
+    more = []
+    if rates is not None:
+        known = F.last("rate", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+        m = m.join(rates.select("session", "rate"), "session", "left").withColumn("_rate", known)
+        change = F.col("_rate") - F.lag("_rate", 63).over(by_symbol())
+        more = [F.when(change > 0, "RISING_RATES").when(change <= 0, "FALLING_RATES").alias("rates")]
     return m.select(
         "session", F.when(F.col("_sma").isNotNull(), F.when(c > F.col("_sma"), "BULL").otherwise("BEAR")).alias("trend"),
         F.when(F.col("_med").isNotNull() & F.col("_rv").isNotNull(), F.when(F.col("_rv") > F.col("_med"), "HIGH_VOL").otherwise("LOW_VOL")).alias("volatility"),
-        F.when(F.col("_dd") <= -0.20, "DRAWDOWN_GT_20").otherwise("NORMAL").alias("market_drawdown"), F.year("session").cast("string").alias("year"))
+        F.when(F.col("_dd") <= -0.20, "DRAWDOWN_GT_20").otherwise("NORMAL").alias("market_drawdown"), F.year("session").cast("string").alias("year"), *more)
 
 
 def by_regime(trades: DataFrame, labels: DataFrame, ret: str = "net_ret", min_n: int = 10) -> DataFrame:

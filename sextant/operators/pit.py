@@ -87,3 +87,22 @@ def partition_of(entry: Column, exit_: Column, bounds: dict[str, tuple[str, str]
         lo, hi = F.lit(a).cast("date"), F.lit(b).cast("date")
         out = F.when((entry >= lo) & (entry <= hi) & (exit_ >= lo) & (exit_ <= hi), name).otherwise(out)
     return out
+
+
+def timing_violations(decisions: DataFrame, fills: DataFrame) -> DataFrame:
+    """session, available_at, fill_session, fill_at of decisions that would be filled before all they rest on was known.
+
+    decisions: session, available_at (any number of rows a session; the latest counts, NULLs do not); fills: session, fill_at, one row a
+    session. A decision of a session is filled in the next one; that of the last session is not filled. The window runs over sessions.
+    """
+    w = Window.orderBy("session")
+    after = fills.select("session", F.lead("session").over(w).alias("fill_session"), F.lead("fill_at").over(w).alias("fill_at"))
+    known = decisions.groupBy("session").agg(F.max("available_at").alias("available_at"))
+    return known.join(after, "session").where(F.col("fill_at") <= F.col("available_at"))
+
+
+def assert_timing(decisions: DataFrame, fills: DataFrame) -> None:
+    """Raises LookAheadError with the first sessions that violate the rule."""
+    bad = [str(r["session"]) for r in timing_violations(decisions, fills).orderBy("session").limit(3).collect()]
+    if bad:
+        raise LookAheadError(f"fills would precede what decisions of {', '.join(bad)} rest on")

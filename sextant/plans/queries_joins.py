@@ -196,3 +196,15 @@ def event_study_car(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("symbol").orderBy("session"))
     events = bars.withColumn("n", n).where("n % 250 = 0 AND symbol <> 'AF'").select("symbol", "session")
     return event_study(market_panel(spark, sf_dir), events, "AF", pre=5, post=10, estimation=60, gap=10).select("rel_day", "n", out(F.col("mean_ar")).alias("mean_ar"), out(F.col("car")).alias("car"))
+
+
+@Q.query("""WITH d AS (SELECT ts::DATE AS session, max(ts + to_microseconds((value * 300000000)::BIGINT)) AS available_at FROM events GROUP BY 1),
+f AS (SELECT session, lead(session) OVER (ORDER BY session) AS fill_session FROM (SELECT DISTINCT ts::DATE AS session FROM events))
+SELECT session, epoch_us(available_at) AS available_us, fill_session FROM d JOIN f USING (session) WHERE fill_session + INTERVAL '570 minutes' <= available_at""")
+def timing_violations(spark, sf_dir):
+    """Events as decisions that are known five minutes late for each unit of value, filled at 09:30 of the next day with events."""
+    e = table(spark, sf_dir, "events").withColumn("session", F.to_date("ts"))
+    late = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 300_000_000).cast("bigint"))
+    fills = e.select("session").distinct().withColumn("fill_at", F.col("session").cast("timestamp") + F.expr("INTERVAL '570' MINUTE"))
+    v = pit.timing_violations(e.select("session", late.alias("available_at")), fills)
+    return v.select("session", F.unix_micros("available_at").alias("available_us"), "fill_session")

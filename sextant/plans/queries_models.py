@@ -9,6 +9,7 @@ from ..functions import options as O
 from ..functions.windows import out
 from ..operators import risk, stats
 from ..sources.adapters import PANEL_SQL, table
+from ..sources.shared import written
 from . import research_log as L
 from .catalogue import Catalogue, normal_sql, t_tail_sql
 from .queries_features import S, market_panel
@@ -204,17 +205,34 @@ def effective_number(spark, sf_dir):
     return risk.effective_number(c).select("n", F.round("effective", 5).alias("effective"))
 
 
-@Q.query()
-def walk_forward_classifier(spark, sf_dir):
-    """The sign of the next five sessions from three features, out of sample."""
+def _design(spark, sf_dir):
+    """session, symbol, three features and the sign of the next five sessions; complete rows."""
     from ..functions import features
     from ..operators import learn
     from ..operators.panel import forward_return
 
     p = features.compute(market_panel(spark, sf_dir), {"a": "sma_ratio(n=20)", "b": "mom(lookback=60, skip=5)", "c": "vol(n=21)"})
     p = p.withColumn("ret5", forward_return(5)).withColumn("label", F.when(F.col("ret5").isNotNull(), (F.col("ret5") > 0).cast("double"))).select("session", "symbol", "a", "b", "c", "label")
-    rows = learn.stack(p, ["a", "b", "c"], "label").cache()
-    return learn.walk_forward(rows, ["a", "b", "c"], "label", train=1500, test=400).select("session", "symbol", "label", out(F.col("prob"), 4).alias("prob"), "fold")
+    return written(learn.stack(p, ["a", "b", "c"], "label"), "design")
+
+
+@Q.query()
+def walk_forward_classifier(spark, sf_dir):
+    """The sign of the next five sessions from three features, out of sample."""
+    from ..operators import learn
+
+    return learn.walk_forward(_design(spark, sf_dir), ["a", "b", "c"], "label", train=1500, test=400).select("session", "symbol", "label", out(F.col("prob"), 4).alias("prob"), "fold")
+
+
+@Q.query()
+def model_explanation(spark, sf_dir):
+    """Permutation importance and partial dependence of a logistic model of the whole design."""
+    from ..operators import learn
+
+    rows = _design(spark, sf_dir)
+    fitted = learn.estimator("logistic", ["a", "b", "c"], "label").fit(rows)
+    e = learn.explain(fitted, rows, ["a", "b", "c"], "label")
+    return e.select("kind", "feature", out(F.col("at")).alias("at"), out(F.col("value")).alias("value"), out(F.col("sd")).alias("sd"))
 
 
 @Q.query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),

@@ -9,7 +9,7 @@ from ..functions.windows import out
 from ..operators import metrics as M
 from ..operators import signals, trades
 from ..operators.costs import PROFILES, profile
-from ..sources.adapters import PANEL_SQL, strategy_trades
+from ..sources.adapters import PANEL_SQL, strategy_trades, table
 from .catalogue import Catalogue
 from .queries_features import S, _frame, _sma, market_panel
 
@@ -201,6 +201,21 @@ def regime_labels(spark, sf_dir):
     return M.regime_labels(market_panel(spark, sf_dir), "AF")
 
 
+_MACRO = f"""vx AS (SELECT o_orderdate::DATE AS session, avg(o_totalprice) / 5000 AS vix FROM orders GROUP BY 1),
+rt AS (SELECT o_orderdate::DATE AS session, avg(o_totalprice) AS rate FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+m AS (SELECT p.*, vix / 100 AS rv, last_value(rate IGNORE NULLS) OVER (ORDER BY p.session ROWS UNBOUNDED PRECEDING) AS known FROM panel p LEFT JOIN vx USING (session) LEFT JOIN rt USING (session) WHERE symbol = 'AF'),
+m1 AS (SELECT *, CASE WHEN count(rv) OVER {_frame(756)} >= 126 THEN median(rv) OVER {_frame(756)} END AS med, known - lag(known, 63) OVER ({S}) AS change FROM m)"""
+
+
+@Q.query(f"WITH {PANEL_SQL}, {_MACRO} SELECT session, CASE WHEN med IS NOT NULL AND rv IS NOT NULL THEN CASE WHEN rv > med THEN 'HIGH_VOL' ELSE 'LOW_VOL' END END AS volatility, CASE WHEN change > 0 THEN 'RISING_RATES' WHEN change <= 0 THEN 'FALLING_RATES' END AS rates FROM m1")
+def regime_labels_macro(spark, sf_dir):
+    """Volatility by an index of its own (mean order value by day), rates by urgent orders' mean value."""
+    o = table(spark, sf_dir, "orders").withColumn("session", F.to_date("o_orderdate"))
+    vix = o.groupBy("session").agg((F.avg("o_totalprice") / 5000).alias("vix"))
+    rates = o.where("o_orderpriority = '1-URGENT'").groupBy("session").agg(F.avg("o_totalprice").alias("rate"))
+    return M.regime_labels(market_panel(spark, sf_dir), "AF", vix, rates).select("session", "volatility", "rates")
+
+
 @Q.query(f"""{_GREEDY}, {_REGIMES}, t AS (SELECT c.signal_session, c.gross_ret - c.cost_frac AS r FROM walk w JOIN cand c ON c.symbol = w.symbol AND c.entry_session = w.entry_session WHERE taken),
 u AS (SELECT r, unnest(['trend', 'volatility', 'market_drawdown', 'year']) AS dimension, unnest([trend, volatility, market_drawdown, year]) AS label FROM t JOIN labels ON signal_session = session)
 SELECT dimension, label, count(*) AS n, round(avg(r), 6) + 0.0 AS mean, round(quantile_cont(r, 0.5), 6) + 0.0 AS median, round(avg((r > 0)::INT), 6) AS win_rate, count(*) < 10 AS small_sample FROM u WHERE label IS NOT NULL GROUP BY 1, 2""")

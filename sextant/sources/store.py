@@ -90,3 +90,23 @@ class Store:
     def forced_errors(self) -> DataFrame:
         """table, content_hash, problem of data saved by force."""
         return self.versions().where("forced").select("table", "content_hash", F.explode("problems").alias("problem"))
+
+
+class Artifacts:
+    """Write-once tables of experiments under a shared root, known by a reference: path, content hash, rows."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def save(self, experiment: str, name: str, df: DataFrame) -> dict:
+        """The reference under which the table is found again; a name that is taken is an error."""
+        path = f"{experiment}/{name}"
+        df.write.mode("errorifexists").parquet(f"{self.root}/{path}")
+        kept = self.spark.read.parquet(f"{self.root}/{path}")
+        return {"path": path, "hash": content_hash(kept), "rows": kept.count()}
+
+    def load(self, ref: dict) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.root}/{ref['path']}")
+        if content_hash(df) != ref["hash"]:
+            raise DataProblem(f"artifact {ref['path']} has changed")
+        return df

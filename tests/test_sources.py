@@ -100,3 +100,34 @@ def test_ledger_stream_equals_batch(spark, tmp_path):
     want = batch_ledger(events, "user_id", "ts", "event_id", kind(), "value", rules, until).collect()
     assert len(want) > 50 and sorted(map(str, made)) == sorted(map(str, want))
     assert {r["status"] for r in want} == {"CLOSED", "EXPIRED", "REFUSED"}
+
+
+def test_artifacts_are_written_once(spark, tmp_path):
+    from sextant.sources.store import Artifacts, DataProblem
+
+    a = Artifacts(spark, str(tmp_path))
+    df = spark.createDataFrame([(dt.date(2024, 1, i + 1), 0.01 * i) for i in range(5)], "session date, ret double")
+    ref = a.save("exp-1", "returns", df)
+    assert ref["path"] == "exp-1/returns" and ref["rows"] == 5 and sorted(a.load(ref).collect()) == sorted(df.collect())
+    with pytest.raises(Exception, match="exists"):
+        a.save("exp-1", "returns", df)
+    with pytest.raises(DataProblem, match="has changed"):
+        a.load(ref | {"hash": "0"})
+    df.limit(1).write.mode("append").parquet(str(tmp_path / "exp-1/returns"))
+    with pytest.raises(DataProblem):
+        a.load(ref)
+
+
+def test_fills_come_after_what_is_known(spark):
+    from sextant.operators import pit
+
+    day = lambda i: dt.date(2024, 1, i)
+    at = lambda i, h: dt.datetime(2024, 1, i, h)
+    fills = spark.createDataFrame([(day(i), at(i, 9)) for i in (2, 3, 5)], "session date, fill_at timestamp")
+    good = spark.createDataFrame([(day(2), at(2, 21)), (day(2), None), (day(3), at(5, 8)), (day(5), at(9, 9))], "session date, available_at timestamp")
+    assert pit.timing_violations(good, fills).count() == 0
+    pit.assert_timing(good, fills)
+    bad = good.union(spark.createDataFrame([(day(3), at(5, 9))], good.schema))
+    assert [r["session"] for r in pit.timing_violations(bad, fills).collect()] == [day(3)]
+    with pytest.raises(pit.LookAheadError, match="2024-01-03"):
+        pit.assert_timing(bad, fills)
