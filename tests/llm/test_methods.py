@@ -93,7 +93,7 @@ def test_below_the_threshold_is_no_link(spark):
 
 def test_a_failed_audit_compares_labels_whole(spark, monkeypatch):
     monkeypatch.setattr(vectors, "WHOLE", 10)
-    monkeypatch.setattr(vectors, "plan", lambda n, t: (12, 1) if n > 10 else (0, 1))  # tables that miss nearly all
+    monkeypatch.setattr(vectors, "plan", lambda n, t, *_: (12, 1) if n > 10 else (0, 1))  # tables that miss nearly all
     rng = np.random.default_rng(2)
     rows = []
     for k in range(60):
