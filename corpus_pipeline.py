@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; the last adds token ids and the decoded text.
 
-Edge cases: null texts are kept by the toxicity stage (nothing in them is toxic) and rejected by language ID (no
-language); an empty table passes through all stages.
+Edge cases: null and empty texts are kept by the toxicity stage (nothing in them is toxic) and rejected by language ID
+(no language), as are texts without letters; texts are taken whole, however long. Equal rows share their fate, and one row of each id is left by the
+third stage, whose rows of one id are taken to hold one text; rows without an id are no copies of others and stay. Ids keep all their digits.
+Other columns of documents are dropped by the first stage, whatever their names; an empty table passes through all stages.
 """
 
 from __future__ import annotations
