@@ -129,7 +129,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     # windows that the same items hold belong together: a passage shared by many items is one set
     sets = written(marks.groupBy("size", "key_a", "key_b").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("set_id", F.md5(F.concat_ws(",", "items").cast("binary"))), "winnow-sets")
     found = occurrences(docs, marks, sets.select("size", "key_a", "key_b", "set_id"), window, gram)
-    before = F.max(F.col("at") + F.col("size")).over(Window.partitionBy("doc_id", "text_hash", "n").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1))
+    # a document's own row covers no words
+    before = F.max(F.when(F.col("at") >= 0, F.col("at") + F.col("size"))).over(Window.partitionBy("doc_id", "text_hash", "n").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("at") + F.col("size") - F.greatest("at", F.coalesce(before, F.lit(0))))
     per_doc = found.withColumn("fresh", F.when(F.col("at") >= 0, fresh).otherwise(0)).groupBy("doc_id", "text_hash", "n").agg(
         F.sum("fresh").alias("n_hit"), F.max(F.when(F.col("at") < 0, F.col("copies"))).alias("copies"), F.sort_array(F.collect_set("set_id")).alias("set_ids"))

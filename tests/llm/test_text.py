@@ -197,6 +197,17 @@ def test_decontamination_edges(spark, monkeypatch, broadcast):
     assert none == expected_hits(docs, []) and winnow.decontaminate(d.where("false"), b).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [winnow.BROADCAST, 0])
+def test_hits_at_the_start_count_all_their_words(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(winnow, "BROADCAST", broadcast)
+    passage = [f"w{i}" for i in range(14)]
+    docs = [(at, " ".join([f"x{i}" for i in range(at)] + passage[:length] + ["end"])) for length in (10, 14) for at in range(12)]
+    docs = [(i, text) for i, (_, text) in enumerate(docs)] + [(100, " ".join(passage[3:13] + passage[:10]))]
+    items = [("a", " ".join(passage)), ("b", None), ("c", "")]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id string, text string")
+    assert Counter(tuple(r) for r in winnow.decontaminate(d, b).collect()) == expected_hits(docs, items)
+
+
 # --- ids of every operator on texts
 
 
