@@ -53,6 +53,16 @@ def out(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
+def spread(rows: DataFrame, by: list[str], each: int = 5_000) -> DataFrame:
+    """rows dealt by their key into tasks of about `each` rows, at least as many as there are cores.
+
+    For small rows of which each becomes many or costs much: a file of a few megabytes would be one task whatever it grows
+    into. Groups and windows whose keys include `by` need no other shuffle.
+    """
+    tasks = max(-(-rows.count() // each), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *by)
+
+
 #: Rows of a block whose maps are composed one after the other.
 BLOCK = 1024
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import options as O
-from ..functions.windows import out
+from ..functions.windows import out, spread
 from ..operators import risk, stats
 from ..sources.adapters import PANEL_SQL, table
 from ..sources.shared import written
@@ -24,9 +24,9 @@ chain AS (SELECT *, greatest(CASE WHEN "right" = 'C' THEN spot - strike ELSE str
 
 
 def chain(spark, sf_dir) -> DataFrame:
-    """underlying, spot, k, strike, days, t, right, mid, iv, delta (see _CHAIN); 54 quotes for each part."""
+    """underlying, spot, k, strike, days, t, right, mid, iv, delta (see _CHAIN); 54 quotes for each part, all in one task."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("underlying"), F.col("p_retailprice").alias("spot"), F.col("p_size").alias("size"))
-    c = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("days", F.explode(F.array(F.lit(7), F.lit(30), F.lit(90)))).withColumn("right", F.explode(F.array(F.lit("C"), F.lit("P"))))
+    c = spread(p, ["underlying"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("days", F.explode(F.array(F.lit(7), F.lit(30), F.lit(90)))).withColumn("right", F.explode(F.array(F.lit("C"), F.lit("P"))))
     c = c.withColumns({"strike": F.col("spot") * (F.lit(0.8) + F.lit(0.05) * F.col("k")), "t": F.col("days") / F.lit(365.0)})
     call, m = F.col("right") == "C", F.col("strike") / F.col("spot")
     logistic = 1 / (1 + F.exp((m - 1) * 12))
