@@ -152,9 +152,11 @@ def atm_term_structure(chain: DataFrame, by: list[str]) -> DataFrame:
 
     chain: by, strike, right (C or P), spot, iv, mid.
     """
-    near = chain.groupBy(*by).agg(F.min_by("strike", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")).alias("strike"))
-    g = chain.join(near, [*by, "strike"]).groupBy(*by, "strike").agg(F.avg("iv").alias("iv"), F.count("mid").alias("_n"), F.sum("mid").alias("_s"))
-    return g.withColumn("straddle", F.when(F.col("_n") == 2, F.col("_s"))).drop("_n", "_s")
+    near = F.min(F.struct(F.abs(F.col("strike") - F.col("spot")).alias("d"), "strike"))
+    each = chain.groupBy(*by, "strike").agg(near.alias("_near"), F.sum("iv").alias("_v"), F.count("iv").alias("_c"), F.count("mid").alias("_n"), F.sum("mid").alias("_s"))
+    best = each.groupBy(*by).agg(F.min_by(F.struct("strike", (F.col("_v") / F.nullif("_c", F.lit(0))).alias("iv"), "_n", "_s"), "_near").alias("_b"))
+    best = best.select(*by, "_b.*").where(F.col("strike").isNotNull())
+    return best.withColumn("straddle", F.when(F.col("_n") == 2, F.col("_s"))).drop("_n", "_s")
 
 
 def skew_25d(chain: DataFrame, by: list[str]) -> DataFrame:

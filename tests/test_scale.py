@@ -18,3 +18,15 @@ def test_spread_deals_small_tables(spark):
     assert out.rdd.getNumPartitions() == 10 and sorted(r["k"] for r in out.collect()) == list(range(20))
     wide = out.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).groupBy("k", "i").agg(F.count(F.lit(1)).alias("n"))
     assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and wide.count() == 180
+
+
+def test_option_chains_need_no_join(spark):
+    rows = [("a", 7, k, side, 100.0, 0.2 + k / 1000, m) for k, m in ((95.0, 7.0), (99.0, 3.0), (101.0, 2.0), (105.0, 1.0)) for side in "CP"]
+    rows = [*rows, ("b", 7, 50.0, "C", 100.0, None, 1.0), ("a", 30, 106.0, "C", 100.0, 0.4, 1.0), ("a", 30, 106.0, "P", 100.0, 0.3, 1.0), ("a", 90, 105.0, "C", 100.0, 0.4, 1.0)]
+    chain = spark.createDataFrame(rows, "u string, days int, strike double, right string, spot double, iv double, mid double")
+    terms = options.atm_term_structure(chain, ["u", "days"])
+    got = {(r["u"], r["days"]): (r["strike"], r["iv"] and round(r["iv"], 6), r["straddle"]) for r in terms.collect()}
+    assert got == {("a", 7): (99.0, 0.299, 6.0), ("b", 7): (50.0, None, None), ("a", 30): (106.0, 0.35, 2.0), ("a", 90): (105.0, 0.4, None)}
+    picked = options.select_contract(chain, ["u"], 10, F.col("spot") * 1.06)
+    assert [(r["u"], r["days"], r["strike"], r["right"]) for r in picked.collect()] == [("a", 30, 106.0, "C")]
+    assert not any("Join" in df._jdf.queryExecution().executedPlan().toString() for df in (terms, picked))
