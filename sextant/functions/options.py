@@ -209,10 +209,8 @@ def fill_price(bid: Column, ask: Column, buy: Column, capture: float = 0.5) -> C
 
 def select_contract(chain: DataFrame, by: list[str], min_days: int, target: Column) -> DataFrame:
     """Of each group the first expiry with at least min_days, then the strike nearest the target (ties: the lower)."""
-    far = chain.where(F.col("days") >= min_days)
-    first = far.groupBy(*by).agg(F.min("days").alias("days"))
-    w = Window.partitionBy(*by).orderBy(F.abs(F.col("strike") - target), "strike", "right")
-    return far.join(first, [*by, "days"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = Window.partitionBy(*by).orderBy("days", F.abs(F.col("strike") - target), "strike", "right")
+    return chain.where(F.col("days") >= min_days).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def enrich_chain(chain: DataFrame, r: float, q: float = 0.0, session: str = "session", max_rel_spread: float = 0.25) -> DataFrame:
