@@ -52,21 +52,49 @@ def _price_array(s, k, t, r, q, v, call):
     return sign * (s * np.exp(-q * t) * normal_cdf_array(sign * d1) - k * np.exp(-r * t) * normal_cdf_array(sign * (d1 - v * np.sqrt(t))))
 
 
+def _vega_array(s, k, t, r, q, v):
+    d1 = (np.log(s / k) + (r - q + v * v / 2) * t) / (v * np.sqrt(t))
+    return s * np.exp(-q * t) * np.exp(-d1 * d1 / 2) * np.sqrt(t / (2 * np.pi))
+
+
+def _solve_array(p, s, k, t, r, q, call, lo: float, hi: float) -> np.ndarray:
+    """NaN outside the bounds. Newton's steps within a bracket; halving where rounding of the price moves the root by more than 1e-10."""
+    x = np.full(len(p), np.nan)
+    bounds = [_price_array(s, k, t, r, q, np.full(len(p), v), call) for v in (lo, hi)]
+    live = np.flatnonzero((t > 0) & (bounds[0] <= p) & (bounds[1] >= p))
+    args = [v[live] for v in (s, k, t, r, q)]
+    a, b = np.full(len(live), lo), np.full(len(live), hi)
+    # the price bends the other way at this volatility, from which Newton's steps do not turn back
+    v = np.clip(np.sqrt(2 * np.abs(np.log(args[0] / args[1]) + (args[3] - args[4]) * args[2]) / args[2]), max(lo, 0.05), hi)
+    todo = np.arange(len(live))
+    for _ in range(60):
+        some, at = [w[todo] for w in args], v[todo]
+        over = _price_array(*some, at, call[live[todo]]) - p[live[todo]]
+        a[todo], b[todo] = np.where(over < 0, at, a[todo]), np.where(over < 0, b[todo], at)
+        step = at - over / _vega_array(*some, at)
+        v[todo] = np.where((step >= a[todo]) & (step <= b[todo]), step, (a[todo] + b[todo]) / 2)
+        todo = todo[np.abs(v[todo] - at) > 1e-13]
+        if not len(todo):
+            break
+    vague = np.flatnonzero(~(np.finfo(float).eps * (args[0] + args[1]) < 1e-10 * _vega_array(*args, v)))
+    some, sought, side = [w[vague] for w in args], p[live[vague]], call[live[vague]]
+    a, b = np.full(len(vague), lo), np.full(len(vague), hi)
+    for _ in range(60):
+        m = (a + b) / 2
+        low = _price_array(*some, m, side) < sought
+        a, b = np.where(low, m, a), np.where(low, b, m)
+    v[vague] = (a + b) / 2
+    x[live] = v
+    return x
+
+
 def implied_vol(price, s, k, t, r, q, call: Column, lo: float = 1e-4, hi: float = 5.0) -> Column:
-    """The volatility in [lo, hi] that gives the price, by bisection of whole batches; NULL outside the no-arbitrage bounds."""
+    """The volatility in [lo, hi] that gives the price; NULL outside the no-arbitrage bounds."""
 
     @F.pandas_udf("double")
     def solve(p: pd.Series, s_: pd.Series, k_: pd.Series, t_: pd.Series, r_: pd.Series, q_: pd.Series, c: pd.Series) -> pd.Series:
-        p, s, k, t, r, q = (x.to_numpy(float) for x in (p, s_, k_, t_, r_, q_))
-        call = c.to_numpy(bool)
         with np.errstate(all="ignore"):
-            a, b = np.full(len(p), lo), np.full(len(p), hi)
-            ok = (t > 0) & (_price_array(s, k, t, r, q, a, call) <= p) & (_price_array(s, k, t, r, q, b, call) >= p)
-            for _ in range(60):
-                m = (a + b) / 2
-                low = _price_array(s, k, t, r, q, m, call) < p
-                a, b = np.where(low, m, a), np.where(low, b, m)
-        return pd.Series(np.where(ok, (a + b) / 2, np.nan))
+            return pd.Series(_solve_array(*(x.to_numpy(float) for x in (p, s_, k_, t_, r_, q_)), c.to_numpy(bool), lo, hi))
 
     x = solve(price, s, k, t, r, q, call)
     return F.when(~F.isnan(x), x)

@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_erf = np.vectorize(math.erf, otypes=[float])
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erf, x.ravel().tolist()), float, x.size).reshape(x.shape)
+
+
 _inverse = np.vectorize(lambda p: NormalDist().inv_cdf(p) if 0 < p < 1 else math.nan, otypes=[float])
 
 
