@@ -100,28 +100,76 @@ def implied_vol(price, s, k, t, r, q, call: Column, lo: float = 1e-4, hi: float
     return F.when(~F.isnan(x), x)
 
 
+#: Options whose trees move back together: a layer of them stays in a core's cache.
+TREES = 512
+
+
+def _tree_array(s, k, t, r, q, v, call, american: bool, steps: int) -> list[np.ndarray]:
+    """European prices and, if wanted, American ones by binomial trees: a row for each node, a column for each option."""
+    sign = np.where(call, 1.0, -1.0)
+    dt = t / steps
+    jump = v * np.sqrt(dt)
+    u = np.exp(jump)
+    p, disc = (np.exp((r - q) * dt) - 1 / u) / (u - 1 / u), np.exp(-r * dt)
+    up, down = disc * p, disc * (1 - p)
+    # what exercise gives at every price that a node can have, by turns those of one layer and of the next
+    worth = [sign * (s * np.exp(jump * i[:, None]) - k) for i in (np.arange(-steps, steps + 1.0, 2), np.arange(1.0 - steps, steps, 2))]
+    ends = np.maximum(worth[0], 0)
+
+    def back(exercise: bool) -> np.ndarray:
+        value, low = ends.copy(), np.empty((steps, len(s)))
+        for n in range(steps - 1, -1, -1):
+            np.multiply(value[: n + 1], down, out=low[: n + 1])
+            value = value[1 : n + 2]
+            value *= up
+            value += low[: n + 1]
+            if exercise:
+                first = (steps - n) // 2
+                np.maximum(value, worth[(steps - n) % 2][first : first + n + 1], out=value)
+        return value[0]
+
+    if ((p > 0) & (p < 1)).all():
+        # without exercise the tree is a mean over binomially distributed ends
+        j = np.arange(steps + 1.0)[:, None]
+        ways = np.array([math.lgamma(steps + 1) - math.lgamma(i + 1) - math.lgamma(steps - i + 1) for i in range(steps + 1)])[:, None]
+        european = (np.exp(ways + j * np.log(up) + (steps - j) * np.log(down)) * ends).sum(0)
+    else:
+        european = back(False)
+    return [european, back(True)] if american else [european]
+
+
+def _trees(columns: tuple[pd.Series, ...], american: bool, steps: int) -> np.ndarray:
+    """A row of European and, if wanted, one of American prices."""
+    *numbers, call = (x.to_numpy(float) if i < 6 else x.to_numpy(bool) for i, x in enumerate(columns))
+    with np.errstate(all="ignore"):
+        parts = [_tree_array(*(x[i : i + TREES] for x in numbers), call[i : i + TREES], american, steps) for i in range(0, len(call), TREES)]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((1 + american, 0))
+
+
 def crr_price(s, k, t, r, q, v, call: Column, american: bool = True, steps: int = 200) -> Column:
-    """Binomial tree, all options of a batch moved back together."""
+    """Binomial tree, options of a batch moved back together."""
 
     @F.pandas_udf("double")
     def tree(s_: pd.Series, k_: pd.Series, t_: pd.Series, r_: pd.Series, q_: pd.Series, v_: pd.Series, c: pd.Series) -> pd.Series:
-        s, k, t, r, q, v = (x.to_numpy(float)[:, None] for x in (s_, k_, t_, r_, q_, v_))
-        sign = np.where(c.to_numpy(bool), 1.0, -1.0)[:, None]
-        dt = t / steps
-        u = np.exp(v * np.sqrt(dt))
-        p, disc = (np.exp((r - q) * dt) - 1 / u) / (u - 1 / u), np.exp(-r * dt)
-        value = np.maximum(sign * (s * u ** (2.0 * np.arange(steps + 1) - steps) - k), 0)
-        for n in range(steps - 1, -1, -1):
-            value = disc * (p * value[:, 1:] + (1 - p) * value[:, :-1])
-            if american:
-                value = np.maximum(value, sign * (s * u ** (2.0 * np.arange(n + 1) - n) - k))
-        return pd.Series(value[:, 0])
+        return pd.Series(_trees((s_, k_, t_, r_, q_, v_, c), american, steps)[-1])
 
     return tree(*(x.cast("double") for x in (s, k, t, r, q, v)), call)
 
 
+def crr_prices(s, k, t, r, q, v, call: Column, steps: int = 200) -> Column:
+    """american and european price by binomial trees, as one column."""
+
+    @F.pandas_udf("american double, european double")
+    def trees(s_: pd.Series, k_: pd.Series, t_: pd.Series, r_: pd.Series, q_: pd.Series, v_: pd.Series, c: pd.Series) -> pd.DataFrame:
+        european, american = _trees((s_, k_, t_, r_, q_, v_, c), True, steps)
+        return pd.DataFrame({"american": american, "european": european})
+
+    return trees(*(x.cast("double") for x in (s, k, t, r, q, v)), call)
+
+
 def early_exercise_premium(*args, steps: int = 200) -> Column:
-    return crr_price(*args, american=True, steps=steps) - crr_price(*args, american=False, steps=steps)
+    both = crr_prices(*args, steps=steps)
+    return both["american"] - both["european"]
 
 
 def parity_gap(call, put, s, k, t, r, q) -> Column:

@@ -124,7 +124,8 @@ def implied_vol(spark, sf_dir):
 def crr_price(spark, sf_dir):
     c = chain(spark, sf_dir)
     call = F.col("right") == "C"
-    return c.select("underlying", "days", "k", "right", out(O.crr_price(*_args(), F.col("iv"), call, steps=100), 5).alias("american"), out(O.early_exercise_premium(*_args(), F.col("iv"), call, steps=100), 5).alias("premium"))
+    c = c.withColumn("both", O.crr_prices(*_args(), F.col("iv"), call, steps=100))
+    return c.select("underlying", "days", "k", "right", out(F.col("both.american"), 5).alias("american"), out(F.col("both.american") - F.col("both.european"), 5).alias("premium"))
 
 
 @Q.query(f"""WITH {_CHAIN}, l AS (SELECT underlying, spot, max(strike) FILTER (k = 4) AS k4, max(strike) FILTER (k = 6) AS k6, max(mid) FILTER (k = 4) AS p4, max(mid) FILTER (k = 6) AS p6 FROM chain WHERE "right" = 'C' AND days = 30 GROUP BY 1, 2)

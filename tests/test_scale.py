@@ -30,3 +30,43 @@ def test_option_chains_need_no_join(spark):
     picked = options.select_contract(chain, ["u"], 10, F.col("spot") * 1.06)
     assert [(r["u"], r["days"], r["strike"], r["right"]) for r in picked.collect()] == [("a", 30, 106.0, "C")]
     assert not any("Join" in df._jdf.queryExecution().executedPlan().toString() for df in (terms, picked))
+
+
+def test_trees_and_roots_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    n = options.TREES + 88
+    s, t = rng.uniform(50, 150, n), rng.choice([7, 30, 90], n) / 365
+    k, v, call = s * rng.choice(np.linspace(0.8, 1.2, 9), n), rng.uniform(0.1, 0.6, n), rng.random(n) < 0.5
+    r, q = np.full(n, 0.04), np.full(n, 0.01)
+
+    def tree(american, steps):
+        sign, dt = np.where(call, 1.0, -1.0)[:, None], (t / steps)[:, None]
+        u = np.exp(v[:, None] * np.sqrt(dt))
+        p, disc = (np.exp((r - q)[:, None] * dt) - 1 / u) / (u - 1 / u), np.exp(-r[:, None] * dt)
+        worth = lambda m: sign * (s[:, None] * u ** (2.0 * np.arange(m + 1) - m) - k[:, None])
+        value = np.maximum(worth(steps), 0)
+        for m in range(steps - 1, -1, -1):
+            value = disc * (p * value[:, 1:] + (1 - p) * value[:, :-1])
+            value = np.maximum(value, worth(m)) if american else value
+        return value[:, 0]
+
+    for steps in (1, 2, 25):
+        european, american = options._trees(tuple(map(pd.Series, (s, k, t, r, q, v, call))), True, steps)
+        assert np.allclose(european, tree(False, steps), atol=1e-9) and np.allclose(american, tree(True, steps), atol=1e-9)
+    prices = options._price_array(s, k, t, r, q, v, call)
+    calls = 0
+    plain = options._price_array
+
+    def counted(p, *args):
+        nonlocal calls
+        calls += len(p)
+        return plain(p, *args)
+
+    with pytest.MonkeyPatch.context() as m, np.errstate(all="ignore"):
+        m.setattr(options, "_price_array", counted)
+        found = options._solve_array(np.append(prices, [1e9, np.nan]), *(np.append(x, x[:2]) for x in (s, k, t, r, q, call)), 1e-4, 5.0)
+    assert np.isnan(found[-2:]).all() and calls < 45 * n  # bisection takes 62 prices each
+    sure = np.finfo(float).eps * (s + k) < 1e-10 * options._vega_array(s, k, t, r, q, v)
+    assert np.allclose(found[:-2][sure], v[sure], atol=1e-9)
+    known = ~np.isnan(found[:-2])  # a price without any time value may lie outside the bounds by its rounding
+    assert known.mean() > 0.9 and np.allclose(plain(s, k, t, r, q, found[:-2], call)[known], prices[known], atol=1e-9)
