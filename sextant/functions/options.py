@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .special import normal_cdf, normal_cdf_array
+from .windows import spread
 
 ROOT_2_PI = math.sqrt(2 / math.pi)
 
@@ -268,7 +269,7 @@ def payoff(legs: Column, price: Column) -> Column:
 def breakevens(positions: DataFrame, key: str, legs: str, spot: str, width: float = 0.6, n: int = 201) -> DataFrame:
     """key, breakevens, max_profit, max_loss on a price grid around the spot; an open upper end counts as NULL."""
     step = 2 * width / (n - 1)
-    grid = positions.select(key, legs, spot, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("x", F.col(spot) * (1 - width + F.col("i") * step))
+    grid = spread(positions.select(key, legs, spot), [key], 2_500).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("x", F.col(spot) * (1 - width + F.col("i") * step))
     w = Window.partitionBy(key).orderBy("i")
     g = grid.withColumn("v", payoff(F.col(legs), F.col("x"))).withColumns({"_v": F.lead("v").over(w), "_x": F.lead("x").over(w)})
     cross = F.when((F.signum("v") * F.signum("_v") < 0) | (F.col("v") == 0), F.round(F.col("x") - F.col("v") * (F.col("_x") - F.col("x")) / F.nullif(F.col("_v") - F.col("v"), F.lit(0.0)), 4))

@@ -70,3 +70,11 @@ def test_trees_and_roots_equal_plain_ones():
     assert np.allclose(found[:-2][sure], v[sure], atol=1e-9)
     known = ~np.isnan(found[:-2])  # a price without any time value may lie outside the bounds by its rounding
     assert known.mean() > 0.9 and np.allclose(plain(s, k, t, r, q, found[:-2], call)[known], prices[known], atol=1e-9)
+
+
+def test_breakevens_are_spread_by_key(spark):
+    pos = spark.createDataFrame([(i, 100.0) for i in range(40)], "id int, spot double").coalesce(1)
+    pos = pos.withColumn("legs", options.straddle(F.lit(100.0), F.lit(0.5), F.lit(5.0), F.lit(5.0)))
+    b = options.breakevens(pos, "id", "legs", "spot")
+    assert b._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and b.rdd.getNumPartitions() >= 4
+    assert all(np.allclose(r["breakevens"], [90, 110]) for r in b.collect())
