@@ -49,12 +49,15 @@ def business_days(start: Column, end: Column) -> Column:
     return F.size(F.filter(days, lambda d: F.dayofweek(d).between(2, 6)))
 
 
-def eligibility(forward: DataFrame, history: DataFrame, by: str, slippage: float, min_trades: int = 20, min_days: int = 60) -> DataFrame:
-    """by, n, days, and five criteria of forward trades (entry, exit, net, slippage) against history (by, hist_mean, hist_sd); eligible if all hold."""
+def eligibility(forward: DataFrame, history: DataFrame, by: str, slippage: float, min_trades: int = 20, min_days: int = 60, least: float = 1e-9) -> DataFrame:
+    """by, n, days, and five criteria of forward trades (entry, exit, net, slippage) against history (by, hist_mean, hist_sd); eligible if all hold.
+
+    A total up to `least` is no profit: gains and losses that cancel leave a rest of rounding, of either sign.
+    """
     f = forward.groupBy(by).agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.avg("slippage").alias("slip"), F.min("entry").alias("a"), F.max("exit").alias("b"), F.sum("net").alias("total"))
     f = f.join(history, by, "left").withColumn("days", business_days(F.col("a"), F.col("b")))
     checks = {
-        "enough_trades": F.col("n") >= min_trades, "enough_days": F.col("days") >= min_days, "profitable": F.col("total") > 0,
+        "enough_trades": F.col("n") >= min_trades, "enough_days": F.col("days") >= min_days, "profitable": F.col("total") > least,
         "near_history": F.col("mean") >= F.col("hist_mean") - 2 * F.col("hist_sd") / F.sqrt("n"), "slippage_as_modelled": F.col("slip") <= 1.5 * slippage}
     f = f.withColumns(checks)
     return f.select(by, "n", "days", *checks, reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit(False)) for c in checks]).alias("eligible"))

@@ -78,3 +78,12 @@ def test_breakevens_are_spread_by_key(spark):
     b = options.breakevens(pos, "id", "legs", "spot")
     assert b._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and b.rdd.getNumPartitions() >= 4
     assert all(np.allclose(r["breakevens"], [90, 110]) for r in b.collect())
+
+
+def test_gains_that_cancel_are_no_profit(spark):
+    d = datetime.date
+    net = [0.1, 0.2, -0.3] * 10
+    forward = spark.createDataFrame([(1, d(2024, 1, 1), d(2024, 6, 1), x, 0.0) for x in net], "s int, entry date, exit date, net double, slippage double").coalesce(1)
+    history = spark.createDataFrame([(1, 0.0, 1.0)], "s int, hist_mean double, hist_sd double")
+    r = records.eligibility(forward, history, "s", 0.001).first()
+    assert sum(net) > 0 and not r["profitable"] and not r["eligible"]
