@@ -106,11 +106,13 @@ def exact_quantiles(rows: DataFrame, by: list[str], x: str, qs: list[float], sli
 
     Sketched quantiles, of bounded size for each group, cut its values into slices; slices are counted, and only those
     that hold a wanted rank are sorted. No aggregate keeps a group's distinct values. A group's slices are as good as the sketch, but the
-    result is exact whatever they are.
+    result is exact whatever they are. A sketch depends on the order in which its parts meet, so cuts are written once: counts and
+    values must be sliced alike.
     """
     have = rows.where(F.col(x).isNotNull() & ~F.isnan(x)).select(*by, F.col(x).cast("double").alias("_x"))
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = have.groupBy(*by).agg(F.percentile_approx("_x", shares, 1000).alias("_cuts"), F.count(F.lit(1)).alias("n"))
+    cuts = written(cuts, "cuts")
     # equal values share a slice; a slice's number is how many cuts lie below the value
     sliced = have.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).select(*by, "n", "_slice", "_x")
     counts = sliced.groupBy(*by, "n", "_slice").agg(F.count(F.lit(1)).alias("_size"))

@@ -87,3 +87,9 @@ def test_gains_that_cancel_are_no_profit(spark):
     history = spark.createDataFrame([(1, 0.0, 1.0)], "s int, hist_mean double, hist_sd double")
     r = records.eligibility(forward, history, "s", 0.001).first()
     assert sum(net) > 0 and not r["profitable"] and not r["eligible"]
+
+
+def test_quantiles_slice_counts_and_values_alike(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 101 / 100).alias("x")).repartition(8)
+    plan = windows.exact_quantiles(rows, ["g"], "x", [0.05, 0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan  # sketched again, a value may fall into another slice than it was counted in
