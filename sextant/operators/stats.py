@@ -33,6 +33,13 @@ def hac_test(rows: DataFrame, by: list[str], order: str, x: str, lags: int | Non
     return s.withColumn("p", t_pvalue(F.col("t"), F.col("n") - 1, alternative))
 
 
+def harmonic_number(m: Column) -> Column:
+    """1 + 1/2 + .. + 1/m; beyond 50 terms by its expansion, which is then exact to the last digits of a double and costs the same for every m."""
+    summed = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(50)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    x = 1 / (m * m)
+    return F.when(m <= 50, summed).otherwise(F.log(m) + EULER + 1 / (2 * m) - x * (1 / 12 - x * (1 / 120 - x / 252)))
+
+
 def adjust(rows: DataFrame, p: str, tie: list[str], by: list[str] | None = None) -> DataFrame:
     """Adds bonferroni, holm, bh, by of p-values within families; a missing p counts as 1 and in the family's size."""
     keys = by or []
@@ -45,7 +52,7 @@ def adjust(rows: DataFrame, p: str, tie: list[str], by: list[str] | None = None)
     after = w.orderBy(F.desc("_q"), *[F.desc(t) for t in tie]).rowsBetween(Window.unboundedPreceding, 0)
     one = F.lit(1.0)
     bh = F.min(F.least(F.col("_q") * F.col("_m") / F.col("_k"), one)).over(after)
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    harmonic = harmonic_number(F.col("_m"))
     r = r.withColumns({"bonferroni": F.least(F.col("_q") * F.col("_m"), one), "holm": F.max(F.least((F.col("_m") - F.col("_k") + 1) * F.col("_q"), one)).over(before), "bh": bh})
     raw = F.min(F.col("_q") * F.col("_m") / F.col("_k")).over(after)
     return r.withColumn("by", F.least(raw * harmonic, one)).drop("_q", "_m", "_k")

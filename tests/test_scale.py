@@ -93,3 +93,8 @@ def test_quantiles_slice_counts_and_values_alike(spark):
     rows = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 101 / 100).alias("x")).repartition(8)
     plan = windows.exact_quantiles(rows, ["g"], "x", [0.05, 0.5])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_approx" not in plan  # sketched again, a value may fall into another slice than it was counted in
+
+
+def test_harmonic_numbers(spark):
+    got = spark.createDataFrame([(float(m),) for m in (1, 2, 49, 50, 51, 52, 1000, 300000)], "m double").select("m", stats.harmonic_number(F.col("m")).alias("h")).collect()
+    assert all(math.isclose(r["h"], math.fsum(1 / i for i in range(1, int(r["m"]) + 1)), rel_tol=1e-14) for r in got)
