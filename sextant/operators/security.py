@@ -11,11 +11,19 @@ from .pit import open_end, interval_contains
 def resolve(identifiers: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (value, as_of) with security_id and n_matches: whose identifier it was on that date; NULL unless exactly one.
 
-    identifiers: security_id, value, valid_from, valid_to (closed, NULL open).
+    identifiers: security_id, value, valid_from, valid_to (closed, NULL open). Intervals of a security that overlap are
+    one, so that a date lies in at most one of each; then equal spans of a value are one row with their number of
+    securities. A date meets distinct spans only, however many securities share them.
     """
-    i = identifiers.select(F.col("value").alias("_v"), "security_id", "valid_from", "valid_to")
-    hit = queries.join(i, (F.col("value") == F.col("_v")) & interval_contains(F.col("as_of"), F.col("valid_from"), F.col("valid_to"), True), "left")
-    g = hit.groupBy("value", "as_of").agg(F.count_distinct("security_id").alias("n_matches"), F.min("security_id").alias("security_id"))
+    i = identifiers.where("value IS NOT NULL AND security_id IS NOT NULL").select(F.col("value").alias("_v"), "security_id", "valid_from", F.coalesce("valid_to", open_end()).alias("valid_to")).where("valid_from <= valid_to")
+    w = Window.partitionBy("_v", "security_id").orderBy("valid_from", "valid_to")
+    before = F.max("valid_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    i = i.withColumn("_new", F.when(F.col("valid_from") <= before, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    held = i.groupBy("_v", "security_id", "_run").agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"))
+    spans = held.groupBy("_v", "valid_from", "valid_to").agg(F.count(F.lit(1)).alias("_n"), F.min("security_id").alias("security_id"))
+    asked = queries.select("value", "as_of").distinct()
+    hit = asked.join(spans, (F.col("value") == F.col("_v")) & interval_contains(F.col("as_of"), F.col("valid_from"), F.col("valid_to"), True), "left")
+    g = hit.groupBy("value", "as_of").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_matches"), F.min("security_id").alias("security_id"))
     return g.withColumn("security_id", F.when(F.col("n_matches") == 1, F.col("security_id")))
 
 

@@ -98,3 +98,16 @@ def test_quantiles_slice_counts_and_values_alike(spark):
 def test_harmonic_numbers(spark):
     got = spark.createDataFrame([(float(m),) for m in (1, 2, 49, 50, 51, 52, 1000, 300000)], "m double").select("m", stats.harmonic_number(F.col("m")).alias("h")).collect()
     assert all(math.isclose(r["h"], math.fsum(1 / i for i in range(1, int(r["m"]) + 1)), rel_tol=1e-14) for r in got)
+
+
+def test_identifiers_by_spans(spark):
+    d = lambda n: datetime.date(2024, 1, n)
+    held = [(1, "X", d(1), d(5)), (1, "X", d(3), d(9)), (1, "X", d(15), None), (2, "X", d(8), d(10)), (3, "X", d(8), d(10)), (4, "X", d(12), d(11)), (5, "Y", d(1), d(2)), (None, "X", d(1), d(30)), (6, None, d(1), d(30))]
+    asked = [("X", d(n)) for n in (1, 4, 7, 8, 9, 10, 11, 12, 15, 30)] + [("Z", d(1)), (None, d(1)), ("Y", d(2)), ("X", d(4))]
+    i = spark.createDataFrame(held, "security_id long, value string, valid_from date, valid_to date")
+    got = {(r["value"], r["as_of"]): (r["n_matches"], r["security_id"]) for r in security.resolve(i, spark.createDataFrame(asked, "value string, as_of date")).collect()}
+    want = {}
+    for v, at in asked:
+        ids = {s for s, w, a, b in held if s is not None and w is not None and w == v and a <= at <= (b or datetime.date.max)}
+        want[v, at] = (len(ids), min(ids) if len(ids) == 1 else None)
+    assert got == want
