@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.functions import options, windows
-from sextant.operators import records, security, stats
+from sextant.operators import records, relative, security, stats
 
 
 def test_spread_deals_small_tables(spark):
@@ -111,3 +111,25 @@ def test_identifiers_by_spans(spark):
         ids = {s for s, w, a, b in held if s is not None and w is not None and w == v and a <= at <= (b or datetime.date.max)}
         want[v, at] = (len(ids), min(ids) if len(ids) == 1 else None)
     assert got == want
+
+
+@pytest.mark.parametrize("width", [4, 512])
+def test_correlations_by_blocks(spark, monkeypatch, width):
+    monkeypatch.setattr(relative, "WIDTH", width)
+    rng = np.random.default_rng(5)
+    x = rng.normal(1000, 0.01, (13, 30))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[3], x[4], x[5, 1:], x[6] = 0.1, 3 * x[2], np.nan, np.nan
+    x[7, :15], x[8, 15:] = np.nan, np.nan  # nothing in common
+    rows = [(f"n{i:02d}", j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if not np.isnan(v)] + [("n06", 1, None)]
+    found = relative.correlations(spark.createDataFrame(rows, "symbol string, session int, ret double"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i in range(13):
+        for j in range(i + 1, 13):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            if both.any():
+                a, b = x[i, both], x[j, both]
+                want[f"n{i:02d}", f"n{j:02d}"] = 0.0 if np.ptp(a) == 0 or np.ptp(b) == 0 else float(np.corrcoef(a, b)[0, 1])
+    got = {(r["a"], r["b"]): r["rho"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-7) for k in want)
