@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,10 @@ def implied_vol(price, s, k, t, r, q, call: Column, lo: float = 1e-4, hi: float
 
 #: Options whose trees move back together: a layer of them stays in a core's cache.
 TREES = 512
+#: Steps of a tree, as in the reference.
+STEPS = 400
+#: Distinct trees whose prices a task keeps; beyond that it begins anew.
+KEPT = 100_000
 
 
 def _tree_array(s, k, t, r, q, v, call, american: bool, steps: int) -> list[np.ndarray]:
@@ -139,36 +144,61 @@ def _tree_array(s, k, t, r, q, v, call, american: bool, steps: int) -> list[np.n
     return [european, back(True)] if american else [european]
 
 
-def _trees(columns: tuple[pd.Series, ...], american: bool, steps: int) -> np.ndarray:
-    """A row of European and, if wanted, one of American prices."""
-    *numbers, call = (x.to_numpy(float) if i < 6 else x.to_numpy(bool) for i, x in enumerate(columns))
-    with np.errstate(all="ignore"):
-        parts = [_tree_array(*(x[i : i + TREES] for x in numbers), call[i : i + TREES], american, steps) for i in range(0, len(call), TREES)]
-    return np.concatenate(parts, axis=1) if parts else np.zeros((1 + american, 0))
+def _trees(steps: int, american: bool):
+    """A function that gives a batch's row of European and, if wanted, one of American prices.
 
+    A price is in proportion to the spot, so options of equal strike over spot, time, rates, volatility and side have one
+    tree; its prices for a spot of 1 are kept within the task.
+    """
+    known: dict[bytes, np.ndarray] = {}
 
-def crr_price(s, k, t, r, q, v, call: Column, american: bool = True, steps: int = 200) -> Column:
+    def of(columns: tuple[pd.Series, ...]) -> np.ndarray:
+        *numbers, call = (x.to_numpy(float) if i < 6 else x.to_numpy(bool) for i, x in enumerate(columns))
+        if not len(call):
+            return np.zeros((1 + american, 0))
+        with np.errstate(all="ignore"):
+            scale = np.where((numbers[0] > 0) & np.isfinite(numbers[0]), numbers[0], 1.0)
+            rows = np.column_stack([numbers[0] / scale, numbers[1] / scale, *numbers[2:], call])
+            keys, first, at = np.unique(rows.view(f"V{rows.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+            keys = [k.tobytes() for k in keys]
+            if len(known) + len(keys) > KEPT:
+                known.clear()
+            new = [i for i, k in enumerate(keys) if k not in known]
+            for i in range(0, len(new), TREES):
+                some = new[i : i + TREES]
+                *x, side = rows[first[some]].T.copy()
+                known.update(zip([keys[j] for j in some], np.array(_tree_array(*x, side > 0, american, steps)).T))
+            return np.array([known[k] for k in keys])[at].T * scale
+
+    return of
+
+
+def crr_price(s, k, t, r, q, v, call: Column, american: bool = True, steps: int = STEPS) -> Column:
     """Binomial tree, options of a batch moved back together."""
 
     @F.pandas_udf("double")
-    def tree(s_: pd.Series, k_: pd.Series, t_: pd.Series, r_: pd.Series, q_: pd.Series, v_: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(_trees((s_, k_, t_, r_, q_, v_, c), american, steps)[-1])
+    def tree(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        of = _trees(steps, american)
+        for columns in batches:
+            yield pd.Series(of(columns)[-1])
 
     return tree(*(x.cast("double") for x in (s, k, t, r, q, v)), call)
 
 
-def crr_prices(s, k, t, r, q, v, call: Column, steps: int = 200) -> Column:
+def crr_prices(s, k, t, r, q, v, call: Column, steps: int = STEPS) -> Column:
     """american and european price by binomial trees, as one column."""
 
     @F.pandas_udf("american double, european double")
-    def trees(s_: pd.Series, k_: pd.Series, t_: pd.Series, r_: pd.Series, q_: pd.Series, v_: pd.Series, c: pd.Series) -> pd.DataFrame:
-        european, american = _trees((s_, k_, t_, r_, q_, v_, c), True, steps)
-        return pd.DataFrame({"american": american, "european": european})
+    def trees(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        of = _trees(steps, True)
+        for columns in batches:
+            european, american = of(columns)
+            yield pd.DataFrame({"american": american, "european": european})
 
     return trees(*(x.cast("double") for x in (s, k, t, r, q, v)), call)
 
 
-def early_exercise_premium(*args, steps: int = 200) -> Column:
+def early_exercise_premium(*args, steps: int = STEPS) -> Column:
     both = crr_prices(*args, steps=steps)
     return both["american"] - both["european"]
 

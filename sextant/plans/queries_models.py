@@ -124,7 +124,7 @@ def implied_vol(spark, sf_dir):
 def crr_price(spark, sf_dir):
     c = chain(spark, sf_dir)
     call = F.col("right") == "C"
-    c = c.withColumn("both", O.crr_prices(*_args(), F.col("iv"), call, steps=100))
+    c = c.withColumn("both", O.crr_prices(*_args(), F.col("iv"), call))
     return c.select("underlying", "days", "k", "right", out(F.col("both.american"), 5).alias("american"), out(F.col("both.american") - F.col("both.european"), 5).alias("premium"))
 
 
