@@ -20,6 +20,7 @@ empty results; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -43,8 +44,12 @@ MOST_SENT = 200_000
 ID_BITS, MOST_WORDS = 12, 1_000_000
 #: N-grams of this class of frequency or more (16 times the usual load) go to long lists without being counted: they may be too many for one task.
 COMMON = 4
-#: The counting sketch: a fixed number of counters, in segments.
-SKETCH_BITS, SEGMENT = 22, 1 << 16
+#: The counting sketch: counters, in segments, as a power of two that grows with the corpus to about LOAD n-grams a counter (some LETTERS letters of text
+#: make one): in fewer, n-grams of a few lists look as rare as any. At 2**28 (134 MB) it stays, as every worker holds it.
+SKETCH_BITS, MOST_BITS, SEGMENT = 22, 28, 1 << 16
+LOAD, LETTERS = 16, 6
+#: N-grams that a task counts before it sends them on.
+COUNTED = 1 << 22
 
 
 def ngram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +77,16 @@ def ngram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counters in their narrowest type; only those above zero, after their places, where that is less. The first byte tells: the size of a number, and 128 for places."""
+    """Counters in the shortest of three forms, told by the first byte: all in their narrowest type (its size); those above zero after their places
+    (128 and the size); or the gaps between places, one for each count, in bytes of which 255 carries on (64)."""
     kind = np.min_scalar_type(int(counts.max(initial=0)))
     at = np.flatnonzero(counts)
+    if int(counts.sum()) + len(counts) // 255 < min(len(counts), 3 * len(at)):
+        gaps = np.diff(np.repeat(at, counts[at].astype(np.int64)), prepend=0)
+        ends = np.cumsum(gaps // 255 + 1) - 1
+        out = np.full(ends[-1] + 1 if len(ends) else 0, 255, np.uint8)
+        out[ends] = gaps % 255
+        return bytes([64]) + out.tobytes()
     if len(at) * (2 + kind.itemsize) < len(counts) * kind.itemsize and len(counts) <= 1 << 16:
         return bytes([kind.itemsize | 128]) + at.astype(np.uint16).tobytes() + counts[at].astype(kind).tobytes()
     return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
@@ -82,6 +94,10 @@ def packed(counts: np.ndarray) -> bytes:
 
 def unpacked(raw: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
     """Where the counters stand, and their values."""
+    if raw[0] == 64:
+        gaps = np.frombuffer(raw, np.uint8, offset=1)
+        at, counts = np.unique(np.cumsum(gaps, dtype=np.int64)[gaps < 255], return_counts=True)
+        return at, counts.astype(np.uint64)
     size = raw[0] & 127
     if not raw[0] & 128:
         return slice(None), np.frombuffer(raw, f"u{size}", offset=1).astype(np.uint64)
@@ -89,44 +105,64 @@ def unpacked(raw: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
     return np.frombuffer(raw, np.uint16, n, 1).astype(np.int64), np.frombuffer(raw, f"u{size}", n, 1 + 2 * n).astype(np.uint64)
 
 
-def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many sets hold n-grams of each counter, over the whole corpus: 2**SKETCH_BITS numbers, whatever its size."""
-    size = 1 << SKETCH_BITS
+def sketch_bits(docs: DataFrame) -> int:
+    """Of how many bits of a hash the sketch's counters are the values."""
+    letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(max(SKETCH_BITS, math.ceil(math.log2(max(letters / LETTERS / LOAD, 1)))), MOST_BITS)
+
+
+def count_sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
+    """Classes of frequency (see `rarity`) of 2**bits counters over the whole corpus, by how many sets hold n-grams of each; two to a byte."""
+
+    def sums(held: list[np.ndarray]) -> pd.DataFrame:
+        at = np.sort(np.concatenate(held))
+        cuts = np.flatnonzero(np.diff(at // SEGMENT, prepend=-1))
+        parts = [(int(x[0]) // SEGMENT, packed(np.bincount(x % SEGMENT, minlength=SEGMENT))) for x in np.split(at, cuts[1:])]
+        return pd.DataFrame(parts, columns=["segment", "counts"])
 
     def count(batches):
-        total = np.zeros(size, np.uint32)
+        held, size = [], 0
         for batch in batches:
             texts = list(batch["text"])
             for lo, hi in chunks(texts):
-                values, _ = ngram_sets(texts[lo:hi], n)
-                np.add.at(total, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        if total.any():
-            parts = [(s, packed(total[s * SEGMENT : (s + 1) * SEGMENT])) for s in range(size // SEGMENT)]
-            yield pd.DataFrame(parts, columns=["segment", "counts"])
+                held.append((ngram_sets(texts[lo:hi], n)[0] >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield sums(held)
+                    held, size = [], 0
+        if size:
+            yield sums(held)
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, raw in zip(batch["segment"], batch["counts"]):
                 at, counts = unpacked(raw)
-                sums.setdefault(s, np.zeros(SEGMENT, np.uint64))[at] += counts
-        yield pd.DataFrame([(s, x.tobytes()) for s, x in sums.items()], columns=["segment", "counts"])
+                total.setdefault(s, np.zeros(SEGMENT, np.uint64))[at] += counts
+        for s, counts in total.items():
+            classes = np.minimum(rarity(counts), 15)
+            yield pd.DataFrame({"segment": [s], "classes": [zlib.compress((classes[::2] | classes[1::2] << 4).tobytes(), 1)]})
 
-    schema = "segment int, counts binary"
-    rows = docs.select("text").mapInPandas(count, schema).repartition("segment").mapInPandas(add, schema).collect()
-    out = np.zeros(size, np.uint64)
+    rows = docs.select("text").mapInPandas(count, "segment int, counts binary").repartition("segment").mapInPandas(add, "segment int, classes binary").collect()
+    out = np.zeros((1 << bits) // 2, np.uint8)
     for r in rows:
-        out[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["counts"], np.uint64)
+        out[r["segment"] * SEGMENT // 2 : (r["segment"] + 1) * SEGMENT // 2] = np.frombuffer(zlib.decompress(r["classes"]), np.uint8)
     return out
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Classes of frequency by counter: 0 up to about the usual load, then one more for each doubling."""
+    """Classes of frequency by counter: 0 up to about the usual load (of a segment, which is that of all), then one more for each doubling."""
     usual = max(float(np.median(counts)), 1.0)
     usual += 4 * math.sqrt(usual)
     return np.ceil(np.log2(np.maximum(counts / usual, 1.0))).astype(np.uint8)
 
 
+def class_of(classes: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The n-grams' classes in the sketch."""
+    at = (grams >> np.uint64(64 - len(classes).bit_length())).astype(np.int64)
+    return classes[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
+
+
 def needed(t: float, size: np.ndarray) -> np.ndarray:
     return np.ceil(np.round(t * size, 9)).astype(np.int64)
 
@@ -154,7 +190,7 @@ def prefixes(docs: DataFrame, n: int, t: float, classes: np.ndarray) -> DataFram
 
         def of(texts):
             values, at = ngram_sets(texts, n)
-            level = by_counter[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            level = class_of(by_counter, values)
             with np.errstate(over="ignore"):
                 second = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             out = []
@@ -355,7 +391,7 @@ def blocks(members: DataFrame, texts: DataFrame, near: DataFrame, n: int, t: flo
 def join(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): see the module."""
     docs = docs.select("doc_id", "text")
-    classes = rarity(count_sketch(docs, n))
+    classes = count_sketch(docs, n, sketch_bits(docs))
     sigs = written(prefixes(docs, n, t, classes), "jaccard-prefixes")
     sets = sigs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = sets.groupBy("lo", "hi", F.col("n_shingles").alias("n")).agg(

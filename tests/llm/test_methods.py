@@ -102,6 +102,22 @@ def test_a_failed_audit_compares_labels_whole(spark, monkeypatch):
     check_vectors(spark, rows)
 
 
+def test_the_sketch_grows_with_the_corpus(spark, monkeypatch):
+    """However many n-grams there are to a counter of the smallest sketch, a passage of many texts is told from rare words and fills no long lists."""
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 8)
+    monkeypatch.setattr(jaccard, "SEGMENT", 256)
+    monkeypatch.setattr(jaccard, "COUNTED", 3000, raising=False)
+    sizes, write = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: sizes.setdefault(name, write(df, name)))
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [" ".join(f"w{rng.randrange(100_000)}" for _ in range(100)) + (f" {passage}" if i % 12 == 0 else "") for i in range(420)]
+    texts[5] = texts[7]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 3, 0.9).collect()}
+    assert got == {i: 5 if i == 7 else i for i in range(420)}
+    assert sizes["jaccard-members"].count() == 0
+
+
 @pytest.mark.parametrize("common", [0, 1, 4])
 def test_common_ngrams_in_long_lists(spark, monkeypatch, common):
     """The same components whether n-grams are counted or go to long lists at once; texts of different lengths, part by part."""
