@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,38 @@ def test_clusters_equal_one_at_a_time(spark, seed, levels):
     assert got == want | {"alone": "alone"} and 1 < len(set(want.values())) < n
 
 
+@pytest.mark.parametrize("piece, copies", [(512, 1), (3, 1), (3, 4)])
+def test_clusters_of_series_keep_no_pairs(spark, monkeypatch, piece, copies):
+    """The same clusters as one at a time: with gaps, constants, series without a common session, copies, and clusters of more than a block."""
+    monkeypatch.setattr(relative, "PIECE", piece)
+    monkeypatch.setattr(relative, "MOST", piece)
+    written, pairs = relative.written, []
+    monkeypatch.setattr(relative, "written", lambda df, name: pairs.append(written(df, name)) or pairs[-1])
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (24, 40)) + np.repeat(rng.normal(0, 1, (4, 40)), 6, axis=0) * np.repeat([[2.0], [1.2], [0.8], [0.3]], 6, axis=0)
+    x[1, rng.random(40) < 0.4], x[7, :20], x[8, 20:], x[20], x[21, 3:], x[22] = np.nan, np.nan, np.nan, 5.0, np.nan, np.nan
+    x = np.tile(x, (copies, 1))
+    names = [f"n{i:03d}" for i in rng.permutation(len(x))]
+    rho = pd.DataFrame(x.T).corr(min_periods=2).fillna(0).to_numpy()
+    d = np.sqrt(np.clip(2 * (1 - np.round(rho, 12)), 0, 4))
+    p = spark.createDataFrame([(names[i], j, None if np.isnan(v) else float(v)) for i, r in enumerate(x) for j, v in enumerate(r)], "symbol string, session int, ret double")
+    got = {r["symbol"]: r["cluster"] for r in relative.return_clusters(p, 0.25).collect()}
+    want = one_at_a_time(names, d, math.sqrt(1.5))
+    assert got == want and 3 < len(set(want.values())) < len(want) - 8
+    assert not any({"a", "b"} <= set(t.columns) for t in pairs)
+
+
+def test_cluster_query_writes_no_pairs(spark, monkeypatch):
+    """What is written grows with the symbols, not with their pairs."""
+    from sextant import registry
+
+    written, rows = relative.written, []
+    monkeypatch.setattr(relative, "written", lambda df, name: rows.append(written(df, name)) or rows[-1])
+    monkeypatch.setattr(relative, "discard", lambda *tables: None)
+    n = registry.QUERIES["correlation_clusters"](spark, "/root/testdata/sf0.01").count()
+    assert n == 100 and max(t.count() for t in rows if "session" not in t.columns) < 3 * n
+
+
 def test_correlations_of_constant_series(spark):
     p = panel(spark, {"a": np.arange(5.0), "b": np.array([1.0, 1, 1, 1, 1]), "c": -np.arange(5.0)})
     assert {(r["a"], r["b"]): round(r["rho"], 9) for r in relative.correlations(p).collect()} == {("a", "b"): 0.0, ("a", "c"): -1.0, ("b", "c"): 0.0}
